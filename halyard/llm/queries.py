@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halyard.llm import bpe, token_counts
+from halyard.llm import bpe, packing, quality, token_counts
 from halyard.llm.common import table
 
 
+def op2_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -18,9 +22,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_tokenizer_fertility": op2_tokenizer_fertility,
     "op3_byte_bpe": op3_byte_bpe,
     "op7_token_counts": op7_token_counts,
+    "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
