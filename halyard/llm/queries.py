@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halyard.llm import bpe, packing, quality, token_counts
+from halyard.llm import bpe, line_chunks, packing, quality, token_counts
 from halyard.llm.common import table
 
 
@@ -26,11 +26,18 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_content_defined_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.deduped(table(spark, sf_dir, "documents")).select("doc_id", "text", "line_dedup.n_lines", "line_dedup.n_removed_lines")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tokenizer_fertility": op2_tokenizer_fertility,
     "op3_byte_bpe": op3_byte_bpe,
     "op7_token_counts": op7_token_counts,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
+    "op10_content_defined_line_chunks": op10_content_defined_line_chunks,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_content_defined_line_chunks": line_chunks.ORACLE_SQL,
+}
