@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halyard.llm import bpe, line_chunks, packing, quality, token_counts
+from halyard.llm import bpe, line_chunks, packing, quality, secrets, token_counts
 from halyard.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op10_content_defined_line_chunks(spark: SparkSession, sf_dir: str) -> DataFr
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tokenizer_fertility": op2_tokenizer_fertility,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_secret_scan": op5_secret_scan,
     "op7_token_counts": op7_token_counts,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
     "op10_content_defined_line_chunks": op10_content_defined_line_chunks,
