@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halyard.llm import bpe, line_chunks, packing, quality, secrets, token_counts
+from halyard.llm import bpe, line_chunks, packing, personal_data, piecewise_hashes, quality, secrets, token_counts
 from halyard.llm.common import table
 
 
@@ -18,10 +18,18 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_piecewise_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise_hashes.neighbours(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digests(personal_data.spans(table(spark, sf_dir, "documents")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -37,7 +45,9 @@ def op10_content_defined_line_chunks(spark: SparkSession, sf_dir: str) -> DataFr
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tokenizer_fertility": op2_tokenizer_fertility,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_piecewise_hashes": op4_piecewise_hashes,
     "op5_secret_scan": op5_secret_scan,
+    "op6_personal_data": op6_personal_data,
     "op7_token_counts": op7_token_counts,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
     "op10_content_defined_line_chunks": op10_content_defined_line_chunks,
