@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halyard.llm import bpe, line_chunks, packing, personal_data, piecewise_hashes, quality, secrets, token_counts
+from halyard.llm import bpe, jaccard_join, line_chunks, packing, personal_data, piecewise_hashes, quality, secrets, token_counts
 from halyard.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
 def op10_content_defined_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.deduped(table(spark, sf_dir, "documents")).select("doc_id", "text", "line_dedup.n_lines", "line_dedup.n_removed_lines")
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_personal_data": op6_personal_data,
     "op7_token_counts": op7_token_counts,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_content_defined_line_chunks": op10_content_defined_line_chunks,
 }
 
