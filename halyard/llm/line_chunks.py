@@ -57,24 +57,45 @@ def chunks(text: Column) -> Column:
     return let(F.split(text, "\n", -1), of_lines)
 
 
-def removed_places(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, removed): for each text (id and a hash of it) that loses chunks, their positions."""
-    text = F.coalesce(df[text_col].cast("string"), F.lit(""))
+def _based(df: DataFrame, text_col: str) -> DataFrame:
+    """df with its text under another name, never null, a hash of it, and whether it was null."""
+    text = F.coalesce(df[text_col].cast("string"), F.lit("")).alias("__text")
+    return df.select(*[c for c in df.columns if c != text_col], text, df[text_col].isNull().alias("__null")).withColumn("__mark", F.xxhash64("__text"))
+
+
+def repeated_chunks(based: DataFrame, id_col: str) -> DataFrame:
+    """(__id, __hash, __chunks): for each text with chunks that the table repeats, their (at, digest, whether it is the first place)."""
     places = (
-        df.select(df[id_col].alias("id"), text.alias("text"))
+        based.select(F.col(id_col).alias("id"), F.col("__text").alias("text"), F.col("__mark").alias("mark"))
         .filter(F.col("text").rlike(TWO_LINES))
-        .select("id", F.xxhash64("text").alias("mark"), F.posexplode(chunks(F.col("text"))).alias("at", "chunk"))
+        .select("id", "mark", F.posexplode(chunks(F.col("text"))).alias("at", "chunk"))
         .filter(F.col("chunk").rlike(TWO_LINES))
-        .withColumn("digest", F.md5("chunk"))
+        .select("id", "mark", "at", F.md5("chunk").alias("digest"))
     )
     place = F.struct("id", "at", "mark")
     firsts = places.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first")
-    again = places.join(firsts, "digest")
-    same = F.col("first").eqNullSafe(place)
-    # The text of each first place, once: rows equal in id and text share a place.
-    leaders = again.filter(same).select("digest", F.col("chunk").alias("bytes")).dropDuplicates(["digest"])
-    later = again.filter(~same).join(leaders, "digest").filter(F.col("chunk").cast("binary") == F.col("bytes").cast("binary"))
-    return later.groupBy("id", "mark").agg(F.collect_set("at").alias("removed"))
+    again = places.join(firsts, "digest").withColumn("leads", F.col("first").eqNullSafe(place))
+    return again.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__hash")).agg(F.collect_set(F.struct("at", "digest", "leads")).alias("__chunks"))
+
+
+def _same_row(id_col: str) -> Column:
+    return F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__hash"))
+
+
+def removed_places(based: DataFrame, id_col: str) -> DataFrame:
+    """(__id, __hash, __removed): for each text that loses chunks, their positions, after the comparison of bytes.
+
+    The rows are joined to what repeats in them as they are joined to the result afterwards, so that the two joins read
+    one exchange; the fingerprint of the whole row keeps its columns the same in both.
+    """
+    rows = based.join(repeated_chunks(based, id_col), _same_row(id_col))
+    texts = let(chunks(F.col("__text")), lambda c: F.transform("__chunks", lambda x: F.struct(x["at"].alias("at"), x["digest"].alias("digest"), x["leads"].alias("leads"), F.get(c, x["at"]).alias("bytes"))))
+    row = F.xxhash64(*[F.col(c) for c in based.columns])
+    each = rows.select("__id", "__hash", row.alias("row"), F.explode(texts).alias("x")).select("__id", "__hash", "row", "x.*")
+    leaders = each.filter("leads").groupBy("digest").agg(F.min("bytes").alias("first_bytes"), F.min("row").alias("first_row"), F.min("at").alias("first_at"))
+    elsewhere = (F.col("row") != F.col("first_row")) | (F.col("at") != F.col("first_at"))
+    later = each.filter("not leads").join(leaders, "digest").filter(elsewhere & (F.col("bytes").cast("binary") == F.col("first_bytes").cast("binary")))
+    return later.groupBy("__id", "__hash").agg(F.collect_set("at").alias("__removed"))
 
 
 def deduped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_empty: bool = True) -> DataFrame:
@@ -82,14 +103,13 @@ def deduped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
 
     keep_empty: else a text of which nothing is left goes.
     """
-    removed = removed_places(df, id_col, text_col).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("removed").alias("__removed"))
-    text = F.coalesce(df[text_col].cast("string"), F.lit(""))
-    joined = df.withColumn("__text", text).join(removed, df[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64("__text") == F.col("__mark")), "left")
+    based = _based(df, text_col)
+    joined = based.join(removed_places(based, id_col), _same_row(id_col), "left")
     stays = let(chunks(F.col("__text")), lambda c: F.filter(c, lambda x, i: ~F.array_contains(F.col("__removed"), i)))
     rest = joined.withColumn("__stays", F.when(F.col("__removed").isNotNull(), stays))
     lines = F.size(F.split("__text", "\n", -1))
     n_left = F.aggregate("__stays", F.lit(0), lambda n, c: n + F.size(F.split(c, "\n", -1)))
-    new_text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join("__stays", "\n"))
+    new_text = F.when(F.col("__removed").isNotNull(), F.array_join("__stays", "\n")).when(~F.col("__null"), F.col("__text"))
     counts = F.struct(lines.cast("long").alias("n_lines"), F.when(F.col("__removed").isNull(), F.lit(0)).otherwise(lines - n_left).cast("long").alias("n_removed_lines"))
     if not keep_empty:
         rest = rest.filter("__removed is null or size(__stays) > 0")

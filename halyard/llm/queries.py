@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halyard.llm import bpe, jaccard_join, line_chunks, packing, personal_data, piecewise_hashes, quality, secrets, token_counts
+from halyard.llm import bpe, jaccard_join, line_chunks, packing, personal_data, piecewise_hashes, quality, revisits, secrets, token_counts
 from halyard.llm.common import table
 
 
+def op1_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.digests(revisits.resolve(revisits.records_of_pages(table(spark, sf_dir, "pages"))))
+
+
 def op2_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -43,10 +47,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_content_defined_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_chunks.deduped(table(spark, sf_dir, "documents")).select("doc_id", "text", "line_dedup.n_lines", "line_dedup.n_removed_lines")
+    return line_chunks.deduped(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "line_dedup.n_lines", "line_dedup.n_removed_lines")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_revisit_resolution": op1_revisit_resolution,
     "op2_tokenizer_fertility": op2_tokenizer_fertility,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_piecewise_hashes": op4_piecewise_hashes,
@@ -59,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_revisit_resolution": revisits.ORACLE_SQL,
     "op10_content_defined_line_chunks": line_chunks.ORACLE_SQL,
 }
