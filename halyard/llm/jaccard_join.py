@@ -7,13 +7,14 @@ at least THRESHOLD per cent; components of links are returned.
 2. Prefix filter: each class hands on its n - ceil(0.8 n) + 1 + n / 20 smallest hashes. Two classes that link have at
    least 1 + n / 25 of them in common (n the larger set's size), so classes with fewer shared ones have no partner and
    drop out, and what is left shares a key with every partner.
-3. Rounds: classes meet at their smallest hash (under another order each round). A group's signature tree has nodes
-   with the OR of the bitmaps below and their range of set sizes; a traversal of pairs of nodes drops those whose largest
-   possible overlap is below what their sizes ask for, and compares the sets that remain unless they are connected by
-   then. Each group hands one member of each component on to the next round. Groups are dealt out in blocks of BLOCK.
-4. Completion: keys where classes of different components still meet. Trees over bitmaps alone list the pairs that could
-   link, first the most promising one for each two components, then, with what that has joined, all that are left. The
-   listed pairs are compared set by set. No pair that shares a key and can link is left out, so no link is lost.
+3. Classes meet at their smallest hash. A group's signature tree has nodes with the OR of the bitmaps below and their
+   range of set sizes; a traversal of pairs of nodes drops those whose largest possible overlap is below what their sizes
+   ask for, and compares the sets that remain unless they are connected by then. Large groups are dealt out in blocks.
+4. Stars: at keys where components still meet, one member of each is compared with one member of the first, STARS times
+   with other members; a row for each component and key at most, and only pairs that their bitmaps let pass.
+5. Completion: at keys where components meet even then, trees over the bitmaps list all pairs of different components
+   that could link, and these are compared set by set. No pair that shares a key and can link is left out, so no link
+   is lost.
 
 Large groups of near copies so cost a comparison a member and not one for each pair. Sets travel only for classes that
 step 2 leaves; they are picked by a bit table of FILTER bits, which is all that reaches the driver whatever the input.
@@ -31,7 +32,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.common import batched, checkpointed, id_and_text, id_type, rows_of
@@ -39,7 +40,7 @@ from halyard.llm.common import batched, checkpointed, id_and_text, id_type, rows
 SIZE = 5
 THRESHOLD = 80
 #: Bits of a class's bitmap, and members of a tree's node.
-BITS, FAN = 512, 16
+BITS, FAN = 1024, 16
 #: Classes of a group that are compared in one task.
 BLOCK = 2000
 #: Groups that are known to be large, at most; others meet whole.
@@ -48,11 +49,9 @@ LARGE_GROUPS = 10_000
 FILTER = 1 << 25
 #: Classes that a task remembers having handed on, and words whose hashes it keeps.
 REMEMBERED, WORDS = 200_000, 300_000
-ROUNDS = 3
+STARS = 3
 
 _WEIGHTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
-_ORDERS = [np.uint64(x) for x in (1, 0x2545F4914F6CDD1D, 0xDA942042E4DD58B5, 0xFF51AFD7ED558CCD)]
-
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
@@ -251,7 +250,7 @@ def _in_table(table: np.ndarray, cls: int) -> bool:
 
 
 def classified(texts: DataFrame, size: int, table: np.ndarray, kind: str) -> DataFrame:
-    """(id, cls, n, hashes, homes) for every text; the last two only for classes in the table, once a task."""
+    """(id, cls, n, hashes, home) for every text; the last two only for classes in the table, once a task."""
     shared = texts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,98 +270,122 @@ def classified(texts: DataFrame, size: int, table: np.ndarray, kind: str) -> Dat
                     seen.clear()
                 seen.add(c)
                 kept.append(hashes.tobytes())
-                homes.append([int((hashes * order).min()) - (1 << 63) for order in _ORDERS])
-            columns = [ids, pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(homes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "cls", "n", "hashes", "homes"])
-
-    return texts.mapInArrow(run, f"id {kind}, cls long, n long, hashes binary, homes array<long>")
-
-
-def _meet(members: DataFrame) -> DataFrame:
-    """(cls, root): members (cls, home, hashes) of a home are compared; root is the first of a component."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("cls")
-        classes = table["cls"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
-        first = components_of(sets) if len(sets) > 1 else [0] * len(sets)
-        return pa.table({"cls": classes, "root": classes[first]})
-
-    return members.groupBy("home", "block").applyInArrow(run, "cls long, root long")
-
-
-def _blocks(members: DataFrame, sized: bool) -> DataFrame:
-    """members with a block: homes with more than BLOCK members are dealt out, the largest LARGE_GROUPS of them."""
-    if not sized:
-        return members.withColumn("block", F.lit(0).cast("long"))
-    large = members.groupBy("home").count().filter(F.col("count") > BLOCK).orderBy(F.desc("count"), "home").limit(LARGE_GROUPS)
-    large = large.select("home", F.ceil(F.col("count") / BLOCK).alias("of"))
-    block = F.when(F.col("of").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("cls"), F.col("of")))
-    return members.join(F.broadcast(large), "home", "left").withColumn("block", block.cast("long")).drop("of")
-
-
-def in_rounds(sets: DataFrame) -> DataFrame:
-    """(cls, comp) after all rounds; sets: (cls, n, hashes, homes), a row a class."""
-    comps = None
-    for k in range(ROUNDS + 1):
-        # The second round has the first one's order without blocks, so that the blocks of a home meet.
-        order = max(0, k - 1)
-        left = sets if comps is None else sets.join(comps.select("comp").distinct(), F.col("cls") == F.col("comp"), "left_semi")
-        roots = _meet(_blocks(left.select("cls", "hashes", F.get("homes", F.lit(order)).alias("home")), True))
-        if comps is None:
-            comps = checkpointed(roots.withColumnRenamed("root", "comp"))
-        else:
-            comps = checkpointed(comps.join(roots.select(F.col("cls").alias("comp"), "root"), "comp").select("cls", F.col("root").alias("comp")))
-    return comps
-
-
-def _listed(members: DataFrame, every: bool) -> DataFrame:
-    """(a, b): classes of different components that share a key and could link, each two once.
-
-    members: (key, side, cls, comp, n, bits); only the most promising pair of each two components unless every.
-    """
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("n", "ascending"), ("cls", "ascending")])
-        classes, comps, sides = (table[c].to_numpy() for c in ("cls", "comp", "side"))
-        bitmaps = np.array([np.frombuffer(x, np.uint64) for x in table["bits"].to_pylist()]).reshape(len(table), -1)
-        found: list[tuple[int, int]] = []
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        tree = Tree(table["n"].to_numpy(), bitmaps)
-        for a, b, could, overlap in tree.leaves(lambda a, b: len(set(comps[a].tolist()) | set(comps[b].tolist())) > 1):
-            could &= comps[a][:, None] != comps[b][None, :]
-            # Of a group in blocks, two members of one block meet where that block is with itself.
-            could &= (sides[a][:, None] != sides[b][None, :]) | (sides[a][:, None] < 0)
-            for x, y in zip(*(k.tolist() for k in np.nonzero(could)), strict=True):
-                i, j = int(a[x]), int(b[y])
-                if i >= j:
+                homes.append(int(hashes[0]) - (1 << 63))
+            columns = [ids, pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(homes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "cls", "n", "hashes", "home"])
+
+    return texts.mapInArrow(run, f"id {kind}, cls long, n long, hashes binary, home long")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Stretches of rows sorted by their first `by` columns, and where each group begins and the last ends; no group is split."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held and all(held[-1].column(k)[len(held[-1]) - 1] == batch.column(k)[len(batch) - 1] for k in range(by)):
+            held.append(batch)  # one group goes on through the whole batch
+            continue
+        rows = pa.Table.from_batches([*held, batch])
+        starts = _starts(rows, by)
+        yield rows.slice(0, starts[-1]), starts
+        held = rows.slice(starts[-1]).combine_chunks().to_batches()
+    if held:
+        rows = pa.Table.from_batches(held)
+        yield rows, np.append(_starts(rows, by), len(rows))
+
+
+def _starts(rows: pa.Table, by: int) -> np.ndarray:
+    """Where groups begin; the beginning of the last one only ends the one before."""
+    new = np.zeros(len(rows), bool)
+    new[0] = True
+    for k in range(by):
+        values = rows.column(k).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def first_roots(each: DataFrame) -> DataFrame:
+    """(cls, comp): the first class of each component among the classes that meet at a home; each: (cls, hashes, home)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in _groups(batches, 2):
+            classes, hashes = rows["cls"].to_numpy(), rows["hashes"]
+            roots = classes.copy()
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                own, first = np.unique(classes[s:e], return_index=True)  # copies of several tasks meet here
+                if len(own) > 1:
+                    sets = [np.frombuffer(hashes[s + k].as_py(), np.uint64) for k in first.tolist()]
+                    roots[s:e] = own[components_of(sets)][np.searchsorted(own, classes[s:e])]
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(roots, pa.int64())], names=["cls", "comp"])
+
+    large = each.groupBy("home").agg(F.approx_count_distinct("cls").alias("k")).filter(F.col("k") > BLOCK).orderBy(F.desc("k"), "home").limit(LARGE_GROUPS)
+    large = large.select("home", F.ceil(F.col("k") / BLOCK).alias("of"))
+    block = F.when(F.col("of").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("cls"), F.col("of"))).cast("long")
+    placed = each.join(F.broadcast(large), "home", "left").select("home", block.alias("block"), "cls", "hashes")
+    ordered = placed.repartition("home", "block").sortWithinPartitions("home", "block", "cls")
+    return ordered.mapInArrow(run, "cls long, comp long").distinct()
+
+
+def _passing(a: str, b: str) -> Column:
+    """Whether two classes (structs of n, bits) could link, as far as sizes and bitmaps tell."""
+    least, most = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
+    count = lambda bits: F.aggregate(bits, F.lit(0), lambda n, x: n + F.bit_count(x))
+    spare = lambda c: F.col(f"{c}.n") - count(F.col(f"{c}.bits"))
+    overlap = count(F.zip_with(f"{a}.bits", f"{b}.bits", lambda x, y: x.bitwiseAND(y))) + F.least(spare(a), spare(b))
+    return (100 * least >= THRESHOLD * most) & ((100 + THRESHOLD) * F.least(overlap, least) >= THRESHOLD * (least + most))
+
+
+def _star(met: DataFrame, described: DataFrame, turn: int) -> DataFrame:
+    """(a, b): at each key a member of each component beside one of the first, other members each turn, if they could link."""
+    drawn = F.struct(F.xxhash64("cls", "key", F.lit(turn)).alias("draw"), "cls")
+    members = met.groupBy("key", "comp").agg(F.min(drawn).alias("drawn")).select("key", F.struct(F.xxhash64("comp", "key", F.lit(turn)), "comp", F.col("drawn.cls").alias("cls")).alias("m"))
+    leads = members.groupBy("key").agg(F.min("m").alias("lead"))
+    pairs = members.join(leads, "key").filter("m.comp <> lead.comp").select(F.least("m.cls", "lead.cls").alias("a"), F.greatest("m.cls", "lead.cls").alias("b")).distinct()
+    of = lambda name: described.select(F.col("cls").alias(name), F.struct("n", "bits").alias(f"of_{name}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(_passing("of_a", "of_b")).select("a", "b")
+
+
+def _listed(met: DataFrame, described: DataFrame) -> DataFrame:
+    """(a, b): all classes of different components that share a key and could link, each two once; met: (key, cls, comp)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in _groups(batches, 3):
+            classes, comps, sides, sizes = (rows[c].to_numpy() for c in ("cls", "comp", "side", "n"))
+            bits = rows["bits"].combine_chunks()
+            bitmaps = np.asarray(bits.flatten()).view(np.uint64).reshape(len(rows), -1)
+            left, right = [], []
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                own, side = comps[s:e], sides[s:e]
+                if e - s < 2 or (own == own[0]).all():
                     continue
-                pair = (min(int(classes[i]), int(classes[j])), max(int(classes[i]), int(classes[j])))
-                if every:
-                    found.append(pair)
-                else:
-                    two = (min(int(comps[i]), int(comps[j])), max(int(comps[i]), int(comps[j])))
-                    rated = (int(overlap[x, y]), *pair)
-                    best[two] = max(best.get(two, rated), rated)
-        found += [(x, y) for _, x, y in best.values()]
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
-
-    return members.groupBy("key", "one", "other").applyInArrow(run, "a long, b long").distinct()
-
-
-def _candidates(keys: DataFrame, described: DataFrame, comps: DataFrame, every: bool) -> DataFrame:
-    here = _shared_keys(keys.select("key", "cls").join(comps, "cls"), "comp").join(described, "cls")
-    sizes = here.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("of"))
+                tree = Tree(sizes[s:e], bitmaps[s:e])
+                for a, b, could, _ in tree.leaves(lambda a, b, own=own: len({*own[a].tolist(), *own[b].tolist()}) > 1):
+                    could &= own[a][:, None] != own[b][None, :]
+                    # Of a group in blocks, two members of one block meet where that block is with itself.
+                    could &= (side[a][:, None] != side[b][None, :]) | (side[a][:, None] < 0)
+                    x, y = np.nonzero(could)
+                    x, y = a[x][a[x] < b[y]], b[y][a[x] < b[y]]
+                    left.append(classes[s + x])
+                    right.append(classes[s + y])
+            if left:
+                left, right = np.concatenate(left), np.concatenate(right)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
+
+    here = met.join(described, "cls")
+    sizes = met.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("of"))
     dealt = here.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("of")))
-    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
-    own = F.col("with") == F.col("block")
-    placed = met.select("key", "cls", "comp", "n", "bits", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), F.when(own, F.lit(-1)).otherwise(F.col("block")).cast("long").alias("side"))
-    return _listed(placed, every)
+    both = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+    side = F.when(F.col("with") == F.col("block"), F.lit(-1)).otherwise(F.col("block")).cast("long")
+    placed = both.select("key", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "cls", "comp", side.alias("side"), "n", "bits")
+    ordered = placed.repartition("key", "one", "other").sortWithinPartitions("key", "one", "other", "n", "cls")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): the pairs that link."""
-    of = lambda name: sets.select(F.col("cls").alias(name), F.col("hashes").alias(f"{name}_hashes"))
+    once = sets.groupBy("cls").agg(F.first("hashes").alias("hashes"))
+    of = lambda name: once.select(F.col("cls").alias(name), F.col("hashes").alias(f"{name}_hashes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -401,12 +424,14 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     keys = with_partners(prefixes(texts, size))
     table = filter_table(keys.select("cls").distinct())
     each = checkpointed(classified(texts, size, table, id_type(df, id_col)))
-    sets = each.filter("hashes is not null").select("cls", "n", "hashes", "homes").join(keys.select("cls").distinct(), "cls", "left_semi")
-    sets = checkpointed(sets.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "hashes", "homes")]))
-    comps = in_rounds(sets)
-    described = checkpointed(_described(sets))
-    for every in (False, True):
-        pairs = _candidates(keys, described, comps, every)
+    sets = each.filter("hashes is not null").select("cls", "n", "hashes", "home").join(keys.select("cls").distinct(), "cls", "left_semi")
+    described = checkpointed(_described(sets).dropDuplicates(["cls"]))
+    comps = checkpointed(first_roots(sets.select("cls", "hashes", "home")))
+    for turn in range(STARS + 1):
+        met = checkpointed(_shared_keys(keys.select("key", "cls").join(comps, "cls"), "comp"))
+        if met.isEmpty():
+            break
+        pairs = _star(met, described, turn) if turn < STARS else _listed(met, described)
         comps = joined(comps, checkpointed(_verified(pairs, sets)))
     classes = each.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("first")).join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     named = classes.join(classes.groupBy("comp").agg(F.min("first").alias("component_id")), "comp").select("cls", "component_id")
@@ -419,7 +444,7 @@ def _described(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [bitmap(np.frombuffer(x, np.uint64)).tobytes() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.binary())], names=["cls", "n", "bits"])
+            marks = [bitmap(np.frombuffer(x, np.uint64)) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(marks, pa.int64())], names=["cls", "n", "bits"])
 
-    return sets.select("cls", "n", "hashes").mapInArrow(run, "cls long, n long, bits binary")
+    return sets.select("cls", "n", "hashes").mapInArrow(run, "cls long, n long, bits array<long>")
