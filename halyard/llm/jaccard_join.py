@@ -448,3 +448,12 @@ def _described(sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(marks, pa.int64())], names=["cls", "n", "bits"])
 
     return sets.select("cls", "n", "hashes").mapInArrow(run, "cls long, n long, bits array<long>")
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+    """The rows of df but for those that link, directly or not, to a row with a smaller id; rows of one id stay together.
+
+    Only the ids that go are joined to the rows.
+    """
+    gone = components(df, id_col, text_col, size).filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
+    return df.join(gone, df[id_col] == F.col("__gone"), "left_anti")
