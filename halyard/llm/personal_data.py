@@ -240,7 +240,8 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id_col, n_ of each kind in the base, base_sha256, spans, n_added) from the result of spans()."""
     said = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     base = F.filter("spans", lambda x: ~x["added"])
-    counts = [F.size(F.filter("spans", lambda x, k=k: ~x["added"] & (x["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    of_kind = lambda kind: F.filter("spans", lambda x: ~x["added"] & (x["kind"] == kind))
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select(
         id_col, *counts,
         F.sha2(F.array_join(F.transform(base, said), ","), 256).alias("base_sha256"),
