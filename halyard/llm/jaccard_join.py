@@ -11,10 +11,12 @@ at least THRESHOLD per cent; components of links are returned.
    range of set sizes; a traversal of pairs of nodes drops those whose largest possible overlap is below what their sizes
    ask for, and compares the sets that remain unless they are connected by then. Large groups are dealt out in blocks.
 4. Stars: at keys where components still meet, one member of each is compared with one member of the first, STARS times
-   with other members; a row for each component and key at most, and only pairs that their bitmaps let pass.
+   with other members; a row for each component and key at most.
 5. Completion: at keys where components meet even then, trees over the bitmaps list all pairs of different components
-   that could link, and these are compared set by set. No pair that shares a key and can link is left out, so no link
-   is lost.
+   that could link. No pair that shares a key and can link is left out, so no link is lost.
+
+Pairs of 4 and 5 first have the low 16 bits of their shingles compared, which bounds their overlap from above at a quarter
+of the size; only what passes has its sets compared.
 
 Large groups of near copies so cost a comparison a member and not one for each pair. Sets travel only for classes that
 step 2 leaves; they are picked by a bit table of FILTER bits, which is all that reaches the driver whatever the input.
@@ -49,7 +51,9 @@ LARGE_GROUPS = 10_000
 FILTER = 1 << 25
 #: Classes that a task remembers having handed on, and words whose hashes it keeps.
 REMEMBERED, WORDS = 200_000, 300_000
-STARS = 3
+STARS = 1
+#: Classes whose sets are picked by a broadcast of their numbers (8 bytes each); beyond it, by a shuffle.
+PICKED = 200_000
 
 _WEIGHTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -229,9 +233,10 @@ def with_partners(keys: DataFrame) -> DataFrame:
 
 
 def _meeting(keys: DataFrame) -> DataFrame:
-    """As _shared_keys for all keys, dealt out by key once: both uses read the same exchange."""
+    """As _shared_keys for all keys, dealt out by key once: both uses read the same columns of the same exchange."""
     dealt = keys.repartition("key")
-    return _shared_keys(dealt, "cls")
+    groups = dealt.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("lo"), F.max(F.struct("cls", "n")).alias("hi")).filter("lo <> hi").select("key")
+    return dealt.join(groups, "key", "left_semi")
 
 
 def filter_table(classes: DataFrame) -> np.ndarray:
@@ -327,23 +332,23 @@ def first_roots(each: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "cls long, comp long").distinct()
 
 
-def _passing(a: str, b: str) -> Column:
-    """Whether two classes (structs of n, bits) could link, as far as sizes and bitmaps tell."""
-    least, most = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    count = lambda bits: F.aggregate(bits, F.lit(0), lambda n, x: n + F.bit_count(x))
-    spare = lambda c: F.col(f"{c}.n") - count(F.col(f"{c}.bits"))
-    overlap = count(F.zip_with(f"{a}.bits", f"{b}.bits", lambda x, y: x.bitwiseAND(y))) + F.least(spare(a), spare(b))
-    return (100 * least >= THRESHOLD * most) & ((100 + THRESHOLD) * F.least(overlap, least) >= THRESHOLD * (least + most))
+def _possible(pairs: DataFrame, described: DataFrame) -> DataFrame:
+    """The pairs (a, b) that could link, as far as sizes and 16 bits of each shingle tell."""
+    of = lambda name: described.select(F.col("cls").alias(name), F.struct("n", "marks").alias(f"of_{name}"))
+    least, most = F.least("of_a.n", "of_b.n"), F.greatest("of_a.n", "of_b.n")
+    spare = lambda c: F.col(f"{c}.n") - F.size(f"{c}.marks")
+    overlap = F.least(F.size(F.array_intersect("of_a.marks", "of_b.marks")) + F.least(spare("of_a"), spare("of_b")), least)
+    passing = (100 * least >= THRESHOLD * most) & ((100 + THRESHOLD) * overlap >= THRESHOLD * (least + most))
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(passing).select("a", "b")
 
 
-def _star(met: DataFrame, described: DataFrame, turn: int) -> DataFrame:
-    """(a, b): at each key a member of each component beside one of the first, other members each turn, if they could link."""
+def _star(met: DataFrame, turn: int) -> DataFrame:
+    """(a, b): at each key a member of each component beside one of the first, other members each turn."""
     drawn = F.struct(F.xxhash64("cls", "key", F.lit(turn)).alias("draw"), "cls")
     members = met.groupBy("key", "comp").agg(F.min(drawn).alias("drawn")).select("key", F.struct(F.xxhash64("comp", "key", F.lit(turn)), "comp", F.col("drawn.cls").alias("cls")).alias("m"))
     leads = members.groupBy("key").agg(F.min("m").alias("lead"))
-    pairs = members.join(leads, "key").filter("m.comp <> lead.comp").select(F.least("m.cls", "lead.cls").alias("a"), F.greatest("m.cls", "lead.cls").alias("b")).distinct()
-    of = lambda name: described.select(F.col("cls").alias(name), F.struct("n", "bits").alias(f"of_{name}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").filter(_passing("of_a", "of_b")).select("a", "b")
+    pairs = members.join(leads, "key").filter("m.comp <> lead.comp")
+    return pairs.select(F.least("m.cls", "lead.cls").alias("a"), F.greatest("m.cls", "lead.cls").alias("b")).distinct()
 
 
 def _listed(met: DataFrame, described: DataFrame) -> DataFrame:
@@ -372,7 +377,7 @@ def _listed(met: DataFrame, described: DataFrame) -> DataFrame:
                 left, right = np.concatenate(left), np.concatenate(right)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
 
-    here = met.join(described, "cls")
+    here = met.join(described.select("cls", "n", "bits"), "cls")
     sizes = met.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("of"))
     dealt = here.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("of")))
     both = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
@@ -384,7 +389,9 @@ def _listed(met: DataFrame, described: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): the pairs that link."""
-    once = sets.groupBy("cls").agg(F.first("hashes").alias("hashes"))
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    picked = sets.select("cls", "hashes").join(F.broadcast(ends) if pairs.count() * 2 <= PICKED else ends, "cls", "left_semi")
+    once = picked.groupBy("cls").agg(F.first("hashes").alias("hashes"))
     of = lambda name: once.select(F.col("cls").alias(name), F.col("hashes").alias(f"{name}_hashes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,14 +431,14 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     keys = with_partners(prefixes(texts, size))
     table = filter_table(keys.select("cls").distinct())
     each = checkpointed(classified(texts, size, table, id_type(df, id_col)))
-    sets = each.filter("hashes is not null").select("cls", "n", "hashes", "home").join(keys.select("cls").distinct(), "cls", "left_semi")
+    sets = each.filter("hashes is not null").select("cls", "n", "hashes", "home")
     described = checkpointed(_described(sets).dropDuplicates(["cls"]))
     comps = checkpointed(first_roots(sets.select("cls", "hashes", "home")))
     for turn in range(STARS + 1):
         met = checkpointed(_shared_keys(keys.select("key", "cls").join(comps, "cls"), "comp"))
         if met.isEmpty():
             break
-        pairs = _star(met, described, turn) if turn < STARS else _listed(met, described)
+        pairs = checkpointed(_possible(_star(met, turn) if turn < STARS else _listed(met, described), described))
         comps = joined(comps, checkpointed(_verified(pairs, sets)))
     classes = each.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("first")).join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     named = classes.join(classes.groupBy("comp").agg(F.min("first").alias("component_id")), "comp").select("cls", "component_id")
@@ -440,14 +447,16 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
 
 def _described(sets: DataFrame) -> DataFrame:
-    """(cls, n, bits): the bitmap of each class."""
+    """(cls, n, bits, marks): the bitmap of each class, and the distinct low 16 bits of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [bitmap(np.frombuffer(x, np.uint64)) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(marks, pa.int64())], names=["cls", "n", "bits"])
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+            marks = [np.unique(x.astype(np.uint16)).view(np.int16).tolist() for x in sets]
+            columns = [batch.column(0), batch.column(1), _lists([bitmap(x) for x in sets], pa.int64()), pa.array(marks, pa.list_(pa.int16()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["cls", "n", "bits", "marks"])
 
-    return sets.select("cls", "n", "hashes").mapInArrow(run, "cls long, n long, bits array<long>")
+    return sets.select("cls", "n", "hashes").mapInArrow(run, "cls long, n long, bits array<long>, marks array<smallint>")
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
