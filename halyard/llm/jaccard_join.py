@@ -34,7 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.llm.common import batched, checkpointed, id_and_text, id_type, rows_of
@@ -196,10 +196,22 @@ def components_of(sets: list[np.ndarray]) -> list[int]:
 # -- distributed steps
 
 
-def _shared_keys(keys: DataFrame, label: str) -> DataFrame:
-    """The rows of keys whose key has two labels or more."""
-    groups = keys.groupBy("key").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).filter("lo <> hi").select("key")
-    return keys.join(groups, "key", "left_semi")
+def _met(keys: DataFrame) -> DataFrame:
+    """The rows of keys (one a key and class) whose class meets another there whose size lets them link.
+
+    Ordered by size, the nearest sizes decide; the window reads one exchange, and a large key spills.
+    """
+    by_size = Window.partitionBy("key").orderBy("n", "cls")
+    before, after = F.coalesce(F.lag("n").over(by_size), F.lit(0)), F.lead("n").over(by_size)
+    near = (100 * before >= THRESHOLD * F.col("n")) | F.coalesce(100 * F.col("n") >= THRESHOLD * after, F.lit(False))
+    return keys.withColumn("_near", near).filter("_near").drop("_near")
+
+
+def _apart(keys: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, cls, n, comp) where components meet; like all that follows within a key, it reads one exchange."""
+    of_key = Window.partitionBy("key")
+    marked = keys.join(comps, "cls").withColumn("_lo", F.min("comp").over(of_key)).withColumn("_hi", F.max("comp").over(of_key))
+    return _met(marked.filter("_lo <> _hi").drop("_lo", "_hi")).select("key", "cls", "n", "comp")
 
 
 def prefixes(texts: DataFrame, size: int) -> DataFrame:
@@ -224,19 +236,10 @@ def prefixes(texts: DataFrame, size: int) -> DataFrame:
 
 
 def with_partners(keys: DataFrame) -> DataFrame:
-    """The rows of keys that classes share, without classes that share too few to have a partner."""
-    shared = checkpointed(_meeting(keys))
-    for _ in range(2):
-        enough = shared.groupBy("cls", "n").agg(F.count_distinct("key").alias("k")).filter("k >= 1 + floor(n / 25)").select("cls")
-        shared = _shared_keys(shared.join(enough, "cls", "left_semi"), "cls")
-    return checkpointed(shared.dropDuplicates(["key", "cls"]))
-
-
-def _meeting(keys: DataFrame) -> DataFrame:
-    """As _shared_keys for all keys, dealt out by key once: both uses read the same columns of the same exchange."""
-    dealt = keys.repartition("key")
-    groups = dealt.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("lo"), F.max(F.struct("cls", "n")).alias("hi")).filter("lo <> hi").select("key")
-    return dealt.join(groups, "key", "left_semi")
+    """The rows of keys that classes share, once each, without classes that share too few to have a partner."""
+    shared = checkpointed(_met(keys.repartition("key").dropDuplicates(["key", "cls"])))
+    enough = F.count(F.lit(1)).over(Window.partitionBy("cls")) >= 1 + F.floor(F.col("n") / 25)
+    return checkpointed(_met(shared.withColumn("_enough", enough).filter("_enough").drop("_enough")))
 
 
 def filter_table(classes: DataFrame) -> np.ndarray:
@@ -346,17 +349,16 @@ def _star(met: DataFrame, turn: int) -> DataFrame:
     """(a, b): at each key a member of each component beside one of the first, other members each turn."""
     drawn = F.struct(F.xxhash64("cls", "key", F.lit(turn)).alias("draw"), "cls")
     members = met.groupBy("key", "comp").agg(F.min(drawn).alias("drawn")).select("key", F.struct(F.xxhash64("comp", "key", F.lit(turn)), "comp", F.col("drawn.cls").alias("cls")).alias("m"))
-    leads = members.groupBy("key").agg(F.min("m").alias("lead"))
-    pairs = members.join(leads, "key").filter("m.comp <> lead.comp")
+    pairs = members.withColumn("lead", F.min("m").over(Window.partitionBy("key"))).filter("m.comp <> lead.comp")
     return pairs.select(F.least("m.cls", "lead.cls").alias("a"), F.greatest("m.cls", "lead.cls").alias("b")).distinct()
 
 
 def _listed(met: DataFrame, described: DataFrame) -> DataFrame:
-    """(a, b): all classes of different components that share a key and could link, each two once; met: (key, cls, comp)."""
+    """(a, b): all classes of different components that share a key and could link, each two once; met: (key, cls, n, comp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in _groups(batches, 3):
-            classes, comps, sides, sizes = (rows[c].to_numpy() for c in ("cls", "comp", "side", "n"))
+            classes, comps, sides, sizes = (rows[c].to_numpy().astype(np.int64) for c in ("cls", "comp", "side", "n"))
             bits = rows["bits"].combine_chunks()
             bitmaps = np.asarray(bits.flatten()).view(np.uint64).reshape(len(rows), -1)
             left, right = [], []
@@ -377,9 +379,9 @@ def _listed(met: DataFrame, described: DataFrame) -> DataFrame:
                 left, right = np.concatenate(left), np.concatenate(right)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
 
-    here = met.join(described.select("cls", "n", "bits"), "cls")
-    sizes = met.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("of"))
-    dealt = here.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("of")))
+    sized = met.withColumn("of", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("key")) / BLOCK))
+    here = sized.join(described.select("cls", "bits"), "cls")
+    dealt = here.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("of")))
     both = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
     side = F.when(F.col("with") == F.col("block"), F.lit(-1)).otherwise(F.col("block")).cast("long")
     placed = both.select("key", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "cls", "comp", side.alias("side"), "n", "bits")
@@ -435,9 +437,7 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     described = checkpointed(_described(sets).dropDuplicates(["cls"]))
     comps = checkpointed(first_roots(sets.select("cls", "hashes", "home")))
     for turn in range(STARS + 1):
-        met = checkpointed(_shared_keys(keys.select("key", "cls").join(comps, "cls"), "comp"))
-        if met.isEmpty():
-            break
+        met = _apart(keys, comps)
         pairs = checkpointed(_possible(_star(met, turn) if turn < STARS else _listed(met, described), described))
         comps = joined(comps, checkpointed(_verified(pairs, sets)))
     classes = each.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("first")).join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
