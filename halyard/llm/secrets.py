@@ -201,9 +201,9 @@ def findings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     start and end count code points; shown is the candidate's first four characters.
     """
-    rows = _prepared(df, text_col, path_col).filter(F.size("__judged.found") > 0)
+    rows = _prepared(df, text_col, path_col).filter(F.size("__judged.found") > 0).withColumn("__row", F.monotonically_increasing_id())
     gaps = F.transform("__judged.gaps", F.length)
-    each = rows.select(df[id_col].alias("id"), F.monotonically_increasing_id().alias("row"), gaps.alias("gaps"), F.posexplode("__judged.found").alias("at", "x"))
+    each = rows.select(df[id_col].alias("id"), F.col("__row").alias("row"), gaps.alias("gaps"), F.posexplode("__judged.found").alias("at", "x"))
     each = each.select("id", "row", "at", F.get("gaps", F.col("at")).cast("long").alias("gap"), F.length("x.candidate").cast("long").alias("n_chars"), F.substring("x.candidate", 1, 4).alias("shown"), F.sha2("x.candidate", 256).alias("sha256"), F.col("x.vote").alias("vote"))
     from pyspark.sql import Window
 
