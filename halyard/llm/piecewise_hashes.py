@@ -11,7 +11,7 @@ All hashes are numpy operations over a text's bytes: window sums, shifts, and pr
 an inverse modulo 2**64.
 
 neighbours() also takes each text's next one in descending id order, as a range-partitioned pass: rows are dealt to
-ranges of ids by boundaries that are counted before, each range is sorted and read once, and gets a copy of the row that
+ranges of ids that are counted before, each range is sorted and read once, and gets a copy of the row that
 follows its last one.
 
 Cases: a null text counts as empty and has an empty signature, which is like itself; equal texts have equal
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from halyard.llm.common import batched, checkpointed, id_and_text, id_type
 
@@ -38,8 +39,8 @@ LEAST_BLOCK = 3
 COMMON = 4
 #: The characters of signatures.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-#: Rows of a range, about.
-RANGE = 20_000
+#: Rows of a range, about, and cells that ranges are made of, at most.
+RANGE, CELLS = 8_000, 1 << 16
 
 _LETTERS = np.frombuffer(ALPHABET.encode(), np.uint8)
 _BASE = 0x9E3779B97F4A7C15
@@ -160,19 +161,29 @@ def edited(text: str, following: str) -> str:
 def ranges(df: DataFrame, id_col: str, rows: int = RANGE) -> tuple[DataFrame, int]:
     """df with the number of its id's range, in descending order, as `range`, and how many ranges there are.
 
-    The boundaries are quantiles of the ids; there are as many as rows / RANGE, which are the only values to reach the driver.
+    Numeric ids fall into cells of equal width, some to each range that is wanted and CELLS at most; neighbouring cells
+    make a range until it has `rows` rows. Only the cells' counts reach the driver, and a row finds its range by one
+    look-up. A cell that is denser than a range stays whole.
     """
     ids = df.select(F.col(id_col).alias("id"))
-    n = max(1, -(-df.count() // rows))
-    if n == 1:
-        return df.withColumn("range", F.lit(0)), 1
-    cuts = ids.agg(F.percentile_approx("id", [k / n for k in range(1, n)], F.lit(max(10_000, 20 * n))).alias("cuts")).first().cuts or []
-    cuts = sorted(set(cuts), reverse=True)
-    if not cuts:
-        return df.withColumn("range", F.lit(0)), 1
-    # The ids at or above a cut come before those below it; null ids come last.
-    below = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col(id_col) < c))
-    return df.withColumn("range", F.when(F.col(id_col).isNull(), F.lit(len(cuts))).otherwise(below)), len(cuts) + 1
+    one = df.withColumn("range", F.lit(0))
+    if not isinstance(df.schema[id_col].dataType, NumericType):
+        raise TypeError(f"{id_col} has to be numeric: its order is what tells the next text")
+    low, high, n = ids.agg(F.min("id").cast("double"), F.max("id").cast("double"), F.count(F.lit(1))).first()
+    if low is None or n <= rows:
+        return one, 1
+    cells = min(CELLS, 8 * -(-n // rows))
+    cell = F.least(F.floor((F.lit(high) - F.col(id_col).cast("double")) * F.lit(cells / (high - low + 1))), F.lit(cells - 1)).cast("int")
+    counts = {r[0]: r[1] for r in df.groupBy(cell.alias("c")).count().collect()}
+    range_of, at, held = [], 0, 0
+    for c in range(cells):
+        if held >= rows:
+            at, held = at + 1, 0
+        range_of.append(at)
+        held += counts.get(c, 0)
+    table = F.from_json(F.lit(str(range_of)), "array<int>")
+    # Null ids come last.
+    return df.withColumn("range", F.when(F.col(id_col).isNull(), F.lit(at)).otherwise(F.get(table, cell))), at + 1
 
 
 def neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
