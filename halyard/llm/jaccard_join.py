@@ -13,7 +13,7 @@ at least THRESHOLD per cent; components of links are returned.
 4. Stars: at keys where components still meet, one member of each is compared with one member of the first, STARS times
    with other members; a row for each component and key at most.
 5. Completion: at keys where components meet even then, trees over the bitmaps list all pairs of different components
-   that could link. No pair that shares a key and can link is left out, so no link is lost.
+   that could link and share as many keys as two that link must. No pair that can link is left out, so no link is lost.
 
 Pairs of 4 and 5 first have the low 16 bits of their shingles compared, which bounds their overlap from above at a quarter
 of the size; only what passes has its sets compared.
@@ -54,6 +54,8 @@ REMEMBERED, WORDS = 200_000, 300_000
 STARS = 1
 #: Classes whose sets are picked by a broadcast of their numbers (8 bytes each); beyond it, by a shuffle.
 PICKED = 200_000
+#: Links between components that one task joins (16 bytes each); more are joined in rounds.
+JOINED = 100_000
 
 _WEIGHTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -163,7 +165,7 @@ class Tree:
                     stack.append((below, int(a[x]), int(b[y])))
 
 
-def _find(parent: list[int], x: int) -> int:
+def _find(parent: list[int] | dict[int, int], x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
         x = parent[x]
@@ -296,7 +298,8 @@ def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[pa.Tab
             continue
         rows = pa.Table.from_batches([*held, batch])
         starts = _starts(rows, by)
-        yield rows.slice(0, starts[-1]), starts
+        if starts[-1]:
+            yield rows.slice(0, starts[-1]), starts
         held = rows.slice(starts[-1]).combine_chunks().to_batches()
     if held:
         rows = pa.Table.from_batches(held)
@@ -354,14 +357,17 @@ def _star(met: DataFrame, turn: int) -> DataFrame:
 
 
 def _listed(met: DataFrame, described: DataFrame) -> DataFrame:
-    """(a, b): all classes of different components that share a key and could link, each two once; met: (key, cls, n, comp)."""
+    """(a, b): all classes of different components that share keys and could link, each two once; met: (key, cls, n, comp).
+
+    Two classes come up at each key they share, and two that link share 1 + n / 20 (n the smaller set's size) at least.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in _groups(batches, 3):
             classes, comps, sides, sizes = (rows[c].to_numpy().astype(np.int64) for c in ("cls", "comp", "side", "n"))
             bits = rows["bits"].combine_chunks()
             bitmaps = np.asarray(bits.flatten()).view(np.uint64).reshape(len(rows), -1)
-            left, right = [], []
+            left, right, needed = [], [], []
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 own, side = comps[s:e], sides[s:e]
                 if e - s < 2 or (own == own[0]).all():
@@ -375,9 +381,10 @@ def _listed(met: DataFrame, described: DataFrame) -> DataFrame:
                     x, y = a[x][a[x] < b[y]], b[y][a[x] < b[y]]
                     left.append(classes[s + x])
                     right.append(classes[s + y])
+                    needed.append(1 + np.minimum(sizes[s + x], sizes[s + y]) // 20)
             if left:
                 left, right = np.concatenate(left), np.concatenate(right)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(np.concatenate(needed))], names=["a", "b", "needed"])
 
     sized = met.withColumn("of", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("key")) / BLOCK))
     here = sized.join(described.select("cls", "bits"), "cls")
@@ -386,7 +393,8 @@ def _listed(met: DataFrame, described: DataFrame) -> DataFrame:
     side = F.when(F.col("with") == F.col("block"), F.lit(-1)).otherwise(F.col("block")).cast("long")
     placed = both.select("key", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "cls", "comp", side.alias("side"), "n", "bits")
     ordered = placed.repartition("key", "one", "other").sortWithinPartitions("key", "one", "other", "n", "cls")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    pairs = ordered.mapInArrow(run, "a long, b long, needed long")
+    return pairs.groupBy("a", "b", "needed").agg(F.count(F.lit(1)).alias("shared")).filter("shared >= needed").select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -411,20 +419,42 @@ def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     """(cls, comp) after components have been joined by links (a, b) between classes: smallest labels, doubling their reach."""
     ends = links.join(comps.select(F.col("cls").alias("a"), F.col("comp").alias("x")), "a").join(comps.select(F.col("cls").alias("b"), F.col("comp").alias("y")), "b")
     both = checkpointed(ends.select("x", "y").filter("x <> y").unionByName(ends.select(F.col("y").alias("x"), F.col("x").alias("y")).filter("x <> y")).distinct())
-    if both.isEmpty():
+    n = both.count()
+    if not n:
         return comps
+    labels = _labels_in_one_task(both) if n <= 2 * JOINED else _labels_in_rounds(both)
+    renamed = comps.join(labels.select(F.col("node").alias("comp"), "label"), "comp", "left")
+    return checkpointed(renamed.select("cls", F.coalesce("label", "comp").alias("comp")))
+
+
+def _labels_in_one_task(both: DataFrame) -> DataFrame:
+    """(node, label): the smallest node that links (x, y) lead to, of at most 2 JOINED rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+        for batch in batches:
+            for x, y in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
+                for z in (x, y):
+                    parent.setdefault(z, z)
+                x, y = _find(parent, x), _find(parent, y)
+                parent[max(x, y)] = min(x, y)
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([_find(parent, x) for x in nodes], pa.int64())], names=["node", "label"])
+
+    return both.select("x", "y").repartition(1).mapInArrow(run, "node long, label long")
+
+
+def _labels_in_rounds(both: DataFrame) -> DataFrame:
+    """(node, label) as above, by smallest labels that double their reach each round."""
     labels = checkpointed(both.select(F.col("x").alias("node")).distinct().withColumn("label", F.col("node")))
     while True:
         near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").select(F.col("x").alias("node"), "label")
         low = labels.unionByName(near).groupBy("node").agg(F.min("label").alias("label"))
         jump = low.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = checkpointed(low.join(jump, "label").select("node", F.col("further").alias("label")))
-        changed = not new.join(labels, ["node", "label"], "left_anti").isEmpty()
+        if new.join(labels, ["node", "label"], "left_anti").isEmpty():
+            return new
         labels = new
-        if not changed:
-            break
-    renamed = comps.join(labels.select(F.col("node").alias("comp"), "label"), "comp", "left")
-    return checkpointed(renamed.select("cls", F.coalesce("label", "comp").alias("comp")))
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
