@@ -10,8 +10,8 @@ at least THRESHOLD per cent; components of links are returned.
 3. Classes meet at their smallest hash. A group's signature tree has nodes with the OR of the bitmaps below and their
    range of set sizes; a traversal of pairs of nodes drops those whose largest possible overlap is below what their sizes
    ask for, and compares the sets that remain unless they are connected by then. Large groups are dealt out in blocks.
-4. Stars: at keys where components still meet, one member of each is compared with one member of the first, STARS times
-   with other members; a row for each component and key at most.
+4. Stars: at keys where components still meet, one of DRAWS members of each is compared with one of the component with
+   most members there, STARS times; a row for each component and key at most.
 5. Completion: at keys where components meet even then, trees over the bitmaps list all pairs of different components
    that could link and share as many keys as two that link must. No pair that can link is left out, so no link is lost.
 
@@ -51,7 +51,7 @@ LARGE_GROUPS = 10_000
 FILTER = 1 << 25
 #: Classes that a task remembers having handed on, and words whose hashes it keeps.
 REMEMBERED, WORDS = 200_000, 300_000
-STARS = 1
+STARS, DRAWS = 1, 4
 #: Classes whose sets are picked by a broadcast of their numbers (8 bytes each); beyond it, by a shuffle.
 PICKED = 200_000
 #: Links between components that one task joins (16 bytes each); more are joined in rounds.
@@ -349,10 +349,14 @@ def _possible(pairs: DataFrame, described: DataFrame) -> DataFrame:
 
 
 def _star(met: DataFrame, turn: int) -> DataFrame:
-    """(a, b): at each key a member of each component beside one of the first, other members each turn."""
-    drawn = F.struct(F.xxhash64("cls", "key", F.lit(turn)).alias("draw"), "cls")
-    members = met.groupBy("key", "comp").agg(F.min(drawn).alias("drawn")).select("key", F.struct(F.xxhash64("comp", "key", F.lit(turn)), "comp", F.col("drawn.cls").alias("cls")).alias("m"))
-    pairs = members.withColumn("lead", F.min("m").over(Window.partitionBy("key"))).filter("m.comp <> lead.comp")
+    """(a, b): at each key a member of each component beside one of the component with most members there.
+
+    A component sends one of DRAWS members, so however many keys two of them share, few pairs come of it.
+    """
+    drawn = F.struct(F.xxhash64("cls", F.pmod("key", F.lit(DRAWS)), F.lit(turn)).alias("draw"), "cls")
+    members = met.groupBy("key", "comp").agg(F.min(drawn).alias("drawn"), F.count(F.lit(1)).alias("size"))
+    members = members.select("key", F.struct("size", "comp", F.col("drawn.cls").alias("cls")).alias("m"))
+    pairs = members.withColumn("lead", F.max("m").over(Window.partitionBy("key"))).filter("m.comp <> lead.comp")
     return pairs.select(F.least("m.cls", "lead.cls").alias("a"), F.greatest("m.cls", "lead.cls").alias("b")).distinct()
 
 
