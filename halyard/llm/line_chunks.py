@@ -12,6 +12,12 @@ A frequent chunk makes a large group only in joins, which split it; nothing is g
 Cases: a null text counts as empty and has no chunk to remove; rows equal in id and text count as one place and are
 treated alike; ties are broken by position; a null id comes before all others; a text whose chunks all go becomes
 empty; an empty table gives an empty result; other columns of the input stay or are ignored.
+
+Two neighbours of a repeated passage decide where its first and last chunk end, so chunks miss short passages and the
+ends of long ones. without_passages() looks at every window of two lines that aren't blank (with the blank ones between
+them) instead: a passage of two lines or more that stands anywhere before is removed from its first line to its last,
+whatever stands around it. Every removed line stays at an earlier place; a window that overlaps its own first place
+loses its second line only.
 """
 
 from __future__ import annotations
@@ -57,20 +63,38 @@ def chunks(text: Column) -> Column:
     return let(F.split(text, "\n", -1), of_lines)
 
 
+def _line_places(lines: Column) -> Column:
+    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda p: F.get(lines, p).rlike(r"[^ \t\n\x0B\f\r]"))
+
+
+def _pairs(places: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """body of each of the places and the one after it."""
+    n = F.greatest(F.size(places) - 1, F.lit(0))
+    return F.zip_with(F.slice(places, 1, n), F.slice(places, 2, n), body)
+
+
+def windows(text: Column) -> Column:
+    """The windows of two lines that aren't blank, each with the blank lines between the two."""
+    return let(F.split(text, "\n", -1), lambda lines: let(_line_places(lines), lambda places: _pairs(places, lambda s, e: F.array_join(F.slice(lines, s + 1, e - s + 1), "\n"))))
+
+
 def _based(df: DataFrame, text_col: str) -> DataFrame:
     """df with its text under another name, never null, a hash of it, and whether it was null."""
     text = F.coalesce(df[text_col].cast("string"), F.lit("")).alias("__text")
     return df.select(*[c for c in df.columns if c != text_col], text, df[text_col].isNull().alias("__null")).withColumn("__mark", F.xxhash64("__text"))
 
 
-def repeated_chunks(based: DataFrame, id_col: str) -> DataFrame:
-    """(__id, __hash, __chunks): for each text with chunks that the table repeats, their (at, digest, whether it is the first place)."""
+def repeated_chunks(based: DataFrame, id_col: str, pieces: Callable[[Column], Column] = chunks, digest: Callable[[str], Column] = F.md5) -> DataFrame:
+    """(__id, __hash, __chunks): for each text with chunks that the table repeats, their (at, digest, whether it is the first place).
+
+    pieces: what a text is cut into, chunks or windows; digest: of a piece, whose bytes are compared afterwards.
+    """
     places = (
         based.select(F.col(id_col).alias("id"), F.col("__text").alias("text"), F.col("__mark").alias("mark"))
         .filter(F.col("text").rlike(TWO_LINES))
-        .select("id", "mark", F.posexplode(chunks(F.col("text"))).alias("at", "chunk"))
+        .select("id", "mark", F.posexplode(pieces(F.col("text"))).alias("at", "chunk"))
         .filter(F.col("chunk").rlike(TWO_LINES))
-        .select("id", "mark", "at", F.md5("chunk").alias("digest"))
+        .select("id", "mark", "at", digest("chunk").alias("digest"))
     )
     place = F.struct("id", "at", "mark")
     firsts = places.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first")
@@ -82,20 +106,49 @@ def _same_row(id_col: str) -> Column:
     return F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__hash"))
 
 
-def removed_places(based: DataFrame, id_col: str) -> DataFrame:
-    """(__id, __hash, __removed): for each text that loses chunks, their positions, after the comparison of bytes.
+def _later(based: DataFrame, id_col: str, pieces: Callable[[Column], Column], digest: Callable[[str], Column]) -> DataFrame:
+    """(__id, __hash, at, overlaps): the places of chunks that go, after the comparison of bytes; overlaps: with the first place, which is one before.
 
     The rows are joined to what repeats in them as they are joined to the result afterwards, so that the two joins read
     one exchange; the fingerprint of the whole row keeps its columns the same in both.
     """
-    rows = based.join(repeated_chunks(based, id_col), _same_row(id_col))
-    texts = let(chunks(F.col("__text")), lambda c: F.transform("__chunks", lambda x: F.struct(x["at"].alias("at"), x["digest"].alias("digest"), x["leads"].alias("leads"), F.get(c, x["at"]).alias("bytes"))))
+    rows = based.join(repeated_chunks(based, id_col, pieces, digest), _same_row(id_col))
+    texts = let(pieces(F.col("__text")), lambda c: F.transform("__chunks", lambda x: F.struct(x["at"].alias("at"), x["digest"].alias("digest"), x["leads"].alias("leads"), F.get(c, x["at"]).alias("bytes"))))
     row = F.xxhash64(*[F.col(c) for c in based.columns])
     each = rows.select("__id", "__hash", row.alias("row"), F.explode(texts).alias("x")).select("__id", "__hash", "row", "x.*")
     leaders = each.filter("leads").groupBy("digest").agg(F.min("bytes").alias("first_bytes"), F.min("row").alias("first_row"), F.min("at").alias("first_at"))
     elsewhere = (F.col("row") != F.col("first_row")) | (F.col("at") != F.col("first_at"))
     later = each.filter("not leads").join(leaders, "digest").filter(elsewhere & (F.col("bytes").cast("binary") == F.col("first_bytes").cast("binary")))
-    return later.groupBy("__id", "__hash").agg(F.collect_set("at").alias("__removed"))
+    return later.withColumn("overlaps", (F.col("row") == F.col("first_row")) & (F.col("at") == F.col("first_at") + 1))
+
+
+def removed_places(based: DataFrame, id_col: str) -> DataFrame:
+    """(__id, __hash, __removed): for each text that loses chunks, their positions."""
+    return _later(based, id_col, chunks, F.md5).groupBy("__id", "__hash").agg(F.collect_set("at").alias("__removed"))
+
+
+def without_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_empty: bool = True) -> DataFrame:
+    """df without the passages of two lines or more in text_col that stand at an earlier place (smaller id, then position).
+
+    keep_empty: else a text that loses lines and has only blank ones left goes.
+    """
+    based = _based(df, text_col)
+    gone = _later(based, id_col, windows, F.xxhash64).groupBy("__id", "__hash").agg(F.collect_set(F.struct("at", "overlaps")).alias("__removed"))
+    joined = based.join(gone, _same_row(id_col), "left")
+
+    def rest_of(lines: Column) -> Column:
+        def of_places(places: Column) -> Column:
+            removed = F.flatten(F.transform("__removed", lambda x: F.sequence(F.get(places, x["at"]) + x["overlaps"].cast("int"), F.get(places, x["at"] + 1))))
+            stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
+            return F.array_join(F.transform(stays, lambda p: F.get(lines, p)), "\n")
+
+        return let(_line_places(lines), of_places)
+
+    rest = joined.withColumn("__rest", F.when(F.col("__removed").isNotNull(), let(F.split("__text", "\n", -1), rest_of)))
+    if not keep_empty:
+        rest = rest.filter(F.col("__removed").isNull() | F.col("__rest").rlike(r"[^ \t\n\x0B\f\r]"))
+    new_text = F.when(F.col("__removed").isNotNull(), F.col("__rest")).when(~F.col("__null"), F.col("__text"))
+    return rest.select(*[(new_text.alias(c) if c == text_col else F.col(c)) for c in df.columns])
 
 
 def deduped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_empty: bool = True) -> DataFrame:

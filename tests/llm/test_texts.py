@@ -290,6 +290,25 @@ def test_line_dedup(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_short_passages_go_whole(spark):
+    """A repeated passage goes from its first line to its last, also between other neighbours and where chunks miss it."""
+    r = random.Random(5)
+    line = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(6))
+    passages = [[line() for _ in range(n)] for n in (2, 3, 4, 5, 9) for _ in range(8)]
+    own = [[line(), line()] for _ in passages]
+    rows = [(i, "\n".join([line(), *p, line()])) for i, p in enumerate(passages)]
+    rows += [(1000 + i, "\n".join([a, *p, b])) for i, (p, (a, b)) in enumerate(zip(passages, own, strict=True))]
+    rows += [(2000, "x y\nx y\nx y\nx y\nz"), (2001, "x y\n\nz"), (2002, "z\nx y\nz\n"), (2003, "\n".join(passages[0]) + "\n\n"), (2004, None), (2005, "\n\n"), (2006, "x y\nz"), (2006, "x y\nz")]
+    df = frame(spark, rows)
+    got = {x.doc_id: x.text for x in line_chunks.without_passages(df).collect()}
+    assert all(got[i] == rows[i][1] for i in range(len(passages)))
+    assert all(got[1000 + i] == "\n".join(ab) for i, ab in enumerate(own))
+    assert [got[k] for k in range(2000, 2007)] == ["x y\nx y\nz", "x y\n\nz", "z\n", "\n", None, "\n\n", ""]
+    left = line_chunks.without_passages(df, keep_empty=False)
+    assert left.columns == df.columns and {x.doc_id for x in left.collect()} == set(got) - {2003, 2006}
+    assert line_chunks.without_passages(df.limit(0)).count() == 0
+
+
 # -- 1
 
 
