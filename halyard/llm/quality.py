@@ -4,15 +4,20 @@ Two public vocabularies measure each text: a piece model gives characters per to
 for want of a piece, and the entropy of the tokens; a byte-level BPE gives characters per token of its own. A text is
 rejected where a measure lies outside the band of its language, or of its script if the language has too few texts.
 
-A band reaches REACH times the quartile distance beyond the quartiles of all texts of its group that pass the base
-rules, and LEAST of the measure's own scale at least, so a group full of copies does not shut out its neighbours.
+A band reaches REACH times the width of the shortest half of its language's texts that pass the base rules beyond that
+half, and LEAST of the measure's own scale at least, so a group full of copies does not shut out its neighbours. The
+shortest half stays with the bulk while junk is less than half; a script, which may hold several languages, has its
+middle half instead. Where three sources or more are there, each has an equal say, so one large source does not move a
+band. Of the languages in FIXED, no band passes the limits there; a measure whose half lies beyond them has the limits.
 Groups are also cut by powers of two of the token count, because entropy grows with length. Texts with equal measures
-count once. Quartiles are exact over the whole table; only measures are shuffled.
+count once. Quantiles are exact over the whole table; only measures are shuffled.
+
+A class with less than MIN_TEXTS texts takes the band of the script's class, else FIXED.
 
 Base rules come first: too few words, or too many words in repeated three-word windows.
 
 Cases: a null text has no words and fails the base; a null language is judged by script; repeated rows get the same
-verdict each; a group without a band rejects nothing; an empty table gives an empty result. Columns of the input stay
+verdict each; a null or missing source counts as one more source; an empty table gives an empty result. Columns of the input stay
 where the function says so; measures come under names the input does not have.
 """
 
@@ -38,8 +43,20 @@ MAX_REPEATED = 50
 REACH = 3.0
 #: Texts that a band must rest on.
 MIN_TEXTS = 100
+#: Steps of a distribution, of which a half is half.
+STEPS = 20
+#: Sources from which on each has an equal say, and texts from which on a source has its whole say.
+MIN_SOURCES, MIN_OF_SOURCE = 3, 10
 #: measure -> (the least reach of its band as a share of the median, and absolutely)
 LEAST = {"chars_per_token": (0.08, 0.0), "chars_per_byte_token": (0.08, 0.0), "fallback_share": (0.0, 0.03), "token_entropy": (0.08, 0.0)}
+#: Limits of each measure by language, for the four that were measured (sf0.1, base passed: characters per
+#: token 1.97 to 2.99 and 1.90 to 2.96, bytes 0 to 0.044, entropy 4.98 to 7.13), and for other texts by script, wider.
+_MEASURED = {"chars_per_token": (1.8, 8.0), "chars_per_byte_token": (1.7, 8.0), "fallback_share": (0.0, 0.1), "token_entropy": (3.0, 14.0)}
+FIXED = {
+    "lang": dict.fromkeys(("de", "en", "es", "fr"), _MEASURED),
+    "script": {"Latin": {"chars_per_token": (1.0, 8.0), "chars_per_byte_token": (1.0, 8.0), "fallback_share": (0.0, 0.5), "token_entropy": (3.0, 14.0)}},
+    "other": {"": {"chars_per_token": (0.2, 8.0), "chars_per_byte_token": (0.2, 8.0), "fallback_share": (0.0, 1.0), "token_entropy": (2.0, 14.0)}},
+}
 #: First code points of the scripts told apart, and their names.
 SCRIPTS = [
     (0x0000, "Common"), (0x0041, "Latin"), (0x005B, "Common"), (0x0061, "Latin"), (0x007B, "Common"), (0x00C0, "Latin"),
@@ -156,56 +173,79 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
 
 
+def _limit(kind: str, name: Column, measure: str, end: int) -> Column:
+    """What FIXED says for a name of a kind, or null."""
+    return reduce(lambda e, x: e.when(name == x[0], F.lit(x[1][measure][end])), FIXED[kind].items(), F.when(F.lit(False), F.lit(0.0)))
+
+
 def bands(measures: DataFrame) -> DataFrame:
-    """(kind, name, size, and low_ and high_ of each measure): the bands that all texts which pass the base make.
+    """(kind, name, size, n, and low_ and high_ of each measure): the bands that all texts which pass the base make.
 
-    measures: with a column lang besides the measures. kind is lang or script; size is the power of two of n_tokens.
+    measures: with a column lang, and perhaps source, besides the measures. kind is lang or script; size is the power of
+    two of n_tokens, or -1 for all.
     """
-    names = list(LEAST)
+    names, group = list(LEAST), ["kind", "name", "size"]
+    source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in measures.columns else F.lit("")
     each = (
         measures.filter(~base_failed())
-        .select("lang", "script", F.floor(F.log2("n_tokens")).alias("size"), *names)
+        .select("lang", "script", source.alias("source"), F.floor(F.log2("n_tokens")).alias("size"), *names)
         .groupBy("lang", "script", "size", *names)
-        .agg(F.lit(1).alias("one"))
+        .agg(F.min("source").alias("source"))
     )
-    by_lang = each.filter("lang is not null").select(F.lit("lang").alias("kind"), F.col("lang").alias("name"), "size", *names)
-    by_script = each.select(F.lit("script").alias("kind"), F.col("script").alias("name"), "size", *names)
-    quartiles = [F.percentile(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(m) for m in names]
-    groups = by_lang.unionByName(by_script).groupBy("kind", "name", "size").agg(F.count(F.lit(1)).alias("n"), *quartiles).filter(F.col("n") >= MIN_TEXTS)
+    classes = [F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("name"), size.alias("size")) for kind in ("lang", "script") for size in (F.col("size"), F.lit(-1).cast("long"))]
+    classed = each.select(F.explode(F.array(*classes)).alias("c"), "source", *names).select("c.*", "source", *names).filter("name is not null")
+    by_source = classed.groupBy(*group, "source").agg(F.count(F.lit(1)).alias("of_source"))
+    by_class = by_source.groupBy(*group).agg(F.count(F.lit(1)).alias("sources"), F.sum("of_source").alias("n")).filter(F.col("n") >= MIN_TEXTS)
+    say = F.when(F.col("sources") >= MIN_SOURCES, F.ceil(F.lit(float(1 << 30)) / F.greatest("of_source", F.lit(MIN_OF_SOURCE)))).otherwise(F.lit(1)).cast("long")
+    weighed = classed.join(by_source.join(by_class, group).select(*group, "source", "n", say.alias("say")), [*group, "source"])
+    steps = F.array(*[F.lit(k / STEPS) for k in range(STEPS + 1)])
+    groups = weighed.groupBy(*group).agg(F.first("n").alias("n"), *[F.percentile(m, steps, F.col("say")).alias(m) for m in names])
+    half = lambda m, i: F.struct((F.col(m)[i + STEPS // 2] - F.col(m)[i]).alias("width"), F.col(m)[i].alias("low"), F.col(m)[i + STEPS // 2].alias("high"))
+    groups = groups.select(*group, "n", *[F.when(F.col("kind") == "lang", F.array_min(F.array(*[half(m, i) for i in range(STEPS // 2 + 1)]))).otherwise(half(m, STEPS // 4)).alias(m) for m in names])
     ends = []
     for m, (share, least) in LEAST.items():
-        reach = F.greatest(REACH * (F.col(m)[2] - F.col(m)[0]), share * F.abs(F.col(m)[1]), F.lit(least))
-        ends += [(F.col(m)[0] - reach).alias(f"low_{m}"), (F.col(m)[2] + reach).alias(f"high_{m}")]
-    return groups.select("kind", "name", "size", *ends)
+        low, high, middle = F.col(m)["low"], F.col(m)["high"], (F.col(m)["low"] + F.col(m)["high"]) / 2
+        reach = F.greatest(REACH * F.col(m)["width"], share * F.abs(middle), F.lit(least))
+        lowest, highest = [F.when(F.col("kind") == "lang", _limit("lang", F.col("name"), m, end)) for end in (0, 1)]
+        beyond = (middle < lowest) | (middle > highest)
+        ends += [F.when(beyond, lowest).otherwise(F.greatest(low - reach, lowest)).alias(f"low_{m}"), F.when(beyond, highest).otherwise(F.least(high + reach, highest)).alias(f"high_{m}")]
+    return groups.select(*group, "n", *ends)
 
 
 def verdicts(measures: DataFrame) -> DataFrame:
     """measures (with lang) and base_failed, kept. The bands are few rows: languages and scripts times powers of two."""
-    found = bands(measures)
+    found = bands(measures).filter("size >= 0").drop("n")
     ends = [c for c in found.columns if c not in ("kind", "name", "size")]
     out = measures.withColumn("size", F.floor(F.log2("n_tokens")))
     for kind in ("lang", "script"):
         own = found.filter(F.col("kind") == kind).select(F.col("name").alias(kind), "size", *[F.col(c).alias(f"{kind}_{c}") for c in ends])
         out = out.join(own, [kind, "size"], "left")
-    outside = [
-        (F.col(m) < F.coalesce(f"lang_low_{m}", f"script_low_{m}")) | (F.col(m) > F.coalesce(f"lang_high_{m}", f"script_high_{m}")) for m in LEAST
-    ]
+
+    def end(m: str, which: int) -> Column:
+        fixed = [_limit("lang", F.col("lang"), m, which), _limit("script", F.col("script"), m, which), F.lit(FIXED["other"][""][m][which])]
+        return F.coalesce(*[F.col(f"{kind}_{('low', 'high')[which]}_{m}") for kind in ("lang", "script")], *fixed)
+
+    outside = [(F.col(m) < end(m, 0)) | (F.col(m) > end(m, 1)) for m in LEAST]
     rejected = F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in outside]), F.lit(False))
     kept = out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected)
     return kept.drop("size", *[f"{kind}_{c}" for kind in ("lang", "script") for c in ends])
 
 
-def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **vocabulary: str) -> DataFrame:
+def _source(df: DataFrame, source_col: str) -> list[str]:
+    return [source_col] if source_col in df.columns else []
+
+
+def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **vocabulary: str) -> DataFrame:
     """(id_col, the base's counts, base_failed, kept, and the measures) for every text."""
-    each = measured(df, text_col, keep=[id_col, lang_col], **vocabulary)
-    each = checkpointed(each.select(F.col("row")[id_col].alias("id"), F.col("row")[lang_col].alias("lang"), *[name for name, _ in _FIELDS]))
+    each = measured(df, text_col, keep=list(dict.fromkeys([id_col, lang_col, *_source(df, source_col)])), **vocabulary)
+    each = checkpointed(each.select(F.col("row")[id_col].alias("id"), F.col("row")[lang_col].alias("lang"), *[F.col("row")[c].alias("source") for c in _source(df, source_col)], *[name for name, _ in _FIELDS]))
     first = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     out = verdicts(each)
     return out.select(F.col("id").alias(id_col), *first, *[name for name, _ in _FIELDS if name not in first])
 
 
-def filtered(df: DataFrame, text_col: str = "text", lang_col: str = "lang", **vocabulary: str) -> DataFrame:
+def filtered(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **vocabulary: str) -> DataFrame:
     """The rows of df whose text is kept, with df's columns."""
     each = measured(df, text_col, **vocabulary)
-    each = checkpointed(each.select("row", F.col("row")[lang_col].alias("lang"), *[name for name, _ in _FIELDS]))
+    each = checkpointed(each.select("row", F.col("row")[lang_col].alias("lang"), *[F.col("row")[c].alias("source") for c in _source(df, source_col)], *[name for name, _ in _FIELDS]))
     return verdicts(each).filter("kept").select(*[F.col("row")[c].alias(c) for c in df.columns])

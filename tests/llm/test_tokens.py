@@ -127,6 +127,32 @@ def test_quality_rejects_what_lies_outside_its_language(spark):
     assert quality.judge(df.limit(0)).count() == 0 and quality.filtered(df.limit(0)).count() == 0
 
 
+def measures_of(spark, rows):
+    """Rows (lang, source, n_tokens, characters per token) as measures that pass the base."""
+    kinds = ", ".join(f"{name} {kind}" for name, kind in quality._FIELDS)
+    full = [(k, lang, source, 300, 1500, 0, 0, 0, n, c, c, 0.01, 6.5 + k % 7 / 1000, "Latin") for k, (lang, source, n, c) in enumerate(rows)]
+    return spark.createDataFrame(full, f"id long, lang string, source string, {kinds}")
+
+
+def kept_of(spark, rows):
+    return [r.kept for r in quality.verdicts(measures_of(spark, rows)).orderBy("id").collect()]
+
+
+@pytest.mark.parametrize("source", [None, "junk"])
+def test_a_band_does_not_follow_junk(spark, source):
+    """A third of a class, spread over the sources, or a source that is more than half of it."""
+    r = random.Random(2)
+    good = [("en", f"s{k % 5}", 600, r.gauss(2.63, 0.05)) for k in range(400)]
+    junk = [("en", source or f"s{k % 5}", 600, 1.9 + r.random() / 10) for k in range(200 if source is None else 600)]
+    kept = kept_of(spark, good + junk)
+    assert sum(kept[:400]) >= 390 and not any(kept[400:])
+
+
+def test_limits_hold_where_all_is_junk(spark):
+    r = random.Random(2)
+    assert not any(kept_of(spark, [("en", "s", 600, 1.5 + r.random() / 10) for _ in range(300)]))
+
+
 def plain_squares(lengths, capacity):
     """The sum of squares worked out in full for every choice."""
     gaps, total = [], 0
