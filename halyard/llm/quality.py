@@ -12,7 +12,8 @@ band. Of the languages in FIXED, no band passes the limits there; a measure whos
 Groups are also cut by powers of two of the token count, because entropy grows with length. Texts with equal measures
 count once. Quantiles are exact over the whole table; only measures are shuffled.
 
-A class with less than MIN_TEXTS texts takes the band of the script's class, else FIXED.
+A class with less than MIN_TEXTS texts takes the band of a class of half or twice the length, else that of all lengths,
+each of the language and then of the script, and at last FIXED; every text has a band.
 
 Base rules come first: too few words, or too many words in repeated three-word windows.
 
@@ -212,9 +213,19 @@ def bands(measures: DataFrame) -> DataFrame:
     return groups.select(*group, "n", *ends)
 
 
+def bands_everywhere(found: DataFrame) -> DataFrame:
+    """bands() for every size of the names in it: its own, else the larger neighbour's, else that of all sizes."""
+    ends = [c for c in found.columns if c not in ("kind", "name", "size", "n")]
+    at = lambda size, far: F.struct(size.cast("long").alias("size"), F.lit(far).alias("far"))
+    near = F.array(at(F.col("size"), 0), at(F.col("size") - 1, 1), at(F.col("size") + 1, 1))
+    places = F.when(F.col("size") >= 0, near).otherwise(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda k: at(k, 2)))
+    spread = found.withColumn("place", F.explode(places)).withColumn("band", F.struct("place.far", (-F.col("n")).alias("less"), *ends))
+    return spread.groupBy("kind", "name", F.col("place.size").alias("size")).agg(F.min("band").alias("band")).select("kind", "name", "size", *[F.col(f"band.{c}") for c in ends])
+
+
 def verdicts(measures: DataFrame) -> DataFrame:
     """measures (with lang) and base_failed, kept. The bands are few rows: languages and scripts times powers of two."""
-    found = bands(measures).filter("size >= 0").drop("n")
+    found = bands_everywhere(bands(measures))
     ends = [c for c in found.columns if c not in ("kind", "name", "size")]
     out = measures.withColumn("size", F.floor(F.log2("n_tokens")))
     for kind in ("lang", "script"):

@@ -153,6 +153,17 @@ def test_limits_hold_where_all_is_junk(spark):
     assert not any(kept_of(spark, [("en", "s", 600, 1.5 + r.random() / 10) for _ in range(300)]))
 
 
+def test_every_text_has_a_band(spark):
+    """Classes with too few texts are judged by their neighbours, then by all lengths, then by the script, then by fixed limits."""
+    r = random.Random(3)
+    good = [("en", "s", 600, r.gauss(2.63, 0.05)) for _ in range(150)]
+    odd = [("en", "s", 1100, 2.0), ("en", "s", 300, 2.0), ("en", "s", 20_000, 2.0), ("xx", "s", 20_000, 2.0), (None, "s", 600, 2.0)]
+    fine = [(lang, source, n, 2.63) for lang, source, n, _ in odd]
+    kept = kept_of(spark, good + odd + fine)
+    assert kept[150:155] == [False] * 5 and kept[155:] == [True] * 5
+    assert kept_of(spark, [("en", "s", 600, 1.2), ("en", "s", 600, 2.6), ("xx", "s", 600, 0.5), ("xx", "s", 600, 2.0)]) == [False, True, False, True]
+
+
 def plain_squares(lengths, capacity):
     """The sum of squares worked out in full for every choice."""
     gaps, total = [], 0
