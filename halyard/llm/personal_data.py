@@ -3,7 +3,8 @@
 Base: addresses, numbers and phones as they stand. Disguises: a chain of transducers rewrites look-alike characters,
 invisible ones, spelled digits, and at and dot written out or in brackets; each keeps for every character it makes
 which source characters it came from. Detection on the rewritten text finds what the base cannot, and the spans go back
-to source positions. An added span must hold a rewritten character and must not touch a base span.
+to source positions. An added span must hold a rewritten character, and of the base spans it touches it must
+hold each and reach beyond it; those stay, too.
 
 Whole texts are read, each by itself, without a shuffle. Patterns never look at a run of characters twice, so long
 runs cost in proportion to their length.
@@ -213,7 +214,7 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     out: list[Span] = []
     for kind, s, e in base_spans(rewritten.text):
         place = rewritten.source(s, e)
-        if place and (kind != "email" or _TOP.fullmatch(rewritten.text, s, e)) and not any(place[0] < b and a < place[1] for _, a, b in base):
+        if place and (kind != "email" or _TOP.fullmatch(rewritten.text, s, e)) and not any(place[0] < b and a < place[1] and not (place[0] <= a and b <= place[1] and b - a < place[1] - place[0]) for _, a, b in base):
             out.append((kind, *place))
     return out
 

@@ -56,6 +56,20 @@ def test_clean_texts_gain_nothing(text):
     assert personal_data.added_spans(text, personal_data.base_spans(text)) == []
 
 
+@pytest.mark.parametrize("text", ["јohn.smith@example.com", "john@mail.exаmple.com", "john@example.cоm", "john@example.com[dot]au"])
+def test_a_disguise_around_a_base_span_is_marked_whole(text):
+    said = f"write to {text} now"
+    base = personal_data.base_spans(said)
+    assert base and [(k, said[s:e]) for k, s, e in personal_data.added_spans(said, base)] == [("email", text)]
+
+
+def test_added_spans_within_base_spans_go():
+    text = "x a@b.co y +1 (4l5) 555-0123 1.2.3.4"
+    base = personal_data.base_spans(text)
+    assert not {(s, e) for _, s, e in base} & {(s, e) for _, s, e in personal_data.added_spans(text, base)}
+
+
+
 def test_personal_data_query(spark):
     rows = [(1, "a@b.co x +1 415 555 0123 y 1.2.3.4 z 4111 1111 1111 1111"), (2, None), (3, ""), (3, ""), (None, "x at y dot com")]
     out = {(r.doc_id, r.spans): r for r in personal_data.digests(personal_data.spans(frame(spark, rows))).collect()}
