@@ -22,6 +22,7 @@ first (a lone row follows itself); an empty table gives an empty result; other c
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,8 @@ from pyspark.sql.types import NumericType
 from halyard.llm.common import batched, checkpointed, id_and_text, id_type
 
 WINDOW = 7
-#: Characters of a signature that the block size aims at; a signature may be up to four times as long.
+#: Characters of a signature that the block size aims at, at first; it is halved while there are fewer than half as many.
+#: Texts of few distinct windows may have many more, as their windows end chunks at a size all or not at all.
 SIGNATURE = 64
 LEAST_BLOCK = 3
 COMMON = 4
@@ -100,30 +102,33 @@ def fingerprint(text: str) -> str:
         block *= 2
     rolling = _rolling(data)
     # What ends a chunk at twice a block size ends one at that size, too.
-    ends = {}
-    fit = np.arange(len(data))
-    least = max(LEAST_BLOCK, block // 4) if block > LEAST_BLOCK else block
-    size = least
-    while size <= 2 * block:
-        fit = fit[rolling[fit] % np.uint32(size) == size - 1]
-        ends[size] = fit
-        size *= 2
-    while block > least and len(ends[block]) < SIGNATURE // 2:
+    ends = {block: np.flatnonzero(rolling % np.uint32(block) == block - 1)}
+    ends[2 * block] = ends[block][rolling[ends[block]] % np.uint32(2 * block) == 2 * block - 1]
+    while block > LEAST_BLOCK and len(ends[block]) < SIGNATURE // 2:
         block //= 2
+        ends[block] = np.flatnonzero(rolling % np.uint32(block) == block - 1)
     return f"{block}:{_signature(data, ends[block])}:{_signature(data, ends[2 * block])}"
 
 
 def longest_common(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a column of the table per bit of an integer."""
+    """Length of the longest common subsequence, a column of the table per bit of an integer.
+
+    What both begin and end with is in it, and is taken off first: signatures of repetitive texts are long.
+    """
+    begin = len(os.path.commonprefix([a, b]))
+    a, b = a[begin:], b[begin:]
+    end = len(os.path.commonprefix([a[::-1], b[::-1]]))
+    a, b, same = a[: len(a) - end], b[: len(b) - end], begin + end
     places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
+    letters = np.array(list(a))
+    for c in set(a):
+        places[c] = int.from_bytes(np.packbits(letters == c, bitorder="little").tobytes(), "little")
     full = (1 << len(a)) - 1
     row = full
     for c in b:
         hit = row & places.get(c, 0)
         row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return same + len(a) - row.bit_count()
 
 
 def _likeness(a: str, b: str) -> float:

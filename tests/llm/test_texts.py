@@ -149,6 +149,20 @@ def test_neighbours(spark, monkeypatch):
     assert len(alone) == 1 and alone[0].near_next == 1.0
 
 
+def test_repetitive_texts_have_signatures():
+    """Long texts of one line again and again: an edit leaves them like themselves."""
+    r = random.Random(4)
+    for size in (60, 200, 500):
+        for _ in range(6):
+            line = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(size - 1)) + "\n"
+            text = line * (100_000 // size)
+            block, mark, _ = piecewise_hashes.fingerprint(text).split(":")
+            assert len(mark) >= piecewise_hashes.SIGNATURE // 2 or int(block) == piecewise_hashes.LEAST_BLOCK
+            if len(mark) >= piecewise_hashes.SIGNATURE // 2:
+                other = piecewise_hashes.fingerprint(text[:50_000] + "an edit" + text[50_010:])
+                assert piecewise_hashes.likeness(f"{block}:{mark}:", other) > 0.8
+
+
 # -- 5
 
 
