@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.operators.serving import lookup
+from halyard.plans.runs import latest_results
 
 SUFFICIENT, PARTIAL, INSUFFICIENT, BLOCKED = "SUFFICIENT", "PARTIAL", "INSUFFICIENT", "BLOCKED_BY_DQ"
 
@@ -39,15 +41,35 @@ def checked_number(value: int | None, least: int, most: int, name: str, optional
     return value
 
 
-def investigate_hours(fact: DataFrame, date: str, hour: int | None = None, value: str = "ontario_demand_mw", day_col: str = "market_date", hour_col: str = "hour_ending") -> DataFrame:
-    """One row: coverage, state and reasons for a day (24 distinct hours) or an hour (one row)."""
+#: Measures that an hour's evidence needs, and the dataset whose rules may block it.
+MEASURES = ("ontario_demand_mw", "market_demand_mw")
+DATASET = "gold.fact_market_demand_hourly"
+
+
+def investigate_hours(
+    fact: DataFrame, date: str, hour: int | None = None, value: str = "ontario_demand_mw", day_col: str = "market_date", hour_col: str = "hour_ending",
+    results: DataFrame | None = None, dataset: str = DATASET, values: tuple[str, ...] = MEASURES,
+) -> DataFrame:
+    """One row: coverage, state and reasons for a day (24 distinct hours) or an hour (one row).
+
+    results: of data quality (RESULT); the dataset's latest ones block if one of them is FAIL. Without results nothing is
+    known to block. value and those of values that the fact has must be there in every row.
+    """
     day = checked_date(date)
     checked_number(hour, 1, 24, "hour", optional=True)
     rows = lookup(fact, {day_col: day}, {hour_col: hour})
-    found = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(hour_col).alias("hours"), F.min(hour_col).alias("first_hour"), F.max(hour_col).alias("last_hour"), F.count(value).alias("values"))
+    needed = dict.fromkeys([value, *[c for c in values if c in fact.columns]])
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in needed])
+    found = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(hour_col).alias("hours"), F.min(hour_col).alias("first_hour"), F.max(hour_col).alias("last_hour"), F.count(value).alias("values"), F.count_if(missing).alias("null_rows"))
+    blocked, warned = F.lit(False), F.lit(False)
+    if results is not None:
+        latest = latest_results(results).filter(F.col("dataset_name") == dataset)
+        said = [F.coalesce(F.bool_or(F.col("severity") == x), F.lit(False)).alias(name) for x, name in (("FAIL", "blocked"), ("WARN", "warned"))]
+        found = found.crossJoin(F.broadcast(latest.agg(*said)))  # a row each
+        blocked, warned = F.col("blocked"), F.col("warned")
     whole = (F.col("hours") == 24) & (F.col("first_hour") == 1) & (F.col("last_hour") == 24) if hour is None else F.col("rows") == 1
-    facts = (F.col("rows") > 0, F.col("values") > 0, F.lit(False), whole)
-    return found.withColumn("evidence_state", evidence_state(*facts)).withColumn("reason_codes", reason_codes(*facts, F.lit(False))).withColumn("coverage_complete", whole)
+    facts = (F.col("rows") > 0, F.col("null_rows") == 0, blocked, whole)
+    return found.withColumn("evidence_state", evidence_state(*facts)).withColumn("reason_codes", reason_codes(*facts, warned)).withColumn("coverage_complete", whole)
 
 
 def investigate_slot(current: DataFrame, rules: DataFrame, date: str, hour: int, interval: int) -> DataFrame:
@@ -71,14 +93,15 @@ def combined_state(slot_state: Column, has_metrics: Column, hour_state: Column)
     )
 
 
-def investigate_event(current: DataFrame, rules: DataFrame, metrics: DataFrame, fact: DataFrame, date: str, hour: int, interval: int) -> dict:
+def investigate_event(current: DataFrame, rules: DataFrame, metrics: DataFrame, fact: DataFrame, date: str, hour: int, interval: int, results: DataFrame | None = None) -> dict:
     """The composite answer at the boundary: request, evidence, result, limitations."""
     slot = investigate_slot(current, rules, date, hour, interval).select(F.col("evidence_state").alias("slot_state"), F.col("reason_codes").alias("slot_reasons"))
-    day = investigate_hours(fact, date, hour).select(F.col("evidence_state").alias("hour_state"), F.col("reason_codes").alias("hour_reasons"))
+    day = investigate_hours(fact, date, hour, results=results).select(F.col("evidence_state").alias("hour_state"), F.col("reason_codes").alias("hour_reasons"))
     found = lookup(metrics, {"delivery_date": str(checked_date(date)), "delivery_hour": hour, "interval": interval})
     there = found.agg((F.count(F.lit(1)) > 0).alias("has_metrics"))
     said = slot.crossJoin(day).crossJoin(there).withColumn("state", combined_state(F.col("slot_state"), F.col("has_metrics"), F.col("hour_state"))).first()
     limits = ["no cause is inferred"] + ([] if said.state == SUFFICIENT else ["evidence is not sufficient for the whole question"])
+    limits += ["the hour's data quality results were not given"] if results is None else []
     return {
         "request": {"delivery_date": date, "delivery_hour": hour, "interval": interval},
         "evidence": {"state": said.state, "slot_state": said.slot_state, "hour_state": said.hour_state, "has_metrics": said.has_metrics, "reason_codes": sorted({*said.slot_reasons, *said.hour_reasons})},

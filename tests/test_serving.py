@@ -61,6 +61,21 @@ def test_investigations(spark):
         evidence.investigate_event(current, rules, current, fact, "2026-01-01", 1, 13)
 
 
+def test_hours_need_both_measures_and_passed_rules(spark):
+    fact = spark.sql("select date'2026-01-01' market_date, cast(id + 1 as int) hour_ending, 1.0 ontario_demand_mw, 1.0 market_demand_mw from range(24) union all select date'2026-01-02', id + 1, if(id = 5, 1.0, null), 1.0 from range(24) union all select date'2026-01-03', id + 1, 1.0, if(id = 5, null, 1.0) from range(24)")
+    state = lambda date, *a, **b: evidence.investigate_hours(fact, date, *a, **b).first().evidence_state
+    assert [state("2026-01-01"), state("2026-01-02"), state("2026-01-03"), state("2026-01-03", 5), state("2026-01-03", 6)] == ["SUFFICIENT", "INSUFFICIENT", "INSUFFICIENT", "SUFFICIENT", "INSUFFICIENT"]
+    rows = [("r1", evidence.DATASET, "a", "FAIL", 1), ("r2", evidence.DATASET, "a", "PASS", 2), ("r2", "other", "b", "FAIL", 2)]
+    results = lambda more=(): spark.createDataFrame([*rows, *more], "run_id string, dataset_name string, rule_id string, severity string, execution_timestamp int").selectExpr("*", "'s' source_name")
+    failed, warned = results([("r3", evidence.DATASET, "a", "FAIL", 3)]), results([("r3", evidence.DATASET, "c", "WARN", 3)])
+    assert [state("2026-01-01", results=results()), state("2026-01-01", results=failed), state("2026-01-02", results=failed), state("2026-01-04", results=failed)] == ["SUFFICIENT", "BLOCKED_BY_DQ", "INSUFFICIENT", "INSUFFICIENT"]
+    assert evidence.investigate_hours(fact, "2026-01-01", results=warned).first().reason_codes == ["NONBLOCKING_DQ_WARNING"]
+    current = spark.sql("select '2026-01-01' delivery_date, 1 delivery_hour, 1 `interval`, 5.0D zonal_price")
+    rules = spark.sql("select 'x' rule_id, 'PASS' outcome")
+    out = evidence.investigate_event(current, rules, current, fact, "2026-01-01", 1, 1, results=failed)
+    assert out["evidence"]["hour_state"] == "BLOCKED_BY_DQ" and out["evidence"]["state"] == "PARTIAL"
+
+
 def test_canonical_decimals(spark):
     df = spark.sql("select cast(v as decimal(18,4)) v from values ('50.00'), ('-0.20'), ('0.000'), ('100'), ('-0.58'), (null) t(v)")
     assert [r[0] for r in df.select(canonical_decimal(F.col("v"))).collect()] == ["50", "-0.2", "0", "100", "-0.58", "<NULL>"]
