@@ -121,13 +121,27 @@ _PLUS_DIGITS = re.compile(r"(?i)\bplus[ ]+(?=[0-9])")
 _DOTTED_DIGITS = re.compile(rf"(?i)(?<=[0-9])[ ]*[\[({{<]?[ ]*{_DOT_WORD}[ ]*[\])}}>]?[ ]*(?=[0-9])")
 _IN_BRACKETS = re.compile(rf"(?i)[ ]?[\[({{<][ ]*(?:({_AT_WORD}|@)|({_DOT_WORD}|\.))[ ]*[\])}}>][ ]?")
 _ENTITY = re.compile(r"(?i)&(?:#0*64|#x0*40|commat);|%40|(&(?:#0*46|#x0*2e|period);|%2e)")
-#: Top-level domains that words around a written dot must end in.
+#: Top-level domains that words around a written dot may always end in, and longer ones; besides these, any
+#: ending of two to four letters that isn't a frequent word, and domains that are words, too, unless the dot is "point".
 TOP_LEVEL = "com|org|net|edu|gov|info|biz|io|co|de|fr|es|uk|it|eu|us|ch|nl|ru"
+LONGER = "online|store|cloud|email|agency|museum|travel|digital|network|company|academy|media|world|group|today|studio|design|global|health|space|website|solutions|services|systems|technology|international|finance|energy|berlin|paris|london|madrid|swiss|quebec"
+WORDS = (
+    "the|and|for|was|were|with|that|this|from|they|them|then|than|when|what|who|whom|how|why|had|has|have|are|his|her|its|our|your|you|she|he|we|if|or|on|of|an|up|out|off|but|not|all|any|can|will|may|did|does|said|just|also|only|over|into|some|more|"
+    "und|der|die|das|den|dem|ein|eine|ist|war|mit|von|vom|zum|zur|auf|aus|bei|bis|wie|wir|sie|er|es|ich|nach|nur|noch|que|los|las|una|por|con|sin|sus|del|el|y|les|des|une|qui|pas|est|par|sur|sous|dans|pour|elle|il|ils|on|ou|et|ne|ce"
+)
+WORDS_AND_DOMAINS = "in|at|be|is|to|no|so|me|my|am|as|by|do|la|ma|sa|se|si|su|tu|une|un|re|ad|al|im|pm|here|like|now|one|red|care|work|best|fun|live|new|next|page|pay|plus|safe|save|team|tips|top|win|you"
+#: Words before a written dot that make it part of a sentence.
+SENTENCE = "this|that|some|any|the|a|an|which|what|every|each|no|my|your|his|her|our|their|its|one|another|gun|knife|der|dem|den|diesem|cette|ce|este|ese|un|una"
+_NOT_WORD = lambda words: rf"(?!(?:{words})(?![A-Za-z0-9]))"
+_ENDING = rf"{_NOT_WORD(WORDS)}(?:[A-Za-z]{{2,4}}|{LONGER})"
 _DOT_APART, _AT_APART = rf"[ _]+{_DOT_WORD}[ _]+", rf"[ _]+{_AT_WORD}[ _]+"
+_SURE_DOT, _POINT = r"[ _]+(?:dot|punkt|punto)[ _]+", r"[ _]+point[ _]+"
+_LAST = rf"(?:{_DOT_APART}(?:{TOP_LEVEL})|(?<!_SENTENCE_)(?:{_SURE_DOT}{_ENDING}|{_POINT}{_NOT_WORD(WORDS_AND_DOMAINS)}{_ENDING}))"
+_LAST = _LAST.replace("(?<!_SENTENCE_)", "".join(rf"(?<![ _]{w})" for w in SENTENCE.split("|")))
 #: With at and at least the last dot as words; and with an @ and perhaps blanks around it and the dots.
 _IN_WORDS = [
-    re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+?{_AT_APART}[A-Za-z0-9-]+(?:(?:{_DOT_APART}|\.)[A-Za-z0-9-]+)*{_DOT_APART}(?:{TOP_LEVEL})(?![A-Za-z0-9])"),
-    re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+[ ]?@[ ]?[A-Za-z0-9-]+(?:(?:{_DOT_APART}|[ ]\.[ ]|\.)[A-Za-z0-9-]+)*(?:{_DOT_APART}|[ ]\.[ ]|\.)(?:{TOP_LEVEL})(?![A-Za-z0-9])"),
+    re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+?{_AT_APART}[A-Za-z0-9-]+(?:(?:{_DOT_APART}|\.)[A-Za-z0-9-]+)*{_LAST}(?![A-Za-z0-9])"),
+    re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+[ ]?@[ ]?[A-Za-z0-9-]+(?:(?:{_DOT_APART}|[ ]\.[ ]|\.)[A-Za-z0-9-]+)*(?:{_LAST}|(?:[ ]\.[ ]|\.)(?:{TOP_LEVEL}|{_NOT_WORD(WORDS_AND_DOMAINS)}{_ENDING}))(?![A-Za-z0-9])"),
 ]
 _PART = re.compile(rf"(?i)({_AT_APART}|[ ]?@[ ]?)|{_DOT_APART}|[ ]\.[ ]|\.")
 #: What has to be there for the dearer patterns to find anything; the first two read lower case.

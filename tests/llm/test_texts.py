@@ -63,6 +63,16 @@ def test_a_disguise_around_a_base_span_is_marked_whole(text):
     assert base and [(k, said[s:e]) for k, s, e in personal_data.added_spans(said, base)] == [("email", text)]
 
 
+@pytest.mark.parametrize("text", ["jane at firm dot ca", "hans at firma punkt at", "ana arroba empresa punto mx", "joe at site dot dev", "joe at site dot in", "joe at site dot com dot au", "joe @ site . br", "joe at site dot online", "x at y point pl"])
+def test_addresses_in_words_of_any_domain(text):
+    assert [(k, text[s:e]) for k, s, e in personal_data.added_spans(text, personal_data.base_spans(text))] == [("email", text)]
+
+
+@pytest.mark.parametrize("text", ["He stopped at this point in time", "look at the dot on the map", "at some point we left", "at that point all was well", "robbed at gun point in May", "see you @ noon . we left"])
+def test_sentences_are_no_addresses(text):
+    assert personal_data.added_spans(text, personal_data.base_spans(text)) == []
+
+
 def test_added_spans_within_base_spans_go():
     text = "x a@b.co y +1 (4l5) 555-0123 1.2.3.4"
     base = personal_data.base_spans(text)
