@@ -1,6 +1,6 @@
 """Operator 5: secret scans whose false positives a random forest removes, with DataFrame functions only.
 
-Candidates are runs of characters that keys and tokens are made of. Each is described by its length, the changes of
+Candidates are runs of characters that keys and tokens are made of, and what is assigned to a word like password. Each is described by its length, the changes of
 character class and of vowel and consonant inside it, how much of it words of a dictionary cover, the document's path,
 and the words beside it. A random forest trained on labelled findings votes; its trees are compiled to a column
 expression, so scanning is one pass over the rows without a shuffle, however many candidates a text has. Only the
@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 
 from halyard.llm.line_chunks import let
 
-#: Candidates: sixteen characters or more of keys, tokens, digests and identifiers.
-CANDIDATE = r"[A-Za-z0-9_+/-]{16,}={0,2}"
 #: Labelled findings that the forest is trained on and tested with (four fifths and one fifth).
 LABELLED = 5000
 TREES, DEPTH, SEED = 15, 7, 11
@@ -40,10 +38,14 @@ number get set list data file path test main class method function service manag
 server version update delete create order item page view model controller""".split()
 #: Words beside secrets, and beside what only looks like one.
 TELLING = "password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private"
+#: Candidates: eight characters or more that aren't blank, up to a quote, after an assignment to a telling word; and
+#: sixteen characters or more of keys, tokens, digests and identifiers. The first two look-behinds are cheap and come first.
+ASSIGNED = rf"(?<=[=:>\s\"'`])(?<=[=:]>?\s{{0,2}}[\"'`]?)(?<=(?i:{TELLING})[\"'`]?\s{{0,2}}[=:]{{1,2}}>?\s{{0,2}}[\"'`]?)[^\s\"'`]{{7,}}[^\s\"'`.,;:)\]}}>]"
+CANDIDATE = rf"{ASSIGNED}|[A-Za-z0-9_+/-]{{16,}}={{0,2}}"
 HARMLESS = "commit|sha1|sha256|md5|hash|digest|checksum|integrity|uuid|guid|etag|revision|example|sample|dummy|placeholder"
 HARMLESS_PATH = "test|example|fixture|sample|mock|docs|vendor|node_modules|lock"
 
-FEATURES = ["length", "class_changes", "vowel_changes", "digits", "upper", "distinct", "hex", "dictionary", "separators", "path_harmless", "near_telling", "near_harmless", "assigned"]
+FEATURES = ["length", "class_changes", "vowel_changes", "digits", "upper", "distinct", "hex", "dictionary", "separators", "path_harmless", "near_telling", "near_harmless", "assigned", "symbols", "expression"]
 
 
 def features(candidate: Column, left: Column, right: Column, path: Column) -> Column:
@@ -69,6 +71,8 @@ def features(candidate: Column, left: Column, right: Column, path: Column) -> Co
         "near_telling": flag(F.lower(left), rf"({TELLING})[^a-z0-9]*$"),
         "near_harmless": flag(F.concat(near, lower), HARMLESS),
         "assigned": flag(left, r"[=:]\s{0,2}[\"']?$"),
+        "symbols": share("[A-Za-z0-9_+/=-]"),
+        "expression": flag(candidate, r"^(\$?\{|<)|[(\[]"),
     }
     return F.struct(*[values[f].cast("double").alias(f) for f in FEATURES])
 
@@ -85,6 +89,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         word = lambda k: shape(F.get(F.array(*[F.lit(w) for w in DICTIONARY]), F.pmod(F.xxhash64(F.col("id"), k, F.lit(salt)), F.lit(len(DICTIONARY))).cast("int")))
         return F.array_join(F.transform(F.sequence(F.lit(1), count), word), between)
 
+    word_of = lambda salt: words(F.lit(1), salt, "")
     low, up, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     hexes, plain = digit + "abcdef", words(pick(1, 4) + 2, 2, " ")
     lead = F.concat(plain, F.lit(" "))
@@ -94,6 +99,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     sign = F.get(F.array(*[F.lit(x) for x in ("=", " = ", ": ", ' = "', "='")]), pick(5, 5))
     benign = F.get(F.array(*[F.lit(x) for x in ("commit ", "sha256:", "checksum ", "digest: ", "etag=", "md5 = ")]), pick(6, 6))
     said = F.concat(lead, key, sign)
+    # Their number has no divisor in common with five: each kind is among those held out.
     kinds: list[tuple[int, Column, Column, Column]] = [
         (1, F.concat(F.lit("AKIA"), chars(up + "234567", 16, 10)), lead, neutral),
         (1, F.concat(F.lit("AKIA"), chars(up + digit, 16, 11)), lead, neutral),
@@ -117,6 +123,15 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (0, chars(hexes, pick(40, 24) + 16, 41), said, tests),
         (0, F.concat(F.lit("AKIA"), chars(up, 9, 42), F.lit("EXAMPLE")), lead, tests),
         (0, chars("-=_"[:1] + "_", pick(43, 40) + 16, 44), lead, neutral),
+        (1, chars(low + up + digit, pick(51, 8) + 8, 52), said, neutral),
+        (1, chars(low + up + digit + "!@#$&.%*?", pick(53, 12) + 8, 54), said, neutral),
+        (1, F.concat(F.initcap(word_of(55)), chars(digit, pick(56, 3) + 2, 57), chars("!@#$.", 1, 58), chars(low + digit, 4, 59)), said, neutral),
+        (1, F.concat(F.initcap(F.translate(F.rpad(word_of(60), 6, "adore"), "oeai", "0341")), chars(digit, pick(61, 3) + 2, 62)), said, neutral),
+        (0, F.rpad(words(pick(63, 2) + 2, 64, ""), 8, "ertinsho"), said, neutral),
+        (0, F.concat(word_of(65), chars("_.", 1, 66), F.rpad(words(pick(67, 2) + 1, 68, "_"), 6, "value"), F.lit("()")), said, neutral),
+        (0, F.concat(F.lit("${"), F.upper(F.rpad(words(pick(69, 2) + 1, 70, "_"), 6, "value"))), said, neutral),
+        (0, F.concat(F.lit("<your-"), F.rpad(words(pick(71, 2) + 1, 72, "-"), 4, "value")), said, neutral),
+        (0, F.rpad(words(pick(73, 2) + 2, 74, "", F.initcap), 9, "ErtinValue"), said, neutral),
     ]
     kind = F.pmod(F.col("id"), F.lit(len(kinds)))
     chosen = reduce(lambda e, x: e.when(kind == x[0], x[1]), enumerate(F.struct(c.alias("candidate"), left.alias("left"), path.alias("path"), F.lit(y).cast("double").alias("label")) for y, c, left, path in kinds), F)

@@ -213,6 +213,16 @@ def test_secrets_in_texts(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_short_and_broken_secrets(spark):
+    secret = ["Tr0ub4dor3", "k8Zq2xVw", "aX7!bQ9@zR3#tY", "f9.Kd2&mP0$w"]
+    said = ['the password = "{}" and', "the token: {} and", "the pwd='{}' and", '{{"password": "{}"}} and']
+    rows = [(i, said[i].format(x)) for i, x in enumerate(secret)]
+    harmless = ["the password = required field", "token: the_value_list()", "a word of ten lettersonly", "password: contentment"]
+    out = {r.doc_id: r.text for r in secrets.redacted(frame(spark, rows + [(10 + i, t) for i, t in enumerate(harmless)])).collect()}
+    assert [out[i] for i in range(4)] == [t.replace(x, "[SECRET]") for (_, t), x in zip(rows, secret, strict=True)]
+    assert [out[10 + i] for i in range(4)] == harmless
+
+
 # -- 9
 
 
