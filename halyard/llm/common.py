@@ -51,3 +51,11 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[
     """The ids and the texts of each batch of (id, text)."""
     for batch in batches:
         yield batch.column(0), batch.column(1).to_pylist()
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or with marks before it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

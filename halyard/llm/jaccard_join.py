@@ -3,28 +3,27 @@
 A text's set holds its distinct SIZE-word shingles as 64-bit hashes. Two texts link if their sets' Jaccard similarity is
 at least THRESHOLD per cent; components of links are returned.
 
-1. Texts with equal sets are one class; what follows works on classes.
+1. Texts with equal sets are one class, told by 128 bits; what follows works on classes, which are numbered.
 2. Prefix filter: each class hands on its n - ceil(0.8 n) + 1 + n / 20 smallest hashes. Two classes that link have at
    least 1 + n / 25 of them in common (n the larger set's size), so classes with fewer shared ones have no partner and
-   drop out, and what is left shares a key with every partner.
+   drop out. Sets travel only for the others; they are picked by a bit table of FILTER bits, which is all that
+   reaches the driver whatever the input.
 3. Classes meet at their smallest hash. A group's signature tree has nodes with the OR of the bitmaps below and their
    range of set sizes; a traversal of pairs of nodes drops those whose largest possible overlap is below what their sizes
-   ask for, and compares the sets that remain unless they are connected by then. Large groups are dealt out in blocks.
-4. Stars: at keys where components still meet, one of DRAWS members of each is compared with one of the component with
-   most members there, STARS times; a row for each component and key at most.
-5. Completion: at keys where components meet even then, trees over the bitmaps list all pairs of different components
-   that could link and share as many keys as two that link must. No pair that can link is left out, so no link is lost.
-
-Pairs of 4 and 5 first have the low 16 bits of their shingles compared, which bounds their overlap from above at a quarter
-of the size; only what passes has its sets compared.
-
-Large groups of near copies so cost a comparison a member and not one for each pair. Sets travel only for classes that
-step 2 leaves; they are picked by a bit table of FILTER bits, which is all that reaches the driver whatever the input.
+   ask for, and compares the sets that remain unless they are connected by then. A task hands on one link for each two
+   components that it joins, so fewer links than members.
+4. Rare keys: of each class's shingles, ordered by how many classes have them, all but the most frequent ceil(0.8 n) - 1.
+   Two classes that link share the rarest of their common shingles there. Passages that many texts have drop out by it.
+5. Classes whose component meets another at a rare key meet again, at HOMES hashes that are the smallest by other orders.
+   The trees compare all that meet; large groups are dealt out in blocks, and every two blocks meet.
+6. Two classes are still open if they share a rare key, their sizes let them link, their components differ, and they met
+   at no home of 5. Those pairs have their sets compared. Near copies, linked or not, have nearly all met by then, so
+   few pairs are left however large their groups; no pair that can link is left out.
 
 Cases: a null text counts as empty; a text without words has no shingle, links with nothing and is its own component;
 one with fewer than SIZE words has its whole sequence as its one shingle; repeated rows and equal texts share a
-component; ties cannot matter as the smallest id names a component; an empty table gives an empty result; other columns
-of the input are ignored.
+component, null ids count only if a component has no other; ties cannot matter as the smallest id names a component; an
+empty table gives an empty result; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,28 +36,28 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.common import batched, checkpointed, id_and_text, id_type, rows_of
+from halyard.llm.common import batched, checkpointed, id_and_text, id_type, rows_of, unused
 
 SIZE = 5
 THRESHOLD = 80
-#: Bits of a class's bitmap, and members of a tree's node.
-BITS, FAN = 1024, 16
-#: Classes of a group that are compared in one task.
-BLOCK = 2000
-#: Groups that are known to be large, at most; others meet whole.
-LARGE_GROUPS = 10_000
+#: Bits of a class's bitmap at least and at most (in between 16 to 32 for a shingle), and members of a tree's node.
+BITS, MOST_BITS, FAN = 1024, 1 << 16, 16
+#: Classes and shingles of a block; a task compares two blocks of a group at once.
+BLOCK, BLOCK_SHINGLES = 2000, 1 << 21
+#: Homes at which classes meet that rare keys leave open.
+HOMES = 4
 #: Bits of the table of classes that may have a partner: 4 MB.
 FILTER = 1 << 25
 #: Classes that a task remembers having handed on, and words whose hashes it keeps.
 REMEMBERED, WORDS = 200_000, 300_000
-STARS, DRAWS = 1, 4
-#: Classes whose sets are picked by a broadcast of their numbers (8 bytes each); beyond it, by a shuffle.
+#: Sets that are picked by a broadcast of their numbers (8 bytes each); beyond it, by a shuffle.
 PICKED = 200_000
 #: Links between components that one task joins (16 bytes each); more are joined in rounds.
 JOINED = 100_000
 
 _WEIGHTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
+
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         out = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -102,9 +101,15 @@ def linked(overlap: int, a: int, b: int) -> bool:
     return 100 * overlap >= THRESHOLD * (a + b - overlap)
 
 
-def class_of(hashes: np.ndarray) -> int:
-    """What equal sets have in common, as a signed number."""
-    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+def class_of(hashes: np.ndarray) -> tuple[int, int]:
+    """What equal sets have in common, as two signed numbers."""
+    both = xxhash.xxh3_128_intdigest(hashes.tobytes())
+    return (both >> 64) - (1 << 63), (both & (1 << 64) - 1) - (1 << 63)
+
+
+def homes_of(hashes: np.ndarray, turns: int) -> np.ndarray:
+    """For each of some orders the hash that is smallest by it."""
+    return np.array([_mixed(hashes ^ np.uint64(0x2545F4914F6CDD1D * t & (2**64 - 1))).min() if t else hashes.min() for t in range(turns)], np.uint64)
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -115,31 +120,35 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 # -- signature trees
 
 
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(hashes & np.uint64(BITS - 1)).astype(np.int64)] = 1
+def bitmap(hashes: np.ndarray, width: int = BITS) -> np.ndarray:
+    bits = np.zeros(width, np.uint8)
+    bits[(hashes & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
 class Tree:
-    """Nodes of FAN members each, level by level: the OR of their bitmaps, their sizes, and how many shingles share bits."""
+    """Nodes of FAN members each, level by level: the OR of their bitmaps, their sizes, how many shingles share bits, and
+    the label that all members below have (or -1)."""
 
-    def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray) -> None:
+    def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray, labels: np.ndarray | None = None) -> None:
         spare = sizes - np.bitwise_count(bitmaps).sum(axis=1).astype(np.int64)
-        self.levels = [(sizes, sizes, bitmaps, spare)]
+        self.levels = [(sizes, sizes, bitmaps, spare, np.full(len(sizes), -1) if labels is None else labels)]
         while len(self.levels[-1][0]) > 1:
-            least, most, marks, spare = self.levels[-1]
+            least, most, marks, spare, label = self.levels[-1]
             at = np.arange(0, len(least), FAN)
-            self.levels.append((np.minimum.reduceat(least, at), np.maximum.reduceat(most, at), np.bitwise_or.reduceat(marks, at, axis=0), np.maximum.reduceat(spare, at)))
+            same = np.minimum.reduceat(label, at) == np.maximum.reduceat(label, at)
+            self.levels.append((np.minimum.reduceat(least, at), np.maximum.reduceat(most, at), np.bitwise_or.reduceat(marks, at, axis=0), np.maximum.reduceat(spare, at), np.where(same, label[at], -1)))
 
     def possible(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each two of the nodes a and b: whether members of both could link, and the largest overlap they could have."""
-        least, most, marks, spare = self.levels[level]
+        """For each two of the nodes a and b: whether members of both could link and aren't known to be connected, and the
+        largest overlap they could have."""
+        least, most, marks, spare, label = self.levels[level]
         most_a, most_b, least_a, least_b = most[a][:, None], most[b][None, :], least[a][:, None], least[b][None, :]
-        sizes = (100 * most_a >= THRESHOLD * least_b) & (100 * most_b >= THRESHOLD * least_a)
+        could = (100 * most_a >= THRESHOLD * least_b) & (100 * most_b >= THRESHOLD * least_a)
+        could &= (label[a][:, None] != label[b][None, :]) | (label[a][:, None] < 0)
         overlap = np.bitwise_count(marks[a][:, None, :] & marks[b][None, :, :]).sum(axis=2).astype(np.int64) + np.minimum(spare[a][:, None], spare[b][None, :])
         overlap = np.minimum(overlap, np.minimum(most_a, most_b))
-        return sizes & ((100 + THRESHOLD) * overlap >= THRESHOLD * (least_a + least_b)), overlap
+        return could & ((100 + THRESHOLD) * overlap >= THRESHOLD * (least_a + least_b)), overlap
 
     def leaves(self, apart: Callable[[np.ndarray, np.ndarray], bool]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(members, members, whether two could link, largest overlap) of each pair of leaf nodes that a traversal reaches.
@@ -159,8 +168,7 @@ class Tree:
                 if apart(a, b):
                     yield (a, b, *self.possible(0, a, b))
                 continue
-            could, _ = self.possible(below, a, b)
-            for x, y in zip(*(k.tolist() for k in np.nonzero(could)), strict=True):
+            for x, y in zip(*(k.tolist() for k in np.nonzero(self.possible(below, a, b)[0])), strict=True):
                 if i < j or x <= y:
                     stack.append((below, int(a[x]), int(b[y])))
 
@@ -172,48 +180,62 @@ def _find(parent: list[int] | dict[int, int], x: int) -> int:
     return x
 
 
-def components_of(sets: list[np.ndarray]) -> list[int]:
-    """For each set the first set of its component, as far as links between these sets go."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    ordered = [sets[k] for k in order]
-    parent = list(range(len(sets)))
-    tree = Tree(np.array([len(s) for s in ordered], np.int64), np.array([bitmap(s) for s in ordered]).reshape(len(sets), -1))
-    for a, b, could, _ in tree.leaves(lambda a, b: len({_find(parent, int(x)) for x in (*a, *b)}) > 1):
+def links_of(sets: list[np.ndarray], comps: list[int], sides: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links between sets of different components, one for each two components that it joins.
+
+    sides: sets of one side, unless negative, have been compared before.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    least: dict[int, int] = {}
+    for c, n in zip(comps, sizes.tolist(), strict=True):
+        least[c] = min(n, least.get(c, n))
+    order = sorted(range(len(sets)), key=lambda k: (least[comps[k]], comps[k], sizes[k]))
+    place: dict[int, int] = {}
+    own = np.array([place.setdefault(comps[k], len(place)) for k in order], np.int64)
+    parent = list(range(len(place)))
+    width = min(MOST_BITS, max(BITS, 16 << int(sizes.max() - 1).bit_length()))
+    tree = Tree(sizes[order], np.array([bitmap(sets[k], width) for k in order]).reshape(len(sets), -1), own)
+    side = np.array([sides[k] for k in order]) if sides is not None else np.full(len(sets), -1)
+    out = []
+    for a, b, could, _ in tree.leaves(lambda a, b: len({_find(parent, x) for x in {*own[a].tolist(), *own[b].tolist()}}) > 1):
+        could &= (side[a][:, None] != side[b][None, :]) | (side[a][:, None] < 0)
         for x, y in zip(*(k.tolist() for k in np.nonzero(could)), strict=True):
             i, j = int(a[x]), int(b[y])
-            if i < j and (p := _find(parent, i)) != (q := _find(parent, j)):
-                overlap = len(np.intersect1d(ordered[i], ordered[j], assume_unique=True))
-                if linked(overlap, len(ordered[i]), len(ordered[j])):
+            if i < j and (p := _find(parent, int(own[i]))) != (q := _find(parent, int(own[j]))):
+                one, other = order[i], order[j]
+                if linked(overlap_of(sets[one], sets[other]), len(sets[one]), len(sets[other])):
                     parent[max(p, q)] = min(p, q)
-    first: dict[int, int] = {}
-    for place, k in enumerate(order.tolist()):
-        root = _find(parent, place)
-        first[root] = min(first.get(root, k), k)
-    out = [0] * len(sets)
-    for place, k in enumerate(order.tolist()):
-        out[k] = first[_find(parent, place)]
+                    out.append((one, other))
     return out
 
 
+def overlap_of(a: np.ndarray, b: np.ndarray) -> int:
+    """How many hashes two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
+
+
 # -- distributed steps
 
 
-def _met(keys: DataFrame) -> DataFrame:
-    """The rows of keys (one a key and class) whose class meets another there whose size lets them link.
+def _met(keys: DataFrame, member: str) -> DataFrame:
+    """The rows of keys (one a key and member) that meet another there whose size lets them link.
 
     Ordered by size, the nearest sizes decide; the window reads one exchange, and a large key spills.
     """
-    by_size = Window.partitionBy("key").orderBy("n", "cls")
+    by_size = Window.partitionBy("key").orderBy("n", member)
     before, after = F.coalesce(F.lag("n").over(by_size), F.lit(0)), F.lead("n").over(by_size)
     near = (100 * before >= THRESHOLD * F.col("n")) | F.coalesce(100 * F.col("n") >= THRESHOLD * after, F.lit(False))
     return keys.withColumn("_near", near).filter("_near").drop("_near")
 
 
 def _apart(keys: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, cls, n, comp) where components meet; like all that follows within a key, it reads one exchange."""
+    """(key, no, n, comp) where components meet; like all that follows within a key, it reads one exchange."""
     of_key = Window.partitionBy("key")
-    marked = keys.join(comps, "cls").withColumn("_lo", F.min("comp").over(of_key)).withColumn("_hi", F.max("comp").over(of_key))
-    return _met(marked.filter("_lo <> _hi").drop("_lo", "_hi")).select("key", "cls", "n", "comp")
+    marked = keys.join(comps, "no").withColumn("_lo", F.min("comp").over(of_key)).withColumn("_hi", F.max("comp").over(of_key))
+    return _met(marked.filter("_lo <> _hi").drop("_lo", "_hi"), "no").select("key", "no", "n", "comp")
 
 
 def prefixes(texts: DataFrame, size: int) -> DataFrame:
@@ -225,7 +247,7 @@ def prefixes(texts: DataFrame, size: int) -> DataFrame:
             classes, sizes, keys = [], [], []
             for text in batch:
                 hashes = shingles(text, size)
-                if len(hashes) and (c := class_of(hashes)) not in seen:
+                if len(hashes) and (c := class_of(hashes)[0]) not in seen:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add(c)
@@ -238,10 +260,11 @@ def prefixes(texts: DataFrame, size: int) -> DataFrame:
 
 
 def with_partners(keys: DataFrame) -> DataFrame:
-    """The rows of keys that classes share, once each, without classes that share too few to have a partner."""
-    shared = checkpointed(_met(keys.repartition("key").dropDuplicates(["key", "cls"])))
+    """(cls): the classes that share enough keys with others to have a partner; a few more may be among them."""
+    shared = checkpointed(_met(keys.repartition("key").dropDuplicates(["key", "cls", "n"]), "cls"))
     enough = F.count(F.lit(1)).over(Window.partitionBy("cls")) >= 1 + F.floor(F.col("n") / 25)
-    return checkpointed(_met(shared.withColumn("_enough", enough).filter("_enough").drop("_enough")))
+    again = _met(shared.withColumn("_enough", enough).filter("_enough").drop("_enough"), "cls")
+    return checkpointed(again.groupBy("cls", "n").count().filter(F.col("count") >= 1 + F.floor(F.col("n") / 25)).select("cls").distinct())
 
 
 def filter_table(classes: DataFrame) -> np.ndarray:
@@ -260,31 +283,35 @@ def _in_table(table: np.ndarray, cls: int) -> bool:
 
 
 def classified(texts: DataFrame, size: int, table: np.ndarray, kind: str) -> DataFrame:
-    """(id, cls, n, hashes, home) for every text; the last two only for classes in the table, once a task."""
+    """(id, cls, rest, n, hashes) for every text; the last only for classes in the table, once a task."""
     shared = texts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for ids, batch in rows_of(batches):
-            classes, sizes, kept, homes = [], [], [], []
+            classes, sizes, kept = [], [], []
             for text in batch:
                 hashes = shingles(text, size)
-                c = class_of(hashes) if len(hashes) else None
+                c = class_of(hashes) if len(hashes) else (None, None)
                 classes.append(c)
                 sizes.append(len(hashes))
-                if c is None or c in seen or not _in_table(shared.value, c):
+                if c[0] is None or c in seen or not _in_table(shared.value, c[0]):
                     kept.append(None)
-                    homes.append(None)
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(c)
                 kept.append(hashes.tobytes())
-                homes.append(int(hashes[0]) - (1 << 63))
-            columns = [ids, pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(homes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "cls", "n", "hashes", "home"])
+            columns = [ids, *(pa.array([c[k] for c in classes], pa.int64()) for k in (0, 1)), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "cls", "rest", "n", "hashes"])
 
-    return texts.mapInArrow(run, f"id {kind}, cls long, n long, hashes binary, home long")
+    return texts.mapInArrow(run, f"id {kind}, cls long, rest long, n long, hashes binary")
+
+
+def numbered(each: DataFrame) -> DataFrame:
+    """(cls, rest, n, hashes, no): the sets that travel, one a class, with a number for each."""
+    once = each.filter("hashes is not null").select("cls", "rest", "n", "hashes").dropDuplicates(["cls", "rest"])
+    return checkpointed(once.withColumn("no", F.monotonically_increasing_id()))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -316,119 +343,124 @@ def _starts(rows: pa.Table, by: int) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def first_roots(each: DataFrame) -> DataFrame:
-    """(cls, comp): the first class of each component among the classes that meet at a home; each: (cls, hashes, home)."""
+def _picked(sets: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The sets whose numbers are wanted; numbers is read twice."""
+    return sets.join(F.broadcast(numbers) if numbers.count() <= PICKED else numbers, "no", "left_semi")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts in _groups(batches, 2):
-            classes, hashes = rows["cls"].to_numpy(), rows["hashes"]
-            roots = classes.copy()
-            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                own, first = np.unique(classes[s:e], return_index=True)  # copies of several tasks meet here
-                if len(own) > 1:
-                    sets = [np.frombuffer(hashes[s + k].as_py(), np.uint64) for k in first.tolist()]
-                    roots[s:e] = own[components_of(sets)][np.searchsorted(own, classes[s:e])]
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(roots, pa.int64())], names=["cls", "comp"])
-
-    large = each.groupBy("home").agg(F.approx_count_distinct("cls").alias("k")).filter(F.col("k") > BLOCK).orderBy(F.desc("k"), "home").limit(LARGE_GROUPS)
-    large = large.select("home", F.ceil(F.col("k") / BLOCK).alias("of"))
-    block = F.when(F.col("of").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("cls"), F.col("of"))).cast("long")
-    placed = each.join(F.broadcast(large), "home", "left").select("home", block.alias("block"), "cls", "hashes")
-    ordered = placed.repartition("home", "block").sortWithinPartitions("home", "block", "cls")
-    return ordered.mapInArrow(run, "cls long, comp long").distinct()
-
-
-def _possible(pairs: DataFrame, described: DataFrame) -> DataFrame:
-    """The pairs (a, b) that could link, as far as sizes and 16 bits of each shingle tell."""
-    of = lambda name: described.select(F.col("cls").alias(name), F.struct("n", "marks").alias(f"of_{name}"))
-    least, most = F.least("of_a.n", "of_b.n"), F.greatest("of_a.n", "of_b.n")
-    spare = lambda c: F.col(f"{c}.n") - F.size(f"{c}.marks")
-    overlap = F.least(F.size(F.array_intersect("of_a.marks", "of_b.marks")) + F.least(spare("of_a"), spare("of_b")), least)
-    passing = (100 * least >= THRESHOLD * most) & ((100 + THRESHOLD) * overlap >= THRESHOLD * (least + most))
-    return pairs.join(of("a"), "a").join(of("b"), "b").filter(passing).select("a", "b")
-
-
-def _star(met: DataFrame, turn: int) -> DataFrame:
-    """(a, b): at each key a member of each component beside one of the component with most members there.
-
-    A component sends one of DRAWS members, so however many keys two of them share, few pairs come of it.
+
+def _dealt(members: DataFrame, group: list[str], across: bool) -> DataFrame:
+    """members (with n) of each group in blocks, `one` and `other` naming the two blocks that meet, side the own one of two.
+
+    across: every two blocks of a group meet, else each is by itself.
     """
-    drawn = F.struct(F.xxhash64("cls", F.pmod("key", F.lit(DRAWS)), F.lit(turn)).alias("draw"), "cls")
-    members = met.groupBy("key", "comp").agg(F.min(drawn).alias("drawn"), F.count(F.lit(1)).alias("size"))
-    members = members.select("key", F.struct("size", "comp", F.col("drawn.cls").alias("cls")).alias("m"))
-    pairs = members.withColumn("lead", F.max("m").over(Window.partitionBy("key"))).filter("m.comp <> lead.comp")
-    return pairs.select(F.least("m.cls", "lead.cls").alias("a"), F.greatest("m.cls", "lead.cls").alias("b")).distinct()
+    sized = members.groupBy(*group).agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("of"))
+    block = F.pmod(F.xxhash64("no"), F.col("of"))
+    placed = members.join(sized, group).withColumn("block", block)
+    if not across:
+        return placed.select(*members.columns, F.col("block").alias("one"), F.col("block").alias("other"), F.lit(-1).cast("long").alias("side"))
+    both = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+    side = F.when(F.col("with") == F.col("block"), F.lit(-1)).otherwise(F.col("block")).cast("long")
+    return both.select(*members.columns, F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), side.alias("side"))
 
 
-def _listed(met: DataFrame, described: DataFrame) -> DataFrame:
-    """(a, b): all classes of different components that share keys and could link, each two once; met: (key, cls, n, comp).
+def links_at_homes(sets: DataFrame, comps: DataFrame | None, turns: range) -> DataFrame:
+    """(a, b): links between sets that share a home and whose components differ, one for each two that a task joins.
 
-    Two classes come up at each key they share, and two that link share 1 + n / 20 (n the smaller set's size) at least.
+    comps: None if each set is a component; then blocks of a large group stay by themselves.
     """
 
+    def homed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            homes = [homes_of(np.frombuffer(x, np.uint64), turns.stop)[turns.start :] for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(homes, pa.int64())], names=["no", "n", "hashes", "comp", "homes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in _groups(batches, 4):
+            numbers, found = rows["no"].to_numpy(), []
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                own = rows["comp"].slice(s, e - s).to_pylist()
+                if e - s > 1 and len(set(own)) > 1:
+                    held = [np.frombuffer(x.as_py(), np.uint64) for x in rows["hashes"].slice(s, e - s)]
+                    found += [(s + i, s + j) for i, j in links_of(held, own, rows["side"].slice(s, e - s).to_pylist())]
+            ends = numbers[np.array(found, np.int64).reshape(-1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, k]) for k in (0, 1)], names=["a", "b"])
+
+    labelled = sets.select("no", "n", "hashes", F.col("no").alias("comp")) if comps is None else sets.select("no", "n", "hashes").join(comps, "no").select("no", "n", "hashes", "comp")
+    homes = labelled.mapInArrow(homed, "no long, n long, hashes binary, comp long, homes array<long>")
+    each = homes.select("no", "n", "hashes", "comp", F.posexplode("homes").alias("turn", "home"))
+    dealt = _dealt(each, ["turn", "home"], across=comps is not None).select("turn", "home", "one", "other", "no", "comp", "side", "hashes")
+    ordered = dealt.repartition("turn", "home", "one", "other").sortWithinPartitions("turn", "home", "one", "other", "no")
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def rare_keys(sets: DataFrame) -> DataFrame:
+    """(key, no, n): of each set's shingles that other sets have too, all but the ceil(0.8 n) - 1 most frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists([np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()], pa.int64())], names=["no", "n", "keys"])
+
+    each = sets.select("no", F.col("n").cast("int").alias("n"), "hashes").mapInArrow(run, "no long, n int, keys array<long>").select(F.explode("keys").alias("key"), "no", "n")
+    shared = each.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("sets > 1")
+    place = F.row_number().over(Window.partitionBy("no").orderBy(F.desc("sets"), "key"))
+    return shared.withColumn("place", place).filter(100 * F.col("place") >= THRESHOLD * F.col("n")).select("key", "no", "n")
+
+
+def open_pairs(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): members of different components that share a key of met and could link, but met at no home; each two once."""
+
+    def homed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            homes = [homes_of(np.frombuffer(x, np.uint64), HOMES + 1)[1:] for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(homes, pa.int64())], names=["no", "homes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in _groups(batches, 3):
-            classes, comps, sides, sizes = (rows[c].to_numpy().astype(np.int64) for c in ("cls", "comp", "side", "n"))
-            bits = rows["bits"].combine_chunks()
-            bitmaps = np.asarray(bits.flatten()).view(np.uint64).reshape(len(rows), -1)
-            left, right, needed = [], [], []
+            numbers, sizes, comps, sides = (rows[c].to_numpy() for c in ("no", "n", "comp", "side"))
+            homes = np.asarray(rows["homes"].combine_chunks().flatten()).reshape(len(rows), -1)
+            found = set()
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                own, side = comps[s:e], sides[s:e]
-                if e - s < 2 or (own == own[0]).all():
+                if e - s < 2 or (comps[s:e] == comps[s]).all():
                     continue
-                tree = Tree(sizes[s:e], bitmaps[s:e])
-                for a, b, could, _ in tree.leaves(lambda a, b, own=own: len({*own[a].tolist(), *own[b].tolist()}) > 1):
-                    could &= own[a][:, None] != own[b][None, :]
-                    # Of a group in blocks, two members of one block meet where that block is with itself.
-                    could &= (side[a][:, None] != side[b][None, :]) | (side[a][:, None] < 0)
-                    x, y = np.nonzero(could)
-                    x, y = a[x][a[x] < b[y]], b[y][a[x] < b[y]]
-                    left.append(classes[s + x])
-                    right.append(classes[s + y])
-                    needed.append(1 + np.minimum(sizes[s + x], sizes[s + y]) // 20)
-            if left:
-                left, right = np.concatenate(left), np.concatenate(right)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(np.concatenate(needed))], names=["a", "b", "needed"])
-
-    sized = met.withColumn("of", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("key")) / BLOCK))
-    here = sized.join(described.select("cls", "bits"), "cls")
-    dealt = here.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("of")))
-    both = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
-    side = F.when(F.col("with") == F.col("block"), F.lit(-1)).otherwise(F.col("block")).cast("long")
-    placed = both.select("key", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "cls", "comp", side.alias("side"), "n", "bits")
-    ordered = placed.repartition("key", "one", "other").sortWithinPartitions("key", "one", "other", "n", "cls")
-    pairs = ordered.mapInArrow(run, "a long, b long, needed long")
-    return pairs.groupBy("a", "b", "needed").agg(F.count(F.lit(1)).alias("shared")).filter("shared >= needed").select("a", "b")
+                last = np.searchsorted(sizes[s:e] * THRESHOLD, 100 * sizes[s:e], side="right") + s  # members are ordered by size
+                for i in range(s, e - 1):
+                    others = slice(i + 1, last[i - s])
+                    could = (comps[others] != comps[i]) & ((sides[others] != sides[i]) | (sides[i] < 0)) & ~(homes[others] == homes[i]).any(axis=1)
+                    found.update((min(x, y), max(x, y)) for x in (int(numbers[i]),) for y in numbers[others][could].tolist())
+            ends = np.array(sorted(found), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, k]) for k in (0, 1)], names=["a", "b"])
+
+    here = _picked(sets, checkpointed(met.select("no").distinct())).select("no", "hashes").mapInArrow(homed, "no long, homes array<long>")
+    dealt = _dealt(met, ["key"], across=True).join(here, "no")
+    ordered = dealt.select("key", "one", "other", "no", "comp", "side", "n", "homes").repartition("key", "one", "other").sortWithinPartitions("key", "one", "other", "n", "no")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): the pairs that link."""
-    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    picked = sets.select("cls", "hashes").join(F.broadcast(ends) if pairs.count() * 2 <= PICKED else ends, "cls", "left_semi")
-    once = picked.groupBy("cls").agg(F.first("hashes").alias("hashes"))
-    of = lambda name: once.select(F.col("cls").alias(name), F.col("hashes").alias(f"{name}_hashes"))
+    ends = checkpointed(pairs.select(F.col("a").alias("no")).union(pairs.select(F.col("b").alias("no"))).distinct())
+    picked = _picked(sets, ends)
+    of = lambda name: picked.select(F.col("no").alias(name), F.col("hashes").alias(f"{name}_hashes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                keep.append(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+            held = [[np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3)]
+            keep = [linked(overlap_of(x, y), len(x), len(y)) for x, y in zip(*held, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_hashes", "b_hashes").mapInArrow(run, "a long, b long")
 
 
 def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """(cls, comp) after components have been joined by links (a, b) between classes: smallest labels, doubling their reach."""
-    ends = links.join(comps.select(F.col("cls").alias("a"), F.col("comp").alias("x")), "a").join(comps.select(F.col("cls").alias("b"), F.col("comp").alias("y")), "b")
+    """(no, comp) after components have been joined by links (a, b) between sets: smallest labels, doubling their reach."""
+    ends = links.join(comps.select(F.col("no").alias("a"), F.col("comp").alias("x")), "a").join(comps.select(F.col("no").alias("b"), F.col("comp").alias("y")), "b")
     both = checkpointed(ends.select("x", "y").filter("x <> y").unionByName(ends.select(F.col("y").alias("x"), F.col("x").alias("y")).filter("x <> y")).distinct())
     n = both.count()
     if not n:
         return comps
     labels = _labels_in_one_task(both) if n <= 2 * JOINED else _labels_in_rounds(both)
     renamed = comps.join(labels.select(F.col("node").alias("comp"), "label"), "comp", "left")
-    return checkpointed(renamed.select("cls", F.coalesce("label", "comp").alias("comp")))
+    return checkpointed(renamed.select("no", F.coalesce("label", "comp").alias("comp")))
 
 
 def _labels_in_one_task(both: DataFrame) -> DataFrame:
@@ -464,33 +496,25 @@ def _labels_in_rounds(both: DataFrame) -> DataFrame:
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """(id_col, n_shingles, component_id) for every text; component_id is the smallest id that links lead to."""
     texts = batched(id_and_text(df, id_col, text_col))
-    keys = with_partners(prefixes(texts, size))
-    table = filter_table(keys.select("cls").distinct())
+    table = filter_table(with_partners(prefixes(texts, size)))
     each = checkpointed(classified(texts, size, table, id_type(df, id_col)))
-    sets = each.filter("hashes is not null").select("cls", "n", "hashes", "home")
-    described = checkpointed(_described(sets).dropDuplicates(["cls"]))
-    comps = checkpointed(first_roots(sets.select("cls", "hashes", "home")))
-    for turn in range(STARS + 1):
-        met = _apart(keys, comps)
-        pairs = checkpointed(_possible(_star(met, turn) if turn < STARS else _listed(met, described), described))
-        comps = joined(comps, checkpointed(_verified(pairs, sets)))
-    classes = each.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("first")).join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    named = classes.join(classes.groupBy("comp").agg(F.min("first").alias("component_id")), "comp").select("cls", "component_id")
-    out = each.select("id", "cls", F.col("n").alias("n_shingles")).join(named, "cls", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-
-
-def _described(sets: DataFrame) -> DataFrame:
-    """(cls, n, bits, marks): the bitmap of each class, and the distinct low 16 bits of its shingles."""
+    sets = numbered(each)
+    comps = joined(sets.select("no", F.col("no").alias("comp")), checkpointed(links_at_homes(sets, None, range(1))))
+    keys = checkpointed(rare_keys(sets))
+    still = checkpointed(_apart(keys, comps).select("no").distinct())
+    comps = joined(comps, checkpointed(links_at_homes(_picked(sets, still), comps, range(1, HOMES + 1))))
+    pairs = checkpointed(open_pairs(checkpointed(_apart(keys, comps)), sets))
+    comps = joined(comps, checkpointed(_verified(pairs, sets)))
+    return _named(each, sets, comps).select(F.col("id").alias(id_col), "n_shingles", "component_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-            marks = [np.unique(x.astype(np.uint16)).view(np.int16).tolist() for x in sets]
-            columns = [batch.column(0), batch.column(1), _lists([bitmap(x) for x in sets], pa.int64()), pa.array(marks, pa.list_(pa.int16()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["cls", "n", "bits", "marks"])
 
-    return sets.select("cls", "n", "hashes").mapInArrow(run, "cls long, n long, bits array<long>, marks array<smallint>")
+def _named(each: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
+    """(id, n_shingles, component_id): the smallest id of each text's class or, for classes in comps, of its component."""
+    classes = each.filter("cls is not null").groupBy("cls", "rest").agg(F.min("id").alias("first"))
+    labelled = classes.join(sets.select("cls", "rest", "no").join(comps, "no"), ["cls", "rest"], "left")
+    of_comp = labelled.filter("comp is not null").groupBy("comp").agg(F.min("first").alias("least"))
+    named = labelled.join(of_comp, "comp", "left").select("cls", "rest", F.coalesce("least", "first").alias("component_id"))
+    return each.select("id", "cls", "rest", F.col("n").alias("n_shingles")).join(named, ["cls", "rest"], "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
@@ -498,5 +522,6 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Only the ids that go are joined to the rows.
     """
-    gone = components(df, id_col, text_col, size).filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
-    return df.join(gone, df[id_col] == F.col("__gone"), "left_anti")
+    name = unused(df, "gone")
+    gone = components(df, id_col, text_col, size).filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias(name)).distinct()
+    return df.join(gone, df[id_col] == F.col(name), "left_anti")
