@@ -4,7 +4,8 @@ A document goes where the sum over all residual gaps of the squared number of op
 smallest. Documents are taken longest first. Two rounds keep that a job without a central task: in the first, each
 shard of about SHARD pieces packs its own; in the second, the bins that FAN shards left with a gap are
 opened again and their pieces packed together. Only (piece, length, checksum) rows are shuffled, never texts, and a
-shard's size does not depend on the input's.
+shard's size does not depend on the input's: rows are dealt by a hash of themselves and of the partition they stand in,
+so a shard gets what is equal in a partition, but not what is equal in the table.
 
 A document's ids end with an end mark (id 0). Only documents longer than a sequence are cut: whole sequences from the
 end, so that the first piece is the shorter one.
@@ -36,6 +37,9 @@ CAPACITY = 2048
 SHARD = 20_000
 #: Shards whose unfilled bins are packed together in the second round.
 FAN = 32
+#: Bytes of a token, about; only the number of shards depends on it.
+TOKEN_BYTES = 3
+NO_GAP = np.int64(1) << 60
 END = (0).to_bytes(4, "little")
 
 
@@ -119,12 +123,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     bins, offsets, gaps = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), []
     for i in np.argsort(-lengths, kind="stable").tolist():
         size = int(lengths[i])
-        change = open_bins[: capacity - size + 1] - open_bins[size:]  # at gap - size: half of what the sum changes by, less 1
-        change[0] = -open_bins[size] - (open_bins[size] > 0)  # a filled bin is no longer counted; half the change is -n + 1/2
-        change = np.where(open_bins[size:] > 0, change, np.int64(1) << 40)
+        # What the sum changes by at each gap from size on: of n bins one goes, and m that have what is left get one more.
+        change = 2 * (open_bins[: capacity - size + 1] - open_bins[size:]) + 2
+        change[0] = 1 - 2 * open_bins[size]  # a filled bin is no longer counted
+        change = np.where(open_bins[size:] > 0, change, NO_GAP)
         best = int(change.argmin())
-        # Opening a bin changes the sum by 2 n + 1, the best gap by 2 change + 2 (a fill: 2 change + 3).
-        if size == capacity or change[best] >= 1 << 40 or 2 * change[best] + 2 > 2 * open_bins[capacity - size] + 1:
+        if change[best] > min(2 * open_bins[capacity - size] + 1, NO_GAP - 1):
             b, gap = len(gaps), capacity
             gaps.append(capacity)
         else:
@@ -167,7 +171,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, fan: in
     fields = {f.name: f.dataType.simpleString() for f in items.schema.fields}
     schema = ", ".join(f"`{n}` {t}" for n, t in fields.items()) + ", sequence_id long, offset long, gap long"
     full = F.col("length") == capacity
-    mixed = F.xxhash64(*[F.col(n) for n in fields])
+    mixed = F.xxhash64(F.spark_partition_id(), *[F.col(n) for n in fields])  # equal rows of several partitions fall apart
     start = items.withColumns({"group": F.pmod(mixed, F.lit(shards)), "sequence_id": F.lit(None).cast("long"), "offset": F.lit(0).cast("long"), "gap": F.lit(capacity).cast("long")})
     first = start.groupBy("group").applyInArrow(_round(fields, capacity), schema)
     if shards == 1:
@@ -184,5 +188,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, fan: in
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = vocabularies.BYTE_BPE, capacity: int = CAPACITY) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every text."""
-    packed = pack(pieces(df, id_col, text_col, tokenizer, capacity), capacity, rows=df.count())
+    texts = id_and_text(df, id_col, text_col)
+    about = texts.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.octet_length("text") / (TOKEN_BYTES * capacity))))).first()[0] or 0
+    packed = pack(pieces(df, id_col, text_col, tokenizer, capacity), capacity, rows=about)
     return packed.withColumnRenamed("id", id_col)
