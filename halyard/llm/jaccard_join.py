@@ -511,9 +511,9 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 def _named(each: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
     """(id, n_shingles, component_id): the smallest id of each text's class or, for classes in comps, of its component."""
     classes = each.filter("cls is not null").groupBy("cls", "rest").agg(F.min("id").alias("first"))
-    labelled = classes.join(sets.select("cls", "rest", "no").join(comps, "no"), ["cls", "rest"], "left")
-    of_comp = labelled.filter("comp is not null").groupBy("comp").agg(F.min("first").alias("least"))
-    named = labelled.join(of_comp, "comp", "left").select("cls", "rest", F.coalesce("least", "first").alias("component_id"))
+    known = sets.select("cls", "rest", "no").join(comps, "no").join(classes, ["cls", "rest"])
+    least = known.join(known.groupBy("comp").agg(F.min("first").alias("least")), "comp").select("cls", "rest", "least")
+    named = classes.join(least, ["cls", "rest"], "left").select("cls", "rest", F.coalesce("least", "first").alias("component_id"))
     return each.select("id", "cls", "rest", F.col("n").alias("n_shingles")).join(named, ["cls", "rest"], "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
