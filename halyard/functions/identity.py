@@ -8,24 +8,35 @@ from pyspark.sql import functions as F
 NULL_TOKEN = "<NULL>"
 
 
-def canonical_decimal(value: Column, scale: int = 6, null: str | None = NULL_TOKEN) -> Column:
-    """Plain notation without closing zeros or a negative zero; null as the token (or null)."""
-    number = value.cast(f"decimal(38,{scale})")
-    text = number.cast("string")
-    trimmed = F.when(F.instr(text, ".") > 0, F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")).otherwise(text)
-    out = F.when(number == 0, F.lit("0")).otherwise(trimmed)
+def canonical_decimal(value: Column, null: str | None = NULL_TOKEN) -> Column:
+    """Plain notation without closing zeros or a negative zero, no digit rounded; null as the token (or null).
+
+    Doubles that print with an exponent are taken as decimals of 18 places.
+    """
+    said = value.cast("string")
+    plain = F.when(said.contains("E"), value.try_cast("decimal(38,18)").cast("string")).otherwise(said)
+    trimmed = F.when(F.instr(plain, ".") > 0, F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
+    out = F.when(plain.rlike(r"^-?0*(\.0*)?$"), F.lit("0")).otherwise(trimmed)
     return F.coalesce(out, F.lit(null)) if null is not None else out
 
 
+def canonical_text(value: Column) -> Column:
+    return F.coalesce(value.cast("string"), F.lit(NULL_TOKEN))
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """JSON with names sorted and no blanks; numbers stay numbers, so fields come as they are to be written."""
+    return F.to_json(F.struct(*[fields[name].alias(name) for name in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
 def observation_hash(fields: dict[str, Column]) -> Column:
-    """SHA-256 of canonical JSON: names sorted, no blanks, nulls kept. Lineage does not belong into it."""
-    ordered = F.struct(*[fields[name].cast("string").alias(name) for name in sorted(fields)])
-    return F.sha2(F.to_json(ordered, {"ignoreNullFields": "false"}), 256)
+    """SHA-256 of canonical JSON. Lineage does not belong into it."""
+    return F.sha2(canonical_json(fields), 256)
 
 
 def event_id(version: str, parts: list[Column]) -> Column:
     """SHA-256 of the version and the parts, joined by |, nulls as a token."""
-    return F.sha2(F.concat_ws("|", F.lit(version), *[F.coalesce(p.cast("string"), F.lit(NULL_TOKEN)) for p in parts]), 256)
+    return F.sha2(F.concat_ws("|", F.lit(version), *[canonical_text(p) for p in parts]), 256)
 
 
 def logical_source_key(source: str, **kind: str) -> str:

@@ -163,16 +163,17 @@ def revision_decisions(incoming: DataFrame, latest: DataFrame, keys: list[str])
     """incoming (keys, observation_hash, eligible) with previous_event_id and decision, from each key's latest publication.
 
     latest: keys, event_id, observation_hash, publication_state. An ineligible observation withdraws what is published
-    and is otherwise suppressed; an eligible one is new, revised or unchanged.
+    and is otherwise suppressed; an eligible one is unchanged or revised against what is published, and new where nothing
+    is, also after a withdrawal.
     """
     before = latest.select(*keys, F.col("event_id").alias("previous_event_id"), F.col("observation_hash").alias("_hash"), F.col("publication_state").alias("_state"))
     published = F.coalesce(F.col("_state") == ELIGIBLE, F.lit(False))
     decision = (
         F.when(~F.col("eligible") & published, "INVALIDATION")
         .when(~F.col("eligible"), "SUPPRESSED_INELIGIBLE")
-        .when(F.col("_state").isNull(), "NEW_OBSERVATION")
         .when(published & F.col("observation_hash").eqNullSafe(F.col("_hash")), "UNCHANGED")
-        .otherwise("REVISED_OBSERVATION")
+        .when(published, "REVISED_OBSERVATION")
+        .otherwise("NEW_OBSERVATION")
     )
     return incoming.join(before, keys, "left").withColumn("decision", decision).drop("_hash", "_state")
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.plans.contracts import CONTRACTS, Contract
+from halyard.plans.contracts import CALLED, CONTRACTS, STATUS, Contract
 from halyard.plans.store import VersionedTable, read_increment, reconcile
 
 RUN = "run_id string, pipeline_name string, source_name string, start_timestamp timestamp, end_timestamp timestamp, status string, records_read long, records_written long, records_rejected long, error_message string"
@@ -109,9 +109,14 @@ def latest_results(results: DataFrame) -> DataFrame:
     return latest_by(results, ["source_name", "dataset_name", "rule_id"], ["execution_timestamp", "run_id"])
 
 
-def batch_status(results: DataFrame, source: str, dataset: str | None = None) -> DataFrame:
-    """Latest results under the names the serving layer gives them: severity is a rule's outcome, status its execution."""
+def batch_status(results: DataFrame, dataset: str | None, rule: str | None = None) -> DataFrame:
+    """Latest results of a dataset (required) and rule (optional) under the names the serving layer gives them: severity is a rule's outcome, status its execution."""
     from halyard.operators.serving import lookup
 
-    found = lookup(latest_results(results), {"source_name": source}, {"dataset_name": dataset})
-    return found.withColumnsRenamed({"severity": "rule_outcome", "status": "execution_status"})
+    found = lookup(latest_results(results), {"dataset_name": dataset}, {"rule_id": rule})
+    return found.select(*[F.col(CALLED.get(c, c)).alias(c) for c in STATUS])
+
+
+def unfinished_payloads(registry: DataFrame, runs: DataFrame) -> DataFrame:
+    """Registered payloads whose run isn't among the successful ones."""
+    return registry.join(runs.filter(F.col("status") == "SUCCESS").select("run_id"), "run_id", "left_anti")

@@ -1,15 +1,19 @@
 """Versioned Parquet tables: snapshots, change logs, keyed merges.
 
-A table is a folder with `v=<n>` (the snapshot of version n), `_changes/v=<n>` (what version n changed, with
-_change_type insert, update_preimage, update_postimage, delete) and `_manifest/<n>.json`. A version exists once its
-manifest does, and a manifest is created exclusively, so of two writers one fails and nothing reads half a
-version. Readers keep the snapshot they began with. A merge that changes nothing makes no version. All paths go through
-the Hadoop file system of the table's location.
+A version is written once, into a folder of its own name (`data/<version>-<uuid>`): the rows that then hold, and with
+them how the version changed each (`_kind`: insert, update, delete, or null) and what an updated row was before. So
+snapshot and change log are one set of files, and reading either prunes the other's columns. `_manifest/<n>.json` names
+the folders that make version n; an append adds one and rewrites nothing. A version exists once its manifest does, and a
+manifest is created exclusively and only for the version after the one that the writer began with: of two writers one
+fails, its folder is deleted, and nothing that a manifest names is ever written again. Readers keep the
+snapshot they began with. A merge that changes nothing makes no version. All paths go through the Hadoop file system of
+the table's location.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +22,7 @@ from pyspark.sql import functions as F
 from halyard.functions.audit import any_null, duplicate_keys
 
 INSERT, BEFORE, AFTER, DELETE = "insert", "update_preimage", "update_postimage", "delete"
+KIND, PREVIOUS = "_kind", "_before"
 
 
 class TableConflict(RuntimeError):
@@ -38,11 +43,11 @@ class VersionedTable:
     # -- versions
 
     def version(self) -> int:
-        """The latest version; -1 before the first."""
+        """The latest version; -1 before the first. A manifest that is still empty names none yet."""
         folder = self._path(f"{self.path}/_manifest")
         if not self._fs.exists(folder):
             return -1
-        names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder) if f.getLen() > 0]
         return max([int(n[:-5]) for n in names if n.endswith(".json")], default=-1)
 
     def manifest(self, version: int) -> dict:
@@ -56,64 +61,95 @@ class VersionedTable:
         rows = [self.manifest(v) for v in range(self.version() + 1)]
         return self.spark.createDataFrame([(r["version"], r["operation"], r["inserted"], r["updated"], r["deleted"]) for r in rows], "version long, operation string, inserted long, updated long, deleted long")
 
+    def detail(self) -> DataFrame:
+        """One row: where the latest version is, what it is keyed by, its files and their bytes."""
+        version = self.version()
+        folders = self.manifest(version)["folders"] if version >= 0 else []
+        files = [f for folder in folders for f in self._fs.listStatus(self._path(f"{self.path}/{folder}")) if f.getPath().getName().endswith(".parquet")]
+        row = (self.path, version, self.keys, len(files), sum(f.getLen() for f in files), True)
+        return self.spark.createDataFrame([row], "location string, version long, keys array<string>, num_files long, size_in_bytes long, change_feed boolean")
+
     def exists(self) -> bool:
         return self.version() >= 0
 
-    def _commit(self, version: int, operation: str, counts: dict[str, int]) -> int:
+    def _commit(self, version: int, operation: str, counts: dict[str, int], folders: list[str] | None = None) -> int:
         place = self._path(f"{self.path}/_manifest/{version}.json")
-        body = json.dumps({"version": version, "operation": operation, "inserted": counts.get(INSERT, 0), "updated": counts.get(AFTER, 0), "deleted": counts.get(DELETE, 0)})
+        body = {"version": version, "operation": operation, "inserted": counts.get(INSERT, 0), "updated": counts.get(AFTER, 0), "deleted": counts.get(DELETE, 0), "folders": folders or []}
         try:
             out = self._fs.create(place, False)  # fails if it is there
         except Exception as e:
             raise TableConflict(f"{self.path}: version {version} exists") from e
-        out.write(bytearray(body.encode()))
+        out.write(bytearray(json.dumps(body).encode()))
         out.close()
         return version
 
     # -- reading
 
+    def _folders(self, names: list[str]) -> DataFrame:
+        return self.spark.read.option("mergeSchema", len(names) > 1).parquet(*[f"{self.path}/{name}" for name in names])
+
     def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v={self.version() if version is None else version}")
+        rows = self._folders(self.manifest(self.version() if version is None else version)["folders"])
+        return rows.filter(~F.col(KIND).eqNullSafe(DELETE)).drop(KIND, PREVIOUS)
 
     def changes(self, after: int, until: int | None = None) -> DataFrame:
         """What the versions in (after, until] changed, with _version."""
         until = self.version() if until is None else until
-        parts = [self.spark.read.parquet(f"{self.path}/_changes/v={v}").withColumn("_version", F.lit(v)) for v in range(max(after, -1) + 1, until + 1)]
+        parts = [self._changed(v) for v in range(max(after, -1) + 1, until + 1)]
         if not parts:
             return self.read().limit(0).withColumn("_change_type", F.lit("")).withColumn("_version", F.lit(0))
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
+    def _changed(self, version: int) -> DataFrame:
+        rows = self._folders(self.manifest(version)["folders"][-1:]).filter(F.col(KIND).isNotNull())
+        own = F.struct(*[c for c in rows.columns if c not in (KIND, PREVIOUS)])
+        entry = lambda kind, row: F.struct(kind.alias("k"), row.alias("r"))
+        pair = F.when(F.col(KIND) == AFTER, F.array(entry(F.lit(BEFORE), F.col(PREVIOUS)), entry(F.lit(AFTER), own))).otherwise(F.array(entry(F.col(KIND), own)))
+        return rows.select(F.explode(pair).alias("c")).select("c.r.*", F.col("c.k").alias("_change_type"), F.lit(version).alias("_version"))
+
     # -- writing
 
     def check(self, rows: DataFrame) -> None:
         """Raises where a required column is null or a key is there twice; nothing has been written then."""
-        if not rows.filter(any_null(self.required)).isEmpty():
+        groups = rows.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(any_null(self.required)).alias("nulls"))
+        found = groups.agg(F.coalesce(F.sum("nulls"), F.lit(0)).alias("nulls"), F.count_if(F.col("n") > 1).alias("copies")).first()
+        if found.nulls:
             raise ConstraintViolation(f"required_not_null: {', '.join(self.required)}")
-        if not duplicate_keys(rows, self.keys).isEmpty():
+        if found.copies:
             raise ConstraintViolation(f"duplicate_business_key: {', '.join(self.keys)}")
 
-    def _write(self, rows: DataFrame, changed: DataFrame, operation: str) -> int:
-        """One version from its rows and its changes; both are written before the manifest names them."""
-        version = self.version() + 1
-        changed.write.mode("overwrite").parquet(f"{self.path}/_changes/v={version}")
-        counts = {r["_change_type"]: r["count"] for r in self.spark.read.parquet(f"{self.path}/_changes/v={version}").groupBy("_change_type").count().collect()}
+    def _write(self, base: int, rows: DataFrame, operation: str, beside: bool = False) -> int:
+        """The version after base from rows with KIND and PREVIOUS; beside: they come besides the rows that hold."""
+        version, folder = base + 1, f"data/{base + 1}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{folder}")
+        counts = {r[KIND]: r["count"] for r in self._folders([folder]).filter(F.col(KIND).isNotNull()).groupBy(KIND).count().collect()}
         if version and not counts:
-            self._fs.delete(self._path(f"{self.path}/_changes/v={version}"), True)
-            return version - 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        return self._commit(version, operation, counts)
+            self._fs.delete(self._path(f"{self.path}/{folder}"), True)
+            return base
+        try:
+            return self._commit(version, operation, counts, [*(self.manifest(base)["folders"] if beside and base >= 0 else []), folder])
+        except TableConflict:
+            self._fs.delete(self._path(f"{self.path}/{folder}"), True)
+            raise
+
+    @staticmethod
+    def _marked(rows: DataFrame, kind: str | None, like: DataFrame | None = None) -> DataFrame:
+        kind_of = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in (like or rows).schema.fields) + ">"
+        return rows.withColumn(KIND, F.lit(kind).cast("string")).withColumn(PREVIOUS, F.lit(None).cast(kind_of))
 
     def create(self, rows: DataFrame) -> int:
         """The first version, or what overwrites all rows."""
+        base = self.version()
         self.check(rows)
-        if not self.exists():
-            return self._write(rows, rows.withColumn("_change_type", F.lit(INSERT)), "create")
-        return self._replace(rows, "overwrite")
+        if base < 0:
+            return self._write(base, self._marked(rows, INSERT), "create")
+        gone = self.read(base)
+        return self._write(base, self._marked(rows, INSERT, gone).unionByName(self._marked(gone, DELETE), allowMissingColumns=True), "overwrite")
 
     def append(self, rows: DataFrame) -> int:
-        if not self.exists():
-            return self._write(rows, rows.withColumn("_change_type", F.lit(INSERT)), "append")
-        return self._write(self.read().unionByName(rows), rows.withColumn("_change_type", F.lit(INSERT)), "append")
+        """Adds rows as they are, without looking at keys or at the rows that hold."""
+        base = self.version()
+        return self._write(base, self._marked(rows, INSERT), "append", beside=True)
 
     def merge(self, source: DataFrame, update: dict[str, Column] | None = None, when: Column | None = None, insert: bool = True, change_only: bool = True, compare: list[str] | None = None) -> int:
         """Upserts source by the keys and returns the version that then holds.
@@ -121,12 +157,13 @@ class VersionedTable:
         Columns of both sides are named s.x and t.x in update (what a matched row gets; default every column of source) and
         in when (which matched rows change; default all). insert: whether rows without a match come in. change_only:
         rows whose compared columns (default all but the keys) are equal, nulls to nulls, stay as they are. Absence
-        from source never deletes.
+        from source never deletes. Both sides are joined and written once.
         """
+        base = self.version()
         self.check(source)
-        if not self.exists():
-            return self._write(source, source.withColumn("_change_type", F.lit(INSERT)), "merge")
-        target = self.read()
+        if base < 0:
+            return self._write(base, self._marked(source, INSERT), "merge")
+        target = self.read(base)
         columns = target.columns
         s = source.select(F.struct(*[source[c] for c in source.columns]).alias("s"), *[source[k].alias(f"_s_{k}") for k in self.keys])
         t = target.select(F.struct(*columns).alias("t"), *[target[k].alias(f"_t_{k}") for k in self.keys])
@@ -140,35 +177,28 @@ class VersionedTable:
         if change_only:
             compared = compare or [c for c in columns if c not in self.keys and c in new]
             applies &= ~reduce(lambda a, b: a & b, [F.col(f"_after.{c}").eqNullSafe(F.col(f"t.{c}")) for c in compared], F.lit(True))
-        kind = F.when(applies, AFTER).when(F.col("t").isNull() & F.lit(insert), INSERT)
-        rows = rows.withColumn("_kind", kind).withColumn("_born", born)
-        current = rows.filter("t is not null or _kind is not null").select(F.when(F.col("_kind") == AFTER, F.col("_after")).when(F.col("_kind") == INSERT, F.col("_born")).otherwise(F.col("t")).alias("r")).select("r.*")
-        pair = F.when(F.col("_kind") == AFTER, F.array(F.struct(F.lit(BEFORE).alias("k"), F.col("t").alias("r")), F.struct(F.lit(AFTER).alias("k"), F.col("_after").alias("r")))).otherwise(F.array(F.struct(F.lit(INSERT).alias("k"), F.col("_born").alias("r"))))
-        changed = rows.filter("_kind is not null").select(F.explode(pair).alias("c")).select("c.r.*", F.col("c.k").alias("_change_type"))
-        return self._write(current, changed, "merge")
+        rows = rows.withColumn(KIND, F.when(applies, AFTER).when(F.col("t").isNull() & F.lit(insert), INSERT)).filter(F.col("t").isNotNull() | F.col(KIND).isNotNull())
+        own = F.when(F.col(KIND) == AFTER, F.col("_after")).when(F.col(KIND) == INSERT, born).otherwise(F.col("t"))
+        out = rows.select(own.alias("r"), KIND, F.when(F.col(KIND) == AFTER, F.col("t")).alias(PREVIOUS)).select("r.*", KIND, PREVIOUS)
+        return self._write(base, out, "merge")
 
     def insert_only(self, source: DataFrame) -> int:
-        """Rows whose key is not there yet."""
-        return self.merge(source, when=F.lit(False))
-
-    def update_where(self, condition: Column, values: dict[str, Column]) -> int:
-        """Sets columns of rows that meet a condition on the table's own columns."""
-        target = self.read()
-        hit = F.coalesce(condition, F.lit(False))
-        new = target.withColumn("_hit", hit)
-        changed = new.filter("_hit")
-        after = changed.withColumns({c: v.cast(target.schema[c].dataType) for c, v in values.items()})
-        log = changed.drop("_hit").withColumn("_change_type", F.lit(BEFORE)).unionByName(after.drop("_hit").withColumn("_change_type", F.lit(AFTER)))
-        rows = new.withColumns({c: F.when(F.col("_hit"), v.cast(target.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items()}).drop("_hit")
-        return self._write(rows, log, "update")
+        """Takes in rows whose key is not there yet; what is there isn't rewritten."""
+        base = self.version()
+        self.check(source)
+        new = source if base < 0 else source.join(self.read(base).select(*self.keys), self.keys, "left_anti").select(*source.columns)
+        return self._write(base, self._marked(new, INSERT), "merge", beside=True)
 
-    def delete_where(self, condition: Column) -> int:
-        hit = F.coalesce(condition, F.lit(False))
-        return self._write(self.read().filter(~hit), self.read().filter(hit).withColumn("_change_type", F.lit(DELETE)), "delete")
+    def update_where(self, condition: Column, values: dict[str, Column], base: int | None = None) -> int:
+        """Sets columns of rows that meet a condition on the table's own columns; base: the version that was looked at."""
+        base = self.version() if base is None else base
+        target = self.read(base)
+        hit = target.withColumn(KIND, F.when(condition, AFTER)).withColumn(PREVIOUS, F.when(F.col(KIND) == AFTER, F.struct(*target.columns)))
+        return self._write(base, hit.withColumns({c: F.when(F.col(KIND) == AFTER, v.cast(target.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items()}), "update")
 
-    def _replace(self, rows: DataFrame, operation: str) -> int:
-        gone = self.read().withColumn("_change_type", F.lit(DELETE))
-        return self._write(rows, gone.unionByName(rows.withColumn("_change_type", F.lit(INSERT)), allowMissingColumns=True), operation)
+    def delete_where(self, condition: Column) -> int:
+        base = self.version()
+        return self._write(base, self._marked(self.read(base), None).withColumn(KIND, F.when(condition, DELETE)), "delete")
 
 
 def reconcile(source: DataFrame, target: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
@@ -196,5 +226,3 @@ def read_increment(table: VersionedTable, after: int) -> tuple[int, DataFrame]:
     if not log.filter(F.col("_change_type") == DELETE).isEmpty():
         raise ConstraintViolation("delete_in_increment")
     return until, table.read(until).join(changed_keys(log, table.keys), table.keys, "left_semi")
-
-

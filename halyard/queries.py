@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.functions import audit
-from halyard.functions.identity import canonical_decimal, event_id, observation_hash
+from halyard.functions.identity import canonical_decimal, canonical_text, event_id, observation_hash
 from halyard.operators import series, serving
 from halyard.plans.evidence import evidence_state
 from halyard.plans.store import VersionedTable, read_increment, reconcile
@@ -193,8 +193,8 @@ published AS (
   FROM latest WHERE event_type <> 'view'),
 incoming AS (SELECT user_id, CAST(floor(value) AS BIGINT) + CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS h, value >= 20 AS eligible FROM latest)
 SELECT i.user_id, CAST(i.h AS VARCHAR) AS observation_hash, i.eligible, p.event_id AS previous_event_id,
-       CASE WHEN NOT i.eligible AND p.state = 'ELIGIBLE' THEN 'INVALIDATION' WHEN NOT i.eligible THEN 'SUPPRESSED_INELIGIBLE' WHEN p.state IS NULL THEN 'NEW_OBSERVATION'
-            WHEN p.state = 'ELIGIBLE' AND i.h = p.h THEN 'UNCHANGED' ELSE 'REVISED_OBSERVATION' END AS decision
+       CASE WHEN NOT i.eligible AND p.state = 'ELIGIBLE' THEN 'INVALIDATION' WHEN NOT i.eligible THEN 'SUPPRESSED_INELIGIBLE'
+            WHEN p.state = 'ELIGIBLE' AND i.h = p.h THEN 'UNCHANGED' WHEN p.state = 'ELIGIBLE' THEN 'REVISED_OBSERVATION' ELSE 'NEW_OBSERVATION' END AS decision
 FROM incoming i LEFT JOIN published p ON i.user_id = p.user_id""")
 def revision_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = series.latest_by(_events(spark, sf_dir).select("user_id", "event_id", "event_type", "value", "ts"), ["user_id"], ["ts", "event_id"])
@@ -213,12 +213,15 @@ def event_identity_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, sha256('{"event_type":"' || event_type || '","user_id":"' || CAST(user_id AS VARCHAR) || '","value":' ||
-         CASE WHEN event_id % 9 = 0 THEN 'null' ELSE '"' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || '"' END || '}') AS observation_hash
-FROM events""")
+WITH p AS (SELECT event_id, CAST(user_id AS INT) AS hour, event_type, CASE WHEN event_id % 9 = 0 THEN NULL ELSE CAST(round(value * 1000) AS BIGINT) END AS mills FROM events)
+SELECT event_id, sha256('{"delivery_hour":' || hour || ',"source_flag":"' || CASE WHEN event_type = 'view' THEN '<NULL>' ELSE event_type END || '","zonal_price":"' ||
+         CASE WHEN mills IS NULL THEN '<NULL>' ELSE (mills // 1000) || CASE WHEN mills % 1000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(mills % 1000 AS VARCHAR), 3, '0'), '0') END END || '"}') AS observation_hash
+FROM p""")
 def observation_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = canonical_decimal(F.when(F.col("event_id") % 9 != 0, F.floor("value")), 2, None)
-    return _events(spark, sf_dir).select("event_id", observation_hash({"value": value, "user_id": F.col("user_id"), "event_type": F.col("event_type")}).alias("observation_hash"))
+    price = F.when(F.col("event_id") % 9 != 0, (F.round(F.col("value") * 1000).cast("decimal(18,0)") / F.lit(1000)).cast("decimal(18,3)"))
+    flag = F.when(F.col("event_type") != "view", F.col("event_type"))
+    fields = {"zonal_price": canonical_decimal(price), "delivery_hour": F.col("user_id").cast("int"), "source_flag": canonical_text(flag)}
+    return _events(spark, sf_dir).select("event_id", observation_hash(fields).alias("observation_hash"))
 
 
 # -- audits

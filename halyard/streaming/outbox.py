@@ -9,26 +9,25 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.functions.identity import event_id, observation_hash
-from halyard.operators.series import ELIGIBLE, INVALIDATED, INVALIDATION, OBSERVATION, revision_decisions
-from halyard.plans.store import VersionedTable
+from halyard.functions.identity import canonical_decimal, canonical_text, event_id, observation_hash
+from halyard.operators.series import ELIGIBLE, INVALIDATED, INVALIDATION, OBSERVATION, population_state, revision_decisions
+from halyard.plans.contracts import PRICES
+from halyard.plans.store import TableConflict, VersionedTable
 
 PENDING, SENDING, SENT = "PENDING", "SENDING", "SENT"
 EVENT_VERSION = "rt_price_event_v1"
 SLOT = ["delivery_date", "delivery_hour", "interval"]
 #: The event as it is sent and as the log holds it.
-EVENT = "event_schema_version string, event_type string, event_id string, observation_hash string, delivery_date string, delivery_hour int, interval int, zonal_price double, loss_price double, congestion_price double, source_flag string, publication_state string, previous_event_id string, source_name string, source_file string, source_url string, source_hash string, source_created_at_raw string, source_doc_revision string, bronze_first_seen_at_utc string, publisher_run_id string, poll_id string, event_created_at_utc string"
+EVENT = "event_schema_version string, event_type string, event_id string, observation_hash string, delivery_date string, delivery_hour int, interval int, zonal_price_capped_cad_per_mwh double, loss_price_capped_cad_per_mwh double, congestion_price_capped_cad_per_mwh double, source_flag string, publication_state string, previous_event_id string, source_name string, source_file string, source_url string, source_hash string, source_created_at_raw string, source_doc_revision string, bronze_first_seen_at_utc string, publisher_run_id string, poll_id string, event_created_at_utc string"
 _NAMES = [c.split()[0] for c in EVENT.split(", ")]
 
 
-def observed(df: DataFrame, prices: tuple[str, ...] = ("zonal_price", "loss_price", "congestion_price")) -> DataFrame:
-    """Typed slots with observation_hash and whether they may be published: all prices are there."""
-    from functools import reduce
-
-    from halyard.functions.identity import canonical_decimal
-
-    fields = {c: F.col(c) for c in (*SLOT, "source_flag")} | {p: canonical_decimal(F.col(p), 2, None) for p in prices}
-    return df.withColumn("observation_hash", observation_hash(fields)).withColumn("eligible", reduce(lambda a, b: a & b, [F.col(p).isNotNull() for p in prices]))
+def observed(df: DataFrame, prices: tuple[str, ...] = PRICES) -> DataFrame:
+    """Typed slots with observation_hash, of the seven fields that make an observation, and whether they may be published: all prices are there."""
+    day, hour, interval = SLOT
+    fields = {day: F.col(day).cast("string"), hour: F.col(hour).cast("int"), interval: F.col(interval).cast("int"), "source_flag": canonical_text(F.col("source_flag"))}
+    fields |= {p: canonical_decimal(F.col(p)) for p in prices}
+    return df.withColumn("observation_hash", observation_hash(fields)).withColumn("eligible", population_state(list(prices)) == "FULLY_POPULATED")
 
 
 def events_of(decided: DataFrame, lineage: dict[str, str | None], created_at: Column | None = None) -> DataFrame:
@@ -38,8 +37,8 @@ def events_of(decided: DataFrame, lineage: dict[str, str | None], created_at: Co
     price = lambda c: F.when(~withdrawn, F.col(c).cast("double"))
     made = {
         "event_schema_version": F.lit(EVENT_VERSION), "event_type": F.when(withdrawn, INVALIDATION).otherwise(OBSERVATION),
-        "event_id": event_id(EVENT_VERSION, [F.col("delivery_date"), F.col("delivery_hour"), F.col("interval"), F.lit(lineage.get("source_created_at_raw")), F.col("observation_hash")]),
-        "delivery_date": F.col("delivery_date").cast("string"), "zonal_price": price("zonal_price"), "loss_price": price("loss_price"), "congestion_price": price("congestion_price"),
+        "event_id": event_id(EVENT_VERSION, [F.col("delivery_date"), F.col("delivery_hour"), F.col("interval"), F.lit(lineage.get("source_created_at_raw")), F.lit(lineage.get("source_hash"))]),
+        "delivery_date": F.col("delivery_date").cast("string"), **{p: price(p) for p in PRICES},
         "publication_state": F.when(withdrawn, INVALIDATED).otherwise(ELIGIBLE), "event_created_at_utc": F.date_format(F.current_timestamp() if created_at is None else created_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"),
         **{c: F.lit(v).cast("string") for c, v in lineage.items()},
     }
@@ -60,39 +59,60 @@ class Outbox:
         rows = events.select(*kept, payload.alias("event_payload"), F.lit(PENDING).alias("status"), F.lit(0).cast("long").alias("attempt_count"), *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()], F.current_timestamp().alias("created_at_utc"), F.current_timestamp().alias("updated_at_utc"))
         return self.table.insert_only(rows)
 
-    def claim(self, owner: str, lease: str = "5 minutes", now: Column | None = None) -> tuple[str, str] | None:
-        """Leases the oldest row that waits or whose lease has run out: (event_id, payload)."""
+    def _again(self, change: Callable[[int], object], tries: int = 8):
+        """change(version), once more from the new version where another writer came first."""
+        for k in range(tries):
+            try:
+                return change(self.table.version())
+            except TableConflict:
+                if k == tries - 1:
+                    raise
+
+    def claims(self, owner: str, most: int = 1, lease: str = "5 minutes", now: Column | None = None) -> list[tuple[str, str]]:
+        """Leases the oldest rows that wait or whose lease has run out, at most so many: (event_id, payload).
+
+        The version that names the lease follows the one that was looked at, so no row is leased twice.
+        """
         now = F.current_timestamp() if now is None else now
         free = (F.col("status") == PENDING) | ((F.col("status") == SENDING) & (F.col("lease_expires_at_utc") <= now))
-        head = self.table.read().filter(free).orderBy("created_at_utc", "event_id").select("event_id", "event_payload").limit(1).collect()
-        if not head:
-            return None
-        self.table.update_where((F.col("event_id") == head[0].event_id) & free, {
-            "status": F.lit(SENDING), "lease_owner_run_id": F.lit(owner), "lease_expires_at_utc": now + F.expr(f"interval {lease}"), "last_attempt_at_utc": now, "attempt_count": F.col("attempt_count") + 1, "updated_at_utc": now,
-        })
-        return head[0].event_id, head[0].event_payload
-
-    def _settle(self, event: str, owner: str, values: dict[str, Column]) -> None:
-        values |= {"lease_owner_run_id": F.lit(None), "lease_expires_at_utc": F.lit(None), "updated_at_utc": F.current_timestamp()}
-        self.table.update_where((F.col("event_id") == event) & (F.col("status") == SENDING) & (F.col("lease_owner_run_id") == owner), values)
-
-    def sent(self, event: str, owner: str) -> None:
-        self._settle(event, owner, {"status": F.lit(SENT), "sent_at_utc": F.current_timestamp(), "last_error": F.lit(None)})
-
-    def failed(self, event: str, owner: str, error: str) -> None:
-        self._settle(event, owner, {"status": F.lit(PENDING), "last_error": F.lit(error[:4000])})
-
-    def dispatch(self, send: Callable[[str, str], None], most: int = 100, owner: str | None = None) -> int:
-        """Sends what waits, one by one; a failure puts its row back and goes on to the caller."""
+
+        def lease_heads(version: int) -> list[tuple[str, str]]:
+            head = self.table.read(version).filter(free).orderBy("created_at_utc", "event_id").select("event_id", "event_payload").limit(most).collect()
+            if head:
+                self.table.update_where(F.col("event_id").isin([r.event_id for r in head]) & free, {
+                    "status": F.lit(SENDING), "lease_owner_run_id": F.lit(owner), "lease_expires_at_utc": now + F.expr(f"interval {lease}"), "last_attempt_at_utc": now, "attempt_count": F.col("attempt_count") + 1, "updated_at_utc": now,
+                }, version)
+            return [(r.event_id, r.event_payload) for r in head]
+
+        return self._again(lease_heads)
+
+    def claim(self, owner: str, lease: str = "5 minutes", now: Column | None = None) -> tuple[str, str] | None:
+        """Leases the oldest row that may be sent."""
+        return next(iter(self.claims(owner, 1, lease, now)), None)
+
+    def settle(self, owner: str, sent: list[str], failed: str | None = None, error: str = "", released: list[str] | None = None) -> None:
+        """Marks what an owner has sent, puts back what failed, with its error, and what it didn't try; one version for all."""
+        mine = F.col("event_id").isin([*sent, *(released or []), *([failed] if failed else [])]) & (F.col("status") == SENDING) & (F.col("lease_owner_run_id") == owner)
+        done, broken = F.col("event_id").isin(sent), F.col("event_id") == F.lit(failed)
+        values = {
+            "status": F.when(done, SENT).otherwise(PENDING), "sent_at_utc": F.when(done, F.current_timestamp()).otherwise(F.col("sent_at_utc")),
+            "last_error": F.when(broken, F.lit(error[:4000])).when(done, F.lit(None)).otherwise(F.col("last_error")),
+            "lease_owner_run_id": F.lit(None), "lease_expires_at_utc": F.lit(None), "updated_at_utc": F.current_timestamp(),
+        }
+        self._again(lambda version: self.table.update_where(mine, values, version))
+
+    def dispatch(self, send: Callable[[str, str], None], most: int = 100, owner: str | None = None, batch: int = 50) -> int:
+        """Sends what waits, oldest first, leased in batches; a failure puts its row back and goes on to the caller."""
         owner, done = owner or str(uuid.uuid4()), 0
-        while done < most and (claimed := self.claim(owner)):
-            try:
-                send(*claimed)
-            except Exception as e:
-                self.failed(claimed[0], owner, str(e))
-                raise
-            self.sent(claimed[0], owner)
-            done += 1
+        while done < most and (claimed := self.claims(owner, min(batch, most - done))):
+            for k, (event, payload) in enumerate(claimed):
+                try:
+                    send(event, payload)
+                except Exception as e:
+                    self.settle(owner, [x for x, _ in claimed[:k]], event, str(e), [x for x, _ in claimed[k + 1 :]])
+                    raise
+            self.settle(owner, [x for x, _ in claimed])
+            done += len(claimed)
         return done
 
     def status(self) -> DataFrame:
@@ -104,9 +124,33 @@ def gate(checkpoint_hash: str | None, source_hash: str) -> str:
     return "BOOTSTRAP" if checkpoint_hash is None else "UNCHANGED" if checkpoint_hash == source_hash else "NEW_REVISION"
 
 
+CHECKPOINT = "source_name string, last_completed_source_hash string, last_completed_bronze_path string, last_completed_first_seen_at_utc timestamp, last_completed_at_utc timestamp, last_successful_poll_at_utc timestamp, last_publisher_run_id string, updated_at_utc timestamp"
+
+
+class SourceCheckpoints:
+    """What each source's publisher has completed: a row a source, advanced once all events of a payload are in the outbox."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.table = spark, VersionedTable(spark, path, ["source_name"])
+
+    def gate(self, source: str, source_hash: str) -> str:
+        rows = self.table.read().filter(F.col("source_name") == source).select("last_completed_source_hash").collect() if self.table.exists() else []
+        return gate(rows[0][0] if rows else None, source_hash)
+
+    def complete(self, source: str, source_hash: str, bronze_path: str, run_id: str) -> int:
+        """Source, hash and path that are done; a poll that finds nothing new uses polled()."""
+        row = self.spark.createDataFrame([(source, source_hash, bronze_path, None, None, None, run_id, None)], CHECKPOINT)
+        return self.table.merge(row.withColumns({c: F.current_timestamp() for c in ("last_completed_first_seen_at_utc", "last_completed_at_utc", "last_successful_poll_at_utc", "updated_at_utc")}))
+
+    def polled(self, source: str) -> int:
+        now = F.current_timestamp()
+        return self.table.update_where(F.col("source_name") == source, {"last_successful_poll_at_utc": now, "updated_at_utc": now})
+
+
 def publish(outbox: Outbox, slots: DataFrame, published: DataFrame, lineage: dict[str, str | None]) -> int:
     """Decides every slot against the latest publication of its key and puts the events into the outbox."""
-    decided = revision_decisions(observed(slots), published, SLOT)
+    named = slots.withColumnRenamed("_source_flag", "source_flag")  # what facts call it
+    decided = revision_decisions(observed(named), published, SLOT)
     return outbox.put(events_of(decided, lineage))
 
 

@@ -70,7 +70,7 @@ def test_decisions(spark):
     incoming = spark.createDataFrame([(1, "a", True), (2, "a", True), (3, "b", True), (4, "a", False), (5, "a", False), (6, "a", True)], "k int, observation_hash string, eligible boolean")
     latest = spark.createDataFrame([(2, "p2", "a", "ELIGIBLE"), (3, "p3", "a", "ELIGIBLE"), (4, "p4", "a", "ELIGIBLE"), (5, "p5", "a", "INVALIDATED"), (6, "p6", "a", "INVALIDATED")], "k int, event_id string, observation_hash string, publication_state string")
     out = {r.k: r.decision for r in series.revision_decisions(incoming, latest, ["k"]).collect()}
-    assert out == {1: "NEW_OBSERVATION", 2: "UNCHANGED", 3: "REVISED_OBSERVATION", 4: "INVALIDATION", 5: "SUPPRESSED_INELIGIBLE", 6: "REVISED_OBSERVATION"}
+    assert out == {1: "NEW_OBSERVATION", 2: "UNCHANGED", 3: "REVISED_OBSERVATION", 4: "INVALIDATION", 5: "SUPPRESSED_INELIGIBLE", 6: "NEW_OBSERVATION"}
 
 
 def test_unpivot_keeps_nulls(spark):

@@ -90,7 +90,7 @@ def test_partial_and_empty_slots(spark, last, partial, empty):
     rows = [("2026-01-01", "1", str(k), None, "50.00", "0.10", "-0.20") for k in range(1, 12)] + [("2026-01-01", "1", "12", None, *last)]
     raw = spark.createDataFrame(rows, "delivery_date_raw string, delivery_hour_raw string, interval_raw string, flag_raw string, lmp_cap_raw string, loss_price_cap_raw string, cong_price_cap_raw string")
     said = quality.validated(typed(raw, contract.typing()), contract)
-    assert (said.get("partially_populated", 0), said.get("fully_empty", 0)) == (partial, empty) and said["congestion_price_negative"] == 11
+    assert (said.get("partially_populated", 0), said.get("fully_empty", 0)) == (partial, empty) and said["congestion_price_capped_cad_per_mwh_negative"] == 11
 
 
 def test_registry_states(spark, tmp_path):

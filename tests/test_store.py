@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +69,35 @@ def test_writers_do_not_overwrite_each_other(spark, store):
         store._commit(1, "merge", {})
 
 
+def test_of_two_writers_one_fails_and_the_version_stays(spark, store):
+    """The second begins at the version that the first begins at, and ends after it has committed."""
+    late = VersionedTable(spark, store.path, ["k"])
+    write = late._commit
+
+    def commit(*args):
+        late._commit = write
+        store.merge(spark.createDataFrame([(1, 1, "first")], SCHEMA))
+        return write(*args)
+
+    late._commit = commit
+    with pytest.raises(TableConflict):
+        late.merge(spark.createDataFrame([(1, 2, "second")], SCHEMA))
+    assert late.version() == 1 and rows(late.read()) == rows(store.read(1)) == [(1, 1, "first"), (2, 20, None)]
+    late.merge(spark.createDataFrame([(1, 2, "second")], SCHEMA))
+    assert rows(store.changes(1).select("v", "note", "_change_type")) == [(1, "first", "update_preimage"), (2, "second", "update_postimage")]
+    assert len(list((Path(store.path) / "data").iterdir())) == 3
+
+
+def test_append_and_insert_only_rewrite_nothing(spark, store):
+    store.append(spark.createDataFrame([(7, 70, "x")], SCHEMA))
+    store.insert_only(spark.createDataFrame([(7, 71, "y"), (8, 80, "z")], SCHEMA))
+    assert rows(store.read().select("k", "v")) == [(1, 10), (2, 20), (7, 70), (8, 80)]
+    assert rows(store.changes(0).select("k", "_change_type", "_version")) == [(7, "insert", 1), (8, "insert", 2)]
+    assert store.manifest(2)["folders"][:2] == store.manifest(1)["folders"] and store.detail().first().version == 2
+    store.create(spark.createDataFrame([(1, 1, "n")], SCHEMA))
+    assert rows(store.read()) == [(1, 1, "n")] and store.changes(2).filter("_change_type = 'delete'").count() == 4
+
+
 def test_increment(spark, store):
     store.merge(spark.createDataFrame([(2, 21, None)], SCHEMA))
     store.merge(spark.createDataFrame([(2, 22, None)], SCHEMA))
