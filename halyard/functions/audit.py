@@ -107,3 +107,38 @@ def top_by_magnitude(df: DataFrame, value: str, ties: list[str], n: int) -> Data
 def required_headers(found: list[str], required: list[str]) -> tuple[list[str], list[str]]:
     """What is missing from a header, and what it has besides, in order."""
     return [c for c in required if c not in found], [c for c in found if c not in required]
+
+
+def schema_profile(df: DataFrame, columns: list[str], valid: dict[str, Column] | None = None) -> DataFrame:
+    """(column_name, data_type, n_rows, n_nulls, n_distinct, n_invalid, min_value, max_value) for each column.
+
+    One Expand of a column's value a row, aggregated twice: counts of distinct values combine on the map side and no
+    group holds a column's whole set. valid: what the values of a column have to meet.
+    """
+    kinds = dict(df.dtypes)
+    cells = [F.struct(F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("data_type"), F.col(c).cast("string").alias("value"), F.coalesce(~(valid or {}).get(c, F.lit(True)), F.lit(False)).alias("invalid"), F.lit(k).alias("k")) for k, c in enumerate(columns)]
+    each = df.select(F.explode(F.array(*cells)).alias("x")).groupBy("x.column_name", "x.data_type", "x.value").agg(F.count(F.lit(1)).alias("n"), F.count_if("x.invalid").alias("bad"))
+    out = each.groupBy("column_name", "data_type").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_nulls"), F.count("value").alias("n_distinct"), F.sum("bad").alias("n_invalid"))
+    ends = df.agg(*[F.struct(F.min(c).cast("string").alias("lo"), F.max(c).cast("string").alias("hi")).alias(f"c{k}") for k, c in enumerate(columns)])
+    spread = ends.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{k}.lo").alias("min_value"), F.col(f"c{k}.hi").alias("max_value")) for k, c in enumerate(columns)])).alias("e")).select("e.*")
+    return out.join(F.broadcast(spread), "column_name")  # a row a column
+
+
+def described(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, n, mean, stddev, min, max) of numeric columns, from one aggregate."""
+    stats = {"n": F.count, "mean": F.avg, "stddev": F.stddev_samp, "min": F.min, "max": F.max}
+    row = df.agg(*[F.struct(*[f(c).cast("double" if name != "n" else "long").alias(name) for name, f in stats.items()]).alias(f"c{k}") for k, c in enumerate(columns)])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{k}").alias("s")) for k, c in enumerate(columns)])).alias("e")).select("e.column_name", "e.s.*")
+
+
+def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner join on keys; raises where a key is there twice on a side."""
+    for name, side in (("left", left), ("right", right)):
+        if not duplicate_keys(side, keys).isEmpty():
+            raise ValueError(f"{name} has a key twice: {', '.join(keys)}")
+    return left.join(right, keys, "inner")
+
+
+def collected(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, values): the distinct values of each group in order; for groups whose values are known to be few."""
+    return df.groupBy(*by).agg(F.array_sort(F.collect_set(value)).alias("values"))

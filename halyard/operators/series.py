@@ -111,11 +111,10 @@ def rolling_long(df: DataFrame, slot: str, value: str, windows: dict[int, int] |
     return grouped.select(slot, "window_minutes", "expected_slots", "present_slots", whole.alias("window_complete"), F.when(whole, F.col("_avg")).alias("rolling_avg"))
 
 
-def market_metrics(current: DataFrame, slot: str, value: str) -> DataFrame:
-    """Change and all windows of each slot: both are computed once and joined on the slot."""
-    change = gap_safe_change(current, slot, value).withColumn("is_negative", F.col(value) < 0)
-    windows = rolling(current.select(slot, value), slot, value).drop(value)
-    return change.join(windows, slot, "left")
+def market_metrics(current: DataFrame, slot: str, value: str, series: list[str] | None = None) -> DataFrame:
+    """Change and all windows of each slot: the windows run over the rows that have their change, so nothing is joined on the slot."""
+    change = gap_safe_change(current, slot, value, series).withColumn("is_negative", F.col(value) < 0)
+    return rolling(change, slot, value, series=series)
 
 
 def latest_per_group(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:

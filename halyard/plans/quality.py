@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.functions.audit import any_null, duplicate_keys
+from halyard.functions.audit import any_null, completeness, duplicate_keys, required_headers
 from halyard.functions.typing import blank_to_null, malformed
 from halyard.operators.series import population_state
 from halyard.plans.contracts import REQUIRED_LINEAGE, Contract
@@ -36,14 +36,17 @@ def rules_of(contract: Contract, columns: list[str]) -> dict[str, tuple[str, Col
 
 
 def evaluate(typed: DataFrame, contract: Contract) -> DataFrame:
-    """(rule_id, severity, records_checked, records_failed): every rule of a contract from one aggregate, and its keys from another."""
+    """(rule_id, severity, records_checked, records_failed, is_observation): every rule of a contract from one aggregate, and its keys from another.
+
+    Of an observation, which cannot fail, records_failed is what was observed.
+    """
     rules = rules_of(contract, typed.columns)
     counts = typed.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.coalesce(hit, F.lit(False))).alias(rule) for rule, (_, hit) in rules.items()])
     keys = duplicate_keys(typed, list(contract.keys)).agg(F.coalesce(F.sum(F.col("n_rows") - 1), F.lit(0)).alias("duplicate_business_key"))
     wanted = {"duplicate_business_key": FAIL} | {rule: worst for rule, (worst, _) in rules.items()}
     each = [F.struct(F.lit(rule).alias("rule_id"), F.lit(worst).alias("worst"), F.col("_n").alias("records_checked"), F.col(rule).cast("long").alias("records_failed")) for rule, worst in wanted.items()]
     rows = counts.crossJoin(F.broadcast(keys)).select(F.explode(F.array(*each)).alias("r")).select("r.*")  # a row each
-    return rows.select("rule_id", F.when(F.col("records_failed") > 0, F.col("worst")).otherwise(PASS).alias("severity"), "records_checked", "records_failed")
+    return rows.select("rule_id", F.when(F.col("records_failed") > 0, F.col("worst")).otherwise(PASS).alias("severity"), "records_checked", "records_failed", (F.col("worst") == PASS).alias("is_observation"))
 
 
 def validated(typed: DataFrame, contract: Contract) -> dict[str, int]:
@@ -75,14 +78,68 @@ def five_rules(source: DataFrame, target: DataFrame, contract: Contract) -> Data
 
 
 def result_rows(spark: SparkSession, rules: DataFrame, run_id: str, contract: Contract, category: str = "CONTRACT", at: Column | None = None) -> DataFrame:
-    present = lambda c, kind: (F.col(c) if c in rules.columns else F.lit(None)).cast(kind)
+    """Rules as results (RESULT). An observation has no failed records, and what it counted is its observed value."""
+    seen = F.col("is_observation") if "is_observation" in rules.columns else F.lit(False)
+    present = lambda c, kind, otherwise=None: (F.col(c) if c in rules.columns else F.lit(otherwise)).cast(kind)
     return rules.select(
-        F.lit(run_id).alias("run_id"), F.lit(contract.source_name).alias("source_name"), F.lit(contract.dataset).alias("dataset_name"), "rule_id", F.lit(category).alias("rule_category"), "severity",
-        F.lit("COMPLETED").alias("status"), present("records_checked", "long").alias("records_checked"), present("records_failed", "long").alias("records_failed"),
-        present("observed_value", "string").alias("observed_value"), present("expected_value", "string").alias("expected_value"), (F.current_timestamp() if at is None else at).alias("execution_timestamp"), present("details", "string").alias("details"),
+        F.lit(run_id).alias("run_id"), F.lit(contract.source_name).alias("source_name"), F.lit(contract.dataset).alias("dataset_name"), "rule_id", F.when(seen, "OBSERVATION").otherwise(category).alias("rule_category"), "severity",
+        F.lit("COMPLETED").alias("status"), present("records_checked", "long").alias("records_checked"), F.when(~seen, present("records_failed", "long")).alias("records_failed"),
+        F.coalesce(present("observed_value", "string"), present("records_failed", "string")).alias("observed_value"), F.when(~seen, present("expected_value", "string", "0 failures")).alias("expected_value"),
+        (F.current_timestamp() if at is None else at).alias("execution_timestamp"), present("details", "string").alias("details"),
     )
 
 
+def warnings(counts: DataFrame, checked: Column, rules: dict[str, Column]) -> DataFrame:
+    """(rule_id, severity, records_checked, records_failed, is_observation) from a row of counts: rules that warn when they count anything."""
+    each = F.array(*[F.struct(F.lit(rule).alias("rule_id"), F.coalesce(n, F.lit(0)).cast("long").alias("records_failed")) for rule, n in rules.items()])
+    rows = counts.select(checked.cast("long").alias("records_checked"), F.explode(each).alias("r"))
+    return rows.select("r.rule_id", F.when(F.col("r.records_failed") > 0, WARN).otherwise(PASS).alias("severity"), "records_checked", "r.records_failed", F.lit(False).alias("is_observation"))
+
+
+def coverage_rules(typed: DataFrame, day: str, expected: int) -> DataFrame:
+    """Days before the latest that lack rows, and whether the latest lacks some."""
+    days = completeness(typed.filter(F.col(day).isNotNull()), F.col(day), expected)
+    counts = days.agg(F.count(F.lit(1)).alias("days"), F.count_if(F.col("state") == "INCOMPLETE").alias("old"), F.count_if(F.col("state") == "LATEST_PARTIAL").alias("latest"))
+    return warnings(counts, F.col("days"), {"historical_days_complete": F.col("old"), "latest_day_complete": F.col("latest")})
+
+
+def unseen_rules(df: DataFrame, known: dict[str, list]) -> DataFrame:
+    """For each column the rows with a value outside its known set; such rows are kept and warned of."""
+    rules = {f"{c}_known": F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(values)) for c, values in known.items()}
+    named = [n.alias(rule) for rule, n in rules.items()]
+    return warnings(df.agg(F.count(F.lit(1)).alias("_n"), *named), F.col("_n"), {rule: F.col(rule) for rule in rules})
+
+
+def header_rules(spark: SparkSession, found: list[str], required: list[str]) -> DataFrame:
+    """A missing column fails, one that is new is warned of."""
+    missing, more = required_headers(found, required)
+    rows = [("required_columns", FAIL if missing else PASS, len(required), len(missing), False, ", ".join(missing)), ("known_columns", WARN if more else PASS, len(found), len(more), False, ", ".join(more))]
+    return spark.createDataFrame(rows, "rule_id string, severity string, records_checked long, records_failed long, is_observation boolean, details string")
+
+
+def total_rules(wide: DataFrame, parts: list[str], total: str, other: str, difference: str) -> DataFrame:
+    """Rows whose parts don't add up to the total, and whose difference isn't the total less the other measure."""
+    deltas = sum_deltas(wide, parts, total, other, difference)
+    counts = deltas.agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("sum_delta") != 0).alias("a"), F.count_if(F.col("difference_delta") != 0).alias("b"))
+    return warnings(counts, F.col("_n"), {"parts_sum_to_total": F.col("a"), "difference_is_consistent": F.col("b")})
+
+
+def freshness(df: DataFrame, day: str, parts: list[str], expected: int, created: str | None = None, ingested: str | None = None) -> DataFrame:
+    """One row: how far a dataset reaches, and whether its latest day is whole: latest_day, the largest of each of parts on it,
+    latest_day_rows, expected_rows, is_complete, last_created, last_ingested."""
+    when = lambda c: (F.max(c) if c else F.max(F.lit(None).cast("string"))).cast("string")
+    days = df.filter(F.col(day).isNotNull()).groupBy(day).agg(F.count(F.lit(1)).alias("n"), *[F.max(p).alias(p) for p in parts], when(created).alias("_c"), when(ingested).alias("_i"))
+    last = days.agg(F.max_by(F.struct(day, "n", *parts), day).alias("l"), F.max("_c").alias("last_created"), F.max("_i").alias("last_ingested"))
+    return last.select(F.col(f"l.{day}").alias("latest_day"), *[F.col(f"l.{p}").alias(f"latest_{p}") for p in parts], F.col("l.n").alias("latest_day_rows"), F.lit(expected).cast("long").alias("expected_rows"), (F.col("l.n") >= expected).alias("is_complete"), "last_created", "last_ingested")
+
+
+def average_differences(slots: DataFrame, prices: list[str], reported: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, and for each price the reported average, that of the fully populated slots at two digits, and reported less calculated."""
+    whole = slots.filter(population_state(prices) == "FULLY_POPULATED").groupBy(*keys).agg(*[F.round(F.avg(p), 2).alias(f"calculated_{p}") for p in prices])
+    both = reported.select(*keys, *[F.col(p).alias(f"reported_{p}") for p in prices]).join(whole, keys, "left")
+    return both.withColumns({f"difference_{p}": F.col(f"reported_{p}") - F.col(f"calculated_{p}") for p in prices})
+
+
 def results_table(spark: SparkSession, path: str) -> VersionedTable:
     return VersionedTable(spark, path, ["run_id", "source_name", "dataset_name", "rule_id"])
 

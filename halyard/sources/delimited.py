@@ -1,8 +1,8 @@
-"""Delimited files with a preamble: the header is the one early line that holds all required names."""
+"""Delimited files with a preamble: the header is the one early line that holds all required names. Each file is a payload."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Lines in which the header has to be.
@@ -10,42 +10,54 @@ SEARCHED = 50
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_number, line) of whole files: a file of this kind is one payload, so its lines are numbered where it is read."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("value"))
-    return files.select("file", F.posexplode(F.split("value", "\n", -1)).alias("k", "line")).select("file", (F.col("k") + 1).cast("long").alias("line_number"), "line")
+    """(file, line_number, line) of files of any size: blocks are read apart, and only their line counts are summed up.
+
+    A block's lines are read one after the other, so within it their numbers are distances of a running id.
+    """
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select(*block, F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    sizes = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return lines.join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_number"), "line")
 
 
 def _names(line: Column) -> Column:
     return F.transform(F.split(line, ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
 
 
-def header_of(lines: DataFrame, required: list[str], searched: int = SEARCHED) -> tuple[int, list[str]]:
-    """Line number and names of the header; raises unless exactly one early line holds all required names."""
+def headers_of(lines: DataFrame, required: list[str], searched: int = SEARCHED) -> DataFrame:
+    """(file, n, header_at, names): how many early lines of each file hold all required names, and the first of them."""
     names = _names(F.col("line"))
-    found = lines.filter(F.col("line_number") <= searched).filter(F.size(F.array_intersect(names, F.array(*[F.lit(r) for r in required]))) == len(set(required)))
-    rows = found.select("line_number", names.alias("names")).limit(2).collect()
-    if len(rows) != 1:
-        raise ValueError(f"{len(rows) or 'no'} header lines with {', '.join(required)} in the first {searched}")
-    return rows[0].line_number, list(rows[0].names)
+    hit = (F.col("line_number") <= searched) & (F.size(F.array_intersect(names, F.array(*[F.lit(r) for r in required]))) == len(set(required)))
+    first = F.min(F.when(hit, F.struct("line_number", names.alias("names"))))
+    return lines.groupBy("file").agg(F.count_if(hit).alias("n"), first.alias("h")).select("file", "n", F.col("h.line_number").alias("header_at"), "h.names")
 
 
-def read_after_header(spark: SparkSession, path: str, columns: dict[str, str], exact: bool = True) -> DataFrame:
-    """The rows below the header as strings, renamed (header name -> column), with _source_row_number from 1.
+def read_after_header(spark: SparkSession, path: str, columns: dict[str, str], exact: bool = True, file_col: str | None = None) -> DataFrame:
+    """The rows below each file's header as strings, renamed (header name -> column), with _source_row_number from 1.
 
-    exact: the header has to be just these names in this order.
+    exact: the header has to be just these names in this order; else all files have to have the same header. file_col:
+    what the file's path is called, if it is asked for.
     """
     lines = numbered_lines(spark, path)
-    at, names = header_of(lines, list(columns))
-    if exact and names != list(columns):
-        raise ValueError(f"header is {names}, not {list(columns)}")
+    headers = headers_of(lines, list(columns))
+    said = headers.agg(F.count_if(F.col("n") != 1).alias("bad"), F.min(F.struct("n", "file")).alias("least"), F.max(F.struct("n", "file")).alias("most"), F.min("names").alias("names"), F.max("names").alias("other")).first()
+    if said.bad is None or said.least is None or said.bad:
+        wrong = said.least if said.least and said.least.n == 0 else said.most
+        raise ValueError(f"{wrong.n if wrong and wrong.n else 'no'} header lines with {', '.join(columns)} in the first {SEARCHED}" + (f" of {wrong.file}" if wrong else ""))
+    for names in (said.names, said.other):
+        if exact and list(names) != list(columns) or names != said.names:
+            raise ValueError(f"header is {names}, not {list(columns) if exact else said.names}")
+    names = list(said.names)
     schema = ", ".join(f"`{n}` string" for n in names)
-    rows = lines.filter((F.col("line_number") > at) & (F.trim("line") != ""))
-    parsed = rows.select((F.col("line_number") - at).alias("_source_row_number"), F.from_csv("line", schema).alias("r"))
-    return parsed.select(*[F.col(f"r.`{n}`").alias(columns.get(n, n)) for n in names], "_source_row_number")
+    rows = lines.join(headers.select("file", "header_at"), "file").filter((F.col("line_number") > F.col("header_at")) & (F.trim("line") != ""))
+    parsed = rows.select("file", (F.col("line_number") - F.col("header_at")).alias("_source_row_number"), F.from_csv("line", schema).alias("r"))
+    return parsed.select(*[F.col(f"r.`{n}`").alias(columns.get(n, n)) for n in names], "_source_row_number", *([F.col("file").alias(file_col)] if file_col else []))
 
 
-def read_demand(spark: SparkSession, path: str) -> DataFrame:
-    return read_after_header(spark, path, {"Date": "date_raw", "Hour": "hour_raw", "Market Demand": "market_demand_raw", "Ontario Demand": "ontario_demand_raw"})
+def read_demand(spark: SparkSession, path: str, file_col: str | None = None) -> DataFrame:
+    return read_after_header(spark, path, {"Date": "date_raw", "Hour": "hour_raw", "Market Demand": "market_demand_raw", "Ontario Demand": "ontario_demand_raw"}, file_col=file_col)
 
 
 #: The zones' columns of the wide file, in its order.

@@ -1,4 +1,4 @@
-"""XML payloads with the built-in reader: nested records to flat rows of strings."""
+"""XML payloads with the built-in reader: nested records to flat rows of strings. Each file is a payload of its own."""
 
 from __future__ import annotations
 
@@ -13,43 +13,44 @@ def text(value: str) -> Column:
 
 
 def _read(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").option("ignoreSurroundingSpaces", "true").schema(schema).load(path)
+    rows = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").option("ignoreSurroundingSpaces", "true").schema(schema).load(path)
+    return rows.select("*", F.col("_metadata.file_path").alias("file"))
 
 
-def _numbered(df: DataFrame, order: list[str], columns: dict[str, Column]) -> DataFrame:
-    """Rows numbered in document order; a payload is one file, so one task has it anyway."""
-    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long")
-    return df.select(*[c.alias(n) for n, c in columns.items()], number.alias("_source_record_number"))
+def _numbered(df: DataFrame, order: list[str], columns: dict[str, Column], file_col: str | None) -> DataFrame:
+    """Rows numbered in document order, from 1 in each file; a payload is one record, so a file's rows are one task's anyway."""
+    number = F.row_number().over(Window.partitionBy("file").orderBy(*order)).cast("long")
+    return df.select(*[c.alias(n) for n, c in columns.items()], number.alias("_source_record_number"), *([F.col("file").alias(file_col)] if file_col else []))
 
 
-def read_generation(spark: SparkSession, path: str) -> DataFrame:
+def read_generation(spark: SparkSession, path: str, file_col: str | None = None) -> DataFrame:
     """(date_raw, hour_raw, fuel_type_raw, output_raw, output_quality_raw): three levels flattened."""
     fuel = "Fuel string, EnergyValue struct<OutputQuality:string, Output:string>"
     schema = f"DailyData array<struct<Day:string, HourlyData:array<struct<Hour:string, FuelTotal:array<struct<{fuel.replace(' string', ':string', 1).replace('EnergyValue struct', 'EnergyValue:struct')}>>>>>>"
-    days = _read(spark, path, "DocBody", schema).select(F.posexplode_outer("DailyData").alias("d", "day"))
-    hours = days.select("d", F.col("day.Day").alias("date"), F.posexplode_outer("day.HourlyData").alias("h", "hour"))
-    fuels = hours.select("d", "h", "date", F.col("hour.Hour").alias("hour"), F.posexplode_outer("hour.FuelTotal").alias("f", "fuel"))
+    days = _read(spark, path, "DocBody", schema).select("file", F.posexplode_outer("DailyData").alias("d", "day"))
+    hours = days.select("file", "d", F.col("day.Day").alias("date"), F.posexplode_outer("day.HourlyData").alias("h", "hour"))
+    fuels = hours.select("file", "d", "h", "date", F.col("hour.Hour").alias("hour"), F.posexplode_outer("hour.FuelTotal").alias("f", "fuel"))
     rows = fuels.filter("fuel is not null")
-    return _numbered(rows, ["d", "h", "f"], {"date_raw": text("date"), "hour_raw": text("hour"), "fuel_type_raw": text("fuel.Fuel"), "output_raw": text("fuel.EnergyValue.Output"), "output_quality_raw": text("fuel.EnergyValue.OutputQuality")})
+    return _numbered(rows, ["d", "h", "f"], {"date_raw": text("date"), "hour_raw": text("hour"), "fuel_type_raw": text("fuel.Fuel"), "output_raw": text("fuel.EnergyValue.Output"), "output_quality_raw": text("fuel.EnergyValue.OutputQuality")}, file_col)
 
 
-def read_day_ahead(spark: SparkSession, path: str) -> DataFrame:
+def read_day_ahead(spark: SparkSession, path: str, file_col: str | None = None) -> DataFrame:
     """A row an hour, with the document's delivery date on each."""
     schema = "DeliveryDate string, HourlyPriceComponents array<struct<PricingHour:string, ZonalPrice:string, LossPriceCapped:string, CongestionPriceCapped:string, Flag:string>>"
-    rows = _read(spark, path, "DocBody", schema).select("DeliveryDate", F.posexplode("HourlyPriceComponents").alias("k", "h"))
-    return _numbered(rows, ["k"], {"market_date_raw": text("DeliveryDate"), "hour_ending_raw": text("h.PricingHour"), "zonal_price_raw": text("h.ZonalPrice"), "loss_price_raw": text("h.LossPriceCapped"), "congestion_price_raw": text("h.CongestionPriceCapped"), "source_flag_raw": text("h.Flag")})
+    rows = _read(spark, path, "DocBody", schema).select("file", "DeliveryDate", F.posexplode("HourlyPriceComponents").alias("k", "h"))
+    return _numbered(rows, ["k"], {"market_date_raw": text("DeliveryDate"), "hour_ending_raw": text("h.PricingHour"), "zonal_price_raw": text("h.ZonalPrice"), "loss_price_raw": text("h.LossPriceCapped"), "congestion_price_raw": text("h.CongestionPriceCapped"), "source_flag_raw": text("h.Flag")}, file_col)
 
 
-def read_realtime(spark: SparkSession, path: str) -> DataFrame:
+def read_realtime(spark: SparkSession, path: str, file_col: str | None = None) -> DataFrame:
     """A row an interval; the average at the end of a document is no interval and is not read."""
     slot = "Interval:string, Flag:string, LmpCap:string, LossPriceCap:string, CongPriceCap:string"
     schema = f"DocHeader struct<DocRevision:string, CreatedAt:string>, DocBody struct<DeliveryDate:string, DeliveryHour:string, ZonalPrice:array<struct<{slot}>>>"
     doc = _read(spark, path, "Document", schema)
-    rows = doc.select("DocHeader", "DocBody", F.posexplode("DocBody.ZonalPrice").alias("k", "z"))
+    rows = doc.select("file", "DocHeader", "DocBody", F.posexplode("DocBody.ZonalPrice").alias("k", "z"))
     return _numbered(rows, ["k"], {
         "delivery_date_raw": text("DocBody.DeliveryDate"), "delivery_hour_raw": text("DocBody.DeliveryHour"), "interval_raw": text("z.Interval"), "flag_raw": text("z.Flag"),
         "lmp_cap_raw": text("z.LmpCap"), "loss_price_cap_raw": text("z.LossPriceCap"), "cong_price_cap_raw": text("z.CongPriceCap"), "created_at_raw": text("DocHeader.CreatedAt"),
-    })
+    }, file_col)
 
 
 def element_paths(spark: SparkSession, path: str, tag: str) -> dict[str, str]:
@@ -70,3 +71,21 @@ def element_paths(spark: SparkSession, path: str, tag: str) -> dict[str, str]:
 
     walk(schema, tag)
     return out
+
+
+def _elements(spark: SparkSession, path: str) -> DataFrame:
+    """(file, tag): the opening tags of all elements, with their attributes; comments and character data hold none."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>", "").alias("value"))
+    return files.select("file", F.explode(F.regexp_extract_all("value", F.lit(r"<([A-Za-z_][^<>]*)>"), F.lit(1))).alias("tag"))
+
+
+def tag_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(element, n): how often each element occurs, by its local name."""
+    name = F.regexp_replace(F.regexp_extract("tag", r"^([^\s/]+)", 1), "^.*:", "")
+    return _elements(spark, path).groupBy(name.alias("element")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def namespaces(spark: SparkSession, path: str) -> DataFrame:
+    """(prefix, uri) that elements declare; the default one has an empty prefix."""
+    said = _elements(spark, path).select(F.explode(F.regexp_extract_all("tag", F.lit(r"(xmlns(?::[\w.-]+)?\s*=\s*[\"'][^\"']*[\"'])"), F.lit(1))).alias("x"))
+    return said.select(F.regexp_extract("x", r"^xmlns:?([\w.-]*)", 1).alias("prefix"), F.regexp_extract("x", "[\"']([^\"']*)[\"']$", 1).alias("uri")).distinct()
