@@ -34,6 +34,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder where all executors reach it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/halyard-{uuid.uuid4().hex}"
+
+
 def _round(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
 
@@ -387,8 +393,7 @@ def cross_source_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _store(spark: SparkSession, name: str, keys: list[str]) -> VersionedTable:
     """A table of its own below the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return VersionedTable(spark, f"{base}/halyard-{uuid.uuid4().hex}/{name}", keys)
+    return VersionedTable(spark, f"{shared_folder(spark)}/{name}", keys)
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:

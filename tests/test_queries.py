@@ -7,6 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from halyard import market_queries  # noqa: F401  registers its queries
 from halyard.queries import ORACLE_SQL, QUERIES
 
 TABLES = "/root/testdata/sf0.001"
