@@ -2,17 +2,18 @@
 
 Pre-tokens of about one length make a matrix, a row each. Every round each row merges its leftmost pair of minimum
 rank; the ranks of pairs come from an open-addressed hash table that numpy probes for all rows at once. Rows without
-a pair left leave the matrix (compaction). Rows beyond MATRIX_BYTES bytes would make rounds of their length squared;
-they take the same merges in the same order from a heap.
+a pair left leave the matrix (compaction). Beyond MATRIX_BYTES bytes a row is a matrix of its own, whose rounds merge all
+pairs of the minimum rank that one pair a round would merge one after the other, so a long run costs a few rounds for each
+rank that it holds and not one for each merge.
 
 Cases: a null text counts as empty and has no tokens; equal ids or texts, ties and repeated rows are encoded each for
-itself; an empty table gives an empty result; other columns of the input are ignored.
+itself; texts and pre-tokens may have any length; an empty table gives an empty result; other columns of the input are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +26,7 @@ from halyard.llm import vocabularies
 from halyard.llm.common import batched, id_and_text, id_type, rows_of
 from halyard.llm.pretokens import KEPT_CHARS, Kept, splits_at_spaces
 
+#: Bytes of a row that shares a matrix with others, at most.
 MATRIX_BYTES = 256
 #: Cells of one matrix at most.
 CELLS = 1 << 20
@@ -100,7 +102,7 @@ class Encoder:
             if rank is not None:
                 out[i] = rank.to_bytes(4, "little")
             elif len(token) > MATRIX_BYTES:
-                out[i] = self._by_heap(token)
+                out[i] = self._by_row(token)
             elif token:
                 buckets.setdefault(max(4, 1 << (len(token) - 1).bit_length()), []).append(i)
         for width, rows in buckets.items():
@@ -152,27 +154,33 @@ class Encoder:
             ranks[last, at[last]] = NO_RANK
         return out
 
-    def _by_heap(self, token: bytes) -> bytes:
-        part: list[bytes | None] = [bytes([b]) for b in token]
-        after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
-        get = self.ranks.get
-        heap = [(r, i, 2) for i in range(len(part) - 1) if (r := get(token[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, length = heapq.heappop(heap)
-            j = after[i]
-            if part[i] is None or j >= len(part) or len(part[i]) + len(part[j]) != length:
-                continue  # one of the two has merged otherwise meanwhile
-            part[i] += part[j]
-            part[j] = None
-            after[i] = after[j]
-            if after[i] < len(part):
-                before[after[i]] = i
-            for a in (before[i], i):
-                b = after[a] if a >= 0 else len(part)
-                if b < len(part) and (r := get(both := part[a] + part[b])) is not None:
-                    heapq.heappush(heap, (r, a, len(both)))
-        return np.array([self.ranks[p] for p in part if p is not None], "<u4").tobytes()
+    def _by_row(self, token: bytes) -> bytes:
+        """A matrix of one row, whose rounds merge all pairs of the minimum rank at once, from the left and without overlap.
+
+        That is what one pair a round would come to as long as no merge makes a pair of a lower rank, which would be next;
+        a round ends with the first merge that does.
+        """
+        ids = self.single[np.frombuffer(token, np.uint8)]
+        ranks = self.table(ids[:-1], ids[1:])
+        while len(ranks) and (best := ranks.min()) != NO_RANK:
+            at = np.flatnonzero(ranks == best)
+            order = np.arange(len(at))
+            begins = np.diff(at, prepend=-2) != 1  # neighbouring pairs overlap: of a run of them every other one merges
+            at = at[(order - np.maximum.accumulate(np.where(begins, order, 0))) % 2 == 0]
+            merged = np.full(len(at), best, np.int32)
+            left, right = np.where(np.diff(at, prepend=-9) == 2, best, ids[at - 1]), ids[np.minimum(at + 2, len(ids) - 1)]
+            lower = ((at > 0) & (self.table(left, merged) < best)) | ((at + 2 < len(ids)) & (self.table(merged, right) < best))
+            if lower.any():
+                at = at[: int(lower.argmax()) + 1]
+            gone = at + 1
+            ids[at] = best
+            ids = np.delete(ids, gone)
+            ranks = np.delete(ranks, np.minimum(gone, len(ranks) - 1))
+            near = at - np.arange(len(at))  # where the merged ones are now
+            near = np.unique(np.concatenate([near - 1, near]))
+            near = near[(near >= 0) & (near < len(ranks))]
+            ranks[near] = self.table(ids[near], ids[near + 1])
+        return ids.astype("<u4").tobytes()
 
     # -- texts
 

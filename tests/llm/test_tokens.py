@@ -40,12 +40,21 @@ def test_matrices_merge_as_the_library():
     assert [coder.decode(c) for c in coded] == [t.encode() for t in odd]
 
 
-def test_heap_and_matrix_agree():
+def test_row_and_matrix_agree():
     coder = bpe.encoder(vocabularies.BYTE_BPE_RANKS)
     r = random.Random(6)
-    for _ in range(60):
-        token = bytes(r.choice(b"abcdeXY \xc3\xa9") for _ in range(r.randint(2, 200)))
-        assert coder._by_heap(token) == coder._by_matrix([token], 256)[0]
+    for alphabet in (b"abcdeXY \xc3\xa9", b"ab", b"a", b"the cat"):
+        for _ in range(60):
+            token = bytes(r.choice(alphabet) for _ in range(r.randint(2, 200)))
+            assert coder._by_row(token) == coder._by_matrix([token], 256)[0]
+
+
+@pytest.mark.parametrize("unit", ["a", "of", "abcabd", "0", "é", "=-", "xyzzy9Q", None])
+def test_long_rows_are_what_the_library_gives(unit):
+    """Pre-tokens of 50,000 characters, periodic ones and one without a period."""
+    r = random.Random(7)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(50_000)) if unit is None else unit * (50_000 // len(unit))
+    assert bpe.encoder(vocabularies.BYTE_BPE_RANKS).encode([text])[0] == np.array(library().encode_ordinary(text), "<u4").tobytes()
 
 
 def test_kept_pretokens_stay_bounded():
