@@ -1,12 +1,12 @@
 """Operator 7: token counts by a two-tier lookup on the map side.
 
-Tier one is a compact table of the lengths of the corpus' frequent pre-tokens: each partition hands on those that make
-up a SHARE of its own pre-tokens (at most 1/SHARE of them, whatever the partition holds), their sums are ranked, and the
-first FREQUENT go to every worker as one string and one array. Tier two is a bounded cache in each worker for all other
-pre-tokens. Pre-tokens themselves are never shuffled.
+Tier one is a compact table of the lengths of the corpus' frequent pre-tokens: each partition makes one row of those that
+make up a SHARE of its own pre-tokens (at most 1/SHARE of them, whatever the partition holds); rows are summed up in a tree,
+and the first FREQUENT go to every worker as one string and one array. Tier two is a bounded cache in each worker for all
+other pre-tokens. No pre-token is a shuffle's key, and none is shuffled but within a partition's one row.
 
 Cases: a null text counts as empty and has no tokens; repeated rows are counted each for itself; ties in frequency are
-ordered by the pre-token; an empty table gives an empty result; other columns of the input are ignored.
+ordered by the pre-token; texts may have any length; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm import vocabularies
-from halyard.llm.common import batched, id_and_text, id_type, rows_of
+from halyard.llm.common import batched, checkpointed, id_and_text, id_type, rows_of
 from halyard.llm.pretokens import KEPT_CHARS, Kept
 
 #: Entries of the broadcast table at most: under 2 MB in all.
 FREQUENT = 1 << 15
 #: What part of a partition's pre-tokens one must make up to be handed on.
 SHARE = 1 / (1 << 14)
+#: Partitions' counts that become one at a time, and that reach the driver at most.
+MERGED = 64
 #: Pre-tokens counted at once in a partition; rarer ones are forgotten in between (only speed depends on it).
 COUNTED = 200_000
 #: Tokens beyond which a text is too long.
@@ -67,7 +69,14 @@ class Lengths(Kept):
 
 
 def frequent_pretokens(texts: DataFrame, model: str = vocabularies.PIECE_BPE) -> DataFrame:
-    """(piece, n): the FREQUENT most frequent pre-tokens among those that any partition of (id, text) hands on."""
+    """(piece, n): the FREQUENT most frequent pre-tokens among those that any partition of (id, text) hands on.
+
+    Each partition makes one row of its counts; MERGED rows at a time become one, and the last MERGED reach the driver.
+    """
+
+    def merged(counts: Counter) -> pa.RecordBatch:
+        top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT]
+        return pa.RecordBatch.from_arrays([pa.array([[k for k, _ in top]], pa.list_(pa.string())), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], names=["pieces", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, total = Counter(), 0
@@ -79,12 +88,29 @@ def frequent_pretokens(texts: DataFrame, model: str = vocabularies.PIECE_BPE) ->
             if len(counts) > COUNTED:
                 least = total * SHARE / 2
                 counts = Counter({k: n for k, n in counts.items() if n >= least})
-        picked = [(k, n) for k, n in counts.items() if n >= max(2, total * SHARE) and 0 < len(k) <= KEPT_CHARS]
+        picked = Counter({k: n for k, n in counts.items() if n >= max(2, total * SHARE) and 0 < len(k) <= KEPT_CHARS})
         if picked:
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in picked], pa.string()), pa.array([n for _, n in picked], pa.int64())], names=["piece", "n"])
-
-    each = texts.select("text").mapInArrow(run, "piece string, n long")
-    return each.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(FREQUENT)
+            yield merged(picked)
+
+    def total_of(rows: pa.Table) -> Counter:
+        counts = Counter()
+        for pieces, numbers in zip(rows["pieces"].to_pylist(), rows["counts"].to_pylist(), strict=True):
+            for k, n in zip(pieces, numbers, strict=True):
+                counts[k] += n
+        return counts
+
+    def join(rows: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([merged(total_of(rows))]).append_column("part", rows["group"].slice(0, 1).cast(pa.int32()))
+
+    kinds = "pieces array<string>, counts array<long>"
+    each = checkpointed(texts.select("text").mapInArrow(run, kinds).withColumn("part", F.spark_partition_id()))
+    while (left := each.count()) > MERGED:
+        groups = -(-left // MERGED)
+        joined = each.withColumn("group", F.pmod("part", F.lit(groups))).groupBy("group").applyInArrow(join, f"{kinds}, part int")
+        each = checkpointed(joined)
+    top = merged(total_of(each.select("pieces", "counts").toArrow()))
+    rows = list(zip(top.column(0)[0].as_py(), top.column(1)[0].as_py(), strict=True))
+    return texts.sparkSession.createDataFrame(rows, "piece string, n long")
 
 
 def compact(frequent: DataFrame, model: str) -> tuple[bytes, bytes]:
