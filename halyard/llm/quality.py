@@ -10,16 +10,18 @@ shortest half stays with the bulk while junk is less than half; a script, which
 middle half instead. Where three sources or more are there, each has an equal say, so one large source does not move a
 band. Of the languages in FIXED, no band passes the limits there; a measure whose half lies beyond them has the limits.
 Groups are also cut by powers of two of the token count, because entropy grows with length. Texts with equal measures
-count once. Quantiles are exact over the whole table; only measures are shuffled.
+count once. Quantiles are exact over the whole table; only measures are shuffled. Measures are rounded to three or four
+digits, so a partition hands on a count for each value of a group, some ten thousand at most, and no group gathers rows.
 
 A class with less than MIN_TEXTS texts takes the band of a class of half or twice the length, else that of all lengths,
 each of the language and then of the script, and at last FIXED; every text has a band.
 
 Base rules come first: too few words, or too many words in repeated three-word windows.
 
-Cases: a null text has no words and fails the base; a null language is judged by script; repeated rows get the same
-verdict each; a null or missing source counts as one more source; an empty table gives an empty result. Columns of the input stay
-where the function says so; measures come under names the input does not have.
+Cases: a null text has no words and fails the base; a null language, or a table without that column, is judged by script;
+repeated rows get the same verdict each, and ties at a band's end are kept; a null or missing source counts as one more
+source; texts may have any length; an empty table gives an empty result. Columns of the input stay where the function says
+so, whatever their names.
 """
 
 from __future__ import annotations
@@ -242,14 +244,15 @@ def verdicts(measures: DataFrame) -> DataFrame:
     return kept.drop("size", *[f"{kind}_{c}" for kind in ("lang", "script") for c in ends])
 
 
-def _source(df: DataFrame, source_col: str) -> list[str]:
-    return [source_col] if source_col in df.columns else []
+def _labelled(df: DataFrame, lang_col: str, source_col: str) -> list[Column]:
+    """lang and source of a measured row of df; a column that df lacks is null."""
+    return [(F.col("row")[c] if c in df.columns else F.lit(None)).cast("string").alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"))]
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **vocabulary: str) -> DataFrame:
     """(id_col, the base's counts, base_failed, kept, and the measures) for every text."""
-    each = measured(df, text_col, keep=list(dict.fromkeys([id_col, lang_col, *_source(df, source_col)])), **vocabulary)
-    each = checkpointed(each.select(F.col("row")[id_col].alias("id"), F.col("row")[lang_col].alias("lang"), *[F.col("row")[c].alias("source") for c in _source(df, source_col)], *[name for name, _ in _FIELDS]))
+    each = measured(df, text_col, keep=list(dict.fromkeys([id_col, *[c for c in (lang_col, source_col) if c in df.columns]])), **vocabulary)
+    each = checkpointed(each.select(F.col("row")[id_col].alias("id"), *_labelled(df, lang_col, source_col), *[name for name, _ in _FIELDS]))
     first = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     out = verdicts(each)
     return out.select(F.col("id").alias(id_col), *first, *[name for name, _ in _FIELDS if name not in first])
@@ -258,5 +261,5 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def filtered(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **vocabulary: str) -> DataFrame:
     """The rows of df whose text is kept, with df's columns."""
     each = measured(df, text_col, **vocabulary)
-    each = checkpointed(each.select("row", F.col("row")[lang_col].alias("lang"), *[F.col("row")[c].alias("source") for c in _source(df, source_col)], *[name for name, _ in _FIELDS]))
+    each = checkpointed(each.select("row", *_labelled(df, lang_col, source_col), *[name for name, _ in _FIELDS]))
     return verdicts(each).filter("kept").select(*[F.col("row")[c].alias(c) for c in df.columns])

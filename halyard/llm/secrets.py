@@ -1,17 +1,17 @@
 """Operator 5: secret scans whose false positives a random forest removes, with DataFrame functions only.
 
-Candidates are runs of characters that keys and tokens are made of, and what is assigned to a word like password. Each is described by its length, the changes of
-character class and of vowel and consonant inside it, how much of it words of a dictionary cover, the document's path,
-and the words beside it. A random forest trained on labelled findings votes; its trees are compiled to a column
+Candidates are runs of characters that keys and tokens are made of, and what is assigned to a word like password. Each is
+described by its length, the changes of character class and of vowel and consonant inside it, how much of it words of a
+dictionary cover, the document's path, and the words beside it. A random forest trained on labelled findings votes; its trees are compiled to a column
 expression, so scanning is one pass over the rows without a shuffle, however many candidates a text has. Only the
 list of findings, which gives character offsets, shuffles its rows: digests and lengths, never texts.
 
 The labelled findings are LABELLED rows made by rule from hashes of their number (labelled_findings); every fifth is
 held out, and the tests ask for the forest's accuracy on those.
 
-Cases: a null text counts as empty and has no candidate; a null or missing path counts as empty; repeated rows and
-equal candidates are judged each for itself; a vote that is tied is no secret; an empty table gives an empty result;
-other columns of the input stay or are ignored.
+Cases: a null text counts as empty and has no candidate; a null path, or a table without that column, counts as empty;
+repeated rows and equal candidates are judged each for itself; a vote that is tied is no secret; texts may have any
+length; an empty table gives an empty result; other columns of the input stay or are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from halyard.llm.common import unused
 from halyard.llm.line_chunks import let
 
 #: Labelled findings that the forest is trained on and tested with (four fifths and one fifth).
@@ -205,10 +206,10 @@ def judged(text: Column, path: Column, forest: list[Tree]) -> Column:
     return let(F.struct(F.split(text, CANDIDATE, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("candidates")), of_parts)
 
 
-def _prepared(df: DataFrame, text_col: str, path_col: str | None) -> DataFrame:
+def _judged(df: DataFrame, text_col: str, path_col: str | None) -> Column:
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
-    path = F.coalesce(df[path_col].cast("string"), F.lit("")) if path_col else F.lit("")
-    return df.withColumn("__judged", judged(text, path, trained(df.sparkSession)))
+    path = F.coalesce(df[path_col].cast("string"), F.lit("")) if path_col in df.columns else F.lit("")
+    return judged(text, path, trained(df.sparkSession))
 
 
 def findings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
@@ -216,9 +217,8 @@ def findings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     start and end count code points; shown is the candidate's first four characters.
     """
-    rows = _prepared(df, text_col, path_col).filter(F.size("__judged.found") > 0).withColumn("__row", F.monotonically_increasing_id())
-    gaps = F.transform("__judged.gaps", F.length)
-    each = rows.select(df[id_col].alias("id"), F.col("__row").alias("row"), gaps.alias("gaps"), F.posexplode("__judged.found").alias("at", "x"))
+    rows = df.select(df[id_col].alias("id"), _judged(df, text_col, path_col).alias("judged")).filter(F.size("judged.found") > 0).withColumn("row", F.monotonically_increasing_id())
+    each = rows.select("id", "row", F.transform("judged.gaps", F.length).alias("gaps"), F.posexplode("judged.found").alias("at", "x"))
     each = each.select("id", "row", "at", F.get("gaps", F.col("at")).cast("long").alias("gap"), F.length("x.candidate").cast("long").alias("n_chars"), F.substring("x.candidate", 1, 4).alias("shown"), F.sha2("x.candidate", 256).alias("sha256"), F.col("x.vote").alias("vote"))
     from pyspark.sql import Window
 
@@ -229,9 +229,10 @@ def findings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 def redacted(df: DataFrame, text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """df with REDACTED in text_col in place of every secret; texts without one stay as they are."""
-    rows = _prepared(df, text_col, path_col)
-    found = F.col("__judged.found")
+    name = unused(df, "judged")
+    rows = df.withColumn(name, _judged(df, text_col, path_col))
+    found = F.col(f"{name}.found")
     shown = F.concat(F.transform(found, lambda x: F.when(x["vote"] > 0.5, F.lit(REDACTED)).otherwise(x["candidate"])), F.array(F.lit("")))
-    text = F.array_join(F.zip_with(F.col("__judged.gaps"), shown, lambda gap, x: F.concat(gap, x)), "")
+    text = F.array_join(F.zip_with(F.col(f"{name}.gaps"), shown, lambda gap, x: F.concat(gap, x)), "")
     new = F.when(F.exists(found, lambda x: x["vote"] > 0.5), text).otherwise(F.col(text_col))
     return rows.select(*[(new.alias(c) if c == text_col else F.col(c)) for c in df.columns])
