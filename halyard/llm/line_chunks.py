@@ -11,7 +11,8 @@ A frequent chunk makes a large group only in joins, which split it; nothing is g
 
 Cases: a null text counts as empty and has no chunk to remove; rows equal in id and text count as one place and are
 treated alike; ties are broken by position; a null id comes before all others; a text whose chunks all go becomes
-empty; an empty table gives an empty result; other columns of the input stay or are ignored.
+empty; texts may have any length; an empty table gives an empty result; other columns of the input stay or are ignored,
+whatever their names.
 
 Two neighbours of a repeated passage decide where its first and last chunk end, so chunks miss short passages and the
 ends of long ones. without_passages() looks at every window of two lines that aren't blank (with the blank ones between
@@ -27,6 +28,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from halyard.llm.common import unused
+
 #: The rolling hash: digits of a line's digest, the weight of the line before, the modulus (all below 2**62 together).
 HEX_DIGITS, WEIGHT, MODULUS = 15, 3, (1 << 60) - 93
 #: Two lines that aren't blank; anchored, so that a text is read once.
@@ -78,19 +81,28 @@ def windows(text: Column) -> Column:
     return let(F.split(text, "\n", -1), lambda lines: let(_line_places(lines), lambda places: _pairs(places, lambda s, e: F.array_join(F.slice(lines, s + 1, e - s + 1), "\n"))))
 
 
-def _based(df: DataFrame, text_col: str) -> DataFrame:
-    """df with its text under another name, never null, a hash of it, and whether it was null."""
-    text = F.coalesce(df[text_col].cast("string"), F.lit("")).alias("__text")
-    return df.select(*[c for c in df.columns if c != text_col], text, df[text_col].isNull().alias("__null")).withColumn("__mark", F.xxhash64("__text"))
+def _based(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, text, null, mark): all other columns as a struct, the id, the text, never null, whether it was null, a hash of it.
+
+    What follows adds columns beside these, so those of df may have any name.
+    """
+    text = F.coalesce(df[text_col].cast("string"), F.lit(""))
+    others = F.struct(*[df[c] for c in df.columns if c != text_col])
+    return df.select(others.alias("row"), df[id_col].alias("id"), text.alias("text"), df[text_col].isNull().alias("null"), F.xxhash64(text).alias("mark"))
+
+
+def _unpacked(df: DataFrame, text_col: str, text: Column) -> list[Column]:
+    """df's columns from the struct `row`, with a text of its own."""
+    return [(text if c == text_col else F.col("row")[c]).alias(c) for c in df.columns]
 
 
-def repeated_chunks(based: DataFrame, id_col: str, pieces: Callable[[Column], Column] = chunks, digest: Callable[[str], Column] = F.md5) -> DataFrame:
-    """(__id, __hash, __chunks): for each text with chunks that the table repeats, their (at, digest, whether it is the first place).
+def repeated_chunks(based: DataFrame, pieces: Callable[[Column], Column] = chunks, digest: Callable[[str], Column] = F.md5) -> DataFrame:
+    """(own_id, own_mark, chunks): for each text with chunks that the table repeats, their (at, digest, whether it is the first place).
 
     pieces: what a text is cut into, chunks or windows; digest: of a piece, whose bytes are compared afterwards.
     """
     places = (
-        based.select(F.col(id_col).alias("id"), F.col("__text").alias("text"), F.col("__mark").alias("mark"))
+        based.select("id", "text", "mark")
         .filter(F.col("text").rlike(TWO_LINES))
         .select("id", "mark", F.posexplode(pieces(F.col("text"))).alias("at", "chunk"))
         .filter(F.col("chunk").rlike(TWO_LINES))
@@ -99,32 +111,32 @@ def repeated_chunks(based: DataFrame, id_col: str, pieces: Callable[[Column], Co
     place = F.struct("id", "at", "mark")
     firsts = places.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first")
     again = places.join(firsts, "digest").withColumn("leads", F.col("first").eqNullSafe(place))
-    return again.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__hash")).agg(F.collect_set(F.struct("at", "digest", "leads")).alias("__chunks"))
+    return again.groupBy(F.col("id").alias("own_id"), F.col("mark").alias("own_mark")).agg(F.collect_set(F.struct("at", "digest", "leads")).alias("chunks"))
 
 
-def _same_row(id_col: str) -> Column:
-    return F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__hash"))
+def _same_row() -> Column:
+    return F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))
 
 
-def _later(based: DataFrame, id_col: str, pieces: Callable[[Column], Column], digest: Callable[[str], Column]) -> DataFrame:
-    """(__id, __hash, at, overlaps): the places of chunks that go, after the comparison of bytes; overlaps: with the first place, which is one before.
+def _later(based: DataFrame, pieces: Callable[[Column], Column], digest: Callable[[str], Column]) -> DataFrame:
+    """(own_id, own_mark, at, overlaps): the places of chunks that go, after the comparison of bytes; overlaps: with the first place, which is one before.
 
     The rows are joined to what repeats in them as they are joined to the result afterwards, so that the two joins read
     one exchange; the fingerprint of the whole row keeps its columns the same in both.
     """
-    rows = based.join(repeated_chunks(based, id_col, pieces, digest), _same_row(id_col))
-    texts = let(pieces(F.col("__text")), lambda c: F.transform("__chunks", lambda x: F.struct(x["at"].alias("at"), x["digest"].alias("digest"), x["leads"].alias("leads"), F.get(c, x["at"]).alias("bytes"))))
+    rows = based.join(repeated_chunks(based, pieces, digest), _same_row())
+    texts = let(pieces(F.col("text")), lambda c: F.transform("chunks", lambda x: F.struct(x["at"].alias("at"), x["digest"].alias("digest"), x["leads"].alias("leads"), F.get(c, x["at"]).alias("bytes"))))
     row = F.xxhash64(*[F.col(c) for c in based.columns])
-    each = rows.select("__id", "__hash", row.alias("row"), F.explode(texts).alias("x")).select("__id", "__hash", "row", "x.*")
-    leaders = each.filter("leads").groupBy("digest").agg(F.min("bytes").alias("first_bytes"), F.min("row").alias("first_row"), F.min("at").alias("first_at"))
-    elsewhere = (F.col("row") != F.col("first_row")) | (F.col("at") != F.col("first_at"))
+    each = rows.select("own_id", "own_mark", row.alias("whole"), F.explode(texts).alias("x")).select("own_id", "own_mark", "whole", "x.*")
+    leaders = each.filter("leads").groupBy("digest").agg(F.min("bytes").alias("first_bytes"), F.min("whole").alias("first_row"), F.min("at").alias("first_at"))
+    elsewhere = (F.col("whole") != F.col("first_row")) | (F.col("at") != F.col("first_at"))
     later = each.filter("not leads").join(leaders, "digest").filter(elsewhere & (F.col("bytes").cast("binary") == F.col("first_bytes").cast("binary")))
-    return later.withColumn("overlaps", (F.col("row") == F.col("first_row")) & (F.col("at") == F.col("first_at") + 1))
+    return later.withColumn("overlaps", (F.col("whole") == F.col("first_row")) & (F.col("at") == F.col("first_at") + 1))
 
 
-def removed_places(based: DataFrame, id_col: str) -> DataFrame:
-    """(__id, __hash, __removed): for each text that loses chunks, their positions."""
-    return _later(based, id_col, chunks, F.md5).groupBy("__id", "__hash").agg(F.collect_set("at").alias("__removed"))
+def removed_places(based: DataFrame) -> DataFrame:
+    """(own_id, own_mark, removed): for each text that loses chunks, their positions."""
+    return _later(based, chunks, F.md5).groupBy("own_id", "own_mark").agg(F.collect_set("at").alias("removed"))
 
 
 def without_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_empty: bool = True) -> DataFrame:
@@ -132,41 +144,40 @@ def without_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     keep_empty: else a text that loses lines and has only blank ones left goes.
     """
-    based = _based(df, text_col)
-    gone = _later(based, id_col, windows, F.xxhash64).groupBy("__id", "__hash").agg(F.collect_set(F.struct("at", "overlaps")).alias("__removed"))
-    joined = based.join(gone, _same_row(id_col), "left")
+    based = _based(df, id_col, text_col)
+    gone = _later(based, windows, F.xxhash64).groupBy("own_id", "own_mark").agg(F.collect_set(F.struct("at", "overlaps")).alias("removed"))
+    joined = based.join(gone, _same_row(), "left")
 
     def rest_of(lines: Column) -> Column:
         def of_places(places: Column) -> Column:
-            removed = F.flatten(F.transform("__removed", lambda x: F.sequence(F.get(places, x["at"]) + x["overlaps"].cast("int"), F.get(places, x["at"] + 1))))
+            removed = F.flatten(F.transform("removed", lambda x: F.sequence(F.get(places, x["at"]) + x["overlaps"].cast("int"), F.get(places, x["at"] + 1))))
             stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
             return F.array_join(F.transform(stays, lambda p: F.get(lines, p)), "\n")
 
         return let(_line_places(lines), of_places)
 
-    rest = joined.withColumn("__rest", F.when(F.col("__removed").isNotNull(), let(F.split("__text", "\n", -1), rest_of)))
+    rest = joined.withColumn("rest", F.when(F.col("removed").isNotNull(), let(F.split("text", "\n", -1), rest_of)))
     if not keep_empty:
-        rest = rest.filter(F.col("__removed").isNull() | F.col("__rest").rlike(r"[^ \t\n\x0B\f\r]"))
-    new_text = F.when(F.col("__removed").isNotNull(), F.col("__rest")).when(~F.col("__null"), F.col("__text"))
-    return rest.select(*[(new_text.alias(c) if c == text_col else F.col(c)) for c in df.columns])
+        rest = rest.filter(F.col("removed").isNull() | F.col("rest").rlike(r"[^ \t\n\x0B\f\r]"))
+    return rest.select(*_unpacked(df, text_col, F.when(F.col("removed").isNotNull(), F.col("rest")).when(~F.col("null"), F.col("text"))))
 
 
 def deduped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_empty: bool = True) -> DataFrame:
     """df with its repeated chunks removed from text_col, and after df's columns n_lines, n_removed_lines as a struct `line_dedup`.
 
-    keep_empty: else a text of which nothing is left goes.
+    keep_empty: else a text of which nothing is left goes. If df has a column of that name, the struct's has marks before it.
     """
-    based = _based(df, text_col)
-    joined = based.join(removed_places(based, id_col), _same_row(id_col), "left")
-    stays = let(chunks(F.col("__text")), lambda c: F.filter(c, lambda x, i: ~F.array_contains(F.col("__removed"), i)))
-    rest = joined.withColumn("__stays", F.when(F.col("__removed").isNotNull(), stays))
-    lines = F.size(F.split("__text", "\n", -1))
-    n_left = F.aggregate("__stays", F.lit(0), lambda n, c: n + F.size(F.split(c, "\n", -1)))
-    new_text = F.when(F.col("__removed").isNotNull(), F.array_join("__stays", "\n")).when(~F.col("__null"), F.col("__text"))
-    counts = F.struct(lines.cast("long").alias("n_lines"), F.when(F.col("__removed").isNull(), F.lit(0)).otherwise(lines - n_left).cast("long").alias("n_removed_lines"))
+    based = _based(df, id_col, text_col)
+    joined = based.join(removed_places(based), _same_row(), "left")
+    stays = let(chunks(F.col("text")), lambda c: F.filter(c, lambda x, i: ~F.array_contains(F.col("removed"), i)))
+    rest = joined.withColumn("stays", F.when(F.col("removed").isNotNull(), stays))
+    lines = F.size(F.split("text", "\n", -1))
+    n_left = F.aggregate("stays", F.lit(0), lambda n, c: n + F.size(F.split(c, "\n", -1)))
+    new_text = F.when(F.col("removed").isNotNull(), F.array_join("stays", "\n")).when(~F.col("null"), F.col("text"))
+    counts = F.struct(lines.cast("long").alias("n_lines"), F.when(F.col("removed").isNull(), F.lit(0)).otherwise(lines - n_left).cast("long").alias("n_removed_lines"))
     if not keep_empty:
-        rest = rest.filter("__removed is null or size(__stays) > 0")
-    return rest.select(*[(new_text.alias(c) if c == text_col else F.col(c)) for c in df.columns], counts.alias("line_dedup"))
+        rest = rest.filter("removed is null or size(stays) > 0")
+    return rest.select(*_unpacked(df, text_col, new_text), counts.alias(unused(df, "line_dedup")))
 
 
 ORACLE_SQL = f"""
