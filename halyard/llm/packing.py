@@ -2,10 +2,10 @@
 
 A document goes where the sum over all residual gaps of the squared number of open bins with that gap becomes
 smallest. Documents are taken longest first. Two rounds keep that a job without a central task: in the first, each
-shard of about SHARD pieces packs its own; in the second, the bins that FAN shards left with a gap are
-opened again and their pieces packed together. Only (piece, length, checksum) rows are shuffled, never texts, and a
-shard's size does not depend on the input's: rows are dealt by a hash of themselves and of the partition they stand in,
-so a shard gets what is equal in a partition, but not what is equal in the table.
+shard of about SHARD pieces packs its own; in the second, the bins that FAN shards left with a gap are opened again and
+their pieces packed together, and bins that then fit into others whole are put there. Only (piece, length, checksum) rows
+are shuffled, never texts, and a shard's size does not depend on the input's: rows are dealt by a hash of themselves and of
+the partition they stand in, so a shard gets what is equal in a partition, but not what is equal in the table.
 
 A document's ids end with an end mark (id 0). Only documents longer than a sequence are cut: whole sequences from the
 end, so that the first piece is the shorter one.
@@ -143,8 +143,30 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return bins, offsets, np.array(gaps, np.int64)
 
 
-def _round(fields: dict[str, str], capacity: int):
-    """Packs the rows of a group whose sequence_id is null; the others pass."""
+def merged(gaps: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """Bins put whole into others: for each the bin it goes to and where it begins there; fullest first, into the smallest gap.
+
+    The rule keeps gaps of all sizes open for what may come; when nothing does, what they hold moves together.
+    """
+    open_bins = np.zeros(capacity + 1, bool)
+    where: list[list[int]] = [[] for _ in range(capacity + 1)]
+    to, shift = np.arange(len(gaps)), np.zeros(len(gaps), np.int64)
+    for b in np.argsort(gaps, kind="stable").tolist():
+        fill = capacity - int(gaps[b])
+        gap = fill + int(open_bins[fill:].argmax())
+        target, left = b, int(gaps[b])
+        if open_bins[gap]:
+            target, left = where[gap].pop(), gap - fill
+            open_bins[gap] = bool(where[gap])
+            to[b], shift[b] = target, capacity - gap
+        if left:
+            where[left].append(target)
+            open_bins[left] = True
+    return to, shift
+
+
+def _round(fields: dict[str, str], capacity: int, last: bool):
+    """Packs the rows of a group whose sequence_id is null; the others pass. In the last round bins that fit into others join them."""
     names = [*fields, "sequence_id", "offset", "gap"]
 
     def run(table: pa.Table) -> pa.Table:
@@ -154,6 +176,9 @@ def _round(fields: dict[str, str], capacity: int):
         todo = todo.sort_by(order) if len(todo) else todo  # a run that is repeated packs alike
         lengths = todo["length"].to_numpy()
         bins, offsets, gaps = sum_of_squares(lengths, capacity)
+        if last and len(bins):
+            to, shift = merged(gaps, capacity)
+            bins, offsets = to[bins], offsets + shift[bins]
         group = int(table["group"][0].as_py())
         for name, values in (("sequence_id", (np.int64(group) << np.int64(32)) + bins), ("offset", offsets), ("gap", gaps[bins] if len(bins) else bins)):
             todo = todo.set_column(todo.schema.get_field_index(name), name, pa.array(values, pa.int64()))
@@ -173,7 +198,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, fan: in
     full = F.col("length") == capacity
     mixed = F.xxhash64(F.spark_partition_id(), *[F.col(n) for n in fields])  # equal rows of several partitions fall apart
     start = items.withColumns({"group": F.pmod(mixed, F.lit(shards)), "sequence_id": F.lit(None).cast("long"), "offset": F.lit(0).cast("long"), "gap": F.lit(capacity).cast("long")})
-    first = start.groupBy("group").applyInArrow(_round(fields, capacity), schema)
+    first = start.groupBy("group").applyInArrow(_round(fields, capacity, shards == 1), schema)
     if shards == 1:
         return first.drop("gap")
     # Second round: filled bins stay where they are, the others' pieces meet those of other shards.
@@ -183,7 +208,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, fan: in
         first.withColumn("group", F.when(F.col("gap") > 0, F.floor(from_shard / fan)).otherwise(-1 - from_shard))
         .withColumn("sequence_id", F.when(F.col("gap") <= 0, numbered))
     )
-    return again.groupBy("group").applyInArrow(_round(fields, capacity), schema).drop("gap")
+    return again.groupBy("group").applyInArrow(_round(fields, capacity, True), schema).drop("gap")
 
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = vocabularies.BYTE_BPE, capacity: int = CAPACITY) -> DataFrame:
