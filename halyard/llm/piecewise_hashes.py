@@ -11,12 +11,13 @@ All hashes are numpy operations over a text's bytes: window sums, shifts, and pr
 an inverse modulo 2**64.
 
 neighbours() also takes each text's next one in descending id order, as a range-partitioned pass: rows are dealt to
-ranges of ids that are counted before, each range is sorted and read once, and gets a copy of the row that
-follows its last one.
+ranges of ids that end at quantiles, each range is sorted and read once, and gets a copy of the row that follows its last
+one. Rows of one id, or with a null one, are read by one task, one after the other.
 
 Cases: a null text counts as empty and has an empty signature, which is like itself; equal texts have equal
 fingerprints; equal ids stand in the order of their texts, null ids come last; the next row after the last is the
-first (a lone row follows itself); an empty table gives an empty result; other columns are ignored.
+first (a lone row follows itself); texts may have any length, and signatures have LONGEST characters at most; ids that
+aren't numbers raise a TypeError; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -35,14 +36,15 @@ from halyard.llm.common import batched, checkpointed, id_and_text, id_type
 
 WINDOW = 7
 #: Characters of a signature that the block size aims at, at first; it is halved while there are fewer than half as many.
-#: Texts of few distinct windows may have many more, as their windows end chunks at a size all or not at all.
-SIGNATURE = 64
+#: Texts of few distinct windows may have many more at any size, as a window ends chunks everywhere or nowhere; a size up
+#: is taken while it still has enough, and beyond LONGEST characters the rest of the text is the last one's chunk.
+SIGNATURE, LONGEST = 64, 256
 LEAST_BLOCK = 3
 COMMON = 4
 #: The characters of signatures.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-#: Rows of a range, about, and cells that ranges are made of, at most.
-RANGE, CELLS = 8_000, 1 << 16
+#: Rows of a range, about, while there are not more than RANGES of them.
+RANGE, RANGES = 8_000, 20_000
 
 _LETTERS = np.frombuffer(ALPHABET.encode(), np.uint8)
 _BASE = 0x9E3779B97F4A7C15
@@ -102,18 +104,21 @@ def fingerprint(text: str) -> str:
         block *= 2
     rolling = _rolling(data)
     # What ends a chunk at twice a block size ends one at that size, too.
+    coarser = lambda at, size: at[rolling[at] % np.uint32(size) == size - 1]
     ends = {block: np.flatnonzero(rolling % np.uint32(block) == block - 1)}
-    ends[2 * block] = ends[block][rolling[ends[block]] % np.uint32(2 * block) == 2 * block - 1]
     while block > LEAST_BLOCK and len(ends[block]) < SIGNATURE // 2:
         block //= 2
         ends[block] = np.flatnonzero(rolling % np.uint32(block) == block - 1)
-    return f"{block}:{_signature(data, ends[block])}:{_signature(data, ends[2 * block])}"
+    while len(ends[block]) >= LONGEST and len(more := coarser(ends[block], 2 * block)) >= SIGNATURE // 2:
+        block *= 2
+        ends[block] = more
+    return f"{block}:{_signature(data, ends[block][: LONGEST - 1])}:{_signature(data, coarser(ends[block], 2 * block)[: LONGEST - 1])}"
 
 
 def longest_common(a: str, b: str) -> int:
     """Length of the longest common subsequence, a column of the table per bit of an integer.
 
-    What both begin and end with is in it, and is taken off first: signatures of repetitive texts are long.
+    What both begin and end with is in it, and is taken off first.
     """
     begin = len(os.path.commonprefix([a, b]))
     a, b = a[begin:], b[begin:]
@@ -166,29 +171,24 @@ def edited(text: str, following: str) -> str:
 def ranges(df: DataFrame, id_col: str, rows: int = RANGE) -> tuple[DataFrame, int]:
     """df with the number of its id's range, in descending order, as `range`, and how many ranges there are.
 
-    Numeric ids fall into cells of equal width, some to each range that is wanted and CELLS at most; neighbouring cells
-    make a range until it has `rows` rows. Only the cells' counts reach the driver, and a row finds its range by one
-    look-up. A cell that is denser than a range stays whole.
+    Ranges end at quantiles of the ids, so they have about as many rows each, wherever the ids lie; only the bounds reach
+    the driver, RANGES at most. Rows of one id stay in one range. A row finds its range by halving.
     """
-    ids = df.select(F.col(id_col).alias("id"))
-    one = df.withColumn("range", F.lit(0))
     if not isinstance(df.schema[id_col].dataType, NumericType):
         raise TypeError(f"{id_col} has to be numeric: its order is what tells the next text")
-    low, high, n = ids.agg(F.min("id").cast("double"), F.max("id").cast("double"), F.count(F.lit(1))).first()
-    if low is None or n <= rows:
-        return one, 1
-    cells = min(CELLS, 8 * -(-n // rows))
-    cell = F.least(F.floor((F.lit(high) - F.col(id_col).cast("double")) * F.lit(cells / (high - low + 1))), F.lit(cells - 1)).cast("int")
-    counts = {r[0]: r[1] for r in df.groupBy(cell.alias("c")).count().collect()}
-    range_of, at, held = [], 0, 0
-    for c in range(cells):
-        if held >= rows:
-            at, held = at + 1, 0
-        range_of.append(at)
-        held += counts.get(c, 0)
-    table = F.from_json(F.lit(str(range_of)), "array<int>")
+    n = df.select(id_col).count()
+    wanted = min(RANGES, -(-n // rows))
+    shares = [k / wanted for k in range(1, wanted)]
+    found = df.agg(F.percentile_approx(id_col, shares, F.lit(min(10_000 + 20 * wanted, 400_000)))).first()[0] if shares else None
+    if not found:
+        return df.withColumn("range", F.lit(0)), 1
+    bounds = sorted(set(found), reverse=True)
+    table = F.from_json(F.lit(f"[{','.join(map(str, bounds))}]"), f"array<{df.schema[id_col].dataType.simpleString()}>")
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    halved = lambda at: F.when(F.get(table, F.shiftright(at["low"] + at["high"], 1)) >= F.col(id_col), F.struct((F.shiftright(at["low"] + at["high"], 1) + 1).alias("low"), at["high"].alias("high")))
+    search = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high")), lambda at, _: F.when(at["low"] < at["high"], halved(at).otherwise(F.struct(at["low"].alias("low"), F.shiftright(at["low"] + at["high"], 1).alias("high")))).otherwise(at))
     # Null ids come last.
-    return df.withColumn("range", F.when(F.col(id_col).isNull(), F.lit(at)).otherwise(F.get(table, cell))), at + 1
+    return df.withColumn("range", F.when(F.col(id_col).isNull(), F.lit(len(bounds))).otherwise(search["low"])), len(bounds) + 1
 
 
 def neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,15 +196,12 @@ def neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts, n = ranges(id_and_text(df, id_col, text_col), "id")
     # The first row of each range also ends the range before it, and the very first the last one.
     heads = texts.groupBy("range").agg(F.max(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("head"))
-    first = heads.select(F.col("range").alias("r"), F.col("head.id").alias("head_id"))
-    first = checkpointed(first)  # n rows
+    at = Window.orderBy("r")  # a row a range
+    before = F.coalesce(F.lag("r").over(at), F.max("r").over(Window.partitionBy()))
+    first = checkpointed(heads.select(F.col("range").alias("r"), F.col("head.id").alias("head_id")).withColumn("before", before))
     least = texts.join(F.broadcast(first), (F.col("range") == F.col("r")) & F.col("id").eqNullSafe(F.col("head_id")))
     # Of equal ids at the head the first text counts; min keeps one row a range.
-    head_rows = least.groupBy("r").agg(F.min("text").alias("text"))
-    used = first.agg(F.sort_array(F.collect_list("r")).alias("used")).first().used or []
-    before = {r: used[k - 1] for k, r in enumerate(used)}
-    ends = F.create_map(*[F.lit(x) for r in used for x in (r, before[r])]) if used else F.lit(None).cast("map<int,int>")
-    tails = head_rows.select(F.lit(None).cast(texts.schema["id"].dataType).alias("id"), "text", ends[F.col("r")].alias("range"), F.lit(True).alias("tail"))
+    tails = least.groupBy("before").agg(F.min("text").alias("text")).select(F.lit(None).cast(texts.schema["id"].dataType).alias("id"), "text", F.col("before").alias("range"), F.lit(True).alias("tail"))
     dealt = texts.withColumn("tail", F.lit(False)).unionByName(tails)
     ordered = dealt.repartitionById(n, F.col("range").cast("int")).sortWithinPartitions("range", "tail", F.col("id").desc_nulls_last(), "text")
 
