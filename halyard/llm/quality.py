@@ -26,7 +26,7 @@ so, whatever their names.
 
 from __future__ import annotations
 
-import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -70,7 +70,6 @@ SCRIPTS = [
 ]
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, chars_per_byte_token double, fallback_share double, token_entropy double, script string"
 _FIELDS = [tuple(x.split()) for x in MEASURES.split(", ")]
@@ -79,25 +78,38 @@ _STARTS = np.array([start for start, _ in SCRIPTS], np.uint32)
 _NAMES = [name for _, name in SCRIPTS]
 
 
-def repeated_words(words: list[str]) -> int:
+def words_of(text: str) -> list[bytes]:
+    """What lies between the six ASCII blanks, as UTF-8."""
+    return text.encode("utf-8", "surrogatepass").split()
+
+
+def repeated_words(words: list) -> int:
     """Words that lie in three-word windows found twice or more, the first one included."""
     n = len(words)
-    if n < 4:
+    number = dict(zip(dict.fromkeys(words), range(n), strict=False))
+    if n - len(number) < 3:
         return 0
-    number: dict[str, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, n)
     pairs = ids[:-1] * len(number) + ids[1:]
     if len(number) >= 1 << 21:  # their cube would not fit
         pairs = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
     windows = pairs[:-1] * len(number) + ids[2:]
-    _, which, times = np.unique(windows, return_inverse=True, return_counts=True)
-    again = times[which] > 1
+    order = np.argsort(windows)
+    same = np.diff(windows[order]) == 0
+    again = np.zeros(n - 2, bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
     covered = np.zeros(n, bool)
     for k in range(3):
         covered[k : n - 2 + k] |= again
     return int(covered.sum())
 
 
+def counts_of(ids: np.ndarray) -> np.ndarray:
+    """How often each id occurs that does."""
+    ordered = np.sort(ids)
+    return np.diff(np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])))
+
+
 def script_of(text: str) -> str:
     """The script of most letters; Latin goes first among equals, Common if there is no letter."""
     if text.isascii():
@@ -119,37 +131,39 @@ class Meter:
         import tiktoken
 
         self.model, self.pieces = model, vocabularies.pieces_model(model)
-        self.ids = Kept(lambda texts: [np.array(x, "<u4").tobytes() for x in self.pieces.encode(texts, num_threads=1)])
         self.plain = tiktoken.Encoding("ranks", pat_str=vocabularies.pattern(), mergeable_ranks=vocabularies.ranks(ranks), special_tokens={}).encode_ordinary
-        self.lengths = Kept(lambda texts: [len(self.plain(" " + t)) for t in texts])
+        self.kept = Kept(self._encoded)
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
 
+    def _encoded(self, pieces: list[str]) -> Iterator[tuple[bytes, int]]:
+        """Of each piece the model's ids, and how many tokens the ranks make of it after a space."""
+        ids = [array("I", x).tobytes() for x in self.pieces.encode(pieces, num_threads=1)] if pieces else []
+        return zip(ids, [len(self.plain(" " + p)) for p in pieces], strict=True)
+
     def __call__(self, texts: list[str]) -> list[tuple]:
-        parts = [cut(t, self.model) for t in texts]
-        spaced = [t.split(" ")[1:] if splits_at_spaces(t) else None for t in texts]
-        by_model, by_ranks = set().union(*[p for p in parts if p]), set().union(*[p for p in spaced if p])
-        self.ids.load(by_model)
-        self.lengths.load(by_ranks)
-        out = [self._measured(*x) for x in zip(texts, parts, spaced, strict=True)]
-        for kept, pieces in ((self.ids, by_model), (self.lengths, by_ranks)):
-            for p in pieces:
-                if len(p) > KEPT_CHARS:
-                    kept.pop(p, None)
-            kept.trim()
+        by_model, by_ranks = [cut(t, self.model) is not None for t in texts], [splits_at_spaces(t) for t in texts]
+        parts = [t.split(" ") if (a and t) or b else [] for t, a, b in zip(texts, by_model, by_ranks, strict=True)]
+        every = set().union(*parts)
+        self.kept.load(every)
+        out = [self._measured(*x) for x in zip(texts, parts, by_model, by_ranks, strict=True)]
+        for p in every:
+            if len(p) > KEPT_CHARS:
+                self.kept.pop(p, None)
+        self.kept.trim()
         return out
 
-    def _measured(self, text: str, parts: list[str] | None, spaced: list[str] | None) -> tuple:
-        words = WORDS.findall(text)
+    def _measured(self, text: str, parts: list[str], by_model: bool, by_ranks: bool) -> tuple:
+        words = words_of(text)
         lines = [x for x in text.split("\n") if x.strip(SPACES)]
-        coded = np.frombuffer(b"".join(map(self.ids.__getitem__, parts)), "<u4") if parts is not None else np.array(self.pieces.encode(text, num_threads=1), np.uint32)
-        n_byte_tokens = len(self.plain(text)) if spaced is None else len(self.plain(text.split(" ", 1)[0])) + sum(map(self.lengths.__getitem__, spaced))
+        found = list(map(self.kept.__getitem__, parts))
+        coded = np.frombuffer(b"".join([x for x, _ in found]), np.uint32) if by_model else np.array(self.pieces.encode(text, num_threads=1), np.uint32)
+        n_byte_tokens = len(self.plain(parts[0])) + sum([n for _, n in found[1:]]) if by_ranks else len(self.plain(text))
         n, chars = len(coded), len(text)
-        counts = np.bincount(coded, minlength=len(self.is_byte)) if n else np.zeros(len(self.is_byte), np.int64)
-        share = counts[counts > 0] / max(n, 1)
+        share = counts_of(coded) / n if n else np.zeros(0)
         return (
             len(words), chars - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), n,
             round(chars / n, 3) if n else None, round(chars / n_byte_tokens, 3) if n_byte_tokens else None,
-            round(float(counts[self.is_byte].sum()) / n, 4) if n else None, round(float(-(share * np.log2(share)).sum()) + 0.0, 3) if n else None, script_of(text),
+            round(int(self.is_byte[coded].sum()) / n, 4) if n else None, round(float(-(share * np.log2(share)).sum()) + 0.0, 3) if n else None, script_of(text),
         )
 
 
