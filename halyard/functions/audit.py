@@ -86,13 +86,8 @@ def grain_multiplicity(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, n_rows, n_nulls, n_distinct, min_value, max_value) for each column, from one aggregate pass."""
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for k, c in enumerate(columns):
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"n{k}"), F.count_distinct(c).alias(f"d{k}"), F.min(c).cast("string").alias(f"lo{k}"), F.max(c).cast("string").alias(f"hi{k}")]
-    row = df.agg(*aggs)
-    each = [F.struct(F.lit(c).alias("column_name"), F.col("rows").alias("n_rows"), F.col(f"n{k}").alias("n_nulls"), F.col(f"d{k}").alias("n_distinct"), F.col(f"lo{k}").alias("min_value"), F.col(f"hi{k}").alias("max_value")) for k, c in enumerate(columns)]
-    return row.select(F.explode(F.array(*each)).alias("p")).select("p.*")
+    """(column_name, n_rows, n_nulls, n_distinct, min_value, max_value) for each column."""
+    return schema_profile(df, columns).drop("data_type", "n_invalid")
 
 
 def distribution(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -952,3 +952,10 @@ def event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distribution_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("o_orderstatus"))
     return audit.distribution(orders, ["o_orderstatus"])
+
+
+@query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE (l_partkey, l_suppkey) NOT IN (SELECT (l_partkey, l_suppkey) FROM lineitem WHERE l_returnflag = 'N')")
+def orphan_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composite keys of returned lines that no other line has."""
+    lines = table(spark, sf_dir, "lineitem")
+    return audit.missing_keys(lines, lines.filter("l_returnflag = 'N'"), ["l_partkey", "l_suppkey"])
