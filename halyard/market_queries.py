@@ -19,8 +19,8 @@ from halyard.operators import realtime, series, serving
 from halyard.plans import evidence, quality, runs
 from halyard.plans.contracts import CONTRACTS, LINEAGE, PRICES, Contract
 from halyard.plans.store import VersionedTable
-from halyard.queries import query, shared_folder
-from halyard.session import table
+from halyard.queries import query
+from halyard.session import scratch_folder, table
 from halyard.sources import catalog, delimited, documents, landing
 from halyard.streaming import outbox
 
@@ -30,7 +30,7 @@ MONEY = "decimal(18,2)"
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}"
+    return f"{scratch_folder(spark)}/{name}"
 
 
 def _plain(df: DataFrame) -> DataFrame:

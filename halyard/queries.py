@@ -6,7 +6,6 @@ orders and lineitems are two sources of one measure, customers and parts are wha
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +16,7 @@ from halyard.functions.identity import canonical_decimal, canonical_text, event_
 from halyard.operators import series, serving
 from halyard.plans.evidence import evidence_state
 from halyard.plans.store import VersionedTable, read_increment, reconcile
-from halyard.session import table
+from halyard.session import scratch_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,12 +33,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder where all executors reach it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/halyard-{uuid.uuid4().hex}"
-
-
 def _round(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
 
@@ -393,7 +386,7 @@ def cross_source_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _store(spark: SparkSession, name: str, keys: list[str]) -> VersionedTable:
     """A table of its own below the folder that all executors share."""
-    return VersionedTable(spark, f"{shared_folder(spark)}/{name}", keys)
+    return VersionedTable(spark, f"{scratch_folder(spark)}/{name}", keys)
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
