@@ -6,8 +6,8 @@ at least THRESHOLD per cent; components of links are returned.
 1. Texts with equal sets are one class, told by 128 bits; what follows works on classes, which are numbered.
 2. Prefix filter: each class hands on its n - ceil(0.8 n) + 1 + n / 20 smallest hashes. Two classes that link have at
    least 1 + n / 25 of them in common (n the larger set's size), so classes with fewer shared ones have no partner and
-   drop out. Sets travel only for the others; they are picked by a bit table of FILTER bits, which is all that
-   reaches the driver whatever the input.
+   drop out. Sets travel only for the others; they are picked by a table of FILTER_BITS bits for each, which is all that
+   reaches the driver: FILTER bits at most, beyond which more sets travel than need to, but none is left out.
 3. Classes meet at their smallest hash. A group's signature tree has nodes with the OR of the bitmaps below and their
    range of set sizes; a traversal of pairs of nodes drops those whose largest possible overlap is below what their sizes
    ask for, and compares the sets that remain unless they are connected by then. A task hands on one link for each two
@@ -46,8 +46,9 @@ BITS, MOST_BITS, FAN = 1024, 1 << 16, 16
 BLOCK, BLOCK_SHINGLES = 2000, 1 << 21
 #: Homes at which classes meet that rare keys leave open.
 HOMES = 4
-#: Bits of the table of classes that may have a partner: 4 MB.
-FILTER = 1 << 25
+#: Bits for each class of the table of those that may have a partner, and bits of the table at most: 128 MB.
+FILTER_BITS, FILTER = 16, 1 << 30
+_SHIFTS = (0, 17, 33)
 #: Classes that a task remembers having handed on, and words whose hashes it keeps.
 REMEMBERED, WORDS = 200_000, 300_000
 #: Sets that are picked by a broadcast of their numbers (8 bytes each); beyond it, by a shuffle.
@@ -268,18 +269,19 @@ def with_partners(keys: DataFrame) -> DataFrame:
 
 
 def filter_table(classes: DataFrame) -> np.ndarray:
-    """A table of FILTER bits with those of each class set."""
-    mask = F.lit(FILTER - 1).cast("long")
-    at = F.array(*[F.shiftrightunsigned("cls", s).bitwiseAND(mask) for s in (0, 19, 38)])
+    """A table of a power of two of bits, with three of each class set; classes is read twice."""
+    size = min(FILTER, max(1 << 10, 1 << (FILTER_BITS * classes.count()).bit_length()))
+    mask = F.lit(size - 1).cast("long")
+    at = F.array(*[F.shiftrightunsigned("cls", s).bitwiseAND(mask) for s in _SHIFTS])
     words = classes.select(F.explode(at).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
-    table = np.zeros(FILTER // 64, np.int64)
+    table = np.zeros(size // 64, np.int64)
     table[words["word"].to_numpy()] = words["bits"].to_numpy()
     return table.view(np.uint64)
 
 
 def _in_table(table: np.ndarray, cls: int) -> bool:
-    c = cls & (2**64 - 1)
-    return all(int(table[(p := c >> s & FILTER - 1) >> 6]) >> (p & 63) & 1 for s in (0, 19, 38))
+    c, mask = cls & (2**64 - 1), 64 * len(table) - 1
+    return all(int(table[(p := c >> s & mask) >> 6]) >> (p & 63) & 1 for s in _SHIFTS)
 
 
 def classified(texts: DataFrame, size: int, table: np.ndarray, kind: str) -> DataFrame:
