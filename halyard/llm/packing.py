@@ -24,12 +24,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm import vocabularies
 from halyard.llm.common import batched, id_and_text, id_type, rows_of
-from halyard.llm.pretokens import KEPT_CHARS, Kept, splits_at_spaces
+from halyard.llm.pretokens import KEPT_CHARS, AfterSpace, Cut, Kept, splits_at_spaces
 
 #: Tokens of a sequence.
 CAPACITY = 2048
@@ -51,38 +52,36 @@ class DocumentIds:
     """
 
     def __init__(self, name: str, ranks: str) -> None:
-        import tiktoken
-
         self.coder = vocabularies.byte_level(name)
         self.special = [t.content for t in self.coder.get_added_tokens_decoder().values()]
-        plain = tiktoken.Encoding("ranks", pat_str=vocabularies.pattern(), mergeable_ranks=vocabularies.ranks(ranks), special_tokens={}).encode_ordinary
-        self.first = Kept(lambda pieces: [array("I", plain(p)).tobytes() for p in pieces])
-        self.spaced = Kept(lambda pieces: [array("I", plain(" " + p)).tobytes() for p in pieces])
+        after_space = AfterSpace(ranks)
+        self.first = Kept(lambda pieces: [array("I", after_space.plain(p)).tobytes() for p in pieces])
+        self.spaced = Kept(after_space)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") if splits_at_spaces(t) and not any(s in t for s in self.special) else None for t in texts]
-        often = set()
-        for pieces in cut:
-            if pieces is not None:
-                often.update(pieces[1:])
-        long = [p for p in often if len(p) > KEPT_CHARS]
-        self.spaced.load(often)
-        firsts = {p[0] for p in cut if p is not None}
-        self.first.load(firsts)
-        rest = iter(self.whole([t for t, p in zip(texts, cut, strict=True) if p is None]))
-        get = self.spaced.__getitem__
-        out = [next(rest) if p is None else b"".join([self.first[p[0]], *map(get, p[1:])]) for p in cut]
-        for p in long:
-            self.spaced.pop(p, None)
-        for p in firsts:
-            if len(p) > KEPT_CHARS:
-                self.first.pop(p, None)
-        self.spaced.trim()
-        self.first.trim()
-        return out
+        cut = [splits_at_spaces(t) and not any(s in t for s in self.special) for t in texts]
+        by_piece = iter(self._by_piece([t for t, c in zip(texts, cut, strict=True) if c]))
+        rest = iter(self.whole([t for t, c in zip(texts, cut, strict=True) if not c]))
+        return [next(by_piece) if c else next(rest) for c in cut]
+
+    def _by_piece(self, texts: list[str]) -> list[bytes]:
+        """Texts cut at spaces: each distinct piece is looked up once, and its ids are put wherever it stands."""
+        cut = Cut(texts)
+        self.spaced.load(cut.distinct)
+        self.first.load(set(cut.firsts))  # no space before these
+        values = [*map(self.spaced.__getitem__, cut.distinct), *map(self.first.__getitem__, cut.firsts)]
+        for kept, own in ((self.spaced, cut.distinct), (self.first, cut.firsts)):
+            for p in own:
+                if len(p) > KEPT_CHARS:
+                    kept.pop(p, None)
+            kept.trim()
+        which = cut.which.copy()
+        which[cut.begins] = len(cut.distinct) + np.arange(len(cut.firsts))
+        out, stops = cut.ids(values, which)
+        return [out[s:e].tobytes() for s, e in zip(stops, stops[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -170,8 +169,8 @@ def _round(fields: dict[str, str], capacity: int, last: bool):
     names = [*fields, "sequence_id", "offset", "gap"]
 
     def run(table: pa.Table) -> pa.Table:
-        settled = table.filter(pa.compute.is_valid(table["sequence_id"]))
-        todo = table.filter(pa.compute.is_null(table["sequence_id"]))
+        settled = table.filter(pc.is_valid(table["sequence_id"]))
+        todo = table.filter(pc.is_null(table["sequence_id"]))
         order = [(c, "ascending") for c in ("length", "ids_crc32", "start", "piece")]
         todo = todo.sort_by(order) if len(todo) else todo  # a run that is repeated packs alike
         lengths = todo["length"].to_numpy()

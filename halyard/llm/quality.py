@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm import vocabularies
 from halyard.llm.common import batched, checkpointed
-from halyard.llm.pretokens import KEPT_CHARS, Kept, splits_at_spaces
+from halyard.llm.pretokens import KEPT_CHARS, AfterSpace, Cut, Kept, splits_at_spaces
 from halyard.llm.token_counts import cut
 
 MIN_WORDS = 50
@@ -128,36 +128,37 @@ class Meter:
     """Measures texts by two vocabularies, with kept pre-tokens."""
 
     def __init__(self, model: str, ranks: str) -> None:
-        import tiktoken
-
         self.model, self.pieces = model, vocabularies.pieces_model(model)
-        self.plain = tiktoken.Encoding("ranks", pat_str=vocabularies.pattern(), mergeable_ranks=vocabularies.ranks(ranks), special_tokens={}).encode_ordinary
+        self.after_space = AfterSpace(ranks)
+        self.plain = self.after_space.plain
         self.kept = Kept(self._encoded)
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
 
     def _encoded(self, pieces: list[str]) -> Iterator[tuple[bytes, int]]:
         """Of each piece the model's ids, and how many tokens the ranks make of it after a space."""
         ids = [array("I", x).tobytes() for x in self.pieces.encode(pieces, num_threads=1)] if pieces else []
-        return zip(ids, [len(self.plain(" " + p)) for p in pieces], strict=True)
+        return zip(ids, [len(x) // 4 for x in self.after_space(pieces)], strict=True)
 
     def __call__(self, texts: list[str]) -> list[tuple]:
         by_model, by_ranks = [cut(t, self.model) is not None for t in texts], [splits_at_spaces(t) for t in texts]
-        parts = [t.split(" ") if (a and t) or b else [] for t, a, b in zip(texts, by_model, by_ranks, strict=True)]
-        every = set().union(*parts)
-        self.kept.load(every)
-        out = [self._measured(*x) for x in zip(texts, parts, by_model, by_ranks, strict=True)]
-        for p in every:
+        pieces = Cut([t if a or b else "" for t, a, b in zip(texts, by_model, by_ranks, strict=True)])
+        self.kept.load(pieces.distinct)
+        found = list(map(self.kept.__getitem__, pieces.distinct))
+        for p in pieces.distinct:
             if len(p) > KEPT_CHARS:
                 self.kept.pop(p, None)
         self.kept.trim()
+        ids, stops = pieces.ids([x for x, _ in found], pieces.which)
+        later = pieces.sums(np.fromiter((n for _, n in found), np.int64, len(found))).tolist()
+        out = []
+        for k, text in enumerate(texts):
+            coded = ids[stops[k] : stops[k + 1]] if by_model[k] else np.array(self.pieces.encode(text, num_threads=1), np.uint32)
+            out.append(self._measured(text, coded, len(self.plain(pieces.firsts[k])) + later[k] if by_ranks[k] else len(self.plain(text))))
         return out
 
-    def _measured(self, text: str, parts: list[str], by_model: bool, by_ranks: bool) -> tuple:
+    def _measured(self, text: str, coded: np.ndarray, n_byte_tokens: int) -> tuple:
         words = words_of(text)
         lines = [x for x in text.split("\n") if x.strip(SPACES)]
-        found = list(map(self.kept.__getitem__, parts))
-        coded = np.frombuffer(b"".join([x for x, _ in found]), np.uint32) if by_model else np.array(self.pieces.encode(text, num_threads=1), np.uint32)
-        n_byte_tokens = len(self.plain(parts[0])) + sum([n for _, n in found[1:]]) if by_ranks else len(self.plain(text))
         n, chars = len(coded), len(text)
         share = counts_of(coded) / n if n else np.zeros(0)
         return (
