@@ -7,13 +7,13 @@ from halyard.plans.contracts import CONTRACTS
 from halyard.plans.store import ConstraintViolation
 from halyard.sources import delimited, documents, landing
 
-DEMAND = "\\\\ Hourly report\n\\\\ created today\nDate,Hour,Market Demand,Ontario Demand\n2026-01-01,1,18000,17500\n2026-01-01,2,18100,17600\n"
+DEMAND = "\\\\ Hourly report\n\\\\ created today\nDate,Hour,Market Demand,Ontario Demand\n2026-01-01,1,17310,16905\n2026-01-01,2,17420,17011\n"
 
 
 def test_header_after_preamble(spark, tmp_path):
     (tmp_path / "d.csv").write_text(DEMAND)
     rows = delimited.read_demand(spark, str(tmp_path / "d.csv")).orderBy("_source_row_number").collect()
-    assert [tuple(r) for r in rows] == [("2026-01-01", "1", "18000", "17500", 1), ("2026-01-01", "2", "18100", "17600", 2)]
+    assert [tuple(r) for r in rows] == [("2026-01-01", "1", "17310", "16905", 1), ("2026-01-01", "2", "17420", "17011", 2)]
 
 
 @pytest.mark.parametrize("body", ["no header\n1,2\n", "Date,Hour,Market Demand,Ontario Demand\nDate,Hour,Market Demand,Ontario Demand\n", "Hour,Date,Market Demand,Ontario Demand\n1,2,3,4\n"])
@@ -62,8 +62,8 @@ def demand(spark, *rows):
 @pytest.mark.parametrize(
     ("rows", "rule"),
     [
-        ([("2026-01-01", "1", "18000", "17500"), ("2026-01-01", "1", "18100", "17600")], "duplicate_business_key"),
-        ([("2026-01-01", "1", "NOT_A_NUMBER", "17500")], "market_demand_mw_numeric"),
+        ([("2026-01-01", "1", "17310", "16905"), ("2026-01-01", "1", "17420", "17011")], "duplicate_business_key"),
+        ([("2026-01-01", "1", "12,5x", "16905")], "market_demand_mw_numeric"),
         ([("2026-01-01", "25", "1", "2")], "hour_ending_domain"),
         ([("2026-01-01", "1", None, "2")], "market_demand_mw_present"),
         ([(None, "1", "1", "2")], "business_key_not_null"),
@@ -79,15 +79,15 @@ def test_rules_fail(spark, rows, rule):
 
 def test_null_output_is_an_observation(spark):
     contract = CONTRACTS["generation_hourly"]
-    raw = spark.createDataFrame([("2026-07-15", "1", "CONTROL ACTIONS", None, "-1")], "date_raw string, hour_raw string, fuel_type_raw string, output_raw string, output_quality_raw string")
+    raw = spark.createDataFrame([("2026-07-15", "1", "BIOFUEL", None, "-1")], "date_raw string, hour_raw string, fuel_type_raw string, output_raw string, output_quality_raw string")
     said = quality.validated(typed(raw, contract.typing()), contract)
     assert said["output_mwh_null"] == 1 and "output_mwh_numeric" not in said
 
 
-@pytest.mark.parametrize(("last", "partial", "empty"), [((None, None, None), 0, 1), (("50.00", None, None), 1, 0)])
+@pytest.mark.parametrize(("last", "partial", "empty"), [((None, None, None), 0, 1), (("41.30", None, None), 1, 0)])
 def test_partial_and_empty_slots(spark, last, partial, empty):
     contract = CONTRACTS["realtime_price_5min"]
-    rows = [("2026-01-01", "1", str(k), None, "50.00", "0.10", "-0.20") for k in range(1, 12)] + [("2026-01-01", "1", "12", None, *last)]
+    rows = [("2026-01-01", "1", str(k), None, "41.30", "0.07", "-0.15") for k in range(1, 12)] + [("2026-01-01", "1", "12", None, *last)]
     raw = spark.createDataFrame(rows, "delivery_date_raw string, delivery_hour_raw string, interval_raw string, flag_raw string, lmp_cap_raw string, loss_price_cap_raw string, cong_price_cap_raw string")
     said = quality.validated(typed(raw, contract.typing()), contract)
     assert (said.get("partially_populated", 0), said.get("fully_empty", 0)) == (partial, empty) and said["congestion_price_capped_cad_per_mwh_negative"] == 11
