@@ -18,7 +18,7 @@ def _read(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
 
 
 def _numbered(df: DataFrame, order: list[str], columns: dict[str, Column], file_col: str | None) -> DataFrame:
-    """Rows numbered in document order, from 1 in each file; a payload is one record, so a file's rows are one task's anyway."""
+    """Rows numbered in document order, from 1 in each file; one task reads a file anyway."""
     number = F.row_number().over(Window.partitionBy("file").orderBy(*order)).cast("long")
     return df.select(*[c.alias(n) for n, c in columns.items()], number.alias("_source_record_number"), *([F.col("file").alias(file_col)] if file_col else []))
 
@@ -26,9 +26,10 @@ def _numbered(df: DataFrame, order: list[str], columns: dict[str, Column], file_
 def read_generation(spark: SparkSession, path: str, file_col: str | None = None) -> DataFrame:
     """(date_raw, hour_raw, fuel_type_raw, output_raw, output_quality_raw): three levels flattened."""
     fuel = "Fuel string, EnergyValue struct<OutputQuality:string, Output:string>"
-    schema = f"DailyData array<struct<Day:string, HourlyData:array<struct<Hour:string, FuelTotal:array<struct<{fuel.replace(' string', ':string', 1).replace('EnergyValue struct', 'EnergyValue:struct')}>>>>>>"
-    days = _read(spark, path, "DocBody", schema).select("file", F.posexplode_outer("DailyData").alias("d", "day"))
-    hours = days.select("file", "d", F.col("day.Day").alias("date"), F.posexplode_outer("day.HourlyData").alias("h", "hour"))
+    schema = f"Day string, HourlyData array<struct<Hour:string, FuelTotal:array<struct<{fuel.replace(' string', ':string', 1).replace('EnergyValue struct', 'EnergyValue:struct')}>>>>"
+    # A day is a record; a file's are read one after the other, so a running id keeps their order.
+    days = _read(spark, path, "DailyData", schema).withColumn("d", F.monotonically_increasing_id())
+    hours = days.select("file", "d", F.col("Day").alias("date"), F.posexplode_outer("HourlyData").alias("h", "hour"))
     fuels = hours.select("file", "d", "h", "date", F.col("hour.Hour").alias("hour"), F.posexplode_outer("hour.FuelTotal").alias("f", "fuel"))
     rows = fuels.filter("fuel is not null")
     return _numbered(rows, ["d", "h", "f"], {"date_raw": text("date"), "hour_raw": text("hour"), "fuel_type_raw": text("fuel.Fuel"), "output_raw": text("fuel.EnergyValue.Output"), "output_quality_raw": text("fuel.EnergyValue.OutputQuality")}, file_col)
