@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -114,12 +115,13 @@ DIGIT_NAMES = {
 _DIGIT_OF = {name: d for d, names in DIGIT_NAMES.items() for name in names.split()}
 _NAME = "(?:" + "|".join(sorted(_DIGIT_OF, key=lambda n: (-len(n), n))) + ")"
 _DOT_WORD, _AT_WORD = "(?:dot|punkt|punto|point)", "(?:at|arroba|arobase|ät)"
-#: Two names of digits or more in a row, with digits, dots and a plus between them.
-_SPELLED = re.compile(rf"(?i)\b(?:plus[ -]+)?{_NAME}(?:[ ,-]{{1,3}}(?:{_NAME}|[0-9]+|{_DOT_WORD}|-))*[ ,-]{{1,3}}{_NAME}\b")
-_SPELLED_PART = re.compile(rf"(?i)[ ,-]*({_NAME}|{_DOT_WORD}|plus|[0-9]+|-)")
-_PLUS_DIGITS = re.compile(r"(?i)\bplus[ ]+(?=[0-9])")
-_DOTTED_DIGITS = re.compile(rf"(?i)(?<=[0-9])[ ]*[\[({{<]?[ ]*{_DOT_WORD}[ ]*[\])}}>]?[ ]*(?=[0-9])")
-_IN_BRACKETS = re.compile(rf"(?i)[ ]?[\[({{<][ ]*(?:({_AT_WORD}|@)|({_DOT_WORD}|\.))[ ]*[\])}}>][ ]?")
+#: What stands between spelled digits, and a row of them with digits and dots between; what follows its last name is cut off.
+_BETWEEN = r"(?=[ ,-])[ ,]{0,3}+-*+[ ,]{0,3}+(?:-[ ,]{0,2}+)?+"
+_SPELLED = re.compile(rf"(?i)\b(?:plus[ -]++)?+{_NAME}\b(?:{_BETWEEN}(?:{_NAME}|[0-9]++|{_DOT_WORD})\b)*+")
+_SPELLED_PART = re.compile(rf"(?i)\b(?:({_NAME})|{_DOT_WORD}|plus|[0-9]++)\b")
+_PLUS_DIGITS = re.compile(r"(?i)\bplus[ ]++(?=[0-9])")
+_DOTTED_DIGITS = re.compile(rf"(?i)(?<=[0-9])[ ]*+(?:[\[({{<][ ]*+)?+{_DOT_WORD}[ ]*+(?:[\])}}>][ ]*+)?+(?=[0-9])")
+_IN_BRACKETS = re.compile(rf"(?i)[ ]?[\[({{<][ ]*+(?:({_AT_WORD}|@)|({_DOT_WORD}|\.))[ ]*+[\])}}>][ ]?")
 _ENTITY = re.compile(r"(?i)&(?:#0*64|#x0*40|commat);|%40|(&(?:#0*46|#x0*2e|period);|%2e)")
 #: Top-level domains that words around a written dot may always end in, and longer ones; besides these, any
 #: ending of two to four letters that isn't a frequent word, and domains that are words, too, unless the dot is "point".
@@ -134,16 +136,16 @@ WORDS_AND_DOMAINS = "in|at|be|is|to|no|so|me|my|am|as|by|do|la|ma|sa|se|si|su|tu
 SENTENCE = "this|that|some|any|the|a|an|which|what|every|each|no|my|your|his|her|our|their|its|one|another|gun|knife|der|dem|den|diesem|cette|ce|este|ese|un|una"
 _NOT_WORD = lambda words: rf"(?!(?:{words})(?![A-Za-z0-9]))"
 _ENDING = rf"{_NOT_WORD(WORDS)}(?:[A-Za-z]{{2,4}}|{LONGER})"
-_DOT_APART, _AT_APART = rf"[ _]+{_DOT_WORD}[ _]+", rf"[ _]+{_AT_WORD}[ _]+"
-_SURE_DOT, _POINT = r"[ _]+(?:dot|punkt|punto)[ _]+", r"[ _]+point[ _]+"
-_LAST = rf"(?:{_DOT_APART}(?:{TOP_LEVEL})|(?<!_SENTENCE_)(?:{_SURE_DOT}{_ENDING}|{_POINT}{_NOT_WORD(WORDS_AND_DOMAINS)}{_ENDING}))"
-_LAST = _LAST.replace("(?<!_SENTENCE_)", "".join(rf"(?<![ _]{w})" for w in SENTENCE.split("|")))
-#: With at and at least the last dot as words; and with an @ and perhaps blanks around it and the dots.
-_IN_WORDS = [
-    re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+?{_AT_APART}[A-Za-z0-9-]+(?:(?:{_DOT_APART}|\.)[A-Za-z0-9-]+)*{_LAST}(?![A-Za-z0-9])"),
-    re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+[ ]?@[ ]?[A-Za-z0-9-]+(?:(?:{_DOT_APART}|[ ]\.[ ]|\.)[A-Za-z0-9-]+)*(?:{_LAST}|(?:[ ]\.[ ]|\.)(?:{TOP_LEVEL}|{_NOT_WORD(WORDS_AND_DOMAINS)}{_ENDING}))(?![A-Za-z0-9])"),
-]
-_PART = re.compile(rf"(?i)({_AT_APART}|[ ]?@[ ]?)|{_DOT_APART}|[ ]\.[ ]|\.")
+_DOT_APART = rf"[ _]++{_DOT_WORD}[ _]++"
+_SURE_DOT, _POINT = r"[ _]++(?:dot|punkt|punto)[ _]++", r"[ _]++point[ _]++"
+_NOT_SENTENCE = "".join(rf"(?<![ _]{w})" for w in SENTENCE.split("|"))
+_LAST = rf"(?:{_DOT_APART}(?:{TOP_LEVEL})|(?=[ _]){_NOT_SENTENCE}(?:{_SURE_DOT}{_ENDING}|{_POINT}{_NOT_WORD(WORDS_AND_DOMAINS)}{_ENDING}))(?![A-Za-z0-9])"
+#: With at and at least the last dot as words: the at, and what follows it.
+_AT_WORDS = re.compile(rf"(?i)(?<=[ _]){_AT_WORD}(?=[ _])")
+_AFTER_AT = re.compile(rf"(?i)[ _]++[A-Za-z0-9-]++(?:(?:{_DOT_APART}|\.)[A-Za-z0-9-]++)*{_LAST}")
+#: With an @ and perhaps blanks around it and the dots.
+_OPEN_AT = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++[ ]?@[ ]?[A-Za-z0-9-]++(?:(?:{_DOT_APART}|[ ]\.[ ]|\.)[A-Za-z0-9-]++)*(?:{_LAST}|(?:[ ]\.[ ]|\.)(?:{TOP_LEVEL}|{_NOT_WORD(WORDS_AND_DOMAINS)}{_ENDING})(?![A-Za-z0-9]))")
+_PART = re.compile(rf"(?i)((?<![ _])[ _]++{_AT_WORD}[ _]++|[ ]?@[ ]?)|(?<![ _]){_DOT_APART}|[ ]\.[ ]|\.")
 #: What has to be there for the dearer patterns to find anything; the first two read lower case.
 _HAS_SPELLED = re.compile(rf"(?<![a-z]){_NAME}[ ,-]{{1,3}}(?:{_NAME}|[0-9]|{_DOT_WORD})")
 _HAS_DOT_WORD = re.compile(rf"[ _]{_DOT_WORD}[ _]")
@@ -177,13 +179,34 @@ class Rewritten:
         return (s, e) if 1 in self.new[start:end] or e - s != end - start else None
 
 
-def _spelled(found: re.Match) -> str | None:
-    out = []
-    for part in _SPELLED_PART.finditer(found.group()):
-        word = part.group(1).lower()
-        out.append(_DIGIT_OF.get(word) or (word if word[0].isdigit() or word == "-" else "+" if word == "plus" else "."))
-    said = "".join(out)
-    return said if sum(c.isdigit() for c in said) >= 3 else None
+def _spelled(found: re.Match) -> tuple[int, int, str] | None:
+    """What a row of spelled digits says, up to its last name; None if it says less than three digits or has one name."""
+    out, names, kept, end = [], 0, 0, 0
+    for part in _SPELLED_PART.finditer(found.string, found.start(), found.end()):
+        word = part.group().lower()
+        out.append(_DIGIT_OF[word] if part.group(1) else word if word[0].isdigit() else "+" if word == "plus" else ".")
+        if part.group(1):
+            names, kept, end = names + 1, len(out), part.end()
+    said = "".join(out[:kept])
+    return (found.start(), end, said) if names > 1 and sum(c.isdigit() for c in said) >= 3 else None
+
+
+def _addresses_in_words(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost addresses around an at that is a word. What has been walked back over for one at is not for the next."""
+    done = known_from = known_to = 0  # text[known_from:known_to] are local characters, and none stands before them
+    for at in _AT_WORDS.finditer(text):
+        if at.start() < done:
+            continue
+        end = at.start()
+        while end > done and text[end - 1] in " _":
+            end -= 1
+        start = end
+        while start > known_to and text[start - 1] in _LOCAL:
+            start -= 1
+        known_from, known_to = known_from if start == known_to else start, end
+        if known_from < end and (rest := _AFTER_AT.match(text, at.end())):
+            yield known_from, rest.end()
+            done = known_from = known_to = rest.end()
 
 
 def _transducers(text: str) -> Iterator[list[tuple[int, int, str]]]:
@@ -194,16 +217,16 @@ def _transducers(text: str) -> Iterator[list[tuple[int, int, str]]]:
         text = yield [(m.start(), m.end(), "." if m.group(1) else "@") for m in _ENTITY.finditer(text)]
     text = yield [(m.start(), m.end(), "@" if m.group(1) else ".") for m in _IN_BRACKETS.finditer(text)]
     if _HAS_SPELLED.search(text.lower()):
-        text = yield [(m.start(), m.end(), said) for m in _SPELLED.finditer(text) if (said := _spelled(m))]
+        text = yield [said for m in _SPELLED.finditer(text) if (said := _spelled(m))]
     low = text.lower()
     if "plus" in low:
         text = yield [(m.start(), m.end(), "+") for m in _PLUS_DIGITS.finditer(text)]
     if dotted := _HAS_DOT_WORD.search(low) is not None:
         text = yield [(m.start(), m.end(), ".") for m in _DOTTED_DIGITS.finditer(text)]
     text = yield [(m.start(2), m.end(2), "0" if m.group(2) in "Oo" else "1") for m in _LETTER_DIGIT.finditer(text)]
-    for needed, pattern in ((dotted, _IN_WORDS[0]), ("@" in text and (dotted or _HAS_OPEN_AT.search(text)), _IN_WORDS[1])):
+    for needed, found in ((dotted, _addresses_in_words), ("@" in text and (dotted or _HAS_OPEN_AT.search(text)), lambda t: (m.span() for m in _OPEN_AT.finditer(t)))):
         if needed:
-            parts = [part for m in pattern.finditer(text) for part in _PART.finditer(text, m.start(), m.end())]
+            parts = [part for span in found(text) for part in _PART.finditer(text, *span)]
             text = yield [(p.start(), p.end(), "@" if p.group(1) else ".") for p in parts if len(p.group()) > 1]
 
 
@@ -226,13 +249,20 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     if rewritten is None:
         return []
     out: list[Span] = []
+    of_kind = [([a for k, a, _ in base if k == kind], [b for k, _, b in base if k == kind]) for kind in KINDS]  # each without overlaps, so both are in order
     for kind, s, e in base_spans(rewritten.text):
         place = rewritten.source(s, e)
-        if place and (kind != "email" or _TOP.fullmatch(rewritten.text, s, e)) and not any(place[0] < b and a < place[1] and not (place[0] <= a and b <= place[1] and b - a < place[1] - place[0]) for _, a, b in base):
+        if place and (kind != "email" or _TOP.fullmatch(rewritten.text, s, e)) and all(_holds(place, starts, ends) for starts, ends in of_kind):
             out.append((kind, *place))
     return out
 
 
+def _holds(place: tuple[int, int], starts: list[int], ends: list[int]) -> bool:
+    """True if a place holds each span that it touches and reaches beyond it; only the first and the last can reach out of it."""
+    first, last = bisect_right(ends, place[0]), bisect_left(starts, place[1]) - 1
+    return first > last or (place[0] <= starts[first] and ends[last] <= place[1] and (first < last or ends[last] - starts[first] < place[1] - place[0]))
+
+
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, spans): for every text its spans as an array of (kind, start, end, added), code points, end exclusive."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("added", pa.bool_())]))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -80,6 +81,40 @@ def test_added_spans_within_base_spans_go():
 
 
 
+#: Runs that a pattern could look at again and again: separators, names, at and dot, digits, and what stands before and after them.
+UNITS = [" ", "-", "_", ",", ".", "+", "@", "(", "[ ", "0", "a", "1 ", "1-", "_-", " _", "one ", "one-", "null ", "plus ", "plus-", "dot ", "_dot_", " at ", "_at_", "at_", "at ", "@a", "a@", "a.", "a@b.c ", "&#0", "%40", "\u0430", "1 dot ", "1.", "one 2 dot ", "+1 (4l5) 555-0123 ", "x at y dot com ", "l", "1l", "a_", "a-", "at at dot "]
+AROUND = [("", ""), ("one two\nnull ", " x"), ("plus ", " one"), ("1 ", " dot"), ("1 dot ", " x"), ("a", "b at firm dot com"), ("x at y", " dot"), ("x at y dot ", ""), ("x@", " . com"), ("x @ y dot a", " dot"), ("x dot y [", "at]"), ("1 dot 2 x@y dot ", " at "), ("one two dot 1 x at ", "@ at")]
+
+
+@pytest.mark.parametrize("unit", UNITS)
+def test_long_runs_cost_in_proportion_to_their_length(unit):
+    """Runs of 100,000 characters, in each surrounding, and for each pattern by itself, in a second."""
+    patterns = [v for k, v in vars(personal_data).items() if isinstance(v, re.Pattern)]
+    for before, after in AROUND:
+        text = before + unit * (100_000 // len(unit)) + after
+        began = time.process_time()
+        personal_data.added_spans(text, personal_data.base_spans(text))
+        assert time.process_time() - began < 2, (before, after)
+        for pattern in patterns * (before in ("", "1 ", "x at y dot ")):
+            began = time.process_time()
+            assert pattern.pattern.startswith("[A-Za-z0-9]") or sum(1 for _ in pattern.finditer(text)) >= 0
+            assert time.process_time() - began < 1, (before, after, pattern.pattern)
+
+
+def plain_addresses_in_words(text):
+    """The same addresses by one pattern that walks over runs again and again."""
+    names = personal_data
+    return [m.span() for m in re.finditer(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+?[ _]+" + names._AT_WORD + names._AFTER_AT.pattern.removeprefix("(?i)"), text)]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(["x", "jo_e", "at", "dot", "com", "ca", " ", "  ", "_", ".", "\n", "-", "the"]), max_size=24).map("".join))
+def test_addresses_in_words_are_the_pattern(text):
+    ours = list(personal_data._addresses_in_words(text))
+    theirs = [(s, e) for s, e in plain_addresses_in_words(text) if text[s] != "_"]
+    assert [x for x in ours if x[0] == 0 or text[x[0]] != "_"] == theirs or any(text[s] == "_" for s, _ in plain_addresses_in_words(text))
+
+
 def test_personal_data_query(spark):
     rows = [(1, "a@b.co x +1 415 555 0123 y 1.2.3.4 z 4111 1111 1111 1111"), (2, None), (3, ""), (3, ""), (None, "x at y dot com")]
     out = {(r.doc_id, r.spans): r for r in personal_data.digests(personal_data.spans(frame(spark, rows))).collect()}
