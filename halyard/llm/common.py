@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of a batch that goes to a Python worker; a batch holds whole texts, so both are bounded.
@@ -59,3 +59,22 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with its rows' numbers from 1 in an order, without a task that sees them all.
+
+    Rows are dealt by ranges of the order and sorted there; what is counted before a range comes from one row a range. The order
+    should tell rows apart: rows that it leaves equal are in one range.
+    """
+    part, place = unused(df, "part"), unused(df, "place")
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = checkpointed(dealt.withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    before, sizes = 0, {}
+    for row in dealt.groupBy(part).count().orderBy(part).collect():
+        sizes[row[0]], before = before, before + row["count"]
+    if not sizes:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    base = df.sparkSession.createDataFrame(list(sizes.items()), f"`{part}` int, _before long")
+    out = dealt.join(F.broadcast(base), part)  # one row a range
+    return out.select(*[dealt[c] for c in df.columns], (F.col("_before") + dealt[place] + 1).alias(name))

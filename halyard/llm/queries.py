@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halyard.llm import bpe, jaccard_join, line_chunks, packing, personal_data, piecewise_hashes, quality, revisits, secrets, token_counts
+from halyard.llm import bpe, importance, jaccard_join, line_chunks, packing, personal_data, piecewise_hashes, quality, revisits, secrets, token_counts
 from halyard.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_content_defined_line_chunks(spark: SparkSession, sf_dir: str) -> DataFr
     return line_chunks.deduped(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "line_dedup.n_lines", "line_dedup.n_removed_lines")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_revisit_resolution": op1_revisit_resolution,
     "op2_tokenizer_fertility": op2_tokenizer_fertility,
@@ -61,9 +65,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_content_defined_line_chunks": op10_content_defined_line_chunks,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_revisit_resolution": revisits.ORACLE_SQL,
     "op10_content_defined_line_chunks": line_chunks.ORACLE_SQL,
+    "op11_importance_resampling": importance.ORACLE_SQL,
 }
