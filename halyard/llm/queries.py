@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halyard.llm import bpe, importance, jaccard_join, line_chunks, packing, personal_data, piecewise_hashes, quality, revisits, secrets, token_counts
+from halyard.llm import bpe, collocations, importance, jaccard_join, line_chunks, packing, personal_data, piecewise_hashes, quality, revisits, secrets, token_counts
 from halyard.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_revisit_resolution": op1_revisit_resolution,
     "op2_tokenizer_fertility": op2_tokenizer_fertility,
@@ -66,10 +70,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_content_defined_line_chunks": op10_content_defined_line_chunks,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_revisit_resolution": revisits.ORACLE_SQL,
     "op10_content_defined_line_chunks": line_chunks.ORACLE_SQL,
     "op11_importance_resampling": importance.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
 }
