@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halyard.llm import bpe, collocations, importance, jaccard_join, line_chunks, packing, personal_data, piecewise_hashes, quality, revisits, secrets, token_counts
+from halyard.llm import bpe, collocations, importance, jaccard_join, line_chunks, mixing, packing, personal_data, piecewise_hashes, quality, revisits, secrets, token_counts
 from halyard.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mixture(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_revisit_resolution": op1_revisit_resolution,
     "op2_tokenizer_fertility": op2_tokenizer_fertility,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_content_defined_line_chunks": op10_content_defined_line_chunks,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_collocations": op12_collocations,
+    "op13_source_mixing": op13_source_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -78,4 +83,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_content_defined_line_chunks": line_chunks.ORACLE_SQL,
     "op11_importance_resampling": importance.ORACLE_SQL,
     "op12_collocations": collocations.ORACLE_SQL,
+    "op13_source_mixing": mixing.ORACLE_SQL,
 }
