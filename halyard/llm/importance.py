@@ -31,12 +31,11 @@ from halyard.llm.common import batched, checkpointed, id_and_text, id_type, numb
 
 #: Words of a feature at most; buckets; words that a text must have to be drawn; per cent drawn; what is hashed before an id.
 N, BUCKETS, LEAST_WORDS, PERCENT, SEED = 2, 10_000, 20, 25, "7:"
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.translate(_LOWER) if not text.isascii() else text.lower())
+    return _WORD.findall(text.encode().lower().decode())  # of bytes only A to Z change
 
 
 def suffix_array(block: Block, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,7 +47,7 @@ def suffix_array(block: Block, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     columns = [rank]
     for k in range(1, n):
         ahead = np.zeros_like(rank)
-        ahead[: len(rank) - k] = rank[k:]
+        ahead[: max(len(rank) - k, 0)] = rank[k:]
         columns.append(np.where(left > k, ahead, 0))  # nothing follows: before every word
     if n * most.bit_length() < 63:
         key = columns[0]

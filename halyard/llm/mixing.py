@@ -183,12 +183,12 @@ def mixture(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     begin = block_start(F.col("block"), F.col("source_size"), F.col("blocks"))
     first = F.greatest(F.col("start"), begin)
     last = F.least(F.col("start") + F.col("size"), block_start(F.col("block") + 1, F.col("source_size"), F.col("blocks")), begin + F.col("words"))
-    return both.select("slot", "source", "source_size", "target", "epoch", "block", "id", "size", "bucket", "row", (first - F.col("start")).alias("first_word"), F.greatest(F.coalesce(last - first, F.lit(0)), F.lit(0)).cast("long").alias("n_words"))
+    return both.select("slot", "source", "source_size", "target", "epoch", "block", "id", "size", "bucket", "row", (first - F.col("start")).alias("first_word"), F.when(F.col("slot").isNotNull(), F.greatest(last - first, F.lit(0))).otherwise(0).cast("long").alias("n_words"))
 
 
 def taken(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id_col, size, source_size, target, taken) from the result of mixture(): how many words of every document the mix takes."""
-    of = mixed.groupBy("source", "bucket", "row", F.col("id").alias(id_col), "size", "source_size", "target").agg(F.sum(F.when(F.col("slot").isNotNull(), F.col("n_words")).otherwise(0)).cast("long").alias("taken"))
+    of = mixed.groupBy("source", "bucket", "row", F.col("id").alias(id_col), "size", "source_size", "target").agg(F.sum("n_words").cast("long").alias("taken"))
     return of.select(id_col, "size", "source_size", "target", "taken")
 
 
