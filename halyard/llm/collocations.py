@@ -30,11 +30,21 @@ from halyard.llm.common import batched, checkpointed
 MAX_WORDS, LEAST, COVERED, TOP, UND = 3, 10, 50, 2000, "und"
 #: Words of a shard; positions of a bitmap's block; entries of a group of first words; bits of a filter (8 MB); salts of the first ranking.
 SHARD, WIDTH, GROUP, FILTER, SALTS = 1 << 20, 8, 1 << 17, 1 << 26, 64
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _BREAKS = ".,;:!?\n\x0b\x0c\r"
 _TOKEN = re.compile(r"[.,;:!?\n-\r]|[^ \t.,;:!?\n-\r]+")
 _BITS = np.array([x.bit_count() for x in range(1 << WIDTH)], np.int64)
-_KEPT_IN_BUCKET = 1 << 15
+_BUCKET_BYTES = 1 << 12
+
+
+class Numbers(dict):
+    """Numbers words as they come; what ends a piece is -1."""
+
+    def __init__(self) -> None:
+        super().__init__(dict.fromkeys(_BREAKS, -1))
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self) - len(_BREAKS)
+        return n
 
 
 class Shard:
@@ -42,13 +52,12 @@ class Shard:
 
     def __init__(self, lang: str) -> None:
         self.lang, self.size = lang, 0
-        self._number: dict[str, int] = dict.fromkeys(_BREAKS, -1)
+        self._number = Numbers()
         self._parts: list[np.ndarray] = []
 
     def add(self, text: str) -> None:
-        number, breaks = self._number, len(_BREAKS)
-        tokens = _TOKEN.findall(text.lower() if text.isascii() else text.translate(_LOWER))
-        self._parts += [np.fromiter((number.setdefault(t, len(number) - breaks) for t in tokens), np.int64, len(tokens)), np.array([-1])]
+        tokens = _TOKEN.findall(text.encode().lower().decode())  # of bytes only A to Z change
+        self._parts += [np.array([*map(self._number.__getitem__, tokens)], np.int32), np.array([-1], np.int32)]
         self.size += len(tokens)
 
     def words(self) -> list[str]:
@@ -95,115 +104,125 @@ class Bitmaps:
         return np.bincount(self.of, _BITS[self.bits], sets).astype(np.int64)
 
 
-def slot(lang: str, phrase: str) -> int:
-    return crc32(f"{lang}\0{phrase}".encode()) % FILTER
-
-
-def _may(table: np.ndarray, lang: str, phrases: list[str]) -> np.ndarray:
-    slots = np.fromiter((slot(lang, p) for p in phrases), np.int64, len(phrases))
+def _may(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slots = hashes % (8 * len(table))
     return (table[slots >> 3] >> (slots & 7)) & 1 == 1
 
 
-def phrase_counts(shard: Shard, n: int, tables: list[np.ndarray]) -> Iterator[tuple[list[str], np.ndarray]]:
-    """Phrases of n words in a shard and how often each occurs, in groups; tables[k] says which of k + 1 words may be frequent."""
+def phrase_counts(shard: Shard, n: int, tables: list[np.ndarray], group: int = GROUP) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Phrases of n words in a shard and how often each occurs, in groups; tables[k] says which of k + 1 words may be frequent.
+
+    Phrases are known by their word numbers and hashes; only those that are counted in the end are spelled out.
+    """
     words, ids = shard.words(), shard.ids()
     if n == 1:
         yield words, np.bincount(ids[ids >= 0], minlength=len(words))
         return
-    able = _may(tables[0], shard.lang, words)
+    spelled = [w.encode() for w in words]
+    before = crc32(f"{shard.lang}\0".encode())
+    hashes = np.array([crc32(w, before) for w in spelled], np.int64)
+    following = [b" " + w for w in spelled]
+    able = _may(tables[0], hashes)
     places = np.flatnonzero((ids >= 0) & able[ids]) if words else np.empty(0, np.int64)
-    roots = Bitmaps.of_positions(ids[places], places)
-    by_block = np.argsort(roots.block, kind="stable")
-    singles = roots.picked(by_block)
+    roots = Bitmaps.of_positions(ids[places].astype(np.int64), places)
+    singles = roots.picked(np.argsort(roots.block, kind="stable"))
     begins = np.searchsorted(singles.block, np.arange(len(ids) // WIDTH + 3))
 
-    def grown(sets: Bitmaps, names: list[str], tails: list[str], depth: int) -> Iterator[tuple[list[str], np.ndarray]]:
-        """names: the phrases of the sets; tails: the same without their first word."""
+    def longer(of: np.ndarray, last: list[int]) -> np.ndarray:
+        return np.array([crc32(following[w], h) for h, w in zip(of.tolist(), last, strict=True)], np.int64)
+
+    def grown(sets: Bitmaps, members: np.ndarray, whole: np.ndarray, tail: np.ndarray) -> Iterator[tuple[list[str], np.ndarray]]:
+        """members: the words of each set's phrase; whole, tail: the hashes of the phrases, and of them without their first word."""
+        depth = members.shape[1] + 1
         word, found = sets.shifted().anded(singles, begins)
-        pair, of = np.unique(found.of * len(words) + word, return_inverse=True)
-        found.of = of
-        before, last = (pair // len(words)).tolist(), (pair % len(words)).tolist()
-        more = [f"{names[p]} {words[w]}" for p, w in zip(before, last, strict=True)]
-        ends = [f"{tails[p]} {words[w]}" if depth > 2 else words[w] for p, w in zip(before, last, strict=True)]
+        pair, found.of = np.unique(found.of * len(words) + word, return_inverse=True)
+        old, new = pair // len(words), pair % len(words)
+        last = new.tolist()
+        ends = longer(tail[old], last) if depth > 2 else hashes[new]
+        keep = _may(tables[depth - 2], ends) if depth > 2 else np.ones(len(pair), bool)
         if depth == n:
-            keep = np.flatnonzero(_may(tables[n - 2], shard.lang, ends)) if depth > 2 else np.arange(len(more))
-            if len(keep):
-                yield [more[k] for k in keep.tolist()], found.counts(len(pair))[keep]
+            kept = np.flatnonzero(keep)
+            if len(kept):
+                columns = [[words[w] for w in column] for column in (*members[old[kept]].T.tolist(), new[kept].tolist())]
+                yield [*map(" ".join, zip(*columns, strict=True))], found.counts(len(pair))[kept]
             return
-        keep = _may(tables[depth - 1], shard.lang, more)
+        phrase = longer(whole[old], last)
+        keep &= _may(tables[depth - 1], phrase)
         if keep.any():
-            renumbered = np.cumsum(keep) - 1
-            kept = found.picked(keep[found.of])
-            kept.of = renumbered[kept.of]
-            yield from grown(kept, [x for x, k in zip(more, keep, strict=True) if k], [x for x, k in zip(ends, keep, strict=True) if k], depth + 1)
+            deeper = found.picked(keep[found.of])
+            deeper.of = (np.cumsum(keep) - 1)[deeper.of]
+            yield from grown(deeper, np.column_stack([members[old], new])[keep], phrase[keep], ends[keep])
 
     at = 0
-    while at < len(roots.of):  # whole first words, about GROUP entries of them
-        end = int(np.searchsorted(roots.of, roots.of[min(at + GROUP, len(roots.of)) - 1], side="right"))
-        yield from grown(roots.picked(np.arange(at, end)), words, words, 2)
+    while at < len(roots.of):  # whole first words, about group entries of them
+        end = int(np.searchsorted(roots.of, roots.of[min(at + group, len(roots.of)) - 1], side="right"))
+        yield from grown(roots.picked(np.arange(at, end)), np.arange(len(words))[:, None], hashes, hashes)
         at = end
 
 
-def _counted(texts: DataFrame, n: int, tables: list[np.ndarray]) -> DataFrame:
-    """(lang, phrase, n): occurrences over all shards of (lang, text)."""
-    shared = texts.sparkSession.sparkContext.broadcast(tables)  # FILTER bits each
+def _counted(texts: DataFrame, n: int, tables: list[np.ndarray], shard_words: int = SHARD, group: int = GROUP) -> DataFrame:
+    """(lang, phrase, n): occurrences over all shards of (lang, text). Within shards they are added up already, so each goes straight to its sum."""
+    shared = texts.sparkSession.sparkContext.broadcast(tables)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: dict[str, Shard] = {}
 
         def emptied() -> Iterator[pa.RecordBatch]:
             for shard in shards.values():
-                for phrases, counts in phrase_counts(shard, n, shared.value):
+                for phrases, counts in phrase_counts(shard, n, shared.value, group):
                     yield pa.RecordBatch.from_arrays([pa.array([shard.lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
             shards.clear()
 
+        size = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if lang not in shards:
-                    shards[lang] = Shard(lang)
-                shards[lang].add(text)
-                if sum(s.size for s in shards.values()) >= SHARD:
+                shard = shards.setdefault(lang, Shard(lang)) if lang not in shards else shards[lang]
+                size -= shard.size
+                shard.add(text)
+                size += shard.size
+                if size >= shard_words:
                     yield from emptied()
+                    size = 0
         yield from emptied()
 
-    return texts.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "lang string, phrase string, n long").repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _table(frequent: DataFrame) -> np.ndarray:
-    """The bit table of (lang, phrase) rows: FILTER bits in all, whatever their number."""
-    at = F.crc32(F.concat_ws("\0", "lang", "phrase").cast("binary")) % FILTER + 1
+def _table(frequent: DataFrame, bits: int = FILTER) -> np.ndarray:
+    """The bit table of (lang, phrase) rows: so many bits in all, whatever their number."""
+    at = F.crc32(F.concat_ws("\0", "lang", "phrase").cast("binary")) % bits + 1
     rows = frequent.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    out = np.zeros(FILTER // 8, np.uint8)
-    for row in rows.collect():  # FILTER / 32,768 rows at most, 4 kB each
-        begin = (row.bucket - 1) * _KEPT_IN_BUCKET // 8
-        out[begin : begin + _KEPT_IN_BUCKET // 8] = np.frombuffer(row.bits, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
+    for row in rows.collect():  # bits / 32,768 rows at most, 4 kB each
+        begin = (row.bucket - 1) * _BUCKET_BYTES
+        out[begin : begin + _BUCKET_BYTES] = np.frombuffer(row.bits, np.uint8)
     return out
 
 
-def counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+def counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, least: int = LEAST, shard_words: int = SHARD, group: int = GROUP, filter_bits: int = FILTER) -> tuple[DataFrame, DataFrame]:
     """(lang, n) with the words of each language, and (lang, phrase, n, words) of the phrases that occur often enough."""
     lang = F.coalesce(df[lang_col].cast("string"), F.lit(UND)) if lang_col in df.columns else F.lit(UND)
     texts = batched(df.select(lang.alias("lang"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text")))
     tables: list[np.ndarray] = []
     total = found = None
     for n in range(1, max_words + 1):
-        counted = _counted(texts, n, tables)
+        counted = _counted(texts, n, tables, shard_words, group)
         if n == 1:
             counted = checkpointed(counted)
             total = counted.groupBy("lang").agg(F.sum("n").alias("n"))
         frequent = checkpointed(counted.filter(F.col("n") >= least).withColumn("words", F.lit(n)))
         found = frequent if found is None else found.unionByName(frequent)
         if n < max_words:
-            tables.append(_table(frequent))
+            tables.append(_table(frequent, filter_bits))
     return total, found
 
 
-def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, least: int = LEAST, covered: int = COVERED, top: int = TOP) -> DataFrame:
+def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, least: int = LEAST, covered: int = COVERED, top: int = TOP, **sizes: int) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of 2 to max_words words.
 
-    Counts are exact to 10^16: products are decimals of 38 digits.
+    Counts are exact to 10^16: products are decimals of 38 digits. sizes: shard_words, group and filter_bits, on which no result depends.
     """
-    total, found = counts(df, text_col, lang_col, max_words, least)
+    total, found = counts(df, text_col, lang_col, max_words, least, **sizes)
     candidates = found.filter("words > 1")
     part = lambda first, length: F.array_join(F.slice("w", first, length), " ")
     split = candidates.select("lang", "phrase", F.col("n").alias("a"), "words", F.split("phrase", " ").alias("w"))
