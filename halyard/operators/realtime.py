@@ -21,13 +21,18 @@ SCORED = [
 ]
 CORE = ["event_id", "event_type", *KEY, "source_hash", "event_created_at_utc"]
 LINEAGE = ["event_id", "source_hash", "event_created_at_utc"]
+#: What the rules on a log are called.
+RULES = {
+    "RT-DQ-001": "Technical duplicate deliveries", "RT-DQ-002": "Physical deliveries missing core fields", "RT-DQ-003": "Logical events missing core fields", "RT-DQ-004": "Invalid event type and publication-state combination",
+    "RT-DQ-005": "Published observations missing price components", "RT-DQ-006": "Invalidations missing previous event lineage",
+}
 #: Statistics of a window, under the names they have in its rows and as columns of the metrics.
 STATISTICS = {"rolling_avg": "rolling_{}_avg", "rolling_min": "rolling_{}_min", "rolling_max": "rolling_{}_max", "rolling_stddev": "rolling_{}_stddev", "negative_price_count": "negative_{}_count", "negative_price_share": "negative_{}_share"}
 _OF = {"rolling_avg": "avg", "rolling_min": "min", "rolling_max": "max", "rolling_stddev": "stddev", "negative_price_count": "negative_count", "negative_price_share": "negative_share"}
 
 
 def price_event_dedup(log: DataFrame) -> DataFrame:
-    """One row an event: its most complete delivery; of equally complete ones the one whose fields come last as text."""
+    """One row an event: its most complete delivery; of equally complete ones the one whose fields have the largest hash."""
     tie = F.xxhash64(*[F.col(c).cast("string") for c in log.columns])
     return series.dedup_deliveries(log.withColumn("_tie", tie), "event_id", [c for c in SCORED if c in log.columns], ["_tie"]).drop("_tie")
 
@@ -37,7 +42,7 @@ def price_current(log: DataFrame) -> DataFrame:
     return series.current_state(price_event_dedup(log), KEY, ["event_created_at_utc", "event_id"], F.col("publication_state") == series.ELIGIBLE)
 
 
-def _slots(current: DataFrame) -> DataFrame:
+def slots(current: DataFrame) -> DataFrame:
     """The columns that the series functions read: slot and price, and those that stay."""
     slot = series.slot_of_parts(F.to_date("delivery_date"), F.col("delivery_hour"), F.col("interval"))
     return current.select("delivery_date", "delivery_hour", F.col("interval").alias("interval_no"), slot.alias("slot"), F.col(PRICES[0]).cast("double").alias("price"), *LINEAGE)
@@ -45,7 +50,7 @@ def _slots(current: DataFrame) -> DataFrame:
 
 def price_change(log: DataFrame) -> DataFrame:
     """Each current price with the one before it; the change is null unless the slots are adjacent."""
-    changed = series.gap_safe_change(_slots(price_current(log)), "slot", "price")
+    changed = series.gap_safe_change(slots(price_current(log)), "slot", "price")
     return changed.select(*_change_columns(), *LINEAGE)
 
 
@@ -55,22 +60,29 @@ def _change_columns() -> list[str | Column]:
 
 def price_rolling(log: DataFrame) -> DataFrame:
     """A row for each current price and window of 15, 30 and 60 minutes; statistics are null unless all slots have a price."""
-    wide = series.rolling(_slots(price_current(log)), "slot", "price")
+    wide = series.rolling(slots(price_current(log)), "slot", "price")
     windows = [F.struct(F.lit(m).alias("window_minutes"), F.lit(n).alias("expected_slots"), F.col(f"r{m}_count").alias("matched_slots"), F.col(f"r{m}_complete").alias("window_complete"), *[F.col(f"r{m}_{x}").alias(c) for c, x in _OF.items()]) for m, n in series.WINDOWS.items()]
     return wide.select("delivery_date", "delivery_hour", "interval_no", F.explode(F.array(*windows)).alias("w"), *LINEAGE).select("delivery_date", "delivery_hour", "interval_no", "w.*", *LINEAGE)
 
 
 def price_market_metrics(log: DataFrame) -> DataFrame:
-    """Change and all windows of each current price, 32 columns; change is computed on the rows that the windows need, without a join."""
-    changed = series.gap_safe_change(_slots(price_current(log)), "slot", "price")
+    """Change and all windows of each current price, 32 columns."""
+    return metrics_of(slots(price_current(log)))
+
+
+def metrics_of(rows: DataFrame) -> DataFrame:
+    """Change and all windows of rows as slots() gives them; change is computed on the rows that the windows need, without a join."""
+    changed = series.gap_safe_change(rows, "slot", "price")
     wide = series.rolling(changed, "slot", "price")
     windows = [x for m in series.WINDOWS for x in (F.col(f"r{m}_complete").alias(f"rolling_{m}_complete"), *[F.col(f"r{m}_{_OF[c]}").alias(name.format(m)) for c, name in STATISTICS.items()])]
     return wide.select(*_change_columns(), *windows, *LINEAGE)
 
 
-def dq_summary(log: DataFrame) -> DataFrame:
-    """(rule_id, rule_name, criticality, metric, outcome) of the six rules on a log."""
-    return series.event_rules(log, price_event_dedup(log), CORE, list(PRICES))
+def dq_summary(log: DataFrame, at: Column | None = None) -> DataFrame:
+    """(rule_id, rule_name, severity, status, metric_value, evaluated_at_utc): the six rules on a log; severity is what status is when a rule counts anything."""
+    rules = series.event_rules(log, price_event_dedup(log), CORE, list(PRICES))
+    named = F.create_map(*[F.lit(x) for pair in RULES.items() for x in pair])
+    return rules.select("rule_id", named[F.col("rule_id")].alias("rule_name"), F.col("criticality").alias("severity"), F.col("outcome").alias("status"), F.col("metric").alias("metric_value"), (F.current_timestamp() if at is None else at).alias("evaluated_at_utc"))
 
 
 def metric_union(log: DataFrame) -> DataFrame:

@@ -86,14 +86,14 @@ def investigate_hours(fact: DataFrame, date: str, hour: int | None = None, resul
 def investigate_slot(current: DataFrame, rules: DataFrame, date: str, hour: int, interval: int, prices: tuple[str, ...] = PRICES) -> DataFrame:
     """One row: whether exactly one observation with all prices is there for a slot, and whether an event rule blocks it.
 
-    rules: with outcome and criticality; only a critical rule that fails blocks.
+    rules: with status and severity; only a rule of severity FAIL that fails blocks.
     """
     day = checked_date(date)
     checked_number(hour, 1, 24, "hour")
     checked_number(interval, 1, 12, "interval")
     missing = reduce(lambda a, b: a | b, [F.col(p).isNull() for p in prices])
     found = lookup(current, {"delivery_date": str(day), "delivery_hour": hour, "interval": interval}).agg(F.count(F.lit(1)).alias("rows"), F.count_if(missing).alias("unusable"))
-    failed = lambda criticality: F.coalesce(F.bool_or((F.col("outcome") == "FAIL") & (F.col("criticality") == criticality)), F.lit(False))
+    failed = lambda severity: F.coalesce(F.bool_or((F.col("status") == "FAIL") & (F.col("severity") == severity)), F.lit(False))
     dq = rules.agg(F.count(F.lit(1)).alias("dq_rule_count"), failed("FAIL").alias("blocking_dq_failure"), failed("WARN").alias("nonblocking_dq_warning"))
     both = found.crossJoin(F.broadcast(dq))  # a row each
     facts = (F.col("rows") > 0, F.col("unusable") == 0, F.col("blocking_dq_failure"), F.col("rows") == 1)

@@ -68,10 +68,14 @@ def split_quarantine(typed: DataFrame, contract: Contract) -> tuple[DataFrame, D
 
 
 def five_rules(source: DataFrame, target: DataFrame, contract: Contract) -> DataFrame:
-    """(rule_id, severity, records_failed) of a fact against its source: counts, both directions, keys, lineage."""
+    """(rule_id, severity, records_failed) of a fact against its source: counts, both directions, keys, lineage.
+
+    A fact that lacks a required lineage column fails in every row.
+    """
     columns = list(contract.columns)
     two = reconcile(source, target, columns, list(contract.keys))
-    lineage = target.agg(F.count_if(any_null([c for c in REQUIRED_LINEAGE if c in target.columns] or columns[:1])).alias("required_lineage"))
+    lacking = any_null(REQUIRED_LINEAGE) if set(REQUIRED_LINEAGE) <= set(target.columns) else F.lit(True)
+    lineage = target.agg(F.count_if(lacking).alias("required_lineage"))
     rules = {"row_count_matches": F.abs(F.col("source_rows") - F.col("target_rows")), "missing_rows": F.col("missing_from_target"), "unexpected_rows": F.col("unexpected_in_target"), "duplicate_business_key": F.col("duplicate_keys"), "required_lineage": F.col("required_lineage")}
     each = F.array(*[F.struct(F.lit(r).alias("rule_id"), n.cast("long").alias("records_failed")) for r, n in rules.items()])
     return two.crossJoin(F.broadcast(lineage)).select(F.explode(each).alias("r")).select("r.*").withColumn("severity", F.when(F.col("records_failed") > 0, FAIL).otherwise(PASS))
@@ -118,9 +122,12 @@ def header_rules(spark: SparkSession, found: list[str], required: list[str]) ->
 
 
 def total_rules(wide: DataFrame, parts: list[str], total: str, other: str, difference: str) -> DataFrame:
-    """Rows whose parts don't add up to the total, and whose difference isn't the total less the other measure."""
+    """Rows whose parts don't add up to the total, and whose difference isn't the total less the other measure.
+
+    A part that is null adds nothing; where a total, measure or difference is null, nothing can agree with it.
+    """
     deltas = sum_deltas(wide, parts, total, other, difference)
-    counts = deltas.agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("sum_delta") != 0).alias("a"), F.count_if(F.col("difference_delta") != 0).alias("b"))
+    counts = deltas.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.coalesce(F.col(c) != 0, F.lit(True))).alias(n) for c, n in (("sum_delta", "a"), ("difference_delta", "b"))])
     return warnings(counts, F.col("_n"), {"parts_sum_to_total": F.col("a"), "difference_is_consistent": F.col("b")})
 
 
@@ -150,6 +157,6 @@ def unseen_values(df: DataFrame, column: str, known: list) -> DataFrame:
 
 
 def sum_deltas(df: DataFrame, parts: list[str], total: str, other: str, difference: str) -> DataFrame:
-    """df with sum_delta (parts less total) and difference_delta (total less other less difference)."""
-    added = reduce(lambda a, b: a + b, [F.col(p) for p in parts])
+    """df with sum_delta (parts less total; null parts add nothing) and difference_delta (total less other less difference)."""
+    added = reduce(lambda a, b: a + b, [F.coalesce(F.col(p), F.lit(0)) for p in parts])
     return df.withColumn("sum_delta", added - F.col(total)).withColumn("difference_delta", F.col(total) - F.col(other) - F.col(difference))

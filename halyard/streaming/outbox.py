@@ -17,7 +17,7 @@ from halyard.plans.store import TableConflict, VersionedTable
 PENDING, SENDING, SENT = "PENDING", "SENDING", "SENT"
 EVENT_VERSION = "rt_price_event_v1"
 SLOT = ["delivery_date", "delivery_hour", "interval"]
-#: The event as it is sent and as the log holds it.
+#: The event as it is sent and as the log holds it.
 EVENT = "event_schema_version string, event_type string, event_id string, observation_hash string, delivery_date string, delivery_hour int, interval int, zonal_price_capped_cad_per_mwh double, loss_price_capped_cad_per_mwh double, congestion_price_capped_cad_per_mwh double, source_flag string, publication_state string, previous_event_id string, source_name string, source_file string, source_url string, source_hash string, source_created_at_raw string, source_doc_revision string, bronze_first_seen_at_utc string, publisher_run_id string, poll_id string, event_created_at_utc string"
 _NAMES = [c.split()[0] for c in EVENT.split(", ")]
 
@@ -45,19 +45,36 @@ def events_of(decided: DataFrame, lineage: dict[str, str | None], created_at: Co
     return wanted.select(*[(made.get(c, F.col(c) if c in wanted.columns else F.lit(None).cast("string"))).alias(c) for c in _NAMES])
 
 
+#: What changes of an event in the outbox; the rest is written once.
+STATE = {"status": "string", "lease_owner_run_id": "string", "lease_expires_at_utc": "timestamp", "last_attempt_at_utc": "timestamp", "attempt_count": "long", "sent_at_utc": "timestamp", "last_error": "string", "updated_at_utc": "timestamp"}
+#: Folders of the log after which it is folded into one.
+FOLDERS = 200
+
+
 class Outbox:
-    """Rows stay until they are sent: PENDING, then SENDING under a lease, then SENT; a lease that runs out can be taken over."""
+    """Rows stay until they are sent: PENDING, then SENDING under a lease, then SENT; a lease that runs out can be taken over.
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.table = spark, VersionedTable(spark, path, ["event_id"])
+    The table is a log: an event's own row, then one for each lease and outcome, and nothing is rewritten. What holds of an event is
+    what its own row says and the state in its last one. A version follows the one that its writer looked at, so two claimers
+    never share an event. Once the log has many folders it is folded: a row an event, without the payload of those that are sent.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, folders: int = FOLDERS) -> None:
+        self.spark, self.table, self.folders = spark, VersionedTable(spark, path, ["event_id"]), folders
 
     def put(self, events: DataFrame) -> int:
         """Takes events in that are not there yet, as JSON with the keys in order."""
         payload = F.to_json(F.struct(*[F.col(c) for c in sorted(_NAMES)]), {"ignoreNullFields": "false"})
-        nothing = {"lease_owner_run_id": "string", "lease_expires_at_utc": "timestamp", "last_attempt_at_utc": "timestamp", "sent_at_utc": "timestamp", "last_error": "string"}
+        state = {"status": F.lit(PENDING), "attempt_count": F.lit(0), "updated_at_utc": F.current_timestamp()}
         kept = ["event_id", "event_schema_version", "event_type", "publication_state", *SLOT, "observation_hash", "previous_event_id", "source_hash", "publisher_run_id", "poll_id"]
-        rows = events.select(*kept, payload.alias("event_payload"), F.lit(PENDING).alias("status"), F.lit(0).cast("long").alias("attempt_count"), *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()], F.current_timestamp().alias("created_at_utc"), F.current_timestamp().alias("updated_at_utc"))
-        return self.table.insert_only(rows)
+        return self.table.insert_only(events.select(*kept, payload.alias("event_payload"), *[state.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in STATE.items()], F.current_timestamp().alias("created_at_utc")))
+
+    def read(self, version: int | None = None, columns: list[str] | None = None) -> DataFrame:
+        """A row an event: what it is and how it stands; columns: only these of what it is."""
+        log = self.table.read(version, numbered="_version")
+        own = [c for c in columns or log.columns if c not in (*STATE, "event_id", "_version")]
+        folded = log.groupBy("event_id").agg(F.max_by(F.struct(*STATE), "_version").alias("s"), *[F.first(c, ignorenulls=True).alias(c) for c in own])
+        return folded.select("event_id", *own, "s.*")
 
     def _again(self, change: Callable[[int], object], tries: int = 8):
         """change(version), once more from the new version where another writer came first."""
@@ -69,20 +86,19 @@ class Outbox:
                     raise
 
     def claims(self, owner: str, most: int = 1, lease: str = "5 minutes", now: Column | None = None) -> list[tuple[str, str]]:
-        """Leases the oldest rows that wait or whose lease has run out, at most so many: (event_id, payload).
-
-        The version that names the lease follows the one that was looked at, so no row is leased twice.
-        """
+        """Leases the oldest rows that wait or whose lease has run out, at most so many: (event_id, payload)."""
         now = F.current_timestamp() if now is None else now
         free = (F.col("status") == PENDING) | ((F.col("status") == SENDING) & (F.col("lease_expires_at_utc") <= now))
 
         def lease_heads(version: int) -> list[tuple[str, str]]:
-            head = self.table.read(version).filter(free).orderBy("created_at_utc", "event_id").select("event_id", "event_payload").limit(most).collect()
-            if head:
-                self.table.update_where(F.col("event_id").isin([r.event_id for r in head]) & free, {
-                    "status": F.lit(SENDING), "lease_owner_run_id": F.lit(owner), "lease_expires_at_utc": now + F.expr(f"interval {lease}"), "last_attempt_at_utc": now, "attempt_count": F.col("attempt_count") + 1, "updated_at_utc": now,
-                }, version)
-            return [(r.event_id, r.event_payload) for r in head]
+            head = self.read(version, ["created_at_utc"]).filter(free).orderBy("created_at_utc", "event_id").limit(most).select("event_id", "attempt_count").collect()
+            if not head:
+                return []
+            state = {"status": F.lit(SENDING), "lease_owner_run_id": F.lit(owner), "lease_expires_at_utc": now + F.expr(f"interval {lease}"), "last_attempt_at_utc": now, "attempt_count": F.col("attempt_count") + 1, "updated_at_utc": now}
+            rows = self.spark.createDataFrame(head, "event_id string, attempt_count long").coalesce(1)
+            self.table.append(rows.select("event_id", *[state.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in STATE.items()]), version)
+            payloads = dict(self.table.read(version).filter(F.col("event_id").isin([r.event_id for r in head]) & F.col("event_payload").isNotNull()).select("event_id", "event_payload").collect())
+            return [(r.event_id, payloads[r.event_id]) for r in head]
 
         return self._again(lease_heads)
 
@@ -91,15 +107,29 @@ class Outbox:
         return next(iter(self.claims(owner, 1, lease, now)), None)
 
     def settle(self, owner: str, sent: list[str], failed: str | None = None, error: str = "", released: list[str] | None = None) -> None:
-        """Marks what an owner has sent, puts back what failed, with its error, and what it didn't try; one version for all."""
-        mine = F.col("event_id").isin([*sent, *(released or []), *([failed] if failed else [])]) & (F.col("status") == SENDING) & (F.col("lease_owner_run_id") == owner)
+        """Marks what an owner has sent, puts back what failed, with its error, and what it didn't try; one version for all.
+
+        What another owner has taken over since stays as that one has it.
+        """
+        wanted = [*sent, *(released or []), *([failed] if failed else [])]
+        mine = F.col("event_id").isin(wanted) & (F.col("status") == SENDING) & (F.col("lease_owner_run_id") == owner)
         done, broken = F.col("event_id").isin(sent), F.col("event_id") == F.lit(failed)
         values = {
             "status": F.when(done, SENT).otherwise(PENDING), "sent_at_utc": F.when(done, F.current_timestamp()).otherwise(F.col("sent_at_utc")),
             "last_error": F.when(broken, F.lit(error[:4000])).when(done, F.lit(None)).otherwise(F.col("last_error")),
             "lease_owner_run_id": F.lit(None), "lease_expires_at_utc": F.lit(None), "updated_at_utc": F.current_timestamp(),
         }
-        self._again(lambda version: self.table.update_where(mine, values, version))
+
+        def outcome(version: int) -> int:
+            rows = self.read(version, []).filter(mine).coalesce(1)  # a batch at most
+            return self.table.append(rows.select("event_id", *[values.get(c, F.col(c)).cast(kind).alias(c) for c, kind in STATE.items()]), version)
+
+        self._again(outcome)
+
+    def compact(self) -> int:
+        """The log as a row an event; payloads of sent events go."""
+        payload = F.when(F.col("status") != SENT, F.col("event_payload")).alias("event_payload")
+        return self._again(lambda version: self.table.compact(self.read(version).withColumn("event_payload", payload), version))
 
     def dispatch(self, send: Callable[[str, str], None], most: int = 100, owner: str | None = None, batch: int = 50) -> int:
         """Sends what waits, oldest first, leased in batches; a failure puts its row back and goes on to the caller."""
@@ -113,10 +143,12 @@ class Outbox:
                     raise
             self.settle(owner, [x for x, _ in claimed])
             done += len(claimed)
+            if len(self.table.manifest(self.table.version())["folders"]) > self.folders:
+                self.compact()
         return done
 
     def status(self) -> DataFrame:
-        return self.table.read().groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+        return self.read(columns=[]).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def gate(checkpoint_hash: str | None, source_hash: str) -> str:

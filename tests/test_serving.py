@@ -68,13 +68,13 @@ def test_investigations(spark):
         with pytest.raises(ValueError):
             evidence.investigate_hours(fact, *bad)
     current = spark.sql("select '2026-01-01' delivery_date, 1 delivery_hour, 1 `interval`, 5.0D zonal_price_capped_cad_per_mwh, 1.0D loss_price_capped_cad_per_mwh, 0.0D congestion_price_capped_cad_per_mwh")
-    rules = spark.sql("select 'RT-DQ-001' rule_id, 'WARN' criticality, 'WARN' outcome")
+    rules = spark.sql("select 'RT-DQ-001' rule_id, 'WARN' severity, 'WARN' status")
     metrics = current.withColumnRenamed("interval", "interval_no")
     out = evidence.investigate_event(current, rules, metrics, fact, "2026-01-01", 1, 1)
     assert (out["evidence"]["evidence_state"], out["evidence"]["reason_codes"]) == ("SUFFICIENT", ["EVIDENCE_COMPLETE"]) and len(out["result"]["hourly_demand_context"]) == 1
     said = lambda *a: (x := evidence.investigate_event(*a, fact, "2026-01-01", 1, 1)["evidence"])["evidence_state"] + " " + x["reason_codes"][0]
     assert said(current, rules, metrics.limit(0)) == "PARTIAL RT_METRICS_UNAVAILABLE"
-    assert said(current, spark.sql("select 'x' rule_id, 'FAIL' criticality, 'FAIL' outcome"), metrics) == "BLOCKED_BY_DQ CORE_RT_BLOCKED_BY_DQ"
+    assert said(current, spark.sql("select 'x' rule_id, 'FAIL' severity, 'FAIL' status"), metrics) == "BLOCKED_BY_DQ CORE_RT_BLOCKED_BY_DQ"
     assert said(current.withColumn("loss_price_capped_cad_per_mwh", F.lit(None).cast("double")), rules, metrics) == "INSUFFICIENT CORE_RT_INSUFFICIENT"
     assert evidence.investigate_event(current, rules, metrics, fact.limit(0), "2026-01-01", 1, 1)["evidence"]["reason_codes"] == ["HOURLY_DEMAND_CONTEXT_UNAVAILABLE"]
     with pytest.raises(ValueError):
@@ -93,7 +93,7 @@ def test_hours_need_both_measures_and_passed_rules(spark):
     assert [reason("2026-01-01", warned), reason("2026-01-01", failed), reason("2026-01-02", warned), reason("2026-01-04", warned)] == [["EVIDENCE_COMPLETE"], ["DQ_BLOCKING_FAILURE"], ["MISSING_REQUIRED_METRICS"], ["NO_PRIMARY_EVIDENCE"]]
     assert evidence.investigate_demand(fact, None, "2026-01-02", 5)["evidence"]["coverage"]["null_metric_rows"] == 23
     current = spark.sql("select '2026-01-01' delivery_date, 1 delivery_hour, 1 `interval`, 5.0D zonal_price_capped_cad_per_mwh, 1.0D loss_price_capped_cad_per_mwh, 0.0D congestion_price_capped_cad_per_mwh")
-    rules = spark.sql("select 'x' rule_id, 'FAIL' criticality, 'PASS' outcome")
+    rules = spark.sql("select 'x' rule_id, 'FAIL' severity, 'PASS' status")
     out = evidence.investigate_event(current, rules, current.withColumnRenamed("interval", "interval_no"), fact, "2026-01-01", 1, 1, results=failed)
     assert out["evidence"]["component_states"]["hourly_demand_context"] == "BLOCKED_BY_DQ" and out["evidence"]["evidence_state"] == "PARTIAL"
 
@@ -124,8 +124,8 @@ def test_outbox_and_stream(spark, tmp_path):
     outbox.publish(box, slots(spark), none, lineage)
     version = box.table.version()
     outbox.publish(box, slots(spark), none, lineage)  # the same decision again puts nothing in
-    assert box.table.version() == version and box.table.read().count() == 1
-    payload = json.loads(box.table.read().first().event_payload)
+    assert box.table.version() == version and box.read().count() == 1
+    payload = json.loads(box.read().first().event_payload)
     assert list(payload) == sorted(payload) and payload["zonal_price_capped_cad_per_mwh"] == 50.0 and payload["previous_event_id"] is None
 
     def broken(event, body):
@@ -133,13 +133,13 @@ def test_outbox_and_stream(spark, tmp_path):
 
     with pytest.raises(RuntimeError):
         box.dispatch(broken)
-    assert (box.table.read().first().status, box.table.read().first().last_error) == ("PENDING", "no line")
+    assert (box.read().first().status, box.read().first().last_error) == ("PENDING", "no line")
     claimed = box.claim("dead", now=F.lit("2020-01-01 00:00:00").cast("timestamp"))  # its lease has long run out
     assert claimed and box.claim("other", now=F.lit("2020-01-01 00:01:00").cast("timestamp")) is None
     landing, log = str(tmp_path / "landing"), str(tmp_path / "log")
     (tmp_path / "landing").mkdir()
     assert box.dispatch(outbox.folder_sender(spark, landing)) == 1
-    done = box.table.read().first()
+    done = box.read().first()
     assert (done.status, done.lease_owner_run_id, done.attempt_count) == ("SENT", None, 3) and done.sent_at_utc
     outbox.folder_sender(spark, landing)(done.event_id, done.event_payload)  # delivered twice
     outbox.stream_to_log(spark, landing, log, str(tmp_path / "cp")).awaitTermination()
@@ -150,9 +150,9 @@ def test_revision_then_withdrawal(spark, tmp_path):
     box = outbox.Outbox(spark, str(tmp_path / "box"))
     lineage = {"source_created_at_raw": "t1"}
     outbox.publish(box, slots(spark), spark.createDataFrame([], PUBLISHED), lineage)
-    published = box.table.read().select(*[c.split()[0] for c in PUBLISHED.split(", ")]).withColumn("delivery_date", F.to_date("delivery_date"))
+    published = box.read().select(*[c.split()[0] for c in PUBLISHED.split(", ")]).withColumn("delivery_date", F.to_date("delivery_date"))
     outbox.publish(box, slots(spark, None), published, {"source_created_at_raw": "t2"})
-    assert {(r.event_type, r.previous_event_id is None) for r in box.table.read().collect()} == {("RT_PRICE_OBSERVATION", True), ("RT_PRICE_INVALIDATION", False)}
+    assert {(r.event_type, r.previous_event_id is None) for r in box.read().collect()} == {("RT_PRICE_OBSERVATION", True), ("RT_PRICE_INVALIDATION", False)}
     assert [outbox.gate(None, "a"), outbox.gate("a", "a"), outbox.gate("a", "b")] == ["BOOTSTRAP", "UNCHANGED", "NEW_REVISION"]
 
 
@@ -175,7 +175,7 @@ def test_batches_are_leased_once_and_settled(spark, tmp_path):
     assert (len(first), len(second)) == (3, 2) and not {x for x, _ in first} & {x for x, _ in second}
     box.settle("one", [first[0][0]], first[1][0], "no line", [first[2][0]])
     box.settle("two", [x for x, _ in first])  # not its own
-    assert {(r.status, r.last_error, r.n) for r in box.table.read().groupBy("status", "last_error").agg(F.count("*").alias("n")).collect()} == {("SENT", None, 1), ("PENDING", "no line", 1), ("PENDING", None, 1), ("SENDING", None, 2)}
+    assert {(r.status, r.last_error, r.n) for r in box.read().groupBy("status", "last_error").agg(F.count("*").alias("n")).collect()} == {("SENT", None, 1), ("PENDING", "no line", 1), ("PENDING", None, 1), ("SENDING", None, 2)}
     versions = box.table.version()
     assert box.dispatch(lambda event, body: None) == 2 and box.table.version() == versions + 2
 

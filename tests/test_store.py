@@ -137,3 +137,95 @@ def test_failed_run_is_recorded_and_stops_the_chain(spark, tmp_path):
     assert [(r.status, r.error_message) for r in runs.table.read().collect()] == [("FAILED", "no")]
     said = run_in_order([("a", lambda: 1), ("b", lambda: 1 / 0), ("c", lambda: 1)])
     assert said["a"] == "SUCCESS" and said["b"].startswith("FAILED") and said["c"] == "SKIPPED"
+
+
+# -- what a lost or careless writer leaves
+
+
+def test_an_empty_manifest_locks_nobody_out(spark, store):
+    """A writer of another kind was lost between creating and writing a manifest."""
+    Path(store.path, "_manifest", "1.json").touch()
+    assert store.version() == 0 and store.merge(spark.createDataFrame([(1, 5, "x")], SCHEMA)) == 1
+    assert rows(store.read()) == [(1, 5, "x"), (2, 20, None)]
+
+
+def test_a_manifest_appears_whole(spark, store, monkeypatch):
+    """A writer that is lost before its manifest has its name leaves the version free."""
+    late = VersionedTable(spark, store.path, ["k"])
+    monkeypatch.setattr(late, "_put", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        late.merge(spark.createDataFrame([(1, 5, "lost")], SCHEMA))
+    assert store.version() == 0 and store.merge(spark.createDataFrame([(1, 6, "next")], SCHEMA)) == 1
+    assert rows(store.read())[0] == (1, 6, "next")
+
+
+def test_unknown_columns_are_refused_or_added(spark, store):
+    wide = spark.createDataFrame([(1, 10, "a", 7), (9, 90, None, 8)], SCHEMA + ", w int")
+    with pytest.raises(ConstraintViolation, match="unknown_columns: w"):
+        store.merge(wide)
+    with pytest.raises(ConstraintViolation, match="unknown_columns: w"):
+        store.append(wide)
+    store.append(spark.createDataFrame([(4, 40)], "k int, v int"))
+    store.merge(wide, evolve=True)
+    assert rows(store.read()) == [(1, 10, "a", 7), (2, 20, None, None), (4, 40, None, None), (9, 90, None, 8)]
+    assert {tuple(r) for r in store.changes(1).select("k", "w", "_change_type").collect()} == {(1, None, "update_preimage"), (1, 7, "update_postimage"), (9, 8, "insert")}
+    assert store.read(1).columns == ["k", "v", "note"]
+
+
+def test_a_key_that_the_table_has_twice_is_not_updated(spark, store):
+    store.append(spark.createDataFrame([(1, 11, "again")], SCHEMA))
+    with pytest.raises(ConstraintViolation, match="duplicate_key_in_table"):
+        store.merge(spark.createDataFrame([(1, 12, "x")], SCHEMA))
+    assert store.version() == 1 and store.merge(spark.createDataFrame([(2, 21, "y")], SCHEMA)) == 2  # other keys can be
+
+
+def test_compaction_changes_no_row(spark, store):
+    for k in range(3):
+        store.append(spark.createDataFrame([(10 + k, k, "x")], SCHEMA))
+    before = rows(store.read())
+    store.compact()
+    assert rows(store.read()) == before and len(store.manifest(4)["folders"]) == 1 and store.changes(3).count() == 0
+
+
+# -- partitions
+
+
+@pytest.fixture
+def days(spark, tmp_path):
+    out = VersionedTable(spark, str(tmp_path / "days"), ["day", "k"], partition="day")
+    out.create(spark.range(3000).select(F.expr("date_add(date'2026-01-01', cast(id % 30 as int))").alias("day"), F.col("id").cast("int").alias("k"), F.lit("x" * 50).alias("note")))
+    return out
+
+
+def test_a_merge_of_one_day_writes_one_days_bytes(spark, days):
+    whole = sum(size for _, size in days.files(days.manifest(0)["folders"]))
+    day = days.read().filter("day = date'2026-01-05'")
+    days.merge(day.limit(10).withColumn("note", F.lit("new")))
+    written = sum(size for _, size in days.files(days.manifest(1)["written"]))
+    assert len(days.manifest(1)["written"]) == 1 and len(days.manifest(1)["folders"]) == 30 and written < whole / 10
+    assert set(days.manifest(1)["folders"]) & set(days.manifest(0)["folders"]) == set(days.manifest(0)["folders"]) - {f for f in days.manifest(0)["folders"] if "2026-01-05" in f}
+    assert days.read().count() == 3000 and days.read().filter("note = 'new'").count() == 10 and days.changes(0).count() == 20
+    assert days.read(parts=["2026-01-05"]).count() == 100 and days.parts()[4] == "2026-01-05"
+
+
+def test_parts_of_any_value(spark, tmp_path):
+    """New, missing and odd values; a part whose rows all go; an empty table."""
+    table = VersionedTable(spark, str(tmp_path / "odd"), ["p", "k"], required=["k"], partition="p")
+    table.create(spark.createDataFrame([], "p string, k int, v int"))
+    assert table.read().count() == 0
+    table.merge(spark.createDataFrame([("a/b=c %é", 1, 1), (None, 2, 2), ("", 3, 3)], "p string, k int, v int"))
+    table.merge(spark.createDataFrame([("a/b=c %é", 1, 5), ("new", 4, 4)], "p string, k int, v int"))
+    assert sorted(rows(table.read().select("k", "v"))) == [(1, 5), (2, 2), (3, 3), (4, 4)]
+    table.delete_where(F.col("k") == 4)
+    assert sorted(r.k for r in table.read().collect()) == [1, 2, 3] and table.insert_only(spark.createDataFrame([("new", 4, 9), ("a/b=c %é", 1, 0)], "p string, k int, v int")) == 4
+    assert rows(table.changes(3).select("k", "v", "_change_type", "_version")) == [(4, 9, "insert", 4)]
+    with pytest.raises(ValueError, match="one of the keys"):
+        VersionedTable(spark, "x", ["k"], partition="p")
+
+
+def test_changes_are_one_scan(spark, days):
+    for k in range(3):
+        days.merge(spark.createDataFrame([(k, f"n{k}")], "k int, note string").select(F.expr("date'2026-01-01' + k").alias("day"), "k", "note"))
+    plan = days.changes(-1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    assert rows(days.changes(0).groupBy("_version").count()) == [(1, 2), (2, 2), (3, 2)]
