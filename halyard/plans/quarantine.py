@@ -16,12 +16,13 @@ HELD, RELEASED = "HELD", "RELEASED"
 class Quarantine:
     """What a contract's dataset holds back. A row is known by the hash of its raw columns, so holding it again adds nothing."""
 
-    def __init__(self, spark: SparkSession, path: str, contract: Contract) -> None:
-        self.spark, self.contract, self.table = spark, contract, VersionedTable(spark, path, ["payload_hash"])
+    def __init__(self, spark: SparkSession, path: str, contract: Contract, beside: list[str] | None = None) -> None:
+        """beside: columns besides the raw ones that tell rows apart; they are kept as text."""
+        self.spark, self.contract, self.table, self.beside = spark, contract, VersionedTable(spark, path, ["payload_hash"]), beside or []
         self.raw = [raw for raw, _ in contract.typing().values()]
 
     def _hashed(self, rows: DataFrame) -> DataFrame:
-        said = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in self.raw]), {"ignoreNullFields": "false"})
+        said = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in [*self.beside, *self.raw]]), {"ignoreNullFields": "false"})
         return rows.withColumn("payload_hash", F.sha2(said, 256))
 
     def _split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,7 +31,7 @@ class Quarantine:
     def _held(self, bad: DataFrame, run_id: str) -> DataFrame:
         """Rows as the table has them; equal rows are one."""
         row = F.map_from_arrays(F.array(*[F.lit(c) for c in self.raw]), F.array(*[F.col(c).cast("string") for c in self.raw]))
-        rows = bad.select("payload_hash", F.lit(self.contract.dataset).alias("dataset_name"), F.lit(run_id).alias("run_id"), F.col("_rules").alias("rules"), row.alias("row"), F.lit(HELD).alias("state"))
+        rows = bad.select("payload_hash", F.lit(self.contract.dataset).alias("dataset_name"), F.lit(run_id).alias("run_id"), F.col("_rules").alias("rules"), row.alias("row"), F.lit(HELD).alias("state"), *[F.col(c).cast("string").alias(c) for c in self.beside])
         first = rows.groupBy("payload_hash").agg(F.first(F.struct(*rows.columns[1:])).alias("r"))
         return first.select("payload_hash", "r.*").withColumn("changed_at_utc", F.current_timestamp())
 

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from halyard import market_queries  # noqa: F401  registers its queries
+from halyard import market_queries, upkeep_queries  # noqa: F401  they register their queries
 from halyard.queries import ORACLE_SQL, QUERIES
 
 TABLES = "/root/testdata/sf0.001"
@@ -39,6 +39,7 @@ def test_same_as_sql(spark, duck, name):
     assert sorted(names) == columns
     theirs = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=str)
     assert ours == theirs
+    assert ours, "a query without rows shows nothing"
 
 
 def test_every_query_has_sql():
