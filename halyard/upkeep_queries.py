@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.market_queries import _CHANGES, _DEMAND_RULES, _EVENTS, _TYPED, DEMAND, MONEY, _folder, _log, _metrics_sql, _raw, _six
+from halyard.functions.sketches import QUARTILES, DailyProfiles
 from halyard.operators import realtime, upkeep
 from halyard.plans.quarantine import Quarantine
 from halyard.plans.store import VersionedTable
@@ -175,3 +176,47 @@ def quarantine_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     if target.read().count() != said["admitted"] + released:
         raise RuntimeError("what was released is not in the target")
     return states.unionByName(admitted)
+
+
+# -- profiles of days
+
+
+def _profiles(spark: SparkSession, sf_dir: str, name: str) -> DailyProfiles:
+    """The events' days, sketched in two parts, and a third time for the days of the second."""
+    events, day = table(spark, sf_dir, "events"), F.to_date("ts")
+    out = DailyProfiles(spark, _folder(spark, name), ["value", "user_id"], ["user_id", "event_id"], ["event_type"])
+    days = sorted(r[0] for r in events.select(day.cast("string")).distinct().collect())  # a row a day
+    out.update(events.withColumn("value", F.col("value") + 1), day)
+    out.update(events, day, days[: len(days) // 2])
+    out.update(events, day, days[len(days) // 2 :])
+    return out
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS stddev, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, true AS quartiles_hold FROM events" for c in ("value", "user_id")))
+def describe_by_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """describe with quartiles from the days' sketches; quartiles hold if they lie between the exact quantiles one per cent below and above."""
+    said = _profiles(spark, sf_dir, "described").described()
+    near = [F.lit(p + e) for p in QUARTILES.values() for e in (-0.01, 0.01)]
+    events = table(spark, sf_dir, "events")
+    exact = events.agg(*[F.percentile(c, F.array(*near)).alias(c) for c in ("value", "user_id")]).unpivot([], ["value", "user_id"], "column_name", "p")
+    both = said.join(F.broadcast(exact), "column_name")  # a row a column
+    hold = [(F.col("p")[2 * k] <= F.col(q)) & (F.col(q) <= F.col("p")[2 * k + 1]) for k, q in enumerate(QUARTILES)]
+    return _six(both.select("column_name", "n", "mean", "stddev", "min", "max", (hold[0] & hold[1] & hold[2]).alias("quartiles_hold")))
+
+
+@query("""
+SELECT 'user_id' AS column_name, count(DISTINCT user_id) AS n_exact, true AS within FROM events UNION ALL SELECT 'event_id', count(DISTINCT event_id), true FROM events
+UNION ALL SELECT 'user_id, a week', count(DISTINCT user_id), true FROM events WHERE CAST(ts AS DATE) BETWEEN (SELECT min(CAST(ts AS DATE)) FROM events) AND (SELECT min(CAST(ts AS DATE)) + 6 FROM events)""")
+def distinct_by_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct counts from the days' sketches, and whether they are within three per cent of the exact ones."""
+    profiles, events = _profiles(spark, sf_dir, "distinct"), table(spark, sf_dir, "events")
+    since = events.agg(F.to_date(F.min("ts")).alias("d")).select(F.col("d").cast("string"), F.date_add("d", 6).cast("string")).first()
+    week = profiles.distinct(*since).filter("column_name = 'user_id'").withColumn("column_name", F.lit("user_id, a week"))
+    exact = events.agg(F.count_distinct("user_id").alias("user_id"), F.count_distinct("event_id").alias("event_id"), F.count_distinct(F.when(F.to_date("ts").between(*since), F.col("user_id"))).alias("user_id, a week"))
+    rows = exact.unpivot([], exact.columns, "column_name", "n_exact").join(profiles.distinct().unionByName(week), "column_name")
+    return rows.select("column_name", "n_exact", (F.abs(F.col("n_distinct") - F.col("n_exact")) <= F.greatest(F.col("n_exact") * 0.03, F.lit(1.0))).alias("within"))
+
+
+@query("SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, 1 LIMIT 3")
+def frequent_by_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profiles(spark, sf_dir, "frequent").frequent("event_type", 3)
