@@ -653,15 +653,26 @@ def investigate_demand_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_DEMAND}, c AS (SELECT min(hour_ending) AS h FROM demand WHERE market_date = {_FIRST})
-SELECT 'hour' AS scope, 'BLOCKED_BY_DQ' AS evidence_state, 'DQ_BLOCKING_FAILURE' AS reason UNION ALL SELECT 'day before', 'INSUFFICIENT', 'NO_PRIMARY_EVIDENCE'""")
+WITH {_DEMAND}, {_TYPED}, h AS (SELECT min(hour_ending) AS h FROM demand WHERE market_date = {_FIRST}), bad AS (SELECT {' OR '.join(f"count_if({hit}) > 0" for rule, (worst, hit) in _DEMAND_RULES.items() if worst == 'FAIL')} AS fails FROM typed),
+facts AS (
+  SELECT 'rules of the raw rows' AS scope, count(*) AS n, true AS usable, (SELECT fails FROM bad) AS blocked FROM demand, h WHERE market_date = {_FIRST} AND hour_ending = h
+  UNION ALL SELECT 'rules of the fact', count(*), true, false FROM demand, h WHERE market_date = {_FIRST} AND hour_ending = h
+  UNION ALL SELECT 'a measure short', count(*), false, false FROM demand, h WHERE market_date = {_FIRST} AND hour_ending = h
+  UNION ALL SELECT 'another day', count(*), true, false FROM demand WHERE market_date = DATE '1900-01-01')
+SELECT scope, n AS rows, CASE WHEN n = 0 OR NOT usable THEN 'INSUFFICIENT' WHEN blocked THEN 'BLOCKED_BY_DQ' WHEN n = 1 THEN 'SUFFICIENT' ELSE 'PARTIAL' END AS evidence_state,
+  CASE WHEN n = 0 THEN 'NO_PRIMARY_EVIDENCE' WHEN NOT usable THEN 'MISSING_REQUIRED_METRICS' WHEN blocked THEN 'DQ_BLOCKING_FAILURE' WHEN n = 1 THEN 'EVIDENCE_COMPLETE' ELSE 'INCOMPLETE_COVERAGE' END AS reason FROM facts""")
 def investigate_demand_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An hour that is there while a rule of its dataset fails, and a day without any row."""
+    """An hour under results of rules that fail on the raw rows, under those of the fact, of a fact that lacks a measure, and a day without any row."""
     fact, day = _demand(spark, sf_dir), _day(spark, sf_dir)
-    failed = _results(spark, sf_dir).limit(1).withColumns({"dataset_name": F.lit(evidence.DATASET), "severity": F.lit("FAIL")})
+    results = lambda rows: quality.result_rows(spark, quality.evaluate(rows, DEMAND), "r", DEMAND).withColumn("dataset_name", F.lit(evidence.DATASET))
     hour = fact.filter(F.col("market_date") == day).agg(F.min("hour_ending")).first()[0]
-    said = lambda name, df: df.select(F.lit(name).alias("scope"), "evidence_state", F.col("reason_codes")[0].alias("reason"))
-    return said("hour", evidence.investigate_hours(fact, day, hour, failed)).unionByName(said("day before", evidence.investigate_hours(fact, "1900-01-01", None, failed)))
+    said = lambda name, df: df.select(F.lit(name).alias("scope"), "rows", "evidence_state", F.col("reason_codes")[0].alias("reason"))
+    good = results(fact)
+    scopes = {
+        "rules of the raw rows": evidence.investigate_hours(fact, day, hour, results(_typed(spark, sf_dir))), "rules of the fact": evidence.investigate_hours(fact, day, hour, good),
+        "a measure short": evidence.investigate_hours(fact.drop("market_demand_mw"), day, hour, good), "another day": evidence.investigate_hours(fact, "1900-01-01", 1, good),
+    }
+    return reduce(DataFrame.unionByName, [said(name, df) for name, df in scopes.items()])
 
 
 @query(f"""
@@ -675,16 +686,46 @@ def investigate_price_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("rows", "evidence_state", F.col("reason_codes")[0].alias("reason"), "blocking_dq_failure", "nonblocking_dq_warning")
 
 
-@query("SELECT 'BLOCKED_BY_DQ' AS evidence_state, 'CORE_RT_BLOCKED_BY_DQ' AS reason, 'BLOCKED_BY_DQ' AS realtime_price, 'SUFFICIENT' AS realtime_metrics, CAST(1 AS BIGINT) AS prices, CAST(1 AS BIGINT) AS metrics")
+_CLEAN = """clean AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY delivery_date, delivery_hour, interval_no ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) AS rn FROM log WHERE event_type <> 'error' AND event_id % 11 <> 0 AND event_id % 7 <> 0) WHERE rn = 1),
+failing AS (SELECT count_if(source_hash = '') + count_if(event_type = 'error' AND state = 'ELIGIBLE') + count_if(event_type <> 'error' AND (price IS NULL OR loss IS NULL)) + count_if(event_type = 'error' AND event_id % 2 <> 0) AS n FROM log)"""
+
+
+@query(f"""
+WITH {_EVENTS}, {_DEMAND}, {_CLEAN}, asked AS (SELECT delivery_date, delivery_hour, interval_no FROM clean c JOIN demand d ON CAST(c.delivery_date AS DATE) = d.market_date AND c.delivery_hour = d.hour_ending ORDER BY slot LIMIT 1),
+anywhere AS (SELECT delivery_date, delivery_hour, interval_no FROM current_state WHERE price IS NOT NULL AND loss IS NOT NULL ORDER BY slot LIMIT 1), counts AS (
+  SELECT (SELECT count(*) FROM clean JOIN asked USING (delivery_date, delivery_hour, interval_no)) AS prices, (SELECT count(*) FROM demand d JOIN asked a ON d.market_date = CAST(a.delivery_date AS DATE) AND d.hour_ending = a.delivery_hour) AS demands,
+         (SELECT count(*) FROM current_state JOIN anywhere USING (delivery_date, delivery_hour, interval_no)) AS blocked_prices, (SELECT count(*) FROM demand d JOIN anywhere a ON d.market_date = CAST(a.delivery_date AS DATE) AND d.hour_ending = a.delivery_hour) AS blocked_demands, (SELECT n > 0 FROM failing) AS fails),
+scenes AS (SELECT 'sufficient' AS scene, prices, prices AS metrics, demands, false AS fails FROM counts UNION ALL SELECT 'no demand', prices, prices, 0, false FROM counts UNION ALL SELECT 'no metrics', prices, 0, demands, false FROM counts
+  UNION ALL SELECT 'no such slot', 0, 0, 0, false FROM counts UNION ALL SELECT 'blocked', blocked_prices, blocked_prices, blocked_demands, fails FROM counts)
+SELECT scene, prices, metrics, demands, CASE WHEN prices = 0 THEN 'INSUFFICIENT' WHEN fails THEN 'BLOCKED_BY_DQ' ELSE 'SUFFICIENT' END AS realtime_price,
+  CASE WHEN prices = 0 THEN 'INSUFFICIENT' WHEN fails THEN 'BLOCKED_BY_DQ' WHEN metrics <> 1 OR demands <> 1 THEN 'PARTIAL' ELSE 'SUFFICIENT' END AS evidence_state,
+  CASE WHEN fails AND prices > 0 THEN 'CORE_RT_BLOCKED_BY_DQ' WHEN prices = 0 THEN 'CORE_RT_INSUFFICIENT' WHEN metrics <> 1 THEN 'RT_METRICS_UNAVAILABLE' WHEN demands <> 1 THEN 'HOURLY_DEMAND_CONTEXT_UNAVAILABLE' ELSE 'EVIDENCE_COMPLETE' END AS reason FROM scenes""")
 def investigate_market_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The composite answer for the first slot that has all prices, while critical rules of the log fail."""
-    log = _log(spark, sf_dir)
-    current = realtime.price_current(log)
-    key = current.filter(" AND ".join(f"{p} IS NOT NULL" for p in PRICES)).orderBy("delivery_date", "delivery_hour", "interval").select(*realtime.KEY).first()
-    said = evidence.investigate_event(current, realtime.dq_summary(log), realtime.price_market_metrics(log), _demand(spark, sf_dir), *key, results=_results(spark, sf_dir))
-    e, r = said["evidence"], said["result"]
-    row = (e["evidence_state"], e["reason_codes"][0], e["component_states"]["realtime_price"], e["component_states"]["realtime_metrics"], len(r["realtime_price"]), len(r["realtime_metrics"]))
-    return spark.createDataFrame([row], "evidence_state string, reason string, realtime_price string, realtime_metrics string, prices long, metrics long")
+    """The composite answer in each of its branches: over the log as it is, whose rules fail, and over the deliveries that break none."""
+    base, log, demand = _folder(spark, "investigated"), _log(spark, sf_dir), _demand(spark, sf_dir)
+    k = F.col("event_id").cast("long")
+    sides = {"log": log, "clean": log.filter((F.col("event_type") == series.OBSERVATION) & (k % 11 != 0) & (k % 7 != 0))}
+    made = {}
+    for name, side in sides.items():
+        for what, rows in (("current", realtime.price_current(side)), ("rules", realtime.dq_summary(side)), ("metrics", realtime.price_market_metrics(side))):
+            rows.write.parquet(f"{base}/{name}/{what}")
+        made[name] = tuple(spark.read.parquet(f"{base}/{name}/{what}") for what in ("current", "rules", "metrics"))
+    first = lambda rows: rows.orderBy(*realtime.KEY).select(*realtime.KEY).first()
+    whole, clean = made["log"], made["clean"]
+    anywhere = first(whole[0].filter(" AND ".join(f"{p} IS NOT NULL" for p in PRICES)))
+    hours = demand.select(F.col("market_date").cast("string").alias("delivery_date"), F.col("hour_ending").alias("delivery_hour"))
+    asked = first(clean[0].join(hours, ["delivery_date", "delivery_hour"], "left_semi"))
+    there = (F.col("market_date") == F.lit(asked.delivery_date).cast("date")) & (F.col("hour_ending") == asked.delivery_hour)
+    scenes = {
+        "sufficient": (*clean, demand, *asked), "no demand": (*clean, demand.filter(~there), *asked), "no metrics": (*clean[:2], clean[2].limit(0), demand, *asked),
+        "no such slot": (*clean, demand, "1900-01-01", 1, 1), "blocked": (*whole, demand, *anywhere),
+    }
+    out = []
+    for scene, given in scenes.items():
+        said = evidence.investigate_event(*given)
+        e, r = said["evidence"], said["result"]
+        out.append((scene, len(r["realtime_price"]), len(r["realtime_metrics"]), len(r["hourly_demand_context"]), e["component_states"]["realtime_price"], e["evidence_state"], e["reason_codes"][0]))
+    return spark.createDataFrame(out, "scene string, prices long, metrics long, demands long, realtime_price string, evidence_state string, reason string")
 
 
 @query("""

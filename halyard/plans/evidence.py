@@ -62,12 +62,11 @@ def investigate_hours(fact: DataFrame, date: str, hour: int | None = None, resul
     """One row: coverage of the day, state and reasons for the day (24 distinct hours) or an hour (one row).
 
     results: of data quality (RESULT); the dataset's latest ones block if one of them is FAIL. Without results nothing is
-    known to block. Those of values that the fact has must be there in every row that is asked for.
+    known to block. All of values must be there in every row that is asked for; a fact that lacks one of them has it in none.
     """
     day = checked_date(date)
     checked_number(hour, 1, 24, "hour", optional=True)
-    needed = [c for c in values if c in fact.columns]
-    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in needed])
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() if c in fact.columns else F.lit(True) for c in values])
     asked = F.lit(True) if hour is None else F.col(hour_col) == hour
     found = lookup(fact, {day_col: day}).agg(
         F.count(F.lit(1)).alias("row_count"), F.count_distinct(hour_col).alias("distinct_hour_count"), F.min(hour_col).alias("min_hour"), F.max(hour_col).alias("max_hour"), F.count_if(missing).alias("null_metric_rows"),

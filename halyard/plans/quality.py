@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -140,6 +141,41 @@ def freshness(df: DataFrame, day: str, parts: list[str], expected: int, created:
     return last.select(F.col(f"l.{day}").alias("latest_day"), *[F.col(f"l.{p}").alias(f"latest_{p}") for p in parts], F.col("l.n").alias("latest_day_rows"), F.lit(expected).cast("long").alias("expected_rows"), (F.col("l.n") >= expected).alias("is_complete"), "last_created", "last_ingested")
 
 
+@dataclass(frozen=True)
+class Freshness:
+    """What a source's freshness is judged by: its rows, their day, the minutes of that day which a row reaches, the rows of a whole day, and
+    how many minutes apart the source gives new ones; columns of when rows were made and taken in."""
+
+    rows: DataFrame
+    day: str
+    reaches: Column
+    expected: int
+    cadence: int
+    created: str | None = None
+    ingested: str | None = None
+
+
+def freshness_by_source(sources: dict[str, Freshness], now: Column | None = None, patience: int = 2) -> DataFrame:
+    """A row a source: source_name, latest_day, latest_day_rows, expected_rows, is_complete, reached_at, lag_minutes, cadence_minutes, is_late, last_created, last_ingested.
+
+    A source is late when what it has ends more than patience times its cadence before now, or has nothing; the latest day alone says
+    neither that nor whether that day is whole.
+    """
+    now = F.current_timestamp() if now is None else now
+    text = lambda c: (F.max(c) if c else F.max(F.lit(None).cast("string"))).cast("string")
+    out = []
+    for name, s in sources.items():
+        days = s.rows.filter(F.col(s.day).isNotNull()).groupBy(F.col(s.day).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.max(s.reaches).alias("m"), text(s.created).alias("c"), text(s.ingested).alias("i"))
+        last = days.agg(F.max_by(F.struct("day", "n", "m"), "day").alias("l"), F.max("c").alias("last_created"), F.max("i").alias("last_ingested"))
+        at = F.unix_seconds(F.col("l.day").cast("timestamp")) + F.col("l.m").cast("long") * 60
+        row = last.select(
+            F.lit(name).alias("source_name"), F.col("l.day").alias("latest_day"), F.col("l.n").alias("latest_day_rows"), F.lit(s.expected).cast("long").alias("expected_rows"), F.coalesce(F.col("l.n") >= s.expected, F.lit(False)).alias("is_complete"),
+            F.timestamp_seconds(at).alias("reached_at"), F.floor((F.unix_seconds(now) - at) / 60).cast("long").alias("lag_minutes"), F.lit(s.cadence).cast("long").alias("cadence_minutes"), "last_created", "last_ingested",
+        )
+        out.append(row.withColumn("is_late", F.coalesce(F.col("lag_minutes") > s.cadence * patience, F.lit(True))))
+    return reduce(DataFrame.unionByName, out)
+
+
 def average_differences(slots: DataFrame, prices: list[str], reported: DataFrame, keys: list[str]) -> DataFrame:
     """keys, and for each price the reported average, that of the fully populated slots at two digits, and reported less calculated."""
     whole = slots.filter(population_state(prices) == "FULLY_POPULATED").groupBy(*keys).agg(*[F.round(F.avg(p), 2).alias(f"calculated_{p}") for p in prices])

@@ -8,9 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.market_queries import _CHANGES, _DEMAND_RULES, _EVENTS, _TYPED, DEMAND, MONEY, _folder, _log, _metrics_sql, _raw, _six
+from halyard.market_queries import _CHANGES, _DAY_AHEAD, _DEMAND, _DEMAND_RULES, _EVENTS, _GENERATION, _REALTIME, _TYPED, DEMAND, MONEY, _day_ahead, _demand, _folder, _generation, _log, _metrics_sql, _plain, _raw, _realtime, _rules_sql, _said, _six, _typed
 from halyard.functions.sketches import QUARTILES, DailyProfiles
+from halyard.functions.typing import typed
 from halyard.operators import realtime, upkeep
+from halyard.plans import quality
+from halyard.plans.contracts import CONTRACTS
 from halyard.plans.quarantine import Quarantine
 from halyard.plans.store import VersionedTable
 from halyard.queries import query
@@ -220,3 +223,74 @@ def distinct_by_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, 1 LIMIT 3")
 def frequent_by_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profiles(spark, sf_dir, "frequent").frequent("event_type", 3)
+
+
+# -- freshness, and rules over raw strings
+
+_FRESH = {"demand": ("demand", "market_date", "hour_ending * 60", 24, 60), "generation": ("generation", "market_date", "hour_ending * 60", 72, 60), "zonal_demand": ("demand", "market_date", "hour_ending * 60", 240, 60), "day_ahead_price": ("day_ahead", "market_date", "hour_ending * 60", 24, 1440), "realtime_price": ("realtime", "delivery_date", "(delivery_hour - 1) * 60 + interval_no * 5", 288, 5)}
+_NOW = "(SELECT max(CAST(o_orderdate AS TIMESTAMP)) + INTERVAL 30 HOUR FROM orders)"
+
+
+@query(f"WITH {_DEMAND}, {_GENERATION}, {_DAY_AHEAD}, {_REALTIME} " + " UNION ALL ".join(
+    f"""SELECT '{name}' AS source_name, CAST(max({day}) AS VARCHAR) AS latest_day, CAST(count(*) AS BIGINT) AS latest_day_rows, CAST({expected} AS BIGINT) AS expected_rows, count(*) >= {expected} AS is_complete, strftime(max({day})::TIMESTAMP + to_minutes(CAST(max({reaches}) AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS reached_at,
+  CAST(epoch({_NOW} - (max({day})::TIMESTAMP + to_minutes(CAST(max({reaches}) AS BIGINT)))) // 60 AS BIGINT) AS lag_minutes, CAST({cadence} AS BIGINT) AS cadence_minutes, epoch({_NOW} - (max({day})::TIMESTAMP + to_minutes(CAST(max({reaches}) AS BIGINT)))) // 60 > 2 * {cadence} AS is_late,
+  CAST(max({day}) AS VARCHAR) AS last_created, CAST(max({day}) + 1 AS VARCHAR) AS last_ingested FROM {relation} WHERE {day} = (SELECT max({day}) FROM {relation})"""
+    for name, (relation, day, reaches, expected, cadence) in _FRESH.items()
+))
+def dq_freshness_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five sources at one time, thirty hours after the last order's day began."""
+    made = {"demand": _demand, "generation": _generation, "day_ahead": _day_ahead, "realtime": lambda *a: _realtime(*a).withColumnRenamed("interval", "interval_no")}
+    sources = {}
+    for name, (relation, day, reaches, expected, cadence) in _FRESH.items():
+        rows = made[relation](spark, sf_dir).withColumns({"_made": F.col(day).cast("string"), "_taken": F.date_add(day, 1).cast("string")})
+        sources[name] = quality.Freshness(rows, day, F.expr(reaches), expected, cadence, "_made", "_taken")
+    now = table(spark, sf_dir, "orders").agg(F.max("o_orderdate").cast("timestamp")).first()[0]
+    return _plain(quality.freshness_by_source(sources, F.lit(now) + F.expr("INTERVAL 30 HOURS")))
+
+
+_ZONAL_RAW = """zonal AS (SELECT CASE WHEN l_orderkey % 101 <> 0 THEN CAST(l_shipdate AS DATE) END AS market_date, CAST(l_orderkey % 26 AS INT) AS hour_ending, CASE WHEN l_linenumber <> 6 THEN l_returnflag END AS zone, CASE WHEN l_orderkey % 89 <> 0 THEN CAST(l_quantity - 5 AS DECIMAL(18,3)) END AS zonal_demand_mw FROM lineitem)"""
+_ZONAL_RULES = {
+    "business_key_not_null": ("FAIL", "market_date IS NULL OR hour_ending IS NULL OR zone IS NULL"), "hour_ending_domain": ("FAIL", "hour_ending NOT BETWEEN 1 AND 24"), "zonal_demand_mw_present": ("FAIL", "zonal_demand_mw IS NULL"),
+    "zonal_demand_mw_null": ("PASS", "zonal_demand_mw IS NULL"), "zonal_demand_mw_negative": ("PASS", "zonal_demand_mw < 0"),
+}
+
+
+@query(f"WITH {_ZONAL_RAW} {_rules_sql('zonal', _ZONAL_RULES, 'market_date, hour_ending, zone')}")
+def dq_zonal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zonal contract over lineitems: missing keys and values, hours out of their domain, zones that come twice in an hour."""
+    k = F.col("l_orderkey")
+    rows = table(spark, sf_dir, "lineitem").select(F.when(k % 101 != 0, F.to_date("l_shipdate")).alias("market_date"), (k % 26).cast("int").alias("hour_ending"), F.when(F.col("l_linenumber") != 6, F.col("l_returnflag")).alias("zone"), F.when(k % 89 != 0, F.col("l_quantity") - 5).cast("decimal(18,3)").alias("zonal_demand_mw"))
+    return _said(quality.evaluate(rows, CONTRACTS["zonal_demand_hourly"]))
+
+
+_GENERATION_RAW = """raw AS (SELECT CASE WHEN l_orderkey % 101 = 0 THEN 'soon' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS date_raw, CAST(l_orderkey % 26 AS VARCHAR) AS hour_raw, l_returnflag AS fuel_type_raw, CASE WHEN l_orderkey % 97 = 0 THEN 'N/A' WHEN l_linenumber = 3 THEN ' ' ELSE CAST(CAST(l_quantity AS DECIMAL(18,3)) AS VARCHAR) END AS output_raw,
+  CASE WHEN l_orderkey % 83 = 0 THEN '' WHEN l_orderkey % 79 = 0 THEN 'x' ELSE CAST(l_linenumber AS VARCHAR) END AS output_quality_raw FROM lineitem), generation AS (SELECT *, TRY_CAST(date_raw AS DATE) AS market_date, TRY_CAST(hour_raw AS INT) AS hour_ending, TRY_CAST(nullif(trim(output_raw), '') AS DECIMAL(18,3)) AS output_mwh, TRY_CAST(nullif(output_quality_raw, '') AS INT) AS output_quality_code FROM raw)"""
+_GENERATION_RULES = {
+    "business_key_not_null": ("FAIL", "market_date IS NULL OR hour_ending IS NULL OR fuel_type_raw IS NULL"), "hour_ending_domain": ("FAIL", "hour_ending NOT BETWEEN 1 AND 24"), "market_date_parses": ("FAIL", "market_date IS NULL"), "hour_ending_parses": ("FAIL", "hour_ending IS NULL"),
+    "output_mwh_numeric": ("FAIL", "trim(output_raw) <> '' AND output_mwh IS NULL"), "output_quality_code_numeric": ("FAIL", "output_quality_raw <> '' AND output_quality_code IS NULL"), "output_quality_code_present": ("FAIL", "output_quality_raw = ''"),
+    "output_mwh_null": ("PASS", "output_mwh IS NULL"), "output_mwh_negative": ("PASS", "output_mwh < 0"),
+}
+
+
+@query(f"WITH {_GENERATION_RAW} {_rules_sql('generation', _GENERATION_RULES, 'market_date, hour_ending, fuel_type_raw')}")
+def dq_generation_raw_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generation contract over raw strings: an empty output is permitted, one that is there must be a number."""
+    k = F.col("l_orderkey")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.when(k % 101 == 0, "soon").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("date_raw"), (k % 26).cast("string").alias("hour_raw"), F.col("l_returnflag").alias("fuel_type_raw"),
+        F.when(k % 97 == 0, "N/A").when(F.col("l_linenumber") == 3, " ").otherwise(F.col("l_quantity").cast("decimal(18,3)").cast("string")).alias("output_raw"), F.when(k % 83 == 0, "").when(k % 79 == 0, "x").otherwise(F.col("l_linenumber").cast("string")).alias("output_quality_raw"),
+    )
+    contract = CONTRACTS["generation_hourly"]
+    return _said(quality.evaluate(typed(rows, contract.typing()), contract))
+
+
+@query(f"""
+WITH {_TYPED}, now AS (SELECT * FROM typed WHERE k % 5 <> 0), first AS ({_rules_sql('typed', _DEMAND_RULES, 'market_date, hour_ending')}), second AS ({_rules_sql('now', _DEMAND_RULES, 'market_date, hour_ending')})
+SELECT run_id, rule_id, severity, records_checked, CASE WHEN worst <> 'PASS' THEN records_failed END AS records_failed, CAST(records_failed AS VARCHAR) AS observed_value FROM (SELECT 'again' AS run_id, * FROM second UNION ALL SELECT 'once', * FROM first)
+JOIN (VALUES ('duplicate_business_key', 'FAIL'), {', '.join(f"('{rule}', '{worst}')" for rule, (worst, _) in _DEMAND_RULES.items())}) w(rule_id, worst) USING (rule_id)""")
+def dq_results_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of two runs; the second is evaluated twice, the later time over fewer rows, and its rows are replaced."""
+    rows, store = _typed(spark, sf_dir), quality.results_table(spark, _folder(spark, "results"))
+    for run, seen in (("once", rows), ("again", rows), ("again", rows.filter(F.col("k") % 5 != 0))):
+        store.merge(quality.result_rows(spark, quality.evaluate(seen, DEMAND), run, DEMAND))
+    return store.read().select("run_id", "rule_id", "severity", "records_checked", "records_failed", "observed_value")

@@ -61,7 +61,9 @@ def test_evidence_precedence(spark, facts, state):
 
 
 def test_investigations(spark):
-    fact = spark.sql("select date'2026-01-01' market_date, cast(id + 1 as int) hour_ending, 1.0 ontario_demand_mw from range(24) union all select date'2026-01-02', 1, 1.0")
+    fact = spark.sql("select date'2026-01-01' market_date, cast(id + 1 as int) hour_ending, 1.0 ontario_demand_mw, 1.0 market_demand_mw from range(24) union all select date'2026-01-02', 1, 1.0, 1.0")
+    short = evidence.investigate_hours(fact.drop("market_demand_mw"), "2026-01-01").first()  # a measure that the fact lacks is missing in every row
+    assert (short.evidence_state, short.reason_codes, short.null_metric_rows) == ("INSUFFICIENT", ["MISSING_REQUIRED_METRICS"], 24)
     state = lambda *a: evidence.investigate_hours(fact, *a).first().evidence_state
     assert [state("2026-01-01"), state("2026-01-02"), state("2026-01-02", 1), state("2026-01-03")] == ["SUFFICIENT", "PARTIAL", "SUFFICIENT", "INSUFFICIENT"]
     for bad in (("08/28/2026",), ("2026-01-01", 25)):

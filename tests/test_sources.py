@@ -113,7 +113,24 @@ def test_lineage_and_results(spark, tmp_path):
     row = {"source_name": "demand", "source_file": "d.csv", "source_url": "", "source_hash": "a" * 64, "run_id": "r", "source_version": None, "source_created_at": None}
     df = landing.with_lineage(demand(spark, ("2026-01-01", "1", "1", "2")), row)
     assert {r.rule_id: r.severity for r in quality.five_rules(df, df, contract).collect()} == dict.fromkeys(["row_count_matches", "missing_rows", "unexpected_rows", "duplicate_business_key", "required_lineage"], "PASS")
+    bare = {r.rule_id: r.records_failed for r in quality.five_rules(df, df.drop("_run_id"), contract).collect()}
+    assert bare["required_lineage"] == 1 and bare["missing_rows"] == 0  # a fact without one of the columns fails in every row
     results = quality.results_table(spark, str(tmp_path / "dq"))
     results.merge(quality.result_rows(spark, quality.evaluate(df, contract), "r1", contract))
     results.merge(quality.result_rows(spark, quality.evaluate(df, contract), "r1", contract, at=F.lit("2026-01-01").cast("timestamp")))
     assert results.read().count() == len(quality.rules_of(contract, df.columns)) + 1
+
+
+def test_totals_with_nulls(spark):
+    """A null part adds nothing; a null total, measure or difference agrees with nothing."""
+    wide = spark.createDataFrame([(1, 2, 3, 1, 2), (1, None, 1, 1, 0), (None, None, None, 1, None), (1, 1, 2, None, 1), (1, 1, 5, 1, 4)], "a int, b int, total int, other int, diff int")
+    assert {r.rule_id: r.records_failed for r in quality.total_rules(wide, ["a", "b"], "total", "other", "diff").collect()} == {"parts_sum_to_total": 2, "difference_is_consistent": 2}
+
+
+def test_freshness_by_source(spark):
+    rows = spark.createDataFrame([("2026-01-01", h, "2026-01-01 23:00:00") for h in range(1, 25)] + [("2026-01-02", h, "2026-01-02 05:00:00") for h in (1, 3)], "d string, h int, i string").withColumn("d", F.to_date("d"))
+    hourly = quality.Freshness(rows, "d", F.col("h") * 60, 24, 60, ingested="i")
+    whole = quality.Freshness(rows.filter("d < date'2026-01-02'"), "d", F.col("h") * 60, 24, 60)
+    said = {r.source_name: r for r in quality.freshness_by_source({"a": hourly, "b": whole, "c": quality.Freshness(rows.limit(0), "d", F.col("h") * 60, 24, 60)}, F.lit("2026-01-02 03:30:00").cast("timestamp")).collect()}
+    assert (said["a"].latest_day_rows, said["a"].is_complete, said["a"].lag_minutes, said["a"].is_late, said["a"].last_ingested) == (2, False, 30, False, "2026-01-02 05:00:00")
+    assert (said["b"].is_complete, said["b"].lag_minutes, said["b"].is_late) == (True, 210, True) and (said["c"].latest_day, said["c"].is_late) == (None, True)
