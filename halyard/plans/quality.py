@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.functions.audit import any_null, completeness, duplicate_keys, required_headers
@@ -50,6 +51,23 @@ def evaluate(typed: DataFrame, contract: Contract) -> DataFrame:
     return rows.select("rule_id", F.when(F.col("records_failed") > 0, F.col("worst")).otherwise(PASS).alias("severity"), "records_checked", "records_failed", (F.col("worst") == PASS).alias("is_observation"))
 
 
+def observed(typed: DataFrame, contract: Contract) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """The rows, and a function that gives the rules' results (as evaluate() does) once they have been written: what breaks a rule is
+    counted as the rows go by, so they are computed and read once.
+
+    Keys that come twice can't be counted in passing; a keyed merge refuses them, and evaluate() counts them.
+    """
+    rules, seen = rules_of(contract, typed.columns), Observation()
+    out = typed.observe(seen, F.count(F.lit(1)).alias("_n"), *[F.count_if(F.coalesce(hit, F.lit(False))).alias(rule) for rule, (_, hit) in rules.items()])
+
+    def results() -> DataFrame:
+        counts = seen.get
+        rows = [(rule, worst if counts[rule] else PASS, counts["_n"], counts[rule], worst == PASS) for rule, (worst, _) in rules.items()]
+        return typed.sparkSession.createDataFrame(rows, "rule_id string, severity string, records_checked long, records_failed long, is_observation boolean")
+
+    return out, results
+
+
 def validated(typed: DataFrame, contract: Contract) -> dict[str, int]:
     """rule -> rows of the rules that hit; raises, naming them, if one of them fails."""
     found = {r.rule_id: (r.severity, r.records_failed) for r in evaluate(typed, contract).filter("records_failed > 0").collect()}

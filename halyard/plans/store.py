@@ -43,6 +43,26 @@ class ConstraintViolation(ValueError):
     """Rows break what the table promises; the message names the rule."""
 
 
+def put_in_place(spark: SparkSession, source, place) -> bool:
+    """Gives a complete file (Hadoop paths) its name if nothing has it, in one step; False if something has."""
+    from py4j.protocol import Py4JJavaError
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = place.getFileSystem(conf)
+    try:
+        if fs.getScheme() == "file":  # a rename would replace what is there; a link never does
+            local = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(local(place), local(source))
+        else:
+            none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(source, place, none)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        return False
+    return True
+
+
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str, keys: list[str], required: list[str] | None = None, partition: str | None = None) -> None:
         if partition is not None and partition not in keys:
@@ -104,21 +124,7 @@ class VersionedTable:
         return version
 
     def _put(self, source, place) -> bool:
-        """Gives a complete file its name if nothing has it, in one step; False if something has."""
-        from py4j.protocol import Py4JJavaError
-
-        try:
-            if self._fs.getScheme() == "file":  # a rename would replace what is there; a link never does
-                local = lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
-                self._jvm.java.nio.file.Files.createLink(local(place), local(source))
-            else:
-                none = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(source, place, none)
-        except Py4JJavaError as e:
-            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
-                raise
-            return False
-        return True
+        return put_in_place(self.spark, source, place)
 
     def _move_stub(self, place) -> None:
         """Takes an empty manifest away. If it was another's whole one by then, that gets its name back."""

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.plans.store import VersionedTable
+from halyard.plans.store import VersionedTable, put_in_place
 
 REGISTRY = "source_name string, logical_source_key string, source_url string, source_file string, source_version string, file_size long, source_hash string, source_created_at string, bronze_path string, first_seen_timestamp timestamp, last_seen_timestamp timestamp, processing_status string, run_id string"
 PENDING, SUCCESS, FAILED = "PENDING", "SUCCESS", "FAILED"
@@ -33,22 +33,39 @@ def files_with_hash(spark: SparkSession, path: str) -> DataFrame:
 
 
 def persist_once(spark: SparkSession, payload: bytes, path: str, expected_hash: str) -> dict:
-    """Writes a payload unless it is there, then reads it back; raises if its SHA-256 is not the expected one."""
+    """Writes a payload unless it is there, then reads it back; raises if its SHA-256 is not the expected one.
+
+    It is written beside and then gets its name, so a writer that is lost leaves nothing under it. A file that is the beginning of the
+    payload, which a writer of another kind may have left, is replaced.
+    """
     if payload_hash(payload) != expected_hash:
         raise RuntimeError(f"SHA-256 of the payload differs from {expected_hash}")
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    reused = fs.exists(place)
+
+    def stored() -> bytes:
+        reader = fs.open(place)
+        try:
+            return bytes(reader.readAllBytes())
+        finally:
+            reader.close()
+
+    back = stored() if fs.exists(place) else None
+    if back is not None and len(back) < len(payload) and payload.startswith(back):
+        fs.delete(place, False)
+        back = None
+    reused = back is not None
     if not reused:
-        out = fs.create(place, False)
-        out.write(bytearray(payload))
-        out.close()
-    stored = fs.open(place)
-    try:
-        back = bytes(stored.readAllBytes())
-    finally:
-        stored.close()
+        beside = jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{place.getName()}-{uuid.uuid4().hex}.tmp")
+        out = fs.create(beside, False)
+        try:
+            out.write(bytearray(payload))
+            out.close()
+            reused = not put_in_place(spark, beside, place)  # another writer may have been first
+        finally:
+            fs.delete(beside, False)
+        back = stored()
     if payload_hash(back) != expected_hash:
         raise RuntimeError(f"SHA-256 of {path} differs from {expected_hash}")
     return {"bronze_path": path, "file_size": len(back), "source_hash": expected_hash, "reused_existing": reused}

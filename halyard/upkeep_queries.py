@@ -294,3 +294,11 @@ def dq_results_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     for run, seen in (("once", rows), ("again", rows), ("again", rows.filter(F.col("k") % 5 != 0))):
         store.merge(quality.result_rows(spark, quality.evaluate(seen, DEMAND), run, DEMAND))
     return store.read().select("run_id", "rule_id", "severity", "records_checked", "records_failed", "observed_value")
+
+
+@query(f"WITH {_TYPED} {_rules_sql('typed', _DEMAND_RULES, None)}")
+def dq_rules_with_the_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of the demand contract, counted while its rows are written."""
+    rows, results = quality.observed(_typed(spark, sf_dir), DEMAND)
+    rows.write.parquet(f"{_folder(spark, 'observed')}/rows")
+    return _said(results())

@@ -134,3 +134,27 @@ def test_freshness_by_source(spark):
     said = {r.source_name: r for r in quality.freshness_by_source({"a": hourly, "b": whole, "c": quality.Freshness(rows.limit(0), "d", F.col("h") * 60, 24, 60)}, F.lit("2026-01-02 03:30:00").cast("timestamp")).collect()}
     assert (said["a"].latest_day_rows, said["a"].is_complete, said["a"].lag_minutes, said["a"].is_late, said["a"].last_ingested) == (2, False, 30, False, "2026-01-02 05:00:00")
     assert (said["b"].is_complete, said["b"].lag_minutes, said["b"].is_late) == (True, 210, True) and (said["c"].latest_day, said["c"].is_late) == (None, True)
+
+
+def test_a_stub_that_a_lost_writer_left_is_replaced(spark, tmp_path):
+    place, payload = tmp_path / "bronze" / "p.csv", b"Date,Hour"
+    place.parent.mkdir()
+    place.write_bytes(b"Dat")
+    assert landing.persist_once(spark, payload, str(place), landing.payload_hash(payload))["reused_existing"] is False
+    assert place.read_bytes() == payload and [p.name for p in place.parent.iterdir() if not p.name.endswith(".crc")] == ["p.csv"]
+    assert landing.persist_once(spark, payload, str(place), landing.payload_hash(payload))["reused_existing"] is True
+    place.write_bytes(b"Other one")
+    with pytest.raises(RuntimeError, match="differs"):
+        landing.persist_once(spark, payload, str(place), landing.payload_hash(payload))
+
+
+def test_rules_are_counted_with_the_write(spark, tmp_path):
+    """The same rules as a second scan gives, from one scan."""
+    contract = CONTRACTS["market_demand_hourly"]
+    demand(spark, ("2026-01-01", "1", "1", "2"), ("2026-01-01", "77", "N/A", ""), ("", "3", "-1", "1")).write.parquet(str(tmp_path / "in"))
+    typed_rows = spark.read.parquet(str(tmp_path / "in"))
+    rows, results = quality.observed(typed_rows, contract)
+    rows.write.parquet(str(tmp_path / "out"))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    want = {tuple(r) for r in quality.evaluate(typed_rows, contract).collect() if r.rule_id != "duplicate_business_key"}
+    assert {tuple(r) for r in results().collect()} == want and spark.read.parquet(str(tmp_path / "out")).count() == 3

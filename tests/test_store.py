@@ -128,6 +128,10 @@ def test_incremental_facts_follow_their_source(spark, tmp_path):
     assert said["changed_keys"] == 1 and said["cdf_rows"] == 2 and facts.watermark(contract.dataset) == 1
     assert rows(fact.read().select("hour_ending", F.col("market_demand_mw").cast("int"))) == [(1, 5), (2, 7)]
     assert {r.status for r in facts.runs.table.read().collect()} == {"SUCCESS"} and schema
+    facts.verify(contract.dataset)
+    fact.update_where(F.col("hour_ending") == 1, {"market_demand_mw": F.lit(0)})
+    with pytest.raises(RuntimeError, match="differ"):
+        facts.verify(contract.dataset)
 
 
 def test_failed_run_is_recorded_and_stops_the_chain(spark, tmp_path):
