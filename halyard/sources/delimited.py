@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Lines in which the header has to be.
 SEARCHED = 50
+#: Lines of a chunk, over whose sums prefixes are taken; lines that a quoted record may run over.
+CHUNK, LONGEST = 10_000, 10_000
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -22,6 +24,35 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_number"), "line")
 
 
+def _before(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """rows (file, line_number, ...) with the sum of value over the lines of their file before them.
+
+    Sums are over chunks of lines and of whole chunks, so a file's lines are never in one task.
+    """
+    rows = rows.withColumns({"_chunk": F.floor(F.col("line_number") / CHUNK), "_value": value})
+    chunks = rows.groupBy("file", "_chunk").agg(F.sum("_value").alias("_in"))
+    whole = chunks.select("file", "_chunk", (F.sum("_in").over(Window.partitionBy("file").orderBy("_chunk")) - F.col("_in")).alias("_base"))
+    within = F.sum("_value").over(Window.partitionBy("file", "_chunk").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_value")
+    return rows.withColumn("_within", within).join(whole, ["file", "_chunk"]).withColumn(name, F.col("_base") + F.col("_within")).drop("_chunk", "_value", "_base", "_within")
+
+
+def logical_lines(lines: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """(file, line_number, line): the records of (file, line_number, line), whose quoted fields may hold line breaks; numbers count records, from the first.
+
+    Whether a line begins within quotes is the parity of the quotes before it: a line keeps the state or turns it, so chunks of lines are
+    looked at apart and only their parities are added up. Breaks within a field become line feeds. A quote that is not closed within
+    so many lines is refused.
+    """
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    begun = _before(lines.withColumn("_q", quotes % 2), F.col("_q"), "_quotes").withColumn("_starts", (F.col("_quotes") % 2 == 0).cast("int"))
+    placed = _before(begun, F.col("_starts"), "_records").withColumn("_record", F.col("_records") + F.col("_starts"))
+    over = placed.groupBy("file", "_record").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > longest).first()
+    if over:
+        raise ValueError(f"record {over._record} of {over.file} runs over {over.n} lines: a quote is not closed")
+    parts = placed.groupBy("file", "_record").agg(F.array_sort(F.collect_list(F.struct("line_number", "line"))).alias("p"))
+    return parts.select("file", F.col("_record").alias("line_number"), F.array_join(F.col("p.line"), "\n").alias("line"))
+
+
 def _names(line: Column) -> Column:
     return F.transform(F.split(line, ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
 
@@ -34,9 +65,11 @@ def headers_of(lines: DataFrame, required: list[str], searched: int = SEARCHED)
     return lines.groupBy("file").agg(F.count_if(hit).alias("n"), first.alias("h")).select("file", "n", F.col("h.line_number").alias("header_at"), "h.names")
 
 
-def read_after_header(spark: SparkSession, path: str, columns: dict[str, str], exact: bool = True, file_col: str | None = None) -> DataFrame:
+def read_after_header(spark: SparkSession, path: str, columns: dict[str, str], exact: bool = True, file_col: str | None = None, quoted: bool = False) -> DataFrame:
     """The rows below each file's header as strings, renamed (header name -> column), with _source_row_number from 1.
 
+    quoted: fields in quotes may hold line breaks, and a quote within them is doubled; rows are then numbered by records.
+
     exact: the header has to be just these names in this order; else all files have to have the same header. file_col:
     what the file's path is called, if it is asked for.
     """
@@ -51,8 +84,10 @@ def read_after_header(spark: SparkSession, path: str, columns: dict[str, str], e
             raise ValueError(f"header is {names}, not {list(columns) if exact else said.names}")
     names = list(said.names)
     schema = ", ".join(f"`{n}` string" for n in names)
-    rows = lines.join(headers.select("file", "header_at"), "file").filter((F.col("line_number") > F.col("header_at")) & (F.trim("line") != ""))
-    parsed = rows.select("file", (F.col("line_number") - F.col("header_at")).alias("_source_row_number"), F.from_csv("line", schema).alias("r"))
+    rows = lines.join(headers.select("file", "header_at"), "file").filter(F.col("line_number") > F.col("header_at"))
+    rows = rows.select("file", (F.col("line_number") - F.col("header_at")).alias("line_number"), "line")
+    rows = (logical_lines(rows) if quoted else rows).filter(F.trim("line") != "")
+    parsed = rows.select("file", F.col("line_number").alias("_source_row_number"), F.from_csv("line", schema, {"escape": '"'} if quoted else {}).alias("r"))
     return parsed.select(*[F.col(f"r.`{n}`").alias(columns.get(n, n)) for n in names], "_source_row_number", *([F.col("file").alias(file_col)] if file_col else []))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.market_queries import _CHANGES, _DAY_AHEAD, _DEMAND, _DEMAND_RULES, _EVENTS, _GENERATION, _REALTIME, _TYPED, DEMAND, MONEY, _day_ahead, _demand, _folder, _generation, _log, _metrics_sql, _plain, _raw, _realtime, _rules_sql, _said, _six, _typed
+from halyard.market_queries import _CHANGES, _DAY_AHEAD, _DEMAND, _DEMAND_RULES, _EVENTS, _GENERATION, _REALTIME, _TYPED, DEMAND, MONEY, _day_ahead, _demand, _folder, _generation, _log, _metrics_sql, _plain, _raw, _realtime, _rules_sql, _said, _six, _typed, _written
 from halyard.functions.sketches import QUARTILES, DailyProfiles
 from halyard.functions.typing import typed
 from halyard.operators import realtime, upkeep
@@ -18,6 +18,7 @@ from halyard.plans.quarantine import Quarantine
 from halyard.plans.store import VersionedTable
 from halyard.queries import query
 from halyard.session import table
+from halyard.sources import delimited
 from halyard.streaming import change_feed, current, ingestion, outbox
 
 # -- change feed
@@ -302,3 +303,19 @@ def dq_rules_with_the_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, results = quality.observed(_typed(spark, sf_dir), DEMAND)
     rows.write.parquet(f"{_folder(spark, 'observed')}/rows")
     return _said(results())
+
+
+# -- records with line breaks in quotes
+
+
+@query("""
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) AS _source_row_number, sha256(t) AS text_sha256, length(t) AS n_chars, len(string_split(t, chr(10))) AS n_lines FROM (SELECT doc_id, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents)""")
+def csv_quoted_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as quoted fields of three files below a preamble, read by blocks and records."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    body = table(spark, sf_dir, "documents").select((F.col("doc_id") % 3).alias("payload"), F.lit(0).alias("part"), F.col("doc_id").alias("at"), F.concat(F.col("doc_id").cast("string"), F.lit(',"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"')).alias("line"))
+    head = [(-1, 0, 'It says "hello'), (-1, 1, "Id,Text")]
+    fixed = body.select("payload").distinct().withColumn("e", F.explode(F.array(*[F.struct(F.lit(part).alias("part"), F.lit(k).cast("long").alias("at"), F.lit(x).alias("line")) for part, k, x in head]))).select("payload", "e.*")
+    rows = delimited.read_after_header(spark, _written(body.unionByName(fixed), "payload", ["part", "at"], _folder(spark, "quoted")), {"Id": "doc_id", "Text": "text"}, quoted=True)
+    said = F.coalesce("text", F.lit(""))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "_source_row_number", F.sha2(said, 256).alias("text_sha256"), F.length(said).cast("long").alias("n_chars"), F.size(F.split(said, "\n")).cast("long").alias("n_lines"))
