@@ -179,7 +179,7 @@ def mixture(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     known = shares.select(F.col("source").alias("_s"), "source_size", "target", F.greatest(F.ceil(F.col("source_size") / F.lit(size)).cast("long"), F.lit(1)).alias("blocks"))
     placed = stream(rows).join(known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     within = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(block_of(F.col("start")), block_of(F.col("start") + F.col("size") - 1)))))
-    both = within.join(blocks, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left")
+    both = within.join(blocks.hint("merge"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left")
     begin = block_start(F.col("block"), F.col("source_size"), F.col("blocks"))
     first = F.greatest(F.col("start"), begin)
     last = F.least(F.col("start") + F.col("size"), block_start(F.col("block") + 1, F.col("source_size"), F.col("blocks")), begin + F.col("words"))

@@ -123,7 +123,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (0, chars(digit, pick(38, 10) + 16, 39), lead, neutral),
         (0, chars(hexes, pick(40, 24) + 16, 41), said, tests),
         (0, F.concat(F.lit("AKIA"), chars(up, 9, 42), F.lit("EXAMPLE")), lead, tests),
-        (0, chars("-=_"[:1] + "_", pick(43, 40) + 16, 44), lead, neutral),
+        (0, chars("-_", pick(43, 40) + 16, 44), lead, neutral),
         (1, chars(low + up + digit, pick(51, 8) + 8, 52), said, neutral),
         (1, chars(low + up + digit + "!@#$&.%*?", pick(53, 12) + 8, 54), said, neutral),
         (1, F.concat(F.initcap(word_of(55)), chars(digit, pick(56, 3) + 2, 57), chars("!@#$.", 1, 58), chars(low + digit, 4, 59)), said, neutral),
