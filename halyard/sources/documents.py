@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -90,3 +98,87 @@ def namespaces(spark: SparkSession, path: str) -> DataFrame:
     """(prefix, uri) that elements declare; the default one has an empty prefix."""
     said = _elements(spark, path).select(F.explode(F.regexp_extract_all("tag", F.lit(r"(xmlns(?::[\w.-]+)?\s*=\s*[\"'][^\"']*[\"'])"), F.lit(1))).alias("x"))
     return said.select(F.regexp_extract("x", r"^xmlns:?([\w.-]*)", 1).alias("prefix"), F.regexp_extract("x", "[\"']([^\"']*)[\"']$", 1).alias("uri")).distinct()
+
+
+# -- paths of files of any size
+
+#: What a record may begin within.
+_OUTSIDE, _COMMENT, _DATA = 0, 1, 2
+_LOCAL_NAME = re.compile(r"[^\s/]+")
+
+
+class _Block:
+    """A block's records (up to each ">") as they are if it begins in a state: how many open elements it closes, those it leaves
+    open, and its elements by path, below how many closed ones."""
+
+    def __init__(self, state: int) -> None:
+        self.begin = self.state = state
+        self.closed, self.open, self.counts = 0, [], Counter()
+
+    def take(self, record: str) -> None:
+        if self.state != _OUTSIDE:
+            if record.endswith("--" if self.state == _COMMENT else "]]"):
+                self.state = _OUTSIDE
+            return
+        at = record.find("<")
+        tag = record[at + 1 :] if at >= 0 else ""
+        if tag.startswith("!--"):
+            self.state = _OUTSIDE if tag.endswith("--") and len(tag) >= 5 else _COMMENT
+        elif tag.startswith("![CDATA["):
+            self.state = _OUTSIDE if tag.endswith("]]") else _DATA
+        elif tag.startswith("/"):
+            if self.open:
+                self.open.pop()
+            else:
+                self.closed += 1
+        elif tag and tag[0] not in "?!":
+            name = _LOCAL_NAME.match(tag)[0].rpartition(":")[2]
+            self.counts[self.closed, "/".join([*self.open, name])] += 1
+            if not tag.endswith("/"):
+                self.open.append(name)
+
+    def row(self, file: str, block: int) -> dict:
+        counts = [{"closed": closed, "below": below, "n": n} for (closed, below), n in self.counts.items()]
+        return {"file": file, "block": block, "begin": self.begin, "end": self.state, "closed": self.closed, "open": self.open, "counts": counts}
+
+
+_BLOCK = "file string, block long, begin int, end int, closed int, open array<string>, counts array<struct<closed:int, below:string, n:long>>"
+
+
+def path_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, path, n): how often each element occurs under each path of local names, in files of any size.
+
+    Files are read in blocks, each once and in any order. What a block does to the open elements is put together in the order of
+    blocks: a row a block and state, as long as its elements are deep. A ">" within an attribute has to be written as an entity.
+    """
+    records = spark.read.option("lineSep", ">").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("record"))
+    schema = to_arrow_schema(StructType.fromDDL(_BLOCK))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, states = None, []
+        made = lambda: pa.RecordBatch.from_pylist([s.row(*at) for s in states], schema=schema)
+        for batch in batches:
+            for file, block, record in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if (file, block) != at:
+                    if states:
+                        yield made()
+                    at, states = (file, block), [_Block(s) for s in ((_OUTSIDE,) if block == 0 else (_OUTSIDE, _COMMENT, _DATA))]
+                for s in states:
+                    s.take(record)
+        if states:
+            yield made()
+
+    def begun(rows: pd.DataFrame) -> pd.DataFrame:
+        state, open_, out = _OUTSIDE, [], []
+        of = {(r.block, r.begin): r for r in rows.itertuples(index=False)}
+        for block in sorted({b for b, _ in of}):
+            r = of[block, state]
+            out.append((r.file, block, state, list(open_)))
+            state, open_ = r.end, open_[: max(0, len(open_) - r.closed)] + list(r.open)
+        return pd.DataFrame(out, columns=["file", "block", "begin", "above"])
+
+    each = records.mapInArrow(blocks, _BLOCK)
+    starts = each.drop("counts").groupBy("file").applyInPandas(begun, "file string, block long, begin int, above array<string>")
+    found = each.select("file", "block", "begin", F.explode("counts").alias("c")).join(starts, ["file", "block", "begin"])
+    above = F.slice("above", F.lit(1), F.greatest(F.size("above") - F.col("c.closed"), F.lit(0)))
+    return found.groupBy("file", F.array_join(F.concat(above, F.array("c.below")), "/").alias("path")).agg(F.sum("c.n").alias("n"))

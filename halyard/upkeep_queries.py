@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.market_queries import _CHANGES, _DAY_AHEAD, _DEMAND, _DEMAND_RULES, _EVENTS, _GENERATION, _REALTIME, _TYPED, DEMAND, MONEY, _day_ahead, _demand, _folder, _generation, _log, _metrics_sql, _plain, _raw, _realtime, _rules_sql, _said, _six, _typed, _written
+from halyard.market_queries import _CHANGES, _DAY_AHEAD, _DEMAND, _DEMAND_RULES, _EVENTS, _GENERATION, _REALTIME, _TYPED, DEMAND, MONEY, _day_ahead, _demand, _folder, _generation, _generation_files, _log, _metrics_sql, _plain, _raw, _realtime, _rules_sql, _said, _six, _typed, _written
 from halyard.functions.sketches import QUARTILES, DailyProfiles
 from halyard.functions.typing import typed
 from halyard.operators import realtime, upkeep
@@ -18,7 +18,7 @@ from halyard.plans.quarantine import Quarantine
 from halyard.plans.store import VersionedTable
 from halyard.queries import query
 from halyard.session import table
-from halyard.sources import delimited
+from halyard.sources import delimited, documents
 from halyard.streaming import change_feed, current, ingestion, outbox
 
 # -- change feed
@@ -319,3 +319,15 @@ def csv_quoted_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = delimited.read_after_header(spark, _written(body.unionByName(fixed), "payload", ["part", "at"], _folder(spark, "quoted")), {"Id": "doc_id", "Text": "text"}, quoted=True)
     said = F.coalesce("text", F.lit(""))
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "_source_row_number", F.sha2(said, 256).alias("text_sha256"), F.length(said).cast("long").alias("n_chars"), F.size(F.split(said, "\n")).cast("long").alias("n_lines"))
+
+
+@query("""
+WITH p AS (SELECT l_orderkey % 4 AS payload, count(*) AS n, count_if(l_linenumber <> 3) AS m FROM lineitem GROUP BY 1), c AS (
+  SELECT payload, unnest(['Document', 'Document/DocHeader', 'Document/DocHeader/CreatedAt', 'Document/DocBody']) AS path, 1 AS n FROM p
+  UNION ALL SELECT payload, unnest(['', '/Day', '/HourlyData', '/HourlyData/Hour', '/HourlyData/FuelTotal', '/HourlyData/FuelTotal/Fuel', '/HourlyData/FuelTotal/EnergyValue', '/HourlyData/FuelTotal/EnergyValue/OutputQuality']), n FROM p
+  UNION ALL SELECT payload, '/HourlyData/FuelTotal/EnergyValue/Output', m FROM p)
+SELECT payload, CASE WHEN path LIKE 'Document%' THEN path ELSE 'Document/DocBody/DailyData' || path END AS path, CAST(n AS BIGINT) AS n FROM c""")
+def xml_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements by path, from blocks of the files."""
+    found = documents.path_counts(spark, _generation_files(spark, sf_dir))
+    return found.select(F.regexp_extract("file", r"payload=(\d+)", 1).cast("long").alias("payload"), "path", "n")

@@ -11,6 +11,8 @@ from halyard import market_queries, upkeep_queries  # noqa: F401  they register
 from halyard.queries import ORACLE_SQL, QUERIES
 
 TABLES = "/root/testdata/sf0.001"
+#: What a lookup gives whose required parameter is null.
+EMPTY = {"lookup_required_null"}
 
 
 def plain(v):
@@ -39,7 +41,7 @@ def test_same_as_sql(spark, duck, name):
     assert sorted(names) == columns
     theirs = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=str)
     assert ours == theirs
-    assert ours, "a query without rows shows nothing"
+    assert ours or name in EMPTY, "a query without rows shows nothing"
 
 
 def test_every_query_has_sql():
