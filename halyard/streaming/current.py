@@ -3,7 +3,7 @@
 The state of a key has the best delivery of each of its events, so a more complete delivery or a revision may come in any order and
 at any time: there is no watermark, and nothing is ever too late. After each batch the keys that it touched are as
 `realtime.price_current` of the whole log has them. An event's deliveries have its key; those without a whole key have no state.
-State is kept by RocksDB (STATE_STORE), so a key's events need not fit into memory.
+State is kept by RocksDB (STATE_STORE); of a key only a batch's own events are in memory at once.
 """
 
 from __future__ import annotations
@@ -18,7 +18,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from halyard.operators import realtime, series
 from halyard.plans.store import VersionedTable
 
-STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: All stores of an executor share so much memory.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
 
 
 class LatestEvent(StatefulProcessor):
@@ -31,14 +36,25 @@ class LatestEvent(StatefulProcessor):
         self.events = handle.getMapState("events", "event_id string", f"score int, tie long, created {self.created}, state string, body string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[str, tuple] = {}  # the batch's own
         for frame in rows:
-            best = frame.sort_values(["score", "tie"]).groupby("event_id").tail(1)
-            for r in best.itertuples(index=False):
-                at = (r.event_id,)
-                held = self.events.getValue(at) if self.events.containsKey(at) else None
-                if held is None or (held[0], held[1]) < (r.score, r.tie):
-                    self.events.updateValue(at, (int(r.score), int(r.tie), None if pd.isna(r.created) else r.created, r.state, r.body))
-        (_, _, event), state, body = max((((v[2] is not None, v[2], k[0]), v[3], v[4]) for k, v in self.events.iterator()), key=lambda x: (x[0][0], x[0][1] if x[0][0] else 0, x[0][2]))
+            for event, score, tie, created, state, body in zip(*(frame[c].tolist() for c in ("event_id", "score", "tie", "created", "state", "body")), strict=True):
+                if event not in new or new[event][:2] < (score, tie):
+                    new[event] = (score, tie, None if created is None or created != created else int(created) if isinstance(created, float) else created, state, body)
+        order = lambda event, v: (v[2] is not None, v[2] if v[2] is not None else 0, event)
+        last: tuple | None = None
+        for (event,), held in self.events.iterator():
+            if event in new:
+                if new[event][:2] > (held[0], held[1]):
+                    continue
+                del new[event]
+            if last is None or order(event, held) > order(*last):
+                last = event, tuple(held)
+        for event, delivery in new.items():
+            self.events.updateValue((event,), delivery)
+            if last is None or order(event, delivery) > order(*last):
+                last = event, delivery
+        event, (_, _, _, state, body) = last
         yield pd.DataFrame([[*key, event, state, body]], columns=[*realtime.KEY, "event_id", "publication_state", "body"])
 
     def close(self) -> None:
