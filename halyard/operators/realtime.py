@@ -5,8 +5,6 @@ Each function takes the log as it was delivered (or what another of them gives);
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +35,13 @@ def price_event_dedup(log: DataFrame) -> DataFrame:
     return series.dedup_deliveries(log.withColumn("_tie", tie), "event_id", [c for c in SCORED if c in log.columns], ["_tie"]).drop("_tie")
 
 
+def _counted(log: DataFrame) -> DataFrame:
+    """price_event_dedup with _n, an event's deliveries, and _m, those of them without a core field: the log is read once."""
+    counts = {"_n": F.count(F.lit(1)), "_m": F.count_if(series.missing_any(CORE))}
+    tie = F.xxhash64(*[F.col(c).cast("string") for c in log.columns])
+    return series.counted_deliveries(log.withColumn("_tie", tie), "event_id", [c for c in SCORED if c in log.columns], ["_tie"], counts)
+
+
 def price_current(log: DataFrame) -> DataFrame:
     """The latest logical event of each key, if it is eligible."""
     return series.current_state(price_event_dedup(log), KEY, ["event_created_at_utc", "event_id"], F.col("publication_state") == series.ELIGIBLE)
@@ -80,20 +85,17 @@ def metrics_of(rows: DataFrame) -> DataFrame:
 
 def dq_summary(log: DataFrame, at: Column | None = None) -> DataFrame:
     """(rule_id, rule_name, severity, status, metric_value, evaluated_at_utc): the six rules on a log; severity is what status is when a rule counts anything."""
-    rules = series.event_rules(log, price_event_dedup(log), CORE, list(PRICES))
+    rules = series.counted_rules(_counted(log), CORE, list(PRICES), "_n", "_m")
     named = F.create_map(*[F.lit(x) for pair in RULES.items() for x in pair])
     return rules.select("rule_id", named[F.col("rule_id")].alias("rule_name"), F.col("criticality").alias("severity"), F.col("outcome").alias("status"), F.col("metric").alias("metric_value"), (F.current_timestamp() if at is None else at).alias("evaluated_at_utc"))
 
 
 def metric_union(log: DataFrame) -> DataFrame:
     """(metric, value): physical rows, logical events, ids delivered more than once, logical rows lacking core fields, current rows."""
-    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
-    lacking = reduce(lambda a, b: a | b, [empty(c) for c in CORE])
-    copies = log.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
-    physical = copies.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("physical_rows"), F.count_if(F.col("n") > 1).alias("duplicate_event_ids"))
-    logical = price_event_dedup(log).agg(F.count(F.lit(1)).alias("logical_events"), F.count_if(lacking).alias("logical_rows_missing_core_fields"))
-    current = price_current(log).agg(F.count(F.lit(1)).alias("current_eligible_rows"))
-    row = physical.crossJoin(F.broadcast(logical)).crossJoin(F.broadcast(current))  # a row each
+    events = _counted(log)  # one aggregate of the log, for all of them
+    of_events = events.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("physical_rows"), F.count(F.lit(1)).alias("logical_events"), F.count_if(F.col("_n") > 1).alias("duplicate_event_ids"), F.count_if(series.missing_any(CORE)).alias("logical_rows_missing_core_fields"))
+    current = series.current_state(events, KEY, ["event_created_at_utc", "event_id"], F.col("publication_state") == series.ELIGIBLE).agg(F.count(F.lit(1)).alias("current_eligible_rows"))
+    row = of_events.crossJoin(F.broadcast(current))  # a row each
     return row.unpivot([], row.columns, "metric", "value")
 
 
@@ -106,8 +108,8 @@ def key_states(log: DataFrame) -> DataFrame:
 
 def checks_by_source(log: DataFrame) -> DataFrame:
     """(check, value, source_hash): rows, logical events, distinct ids, and logical events by source."""
-    logical = price_event_dedup(log)
-    totals = log.agg(F.count(F.lit(1)).alias("PHYSICAL_ROWS")).crossJoin(F.broadcast(logical.agg(F.count(F.lit(1)).alias("LOGICAL_EVENTS"), F.count_distinct("event_id").alias("DISTINCT_EVENT_IDS"))))  # a row each
+    logical = _counted(log)
+    totals = logical.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("PHYSICAL_ROWS"), F.count(F.lit(1)).alias("LOGICAL_EVENTS"), F.count_distinct("event_id").alias("DISTINCT_EVENT_IDS"))
     by_source = logical.groupBy(F.coalesce("source_hash", F.lit("")).alias("source_hash")).agg(F.count(F.lit(1)).alias("value"))
     return totals.unpivot([], totals.columns, "check", "value").withColumn("source_hash", F.lit("")).unionByName(by_source.withColumn("check", F.lit("EVENTS_BY_SOURCE_HASH")))
 

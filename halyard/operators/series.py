@@ -49,6 +49,14 @@ def dedup_deliveries(log: DataFrame, event_id: str, scored: list[str], tie: list
     return latest_by(log.withColumn("_score", completeness_score(scored)), [event_id], ["_score", *tie]).drop("_score")
 
 
+def counted_deliveries(log: DataFrame, event_id: str, scored: list[str], tie: list[str], counts: dict[str, Column]) -> DataFrame:
+    """dedup_deliveries with counts over each event's deliveries beside its row, from the same aggregate."""
+    scored_log = log.withColumn("_score", completeness_score(scored))
+    rest = [c for c in log.columns if c not in (event_id, *tie)]
+    best = scored_log.groupBy(event_id).agg(F.max_by(F.struct(*rest), F.struct("_score", *tie)).alias("_row"), *[n.alias(c) for c, n in counts.items()])
+    return best.select(event_id, "_row.*", *counts)
+
+
 def current_state(events: DataFrame, keys: list[str], order: list[str], eligible: Column) -> DataFrame:
     """Latest event of each key, and only then those that are eligible: an invalidated key must not come back."""
     return latest_by(events, keys, order).filter(eligible)
@@ -134,28 +142,39 @@ def population_state(parts: list[str]) -> Column:
     return F.when(filled == len(parts), "FULLY_POPULATED").when(filled == 0, "FULLY_EMPTY").otherwise("PARTIALLY_POPULATED")
 
 
+def missing_any(columns: list[str]) -> Column:
+    """Whether one of the columns holds nothing; an empty string holds nothing."""
+    return reduce(lambda a, b: a | b, [F.coalesce(F.col(c).cast("string"), F.lit("")) == "" for c in columns])
+
+
 def event_rules(log: DataFrame, logical: DataFrame, core: list[str], prices: list[str]) -> DataFrame:
-    """(rule_id, rule_name, criticality, metric, outcome): the six rules on a delivery log and its logical events.
+    """(rule_id, rule_name, criticality, metric, outcome): the six rules on a delivery log and its logical events, from an aggregate of each."""
+    copies = log.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(missing_any(core)).alias("m"))
+    physical = copies.agg(F.sum(F.col("n") - 1).alias("m1"), F.sum("m").alias("m2"))
+    return _rule_rows(physical.crossJoin(F.broadcast(logical.agg(*_logical_counts(core, prices)))))  # a row each
 
-    Two aggregate passes, one a table; strings count as missing when empty, and no comparison is left undecided by a null.
-    """
+
+def counted_rules(events: DataFrame, core: list[str], prices: list[str], n: str, m: str) -> DataFrame:
+    """event_rules of logical events that have the number of their deliveries (n), and of those without a core field (m), beside them: one pass."""
+    return _rule_rows(events.agg(F.sum(F.col(n) - 1).alias("m1"), F.sum(m).alias("m2"), *_logical_counts(core, prices)))
+
+
+def _logical_counts(core: list[str], prices: list[str]) -> list[Column]:
+    """What the rules count of logical events; strings count as missing when empty, and no comparison is left undecided by a null."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    missing = lambda columns: reduce(lambda a, b: a | b, [text(c) == "" for c in columns])
     observed, invalid = text("event_type") == OBSERVATION, text("event_type") == INVALIDATION
     paired = (observed & (text("publication_state") == ELIGIBLE)) | (invalid & (text("publication_state") == INVALIDATED))
-    copies = log.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(missing(core)).alias("m"))
-    physical = copies.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("m1"), F.coalesce(F.sum("m"), F.lit(0)).alias("m2"))
-    rules = logical.agg(
-        F.count_if(missing(core)).alias("m3"), F.count_if(~paired).alias("m4"),
-        F.count_if(observed & reduce(lambda a, b: a | b, [F.col(p).isNull() for p in prices])).alias("m5"), F.count_if(invalid & (text("previous_event_id") == "")).alias("m6"),
-    )
+    no_price = reduce(lambda a, b: a | b, [F.col(p).isNull() for p in prices])
+    return [F.count_if(missing_any(core)).alias("m3"), F.count_if(~paired).alias("m4"), F.count_if(observed & no_price).alias("m5"), F.count_if(invalid & (text("previous_event_id") == "")).alias("m6")]
+
+
+def _rule_rows(counts: DataFrame) -> DataFrame:
     rows = [
         ("RT-DQ-001", "technical_duplicates", "WARN", "m1"), ("RT-DQ-002", "physical_missing_core", "WARN", "m2"), ("RT-DQ-003", "logical_missing_core", "FAIL", "m3"),
         ("RT-DQ-004", "invalid_type_state_pair", "FAIL", "m4"), ("RT-DQ-005", "observation_missing_price", "FAIL", "m5"), ("RT-DQ-006", "invalidation_without_previous", "FAIL", "m6"),
     ]
-    each = F.array(*[F.struct(F.lit(i).alias("rule_id"), F.lit(n).alias("rule_name"), F.lit(c).alias("criticality"), F.col(m).cast("long").alias("metric")) for i, n, c, m in rows])
-    both = physical.crossJoin(F.broadcast(rules))  # a row each
-    return both.select(F.explode(each).alias("r")).select("r.*").withColumn("outcome", F.when(F.col("metric") == 0, "PASS").otherwise(F.col("criticality")))
+    each = F.array(*[F.struct(F.lit(i).alias("rule_id"), F.lit(n).alias("rule_name"), F.lit(c).alias("criticality"), F.coalesce(F.col(m), F.lit(0)).cast("long").alias("metric")) for i, n, c, m in rows])
+    return counts.select(F.explode(each).alias("r")).select("r.*").withColumn("outcome", F.when(F.col("metric") == 0, "PASS").otherwise(F.col("criticality")))
 
 
 def revision_decisions(incoming: DataFrame, latest: DataFrame, keys: list[str]) -> DataFrame:
