@@ -742,13 +742,13 @@ def evidence_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> list[tuple[str, bytes, bytes]]:
-    """Two regions' names as payloads, and revised."""
-    names = [r.r_name for r in table(spark, sf_dir, "region").orderBy("r_regionkey").limit(2).collect()]
+    """The regions' names as payloads, and revised: what a source would have sent."""
+    names = [r.r_name for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
     return [(f"regions|alias={n}", n.encode(), n.lower().encode()) for n in names]
 
 
 @query("""
-SELECT 'regions|alias=' || r_name AS key, step, classification, reused FROM (SELECT * FROM region ORDER BY r_regionkey LIMIT 2),
+SELECT 'regions|alias=' || r_name AS key, step, classification, reused FROM region,
   (VALUES (1, 'NEW', false), (2, 'UNCHANGED', true), (3, 'REVISED', false), (4, 'RECOVER', true)) v(step, classification, reused)""")
 def landing_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, out = _folder(spark, "landing"), []
@@ -762,7 +762,7 @@ def landing_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "key string, step int, classification string, reused boolean")
 
 
-@query("SELECT sha256(p) AS source_hash, CASE WHEN k = 0 THEN 'OK' ELSE 'LENGTH_DIFFERS' END AS state FROM (SELECT r_name AS p, row_number() OVER (ORDER BY r_regionkey) - 1 AS k FROM region ORDER BY r_regionkey LIMIT 2) UNION ALL SELECT repeat('0', 64), 'MISSING'")
+@query("SELECT sha256(p) AS source_hash, CASE WHEN k = 0 THEN 'OK' ELSE 'LENGTH_DIFFERS' END AS state FROM (SELECT r_name AS p, row_number() OVER (ORDER BY r_regionkey) - 1 AS k FROM region) UNION ALL SELECT repeat('0', 64), 'MISSING'")
 def landing_file_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, known = _folder(spark, "files"), []
     for k, (_, payload, _) in enumerate(_payloads(spark, sf_dir)):
