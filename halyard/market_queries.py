@@ -106,8 +106,11 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _written(lines: DataFrame, payload: str, order: list[str], folder: str) -> str:
-    """Writes lines (payload, order, line) as a file for each payload, in order; returns a path of them all."""
-    lines.repartition(payload).sortWithinPartitions(payload, *order).select(payload, "line").write.partitionBy(payload).text(folder)
+    """Writes lines (payload, order, line) as a folder for each payload, in order: its files are parts of it, as many as its size asks for.
+
+    Returns a path of them all.
+    """
+    lines.repartitionByRange(payload, *order).sortWithinPartitions(payload, *order).select(payload, "line").write.partitionBy(payload).text(folder)
     return f"{folder}/*"
 
 
@@ -129,7 +132,7 @@ def _demand_files(spark: SparkSession, sf_dir: str) -> str:
 WITH {_RAW}
 SELECT nullif(date_raw, '') AS date_raw, hour_raw, nullif(market_demand_raw, '') AS market_demand_raw, nullif(ontario_demand_raw, '') AS ontario_demand_raw, row_number() OVER (PARTITION BY payload ORDER BY k) AS _source_row_number, CAST(payload AS VARCHAR) AS payload FROM raw""")
 def csv_preamble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = delimited.read_demand(spark, _demand_files(spark, sf_dir), "file")
+    rows = delimited.read_demand(spark, _demand_files(spark, sf_dir), "file", parts=True)
     blank = {c: F.nullif(F.col(c), F.lit("")) for c in ("date_raw", "market_demand_raw", "ontario_demand_raw")}
     return rows.withColumns(blank).withColumn("payload", F.regexp_extract("file", r"payload=(\d+)", 1)).drop("file")
 
@@ -143,7 +146,7 @@ def csv_zonal_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = [F.lit("2026-01-01"), F.col("l_linenumber"), F.col("ontario_demand"), *[F.coalesce(F.col(z.lower()).cast("string"), F.lit("")) for z in delimited.ZONES], F.col("zone_total"), F.col("diff")]
     body = wide.select((F.col("k") % 3).alias("payload"), F.col("k").alias("at"), F.concat_ws(",", *cells).alias("line"))
     head = ["\\\\Zonal demand", ",".join(["Date", "Hour", "Ontario Demand", *delimited.ZONES, "Zone Total", "Diff"])]
-    read = delimited.read_zonal_demand(spark, _written(_framed(body, head, []), "payload", ["part", "at"], _folder(spark, "zonal")))
+    read = delimited.read_zonal_demand(spark, _written(_framed(body, head, []), "payload", ["part", "at"], _folder(spark, "zonal")), parts=True)
     long = delimited.zonal_long(read, {z: f"{z.lower()}_raw" for z in delimited.ZONES})
     return long.groupBy("hour_raw", "zone", F.nullif("zonal_demand_mw", F.lit("")).alias("mw")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -172,7 +175,7 @@ WITH {_GENERATION_LINES}
 SELECT strftime(l_shipdate, '%Y-%m-%d') AS date_raw, CAST(l_linenumber AS VARCHAR) AS hour_raw, l_returnflag AS fuel_type_raw, CASE WHEN l_linenumber <> 3 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS output_raw, '0' AS output_quality_raw,
        place AS _source_record_number, CAST(l_orderkey % 4 AS VARCHAR) AS payload FROM lines""")
 def xml_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents.read_generation(spark, _generation_files(spark, sf_dir), "file")
+    rows = documents.read_generation(spark, _generation_files(spark, sf_dir), "file", parts=True)
     return rows.withColumn("payload", F.regexp_extract("file", r"payload=(\d+)", 1)).drop("file")
 
 
@@ -182,9 +185,9 @@ SELECT 'element' AS kind, element AS name, n FROM (
   UNION ALL SELECT 'Output', (SELECT count(*) FROM lineitem WHERE l_linenumber <> 3) UNION ALL SELECT unnest(['Document', 'DocHeader', 'DocBody', 'CreatedAt']), 4)
 UNION ALL SELECT 'namespace', 'http://example.com/generation', 1""")
 def xml_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _generation_files(spark, sf_dir)
-    tags = documents.tag_counts(spark, path).select(F.lit("element").alias("kind"), F.col("element").alias("name"), "n")
-    return tags.unionByName(documents.namespaces(spark, path).select(F.lit("namespace").alias("kind"), F.col("uri").alias("name"), F.lit(1).cast("long").alias("n")))
+    tags, spaces = documents.tags_and_namespaces(spark, _generation_files(spark, sf_dir), parts=True)
+    said = tags.select(F.lit("element").alias("kind"), F.col("element").alias("name"), "n")
+    return said.unionByName(spaces.select(F.lit("namespace").alias("kind"), F.col("uri").alias("name"), F.lit(1).cast("long").alias("n")))
 
 
 @query("""
@@ -198,7 +201,7 @@ def xml_day_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = days.select("payload", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("at"), F.concat(F.lit("<Document><DocBody><DeliveryDate>"), "day", F.lit("</DeliveryDate>")).alias("line"))
     tail = days.select("payload", F.lit(1).alias("part"), F.lit(0).cast("long").alias("at"), F.lit("</DocBody></Document>").alias("line"))
     body = orders.select("payload", F.lit(0).alias("part"), F.col("o_orderkey").alias("at"), line.alias("line"))
-    return documents.read_day_ahead(spark, _written(body.unionByName(head).unionByName(tail), "payload", ["part", "at"], _folder(spark, "day_ahead")))
+    return documents.read_day_ahead(spark, _written(body.unionByName(head).unionByName(tail), "payload", ["part", "at"], _folder(spark, "day_ahead")), parts=True)
 
 
 @query("""
@@ -213,7 +216,7 @@ def xml_realtime(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = lambda part, x: hours.select("payload", F.lit(part).alias("part"), F.lit(0).cast("long").alias("at"), x.alias("line"))
     body = events.select("payload", F.lit(0).alias("part"), F.col("event_id").alias("at"), line.alias("line"))
     every = body.unionByName(fixed(-1, head)).unionByName(fixed(1, F.lit("<AveragePrice><LmpCap>1</LmpCap></AveragePrice></DocBody></Document>")))
-    return documents.read_realtime(spark, _written(every, "payload", ["part", "at"], _folder(spark, "realtime")))
+    return documents.read_realtime(spark, _written(every, "payload", ["part", "at"], _folder(spark, "realtime")), parts=True)
 
 
 # -- rules of the contracts

@@ -11,17 +11,28 @@ SEARCHED = 50
 CHUNK, LONGEST = 10_000, 10_000
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def in_parts(file: Column, parts: bool) -> tuple[Column, Column]:
+    """(payload, part) of a file's path: the path itself, or its folder and its name, by which a payload's parts are in order."""
+    return (F.regexp_replace(file, "/[^/]*$", ""), F.regexp_extract(file, "[^/]*$", 0)) if parts else (file, F.lit(""))
+
+
+def starts_of(sizes: DataFrame, parts: bool) -> DataFrame:
+    """(_file, block, file, first, before) of a row (_file, block, n, first) a block: the payload, and what stands before the block in it."""
+    file, part = in_parts(F.col("_file"), parts)
+    before = Window.partitionBy("file").orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumns({"file": file, "part": part}).select("_file", "block", "file", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+
+
+def numbered_lines(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     """(file, line_number, line) of files of any size: blocks are read apart, and only their line counts are summed up.
 
-    A block's lines are read one after the other, so within it their numbers are distances of a running id.
+    A block's lines are read one after the other, so within it their numbers are distances of a running id. parts: a payload is a
+    folder, and its files, in the order of their names, are the parts of it.
     """
-    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    block = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("block")]
     lines = spark.read.text(path).select(*block, F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    sizes = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return lines.join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_number"), "line")
+    starts = starts_of(lines.groupBy("_file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")), parts)
+    return lines.join(F.broadcast(starts), ["_file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_number"), "line")  # a row a block
 
 
 def _before(rows: DataFrame, value: Column, name: str) -> DataFrame:
@@ -65,15 +76,15 @@ def headers_of(lines: DataFrame, required: list[str], searched: int = SEARCHED)
     return lines.groupBy("file").agg(F.count_if(hit).alias("n"), first.alias("h")).select("file", "n", F.col("h.line_number").alias("header_at"), "h.names")
 
 
-def read_after_header(spark: SparkSession, path: str, columns: dict[str, str], exact: bool = True, file_col: str | None = None, quoted: bool = False) -> DataFrame:
+def read_after_header(spark: SparkSession, path: str, columns: dict[str, str], exact: bool = True, file_col: str | None = None, quoted: bool = False, parts: bool = False) -> DataFrame:
     """The rows below each file's header as strings, renamed (header name -> column), with _source_row_number from 1.
 
     quoted: fields in quotes may hold line breaks, and a quote within them is doubled; rows are then numbered by records.
 
     exact: the header has to be just these names in this order; else all files have to have the same header. file_col:
-    what the file's path is called, if it is asked for.
+    what the file's path is called, if it is asked for. parts: each folder is a payload, its files are the parts of it.
     """
-    lines = numbered_lines(spark, path)
+    lines = numbered_lines(spark, path, parts)
     headers = headers_of(lines, list(columns))
     said = headers.agg(F.count_if(F.col("n") != 1).alias("bad"), F.min(F.struct("n", "file")).alias("least"), F.max(F.struct("n", "file")).alias("most"), F.min("names").alias("names"), F.max("names").alias("other")).first()
     if said.bad is None or said.least is None or said.bad:
@@ -84,24 +95,24 @@ def read_after_header(spark: SparkSession, path: str, columns: dict[str, str], e
             raise ValueError(f"header is {names}, not {list(columns) if exact else said.names}")
     names = list(said.names)
     schema = ", ".join(f"`{n}` string" for n in names)
-    rows = lines.join(headers.select("file", "header_at"), "file").filter(F.col("line_number") > F.col("header_at"))
+    rows = lines.join(F.broadcast(headers.select("file", "header_at")), "file").filter(F.col("line_number") > F.col("header_at"))  # a row a payload
     rows = rows.select("file", (F.col("line_number") - F.col("header_at")).alias("line_number"), "line")
     rows = (logical_lines(rows) if quoted else rows).filter(F.trim("line") != "")
     parsed = rows.select("file", F.col("line_number").alias("_source_row_number"), F.from_csv("line", schema, {"escape": '"'} if quoted else {}).alias("r"))
     return parsed.select(*[F.col(f"r.`{n}`").alias(columns.get(n, n)) for n in names], "_source_row_number", *([F.col("file").alias(file_col)] if file_col else []))
 
 
-def read_demand(spark: SparkSession, path: str, file_col: str | None = None) -> DataFrame:
-    return read_after_header(spark, path, {"Date": "date_raw", "Hour": "hour_raw", "Market Demand": "market_demand_raw", "Ontario Demand": "ontario_demand_raw"}, file_col=file_col)
+def read_demand(spark: SparkSession, path: str, file_col: str | None = None, parts: bool = False) -> DataFrame:
+    return read_after_header(spark, path, {"Date": "date_raw", "Hour": "hour_raw", "Market Demand": "market_demand_raw", "Ontario Demand": "ontario_demand_raw"}, file_col=file_col, parts=parts)
 
 
 #: The zones' columns of the wide file, in its order.
 ZONES = ["Northwest", "Northeast", "Ottawa", "East", "Toronto", "Essa", "Bruce", "Southwest", "Niagara", "West"]
 
 
-def read_zonal_demand(spark: SparkSession, path: str) -> DataFrame:
+def read_zonal_demand(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     names = ["Date", "Hour", "Ontario Demand", *ZONES, "Zone Total", "Diff"]
-    return read_after_header(spark, path, {n: n.lower().replace(" ", "_") + "_raw" for n in names})
+    return read_after_header(spark, path, {n: n.lower().replace(" ", "_") + "_raw" for n in names}, parts=parts)
 
 
 def zonal_long(wide: DataFrame, typed_zones: dict[str, str] | None = None) -> DataFrame:

@@ -316,7 +316,7 @@ def csv_quoted_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = table(spark, sf_dir, "documents").select((F.col("doc_id") % 3).alias("payload"), F.lit(0).alias("part"), F.col("doc_id").alias("at"), F.concat(F.col("doc_id").cast("string"), F.lit(',"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"')).alias("line"))
     head = [(-1, 0, 'It says "hello'), (-1, 1, "Id,Text")]
     fixed = body.select("payload").distinct().withColumn("e", F.explode(F.array(*[F.struct(F.lit(part).alias("part"), F.lit(k).cast("long").alias("at"), F.lit(x).alias("line")) for part, k, x in head]))).select("payload", "e.*")
-    rows = delimited.read_after_header(spark, _written(body.unionByName(fixed), "payload", ["part", "at"], _folder(spark, "quoted")), {"Id": "doc_id", "Text": "text"}, quoted=True)
+    rows = delimited.read_after_header(spark, _written(body.unionByName(fixed), "payload", ["part", "at"], _folder(spark, "quoted")), {"Id": "doc_id", "Text": "text"}, quoted=True, parts=True)
     said = F.coalesce("text", F.lit(""))
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "_source_row_number", F.sha2(said, 256).alias("text_sha256"), F.length(said).cast("long").alias("n_chars"), F.size(F.split(said, "\n")).cast("long").alias("n_lines"))
 
@@ -329,5 +329,5 @@ WITH p AS (SELECT l_orderkey % 4 AS payload, count(*) AS n, count_if(l_linenumbe
 SELECT payload, CASE WHEN path LIKE 'Document%' THEN path ELSE 'Document/DocBody/DailyData' || path END AS path, CAST(n AS BIGINT) AS n FROM c""")
 def xml_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements by path, from blocks of the files."""
-    found = documents.path_counts(spark, _generation_files(spark, sf_dir))
+    found = documents.path_counts(spark, _generation_files(spark, sf_dir), parts=True)
     return found.select(F.regexp_extract("file", r"payload=(\d+)", 1).cast("long").alias("payload"), "path", "n")

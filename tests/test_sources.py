@@ -158,3 +158,50 @@ def test_rules_are_counted_with_the_write(spark, tmp_path):
     assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     want = {tuple(r) for r in quality.evaluate(typed_rows, contract).collect() if r.rule_id != "duplicate_business_key"}
     assert {tuple(r) for r in results().collect()} == want and spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_documents_in_blocks_and_parts(spark, tmp_path):
+    """A document that is read in blocks of a few hundred bytes, as a file and as a folder of parts, numbered through; empty elements, entities, prefixes and comments in it."""
+    hours = [f"<HourlyPriceComponents><PricingHour>{k}</PricingHour><ZonalPrice>{k} &lt; <![CDATA[<x>]]></ZonalPrice></HourlyPriceComponents>" for k in range(1, 200)]
+    hours[49] = "<HourlyPriceComponents/>"
+    hours[50] = "<!-- <HourlyPriceComponents> --><HourlyPriceComponents><p:PricingHour>51</p:PricingHour></HourlyPriceComponents>"
+    lines = ["<Document><DocBody><DeliveryDate>2026-01-02</DeliveryDate>", *hours, "</DocBody></Document>"]
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "d.xml").write_text("\n".join(lines))
+    (tmp_path / "many").mkdir()
+    for k in range(0, len(lines), 67):
+        (tmp_path / "many" / f"part-{k:05}.xml").write_text("\n".join(lines[k : k + 67]) + "\n")
+    want = [(k, str(k), f"{k} < <x>") if k not in (50, 51) else (k, None if k == 50 else "51", None) for k in range(1, 200)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        for folder, parts in (("one", False), ("many", True)):
+            df = documents.read_day_ahead(spark, str(tmp_path / folder), "file", parts)
+            rows = sorted(df.collect(), key=lambda r: r._source_record_number)
+            assert [(r._source_record_number, r.hour_ending_raw, r.zonal_price_raw) for r in rows] == want
+            assert {r.market_date_raw for r in rows} == {"2026-01-02"} and len({r.file for r in rows}) == 1
+            tags = {r.element: r.n for r in documents.tag_counts(spark, str(tmp_path / folder), parts).collect()}
+            assert tags["HourlyPriceComponents"] == 199 and tags["PricingHour"] == 198
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_records_that_cannot_be_cut_are_refused(spark, tmp_path):
+    (tmp_path / "d.xml").write_text(DAY_AHEAD.replace("</HourlyPriceComponents>", "</n:HourlyPriceComponents>").replace("<HourlyPriceComponents>", "<n:HourlyPriceComponents>"))
+    with pytest.raises(Exception, match="prefix"):
+        documents.read_day_ahead(spark, str(tmp_path / "d.xml")).collect()
+
+
+def test_payloads_are_written_by_many_tasks(spark, tmp_path):
+    """One payload's lines are in several files, in order; none is the whole of it."""
+    from halyard.market_queries import _written
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lines = spark.range(1000).select(F.lit(1).alias("payload"), F.col("id").alias("at"), F.col("id").cast("string").alias("line"))
+        path = _written(lines, "payload", ["at"], str(tmp_path / "w"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [len(f.read_text().split()) for f in (tmp_path / "w" / "payload=1").glob("part-*")]
+    assert len(sizes) > 1 and max(sizes) < 1000
+    got = {r.line_number: r.line for r in delimited.numbered_lines(spark, path, parts=True).collect()}
+    assert got == {k + 1: str(k) for k in range(1000)}
