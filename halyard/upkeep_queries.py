@@ -172,10 +172,12 @@ def quarantine_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     held, target = Quarantine(spark, f"{base}/held", DEMAND, beside=["k"]), VersionedTable(spark, f"{base}/target", list(DEMAND.keys))
     said = held.admit(raw.drop("payload"), target, "first")
     k = F.col("k").cast("long")
-    corrected = held.waiting().filter(k % 3 == 0).select("payload_hash", k.alias("k"), F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), F.pmod(k, F.lit(50_000)).cast("int")), "yyyy-MM-dd").alias("date_raw"), (F.floor(k / 50_000) % 24 + 1).cast("string").alias("hour_raw"), F.lit("1.5").alias("market_demand_raw"), F.lit("1").alias("ontario_demand_raw"))
+    # A day and hour of its own for each key, beyond the days of orders: years have more than four digits.
+    day = F.date_add(F.lit("10000-01-01").cast("date"), F.floor(k / 24).cast("int")).cast("string")
+    corrected = held.waiting().filter(k % 3 == 0).select("payload_hash", k.alias("k"), day.alias("date_raw"), (F.pmod(k, F.lit(24)) + 1).cast("string").alias("hour_raw"), F.lit("1.5").alias("market_demand_raw"), F.lit("1").alias("ontario_demand_raw"))
     held.replay(corrected, target, "second")
     states = held.table.read().groupBy("state", F.array_join("rules", ",").alias("rules")).agg(F.count(F.lit(1)).alias("n"))
-    admitted = spark.createDataFrame([("ADMITTED", "", said["admitted"])], "state string, rules string, n long")
+    admitted = spark.createDataFrame([("ADMITTED", "", said["admitted"])] if said["admitted"] else [], "state string, rules string, n long")
     released = states.filter("state = 'RELEASED'").agg(F.sum("n")).first()[0] or 0
     if target.read().count() != said["admitted"] + released:
         raise RuntimeError("what was released is not in the target")

@@ -210,3 +210,13 @@ def test_quarantine_and_replay(spark, tmp_path):
     assert held.replay(corrected, target, "r3") == {"released": 0, "still_held": 1}  # what was released stays so
     assert sorted((str(r.market_date), r.hour_ending) for r in target.read().collect()) == [("2026-01-01", 1), ("2026-01-01", 2), ("2026-01-02", 3)]
     assert typed(rows, contract.typing()).count() == 5
+
+
+def test_corrected_orders_have_keys_of_their_own(spark, tmp_path):
+    """Order keys that are 1,200,000 apart came under one day and hour, and were held again."""
+    from halyard.upkeep_queries import quarantine_replay
+
+    keys = [546, 546 + 1_200_000 * 13, 546 + 1_200_000 * 26]  # hour 0, all held at first
+    rows = spark.createDataFrame([(k, 1, "O", 5.0, "1-URGENT", "1996-01-02") for k in keys], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string, d string")
+    rows.withColumn("o_orderdate", F.to_timestamp("d")).drop("d").write.parquet(str(tmp_path / "orders.parquet"))
+    assert {(r.state, r.n) for r in quarantine_replay(spark, str(tmp_path)).collect()} == {("RELEASED", 3)}
