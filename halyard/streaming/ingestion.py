@@ -25,15 +25,16 @@ REQUIRED = ["event_id"]
 def mapped(lines: DataFrame, mapping: dict[str, str] | None = None, kinds: dict[str, str] | None = None, required: list[str] | None = None) -> DataFrame:
     """lines (line, _file) with the mapped columns and reason, null where a line is as it should be."""
     mapping, kinds, required = mapping or MAPPING, kinds or KINDS, REQUIRED if required is None else required
-    parsed = lines.withColumn("_v", F.try_parse_json("line"))
+    # Generated, so that a filter on what is made of it isn't pushed below, where each use would parse the line anew.
+    parsed = lines.select("*", F.explode(F.array(F.try_parse_json("line"))).alias("_v"))
     value = {c: F.try_variant_get("_v", path, kinds[c]) for c, path in mapping.items()}
-    said = {c: F.try_variant_get("_v", path, "string") for c, path in mapping.items()}
+    said = {c: value[c] if kinds[c] == "string" else F.try_variant_get("_v", path, "string") for c, path in mapping.items()}
     listed = lambda hits: F.array_join(F.array_compact(F.array(*[F.when(hit, F.lit(c)) for c, hit in hits.items()])), ", ")
     missing = {c: F.coalesce(said[c], F.lit("")) == "" for c in required}
     misfits = {c: said[c].isNotNull() & value[c].isNull() for c in mapping if kinds[c] != "string"}
     any_of = lambda hits: reduce(lambda a, b: a | b, hits.values(), F.lit(False))
     reason = (
-        F.when(F.trim(F.coalesce("line", F.lit(""))) == "", "EMPTY").when(F.col("_v").isNull(), "NOT_JSON").when(~F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")), "NOT_AN_OBJECT")
+        F.when(F.trim(F.coalesce("line", F.lit(""))) == "", "EMPTY").when(F.col("_v").isNull(), "NOT_JSON").when(~F.col("line").rlike(r"^[ \t\r\n]*\{"), "NOT_AN_OBJECT")
         .when(any_of(missing), F.concat(F.lit("MISSING: "), listed(missing))).when(any_of(misfits), F.concat(F.lit("TYPE: "), listed(misfits)))
     )
     return parsed.select(*lines.columns, *[v.alias(c) for c, v in value.items()], reason.alias("reason"))
