@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from halyard.functions.identity import canonical_decimal, canonical_text, event_
 from halyard.operators.series import ELIGIBLE, INVALIDATED, INVALIDATION, OBSERVATION, population_state, revision_decisions
 from halyard.plans.contracts import PRICES
 from halyard.plans.store import TableConflict, VersionedTable
+from halyard.session import scratch_folder
 
 PENDING, SENDING, SENT = "PENDING", "SENDING", "SENT"
 EVENT_VERSION = "rt_price_event_v1"
@@ -147,6 +149,40 @@ class Outbox:
                 self.compact()
         return done
 
+    def dispatch_all(self, send: Callable[[str, str], None], owner: str | None = None, lease: str = "1 day") -> tuple[int, int]:
+        """Sends all that waits from the executors, in any order: one lease and one outcome for all; (sent, failed).
+
+        What fails is put back with its error, and the others go on. Nothing but counts comes to the driver. A task that is run again sends again.
+        """
+        owner, now = owner or str(uuid.uuid4()), F.current_timestamp()
+        free = (F.col("status") == PENDING) | ((F.col("status") == SENDING) & (F.col("lease_expires_at_utc") <= now))
+        taken = {"status": F.lit(SENDING), "lease_owner_run_id": F.lit(owner), "lease_expires_at_utc": now + F.expr(f"interval {lease}"), "last_attempt_at_utc": now, "attempt_count": F.col("attempt_count") + 1, "updated_at_utc": now}
+        self._again(lambda version: self.table.append(self.read(version, []).filter(free).select("event_id", *[taken.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in STATE.items()]), version))
+        mine = (F.col("status") == SENDING) & (F.col("lease_owner_run_id") == owner)
+
+        def sent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                errors = []
+                for event, payload in zip(frame["event_id"], frame["event_payload"], strict=True):
+                    try:
+                        send(event, payload)
+                        errors.append(None)
+                    except Exception as e:  # noqa: BLE001  whatever a sender raises
+                        errors.append(str(e)[:4000])
+                yield pd.DataFrame({"event_id": frame["event_id"], "_error": pd.Series(errors, dtype=object), "_sent": [e is None for e in errors]})
+
+        kind = "event_id string, _error string, _sent boolean"
+        waiting = self.read(columns=["event_payload"]).filter(mine).select("event_id", "event_payload")
+        waiting.mapInPandas(sent, kind).write.parquet(folder := f"{scratch_folder(self.spark)}/sent")  # once, however often the outcome is tried
+        said = self.spark.read.schema(kind).parquet(folder)
+        values = {
+            "status": F.when(F.col("_sent"), SENT).otherwise(PENDING), "sent_at_utc": F.when(F.col("_sent"), F.current_timestamp()).otherwise(F.col("sent_at_utc")), "last_error": F.col("_error"),
+            "lease_owner_run_id": F.lit(None), "lease_expires_at_utc": F.lit(None), "updated_at_utc": F.current_timestamp(),
+        }
+        self._again(lambda version: self.table.append(self.read(version, []).filter(mine).join(said, "event_id").select("event_id", *[values.get(c, F.col(c)).cast(kind).alias(c) for c, kind in STATE.items()]), version))
+        counts = said.agg(F.count_if("_sent"), F.count_if(~F.col("_sent"))).first()
+        return counts[0], counts[1]
+
     def status(self) -> DataFrame:
         return self.read(columns=[]).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 

@@ -220,3 +220,36 @@ def test_corrected_orders_have_keys_of_their_own(spark, tmp_path):
     rows = spark.createDataFrame([(k, 1, "O", 5.0, "1-URGENT", "1996-01-02") for k in keys], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string, d string")
     rows.withColumn("o_orderdate", F.to_timestamp("d")).drop("d").write.parquet(str(tmp_path / "orders.parquet"))
     assert {(r.state, r.n) for r in quarantine_replay(spark, str(tmp_path)).collect()} == {("RELEASED", 3)}
+
+
+def test_a_line_is_parsed_once(spark):
+    """A filter on the reason was pushed below and parsed each line again for every use."""
+    from halyard.streaming import ingestion
+
+    lines = spark.createDataFrame([(' [{"event_id": "a"}]', "f"), (' {"event_id": "b"}', "f"), ("3", "f")], "line string, _file string")
+    found = ingestion.mapped(lines).filter("reason IS NULL")
+    assert found._jdf.queryExecution().executedPlan().toString().count("try_parse_json") + found._jdf.queryExecution().optimizedPlan().toString().count("parse_json(") <= 2
+    assert [r.event_id for r in found.collect()] == ["b"]
+    assert {r.reason for r in ingestion.mapped(lines).collect()} == {None, "NOT_AN_OBJECT"}
+
+
+def test_dispatch_from_the_executors(spark, tmp_path):
+    """What fails is put back with its error, the others are sent, a lease of another owner stays."""
+    from halyard.streaming import ingestion, outbox
+
+    ids = spark.range(50).select(*[(F.concat(F.lit("e"), F.col("id").cast("string")) if c == "event_id" else F.lit(None)).cast(kind).alias(c) for c, kind in ingestion.KINDS.items()])
+    box = outbox.Outbox(spark, str(tmp_path / "box"))
+    box.put(ids)
+    held = {e for e, _ in box.claims("other", 2, "1 day")}
+
+    def send(event, payload):
+        if event.endswith("7"):
+            raise ConnectionError("no line")
+
+    sent, failed = box.dispatch_all(send)
+    rows = {r.event_id: r for r in box.read().collect()}
+    assert len(rows) == 50 and sent + failed == 48 and {e for e, r in rows.items() if r.status == "SENDING"} == held
+    back = {e for e, r in rows.items() if r.status == "PENDING"}
+    assert back == {e for e in rows if e.endswith("7")} - held and len(back) == failed and {rows[e].last_error for e in back} == {"no line"}
+    assert box.dispatch_all(lambda event, payload: None) == (failed, 0)
+    assert {r.attempt_count for r in box.read().collect() if r.event_id in back} == {2}
