@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.llm.common import batched, checkpointed, id_and_text, id_type, rows_of, unused
+from halyard.llm.vocabularies import held
 
 SIZE = 5
 THRESHOLD = 80
@@ -50,7 +51,7 @@ HOMES = 4
 FILTER_BITS, FILTER = 16, 1 << 30
 _SHIFTS = (0, 17, 33)
 #: Classes that a task remembers having handed on, and words whose hashes it keeps.
-REMEMBERED, WORDS = 200_000, 300_000
+REMEMBERED, WORDS = 200_000, 100_000
 #: Sets that are picked by a broadcast of their numbers (8 bytes each); beyond it, by a shuffle.
 PICKED = 200_000
 #: Links between components that one task joins (16 bytes each); more are joined in rounds.
@@ -65,9 +66,6 @@ class _Words(dict):
         return out
 
 
-_WORDS = _Words()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -79,9 +77,10 @@ def shingles(text: str, size: int = SIZE) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_WORDS) > WORDS:
-        _WORDS.clear()
-    ids = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    known = held(_Words)
+    if len(known) > WORDS:
+        known.clear()
+    ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     width = min(size, len(words))
     total = np.full(len(ids) - width + 1, np.uint64(0x51_7CC1B727220A95 * width & (2**64 - 1)))
     for k in range(width):

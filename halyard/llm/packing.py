@@ -20,7 +20,6 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -84,9 +83,8 @@ class DocumentIds:
         return [out[s:e].tobytes() for s, e in zip(stops, stops[1:], strict=False)]
 
 
-@lru_cache(maxsize=2)
 def document_ids(name: str, ranks: str = vocabularies.BYTE_BPE_RANKS) -> DocumentIds:
-    return DocumentIds(name, ranks)
+    return vocabularies.held(DocumentIds, name, ranks)
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = vocabularies.BYTE_BPE, capacity: int = CAPACITY) -> DataFrame:

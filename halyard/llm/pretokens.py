@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from halyard.llm import vocabularies
 
 #: Pieces kept by a worker; one that is full starts again, so memory stays bounded however many words there are.
-KEPT = 300_000
+KEPT = 100_000
 #: Longer pieces are encoded each time: they hardly repeat.
 KEPT_CHARS = 64
 

@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -168,9 +168,8 @@ class Meter:
         )
 
 
-@lru_cache(maxsize=2)
 def meter(model: str, ranks: str) -> Meter:
-    return Meter(model, ranks)
+    return vocabularies.held(Meter, model, ranks)
 
 
 def measured(df: DataFrame, text_col: str = "text", model: str = vocabularies.PIECE_BPE, ranks: str = vocabularies.BYTE_BPE_RANKS, keep: list[str] | None = None) -> DataFrame:

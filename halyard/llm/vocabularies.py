@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 from functools import lru_cache
 
 BYTE_BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -43,3 +44,15 @@ def byte_level(name: str):
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path(name))
+
+
+#: What this worker keeps between tasks, by what made it.
+_HELD: dict[tuple, object] = {}
+
+
+def held(make: Callable, *args):
+    """make(*args), made once; only the last one made is kept, so no stage holds what the stages before it kept."""
+    if (key := (make, args)) not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make(*args)
+    return _HELD[key]

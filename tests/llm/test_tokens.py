@@ -254,3 +254,11 @@ def test_ranks_and_tokenizer_are_one_vocabulary():
     assert len(tokens) > 45_000
     coded = coder.encode_batch([t for t, _ in tokens], add_special_tokens=False)
     assert all(e.ids == [i] for e, (_, i) in zip(coded, tokens, strict=True))
+
+
+def test_a_worker_keeps_one_stage_at_a_time():
+    """What one stage keeps in a worker goes when the next one begins."""
+    meter = quality.meter(vocabularies.PIECE_BPE, vocabularies.BYTE_BPE_RANKS)
+    assert quality.meter(vocabularies.PIECE_BPE, vocabularies.BYTE_BPE_RANKS) is meter and list(vocabularies._HELD.values()) == [meter]
+    ids = packing.document_ids(vocabularies.BYTE_BPE)
+    assert list(vocabularies._HELD.values()) == [ids] and ids.spaced.kept <= 100_000
