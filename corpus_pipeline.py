@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of two lines or more that stand earlier in the table; those of which nothing is left go."""
+    """Documents without the content-defined chunks, and the ends and short passages that chunks miss, that stand earlier in the table; those of which nothing is left go."""
     return line_chunks.without_passages(docs, keep_empty=False)
 
 

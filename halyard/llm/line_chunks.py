@@ -15,10 +15,11 @@ empty; texts may have any length; an empty table gives an empty result; other co
 whatever their names.
 
 Two neighbours of a repeated passage decide where its first and last chunk end, so chunks miss short passages and the
-ends of long ones. without_passages() looks at every window of two lines that aren't blank (with the blank ones between
-them) instead: a passage of two lines or more that stands anywhere before is removed from its first line to its last,
-whatever stands around it. Every removed line stays at an earlier place; a window that overlaps its own first place
-loses its second line only.
+ends of long ones. without_passages() removes the repeated chunks and then looks at the windows of two lines that aren't
+blank (with the blank ones between them) that no removed chunk holds whole: so a passage of two lines or more that stands
+anywhere before is removed from its first line to its last, whatever stands around it. Every removed line that isn't blank
+stays at an earlier place; a window that overlaps its own first place loses its second line only. Where a window stands
+first, no chunk goes, as both go by one order of places; so what the chunks took need not be looked at again.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from halyard.llm.common import unused
 
 #: The rolling hash: digits of a line's digest, the weight of the line before, the modulus (all below 2**62 together).
 HEX_DIGITS, WEIGHT, MODULUS = 15, 3, (1 << 60) - 93
+#: Orders of places: rows of one id by position, or one after the other, as chunks and windows need it to agree.
+IN_ORDER, BY_ROW = ("id", "at", "mark"), ("id", "mark", "at")
 #: Two lines that aren't blank; anchored, so that a text is read once.
 TWO_LINES = r"\A[ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r][^\n]*\n[ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r]"
 
@@ -96,10 +99,29 @@ def _unpacked(df: DataFrame, text_col: str, text: Column) -> list[Column]:
     return [(text if c == text_col else F.col("row")[c]).alias(c) for c in df.columns]
 
 
-def repeated_chunks(based: DataFrame, pieces: Callable[[Column], Column] = chunks, digest: Callable[[str], Column] = F.md5) -> DataFrame:
+def _owners(text: Column, gone: Column) -> Column:
+    """For each line of a text the number of its chunk if that is one of gone, else -1."""
+    n_lines = lambda c: F.size(F.split(c, "\n", -1))
+    return F.flatten(F.transform(chunks(text), lambda c, i: F.array_repeat(F.when(F.array_contains(gone, i), i).otherwise(-1), n_lines(c))))
+
+
+def _open_windows(found: Column, text: Column, gone: Column) -> Column:
+    """Those of the windows found (by their `at`) that no chunk of gone, which may be null, holds whole."""
+
+    def of_places(places: Column) -> Column:
+        def of_owners(owners: Column) -> Column:
+            first, last = (lambda x, k=k: F.get(owners, F.get(places, x["at"] + k)) for k in (0, 1))
+            return F.filter(found, lambda x: (first(x) < 0) | (first(x) != last(x)))
+
+        return let(_owners(text, gone), of_owners)
+
+    return F.when(gone.isNull(), found).otherwise(let(F.split(text, "\n", -1), lambda lines: let(_line_places(lines), of_places)))
+
+
+def repeated_chunks(based: DataFrame, pieces: Callable[[Column], Column] = chunks, digest: Callable[[str], Column] = F.md5, order: tuple[str, ...] = IN_ORDER) -> DataFrame:
     """(own_id, own_mark, chunks): for each text with chunks that the table repeats, their (at, digest, whether it is the first place).
 
-    pieces: what a text is cut into, chunks or windows; digest: of a piece, whose bytes are compared afterwards.
+    pieces: what a text is cut into, chunks or windows; digest: of a piece, whose bytes are compared afterwards; order: of places.
     """
     places = (
         based.select("id", "text", "mark")
@@ -108,7 +130,7 @@ def repeated_chunks(based: DataFrame, pieces: Callable[[Column], Column] = chunk
         .filter(F.col("chunk").rlike(TWO_LINES))
         .select("id", "mark", "at", digest("chunk").alias("digest"))
     )
-    place = F.struct("id", "at", "mark")
+    place = F.struct(*order)
     firsts = places.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first")
     again = places.join(firsts, "digest").withColumn("leads", F.col("first").eqNullSafe(place))
     return again.groupBy(F.col("id").alias("own_id"), F.col("mark").alias("own_mark")).agg(F.collect_set(F.struct("at", "digest", "leads")).alias("chunks"))
@@ -118,14 +140,17 @@ def _same_row() -> Column:
     return F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))
 
 
-def _later(based: DataFrame, pieces: Callable[[Column], Column], digest: Callable[[str], Column]) -> DataFrame:
+def _later(based: DataFrame, pieces: Callable[[Column], Column], digest: Callable[[str], Column], order: tuple[str, ...] = IN_ORDER, gone: DataFrame | None = None) -> DataFrame:
     """(own_id, own_mark, at, overlaps): the places of chunks that go, after the comparison of bytes; overlaps: with the first place, which is one before.
 
+    gone: what _gone() gives if pieces are windows; those that a chunk there holds whole are left out.
+
     The rows are joined to what repeats in them as they are joined to the result afterwards, so that the two joins read
     one exchange; the fingerprint of the whole row keeps its columns the same in both.
     """
-    rows = based.join(repeated_chunks(based, pieces, digest), _same_row())
-    texts = let(pieces(F.col("text")), lambda c: F.transform("chunks", lambda x: F.struct(x["at"].alias("at"), x["digest"].alias("digest"), x["leads"].alias("leads"), F.get(c, x["at"]).alias("bytes"))))
+    rows = (based if gone is None else _with_gone(based, gone)).join(repeated_chunks(based, pieces, digest, order), _same_row())
+    found = F.col("chunks") if gone is None else _open_windows(F.col("chunks"), F.col("text"), F.col("gone"))
+    texts = let(pieces(F.col("text")), lambda c: F.transform(found, lambda x: F.struct(x["at"].alias("at"), x["digest"].alias("digest"), x["leads"].alias("leads"), F.get(c, x["at"]).alias("bytes"))))
     row = F.xxhash64(*[F.col(c) for c in based.columns])
     each = rows.select("own_id", "own_mark", row.alias("whole"), F.explode(texts).alias("x")).select("own_id", "own_mark", "whole", "x.*")
     leaders = each.filter("leads").groupBy("digest").agg(F.min("bytes").alias("first_bytes"), F.min("whole").alias("first_row"), F.min("at").alias("first_at"))
@@ -134,32 +159,47 @@ def _later(based: DataFrame, pieces: Callable[[Column], Column], digest: Callabl
     return later.withColumn("overlaps", (F.col("whole") == F.col("first_row")) & (F.col("at") == F.col("first_at") + 1))
 
 
-def removed_places(based: DataFrame) -> DataFrame:
+def removed_places(based: DataFrame, order: tuple[str, ...] = IN_ORDER) -> DataFrame:
     """(own_id, own_mark, removed): for each text that loses chunks, their positions."""
-    return _later(based, chunks, F.md5).groupBy("own_id", "own_mark").agg(F.collect_set("at").alias("removed"))
+    return _later(based, chunks, F.md5, order).groupBy("own_id", "own_mark").agg(F.collect_set("at").alias("removed"))
+
+
+def _gone(based: DataFrame) -> DataFrame:
+    """(gone_id, gone_mark, gone): for each text that loses chunks by the order of rows, their positions."""
+    return removed_places(based, BY_ROW).withColumnsRenamed({"own_id": "gone_id", "own_mark": "gone_mark", "removed": "gone"})
+
+
+def _with_gone(based: DataFrame, gone: DataFrame) -> DataFrame:
+    return based.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left")
 
 
 def without_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_empty: bool = True) -> DataFrame:
     """df without the passages of two lines or more in text_col that stand at an earlier place (smaller id, then position).
 
-    keep_empty: else a text that loses lines and has only blank ones left goes.
+    Repeated chunks go first, then what windows find around them. keep_empty: else a text that loses lines and has only
+    blank ones left goes.
     """
     based = _based(df, id_col, text_col)
-    gone = _later(based, windows, F.xxhash64).groupBy("own_id", "own_mark").agg(F.collect_set(F.struct("at", "overlaps")).alias("removed"))
-    joined = based.join(gone, _same_row(), "left")
+    gone = _gone(based)
+    windowed = _later(based, windows, F.xxhash64, BY_ROW, gone).groupBy("own_id", "own_mark").agg(F.collect_set(F.struct("at", "overlaps")).alias("removed"))
+    joined = _with_gone(based, gone).join(windowed, _same_row(), "left")
+    changed = F.col("removed").isNotNull() | F.col("gone").isNotNull()
 
     def rest_of(lines: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(lines) - 1)
+
         def of_places(places: Column) -> Column:
-            removed = F.flatten(F.transform("removed", lambda x: F.sequence(F.get(places, x["at"]) + x["overlaps"].cast("int"), F.get(places, x["at"] + 1))))
-            stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
-            return F.array_join(F.transform(stays, lambda p: F.get(lines, p)), "\n")
+            return F.flatten(F.transform("removed", lambda x: F.sequence(F.get(places, x["at"]) + x["overlaps"].cast("int"), F.get(places, x["at"] + 1))))
 
-        return let(_line_places(lines), of_places)
+        none = F.array().cast("array<int>")
+        by_windows = F.when(F.col("removed").isNotNull(), let(_line_places(lines), of_places)).otherwise(none)
+        by_chunks = F.when(F.col("gone").isNotNull(), let(_owners(F.col("text"), F.col("gone")), lambda owners: F.filter(every, lambda p: F.get(owners, p) >= 0))).otherwise(none)
+        return F.array_join(F.transform(F.array_except(every, F.concat(by_windows, by_chunks)), lambda p: F.get(lines, p)), "\n")
 
-    rest = joined.withColumn("rest", F.when(F.col("removed").isNotNull(), let(F.split("text", "\n", -1), rest_of)))
+    rest = joined.withColumn("rest", F.when(changed, let(F.split("text", "\n", -1), rest_of)))
     if not keep_empty:
-        rest = rest.filter(F.col("removed").isNull() | F.col("rest").rlike(r"[^ \t\n\x0B\f\r]"))
-    return rest.select(*_unpacked(df, text_col, F.when(F.col("removed").isNotNull(), F.col("rest")).when(~F.col("null"), F.col("text"))))
+        rest = rest.filter(~changed | F.col("rest").rlike(r"[^ \t\n\x0B\f\r]"))
+    return rest.select(*_unpacked(df, text_col, F.when(changed, F.col("rest")).when(~F.col("null"), F.col("text"))))
 
 
 def deduped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_empty: bool = True) -> DataFrame:

@@ -393,6 +393,45 @@ def test_short_passages_go_whole(spark):
     assert line_chunks.without_passages(df.limit(0)).count() == 0
 
 
+def plain_passages(rows, by_chunks=True):
+    """Chunks that stand before go, then the windows that no such chunk holds; rows in order."""
+    blank = lambda x: not x.strip(" \t\n\x0b\f\r")
+    seen, firsts, out = set(), {}, {}
+    for i, text in rows:
+        lines, at, owner = text.split("\n"), 0, {}
+        for k, c in enumerate(plain_chunks(text) if by_chunks else ()):
+            n = c.count("\n") + 1
+            if sum(not blank(x) for x in c.split("\n")) >= 2:
+                owner |= dict.fromkeys(range(at, at + n), k) if c in seen else {}
+                seen.add(c)
+            at += n
+        places, gone = [p for p, x in enumerate(lines) if not blank(x)], set(owner)
+        for w, (a, b) in enumerate(zip(places, places[1:], strict=False)):
+            if a in owner and owner[a] == owner.get(b):
+                continue
+            first = firsts.setdefault("\n".join(lines[a : b + 1]), (i, w))
+            if first != (i, w):
+                gone |= set(range(a + (first == (i, w - 1)), b + 1))
+        out[i] = "\n".join(x for p, x in enumerate(lines) if p not in gone)
+    return out
+
+
+def test_chunks_go_before_windows(spark):
+    """The pipeline's step removes repeated content-defined chunks whole, blank lines at their ends too, and windows around them."""
+    r = random.Random(11)
+    lines = [f"{k} {r.random()}" for k in range(40)]
+    blocks = [[r.choice([*lines, "", ""]) for _ in range(r.randint(6, 14))] for _ in range(5)]
+    rows = [(i, "\n".join([f"own {i}", *r.choice(blocks), *[r.choice(lines) for _ in range(r.randint(0, 3))], f"end {i}", *r.choice(blocks)])) for i in range(60)]
+    want = plain_passages(rows)
+    df = frame(spark, rows)
+    assert {x.doc_id: x.text for x in line_chunks.without_passages(df).collect()} == want
+    assert plain_passages(rows, by_chunks=False) != want
+    # Rows of one id with other texts: every line stays somewhere.
+    mixed = frame(spark, [(i // 4, t) for i, t in rows])
+    left = {x for row in line_chunks.without_passages(mixed).collect() for x in row.text.split("\n")}
+    assert {x for _, t in rows for x in t.split("\n")} - {""} == left - {""}
+
+
 # -- 1
 
 
