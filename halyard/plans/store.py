@@ -160,6 +160,11 @@ class VersionedTable:
             return rows.withColumn(numbered, at).filter(~F.col(KIND).eqNullSafe(DELETE)).drop(KIND, PREVIOUS)
         return self._held([f for f in said["folders"] if parts is None or _part_of(f) in {_said(p) for p in parts}], StructType.fromJson(said["schema"]))
 
+    def written(self, version: int) -> DataFrame:
+        """The rows that a version wrote and that then hold: of an append, those that it added."""
+        said = self.manifest(version)
+        return self._held(said["written"], StructType.fromJson(said["schema"]))
+
     def parts(self, version: int | None = None) -> list[str | None]:
         """The values of the partition column, in order."""
         names = {_part_of(f) for f in self.manifest(self.version() if version is None else version)["folders"]}

@@ -123,6 +123,66 @@ def test_state_and_windows_follow_the_log(spark, tmp_path):
     assert all(x["days_read"] for x in read) and upkeep.update(table, metrics, done)["rows"] == 0
 
 
+def delivered(spark, *events):
+    """Deliveries of one slot: (event, created, state, whether more complete)."""
+    from halyard.streaming.outbox import EVENT
+
+    names = [c.split()[0] for c in EVENT.split(", ")]
+    full = lambda e, at, state, more: dict.fromkeys(names) | {"event_id": e, "delivery_date": "2026-01-01", "delivery_hour": 1, "interval": 1, "zonal_price_capped_cad_per_mwh": 1.0, "event_created_at_utc": at, "publication_state": state, "source_name": "full" if more else None}
+    return spark.createDataFrame([tuple(full(*e)[c] for c in names) for e in events], EVENT)
+
+
+def test_a_latest_event_that_goes_back_gives_way(spark, tmp_path):
+    """A more complete delivery with an earlier time, or none, lets an event of an earlier batch follow; a less complete one changes nothing."""
+    from halyard.operators import realtime
+    from halyard.streaming import current
+    from halyard.streaming.outbox import EVENT
+
+    folder, table = str(tmp_path / "log"), current.current_table(spark, str(tmp_path / "current"))
+    steps = [
+        ([("a", "t5", "ELIGIBLE", False), ("b", "t3", "ELIGIBLE", False), ("c", "t1", "ELIGIBLE", True)], "a"),
+        ([("a", "t2", "ELIGIBLE", True)], "b"),  # a goes back behind b, which this batch does not have
+        ([("a", "t9", "ELIGIBLE", False)], "b"),
+        ([("b", None, "ELIGIBLE", True)], "a"),
+        ([("d", "t8", "INVALIDATED", True)], None),
+        ([("e", "t7", "ELIGIBLE", True)], None),  # behind what is withdrawn
+        ([("d", "t9", "ELIGIBLE", False), ("f", "t8", "ELIGIBLE", True)], "f"),
+    ]
+    for n, (events, wanted) in enumerate(steps):
+        delivered(spark, *events).coalesce(1).write.mode("append").parquet(folder)
+        current.follow(spark.readStream.schema(EVENT).parquet(folder), table, str(tmp_path / "state")).awaitTermination()
+        assert [r.event_id for r in table.read().collect()] == ([wanted] if wanted else []), n
+        assert rows(table.read()) == rows(realtime.price_current(spark.read.parquet(folder)).select(*table.read().columns)), n
+
+
+def test_a_batch_that_is_played_again_changes_nothing(spark, tmp_path):
+    from halyard.plans.store import VersionedTable
+    from halyard.streaming import current
+
+    table = current.current_table(spark, str(tmp_path / "current"))
+    events, latest = (VersionedTable(spark, str(tmp_path / n), k, partition=p) for n, k, p in (("events", [*current.realtime.KEY, "event_id"], None), ("latest", current.realtime.KEY, "delivery_date")))
+    first, second = delivered(spark, ("a", "t5", "ELIGIBLE", False), ("b", "t3", "ELIGIBLE", False)), delivered(spark, ("a", "t2", "ELIGIBLE", True))
+    for batch, version in ((first, 0), (first, 0), (second, 1), (second, 1)):
+        current._take(batch, events, latest, table)
+        assert (table.version(), latest.version()) == (version, version)
+    assert [r.event_id for r in table.read().collect()] == ["b"]
+
+
+def test_a_batch_is_computed_once_by_an_aggregate(spark, tmp_path):
+    """Neither state nor rows pass through Python, and the batch's rows are read once, however often what follows needs them."""
+    from halyard.streaming import current
+    from halyard.streaming.outbox import EVENT
+
+    folder, table = str(tmp_path / "log"), current.current_table(spark, str(tmp_path / "current"))
+    for n, part in enumerate(log_rows(spark, 5, 60)[:2]):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        query = current.follow(spark.readStream.schema(EVENT).parquet(folder), table, str(tmp_path / "state"))
+        query.awaitTermination()
+        state = query.lastProgress["stateOperators"]
+        assert [s["operatorName"] for s in state] == ["stateStoreSave"], n
+        assert query.lastProgress["numInputRows"] == part.count(), n
+
+
 def test_upkeep_reads_the_days_it_needs(spark, tmp_path):
     from halyard.operators import realtime, upkeep
     from halyard.streaming import current
