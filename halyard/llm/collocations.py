@@ -1,12 +1,12 @@
 """Operator 12: collocations, phrases that stand together more often than their parts would.
 
-Each partition works in shards of about a million words of one language. In a shard every word has a compressed bitmap of its
-positions: only blocks of WIDTH positions that aren't empty are kept. Shifting a phrase's bitmap by one and ANDing it with a
-word's gives the bitmap of the longer phrase, and popcounts are its occurrences; phrases grow depth first, from a group of
-first words at a time, so a shard's memory is bounded. A position stays empty wherever a piece or a text ends, so no phrase
-crosses one. The shards' popcounts are added up by Spark. Longer phrases are counted only where the parts that are one
-word shorter may be frequent enough, which a bit table of fixed size says (FILTER bits, of hashes): where it errs a phrase
-is counted in vain, none is missed.
+Each partition works in shards of about two million words of one language, whose bytes are read at once: where words begin
+and end, and their numbers. In a shard every word has a compressed bitmap of its positions: only blocks of WIDTH positions
+that aren't empty are kept. Shifting a phrase's bitmap by one and ANDing it with a word's gives the bitmap of the longer
+phrase, and popcounts are its occurrences; phrases grow depth first, from a group of first words at a time, so a shard's
+memory is bounded. A position stays empty wherever a piece or a text ends, so no phrase crosses one. The shards' popcounts
+are added up by Spark. Longer phrases are counted only where the parts that are one word shorter may be frequent enough,
+which a bit table of fixed size says (FILTER bits, of hashes): where it errs a phrase is counted in vain, none is missed.
 
 Cases: a null or empty text has no words; a null language is UND; repeated rows count again; texts may have any length
 (a shard holds whole texts); equal scores are ordered by count, then by the phrase's bytes; an empty table gives an empty
@@ -15,12 +15,12 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,42 +29,39 @@ from halyard.llm.common import batched, checkpointed
 #: Words of a phrase at most; occurrences it needs; per cent of a part's that a longer phrase needs to replace it; phrases of a language.
 MAX_WORDS, LEAST, COVERED, TOP, UND = 3, 10, 50, 2000, "und"
 #: Words of a shard; positions of a bitmap's block; entries of a group of first words; bits of a filter (8 MB); salts of the first ranking.
-SHARD, WIDTH, GROUP, FILTER, SALTS = 1 << 20, 8, 1 << 17, 1 << 26, 64
-_BREAKS = ".,;:!?\n\x0b\x0c\r"
-_TOKEN = re.compile(r"[.,;:!?\n-\r]|[^ \t.,;:!?\n-\r]+")
+SHARD, WIDTH, GROUP, FILTER, SALTS = 1 << 21, 8, 1 << 17, 1 << 26, 64
+_BLANKS, _BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
+_KIND = np.zeros(256, np.uint8)  # of a byte: 0 in a word, 1 blank, 2 where a piece ends
+_KIND[[*_BLANKS]], _KIND[[*_BREAKS]] = 1, 2
 _BITS = np.array([x.bit_count() for x in range(1 << WIDTH)], np.int64)
 _BUCKET_BYTES = 1 << 12
 
 
-class Numbers(dict):
-    """Numbers words as they come; what ends a piece is -1."""
-
-    def __init__(self) -> None:
-        super().__init__(dict.fromkeys(_BREAKS, -1))
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self) - len(_BREAKS)
-        return n
-
-
 class Shard:
-    """Texts of one language as word numbers by position; -1 where a piece ends."""
+    """Texts of one language, to be read at once. size is about their words: what lies between blanks and ends of pieces."""
 
     def __init__(self, lang: str) -> None:
         self.lang, self.size = lang, 0
-        self._number = Numbers()
-        self._parts: list[np.ndarray] = []
+        self._texts: list[bytes] = []
 
     def add(self, text: str) -> None:
-        tokens = _TOKEN.findall(text.encode().lower().decode())  # of bytes only A to Z change
-        self._parts += [np.array([*map(self._number.__getitem__, tokens)], np.int32), np.array([-1], np.int32)]
-        self.size += len(tokens)
-
-    def words(self) -> list[str]:
-        return list(self._number)[len(_BREAKS) :]
-
-    def ids(self) -> np.ndarray:
-        return np.concatenate(self._parts)
+        spelled = text.encode().lower()  # of bytes only A to Z change
+        self._texts.append(spelled)
+        self.size += len(spelled) - len(spelled.translate(None, _BLANKS + _BREAKS)) + 1
+
+    def numbered(self) -> tuple[pa.LargeStringArray, np.ndarray]:
+        """The different words, and the texts as word numbers by position; -1 where a piece ends."""
+        data = np.frombuffer(b"\n".join([*self._texts, b""]), np.uint8)
+        kind = _KIND[data]
+        inside = kind == 0
+        edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
+        begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # the last byte is in no word
+        offsets = np.concatenate([[0], np.cumsum(ends - begins)]).astype(np.int64)
+        words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(data[inside])).dictionary_encode()
+        at = np.flatnonzero((edge == 1) | (kind == 2))
+        ids = np.full(len(at), -1, np.int32)
+        ids[kind[at] == 0] = words.indices.to_numpy()
+        return words.dictionary, ids
 
 
 class Bitmaps:
@@ -75,8 +72,9 @@ class Bitmaps:
 
     @classmethod
     def of_positions(cls, of: np.ndarray, positions: np.ndarray) -> Bitmaps:
-        order = np.lexsort((positions, of))
-        of, block, bits = of[order], positions[order] // WIDTH, 1 << (positions[order] % WIDTH)
+        order = np.sort(of << 32 | positions)  # positions are fewer than 2^32, as a text is shorter than 2^31
+        of, positions = order >> 32, order & 0xFFFFFFFF
+        block, bits = positions // WIDTH, 1 << (positions % WIDTH)
         first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (block[1:] != block[:-1])])) if len(of) else np.empty(0, np.int64)
         return cls(of[first], block[first], np.add.reduceat(bits, first) if len(first) else bits)
 
@@ -109,44 +107,70 @@ def _may(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[slots >> 3] >> (slots & 7)) & 1 == 1
 
 
+class Endings:
+    """The crc32 of phrases from those of their beginnings, by a blank and a word that follow.
+
+    The crc32 of what goes before moves by each of its bits apart, as the length of what follows says: a table for each length.
+    """
+
+    def __init__(self, spelled: list[bytes]) -> None:
+        following = [b" " + w for w in spelled]
+        self._crc = np.array([*map(crc32, following)], np.int64)
+        lengths, first, self._length = np.unique(np.array([*map(len, following)], np.int64), return_index=True, return_inverse=True)
+        bits = np.array([[crc32(following[w], 1 << i) ^ crc32(following[w]) for i in range(32)] for w in first.tolist()], np.uint32).reshape(len(lengths), 4, 8)
+        moved = np.zeros((len(lengths), 4, 256), np.uint32)
+        for i in range(8):
+            moved[:, :, 1 << i : 2 << i] = moved[:, :, : 1 << i] ^ bits[:, :, i, None]
+        self._moved = moved.ravel()
+
+    def after(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        out, table = self._crc[word], self._length[word] << 10
+        for k in range(4):
+            out ^= self._moved[table + (before >> (8 * k) & 255) + (k << 8)]
+        return out
+
+
 def phrase_counts(shard: Shard, n: int, tables: list[np.ndarray], group: int = GROUP) -> Iterator[tuple[list[str], np.ndarray]]:
+    """phrase_arrays with phrases as lists."""
+    for phrases, counts in phrase_arrays(shard, n, tables, group):
+        yield phrases.to_pylist(), counts
+
+
+def phrase_arrays(shard: Shard, n: int, tables: list[np.ndarray], group: int = GROUP) -> Iterator[tuple[pa.StringArray, np.ndarray]]:
     """Phrases of n words in a shard and how often each occurs, in groups; tables[k] says which of k + 1 words may be frequent.
 
     Phrases are known by their word numbers and hashes; only those that are counted in the end are spelled out.
     """
-    words, ids = shard.words(), shard.ids()
+    words, ids = shard.numbered()
     if n == 1:
-        yield words, np.bincount(ids[ids >= 0], minlength=len(words))
+        yield words.cast(pa.string()), np.bincount(ids[ids >= 0], minlength=len(words))
         return
-    spelled = [w.encode() for w in words]
+    spelled = words.cast(pa.large_binary()).to_pylist()
     before = crc32(f"{shard.lang}\0".encode())
     hashes = np.array([crc32(w, before) for w in spelled], np.int64)
-    following = [b" " + w for w in spelled]
     able = _may(tables[0], hashes)
-    places = np.flatnonzero((ids >= 0) & able[ids]) if words else np.empty(0, np.int64)
+    endings = Endings(spelled) if n > 2 else None
+    places = np.flatnonzero((ids >= 0) & able[ids]) if len(words) else np.empty(0, np.int64)
     roots = Bitmaps.of_positions(ids[places].astype(np.int64), places)
     singles = roots.picked(np.argsort(roots.block, kind="stable"))
     begins = np.searchsorted(singles.block, np.arange(len(ids) // WIDTH + 3))
 
-    def longer(of: np.ndarray, last: list[int]) -> np.ndarray:
-        return np.array([crc32(following[w], h) for h, w in zip(of.tolist(), last, strict=True)], np.int64)
-
-    def grown(sets: Bitmaps, members: np.ndarray, whole: np.ndarray, tail: np.ndarray) -> Iterator[tuple[list[str], np.ndarray]]:
+    def grown(sets: Bitmaps, members: np.ndarray, whole: np.ndarray, tail: np.ndarray) -> Iterator[tuple[pa.StringArray, np.ndarray]]:
         """members: the words of each set's phrase; whole, tail: the hashes of the phrases, and of them without their first word."""
         depth = members.shape[1] + 1
         word, found = sets.shifted().anded(singles, begins)
-        pair, found.of = np.unique(found.of * len(words) + word, return_inverse=True)
+        pairs = pa.array(found.of * len(words) + word).dictionary_encode()
+        pair, found.of = pairs.dictionary.to_numpy(), pairs.indices.to_numpy()
         old, new = pair // len(words), pair % len(words)
-        last = new.tolist()
-        ends = longer(tail[old], last) if depth > 2 else hashes[new]
+        ends = endings.after(tail[old], new) if depth > 2 else hashes[new]
         keep = _may(tables[depth - 2], ends) if depth > 2 else np.ones(len(pair), bool)
         if depth == n:
             kept = np.flatnonzero(keep)
             if len(kept):
-                columns = [[words[w] for w in column] for column in (*members[old[kept]].T.tolist(), new[kept].tolist())]
-                yield [*map(" ".join, zip(*columns, strict=True))], found.counts(len(pair))[kept]
+                columns = [words.take(pa.array(column)) for column in (*members[old[kept]].T, new[kept])]
+                yield pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string())).cast(pa.string()), found.counts(len(pair))[kept]
             return
-        phrase = longer(whole[old], last)
+        phrase = endings.after(whole[old], new)
         keep &= _may(tables[depth - 1], phrase)
         if keep.any():
             deeper = found.picked(keep[found.of])
@@ -169,8 +193,8 @@ def _counted(texts: DataFrame, n: int, tables: list[np.ndarray], shard_words: in
 
         def emptied() -> Iterator[pa.RecordBatch]:
             for shard in shards.values():
-                for phrases, counts in phrase_counts(shard, n, shared.value, group):
-                    yield pa.RecordBatch.from_arrays([pa.array([shard.lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
+                for phrases, counts in phrase_arrays(shard, n, shared.value, group):
+                    yield pa.RecordBatch.from_arrays([pa.repeat(shard.lang, len(phrases)), phrases, pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
             shards.clear()
 
         size = 0
